@@ -22,6 +22,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = langid.predict(spark, docs, langid.fit(spark, docs))
+    return found.select("doc_id", langid.held_out(4, 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import groups
 
@@ -39,7 +47,7 @@ FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_packing": op1_packing, "op4_language_id": op4_language_id, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
