@@ -30,6 +30,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(4, 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import components
+
+    return components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import groups
 
@@ -47,7 +53,7 @@ FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op4_language_id": op4_language_id, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_packing": op1_packing, "op4_language_id": op4_language_id, "op8_jaccard_join": op8_jaccard_join, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
