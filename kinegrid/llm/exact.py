@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, slices, utf8
+from .common import ASCII_LOWER, Scratch, slices, utf8
 
 BLOCK = 4096
 
@@ -38,9 +38,8 @@ def _blocks(docs: DataFrame, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text", 8 << 20):
-                text = pc.ascii_lower(pc.fill_null(some.column("text").cast(pa.large_string()), ""))
-                data, offsets = utf8(text)
-                data = np.ascontiguousarray(data)
+                data, offsets = utf8(some.column("text"))
+                data = ASCII_LOWER[data]
                 size = np.diff(offsets)
                 count = np.maximum(1, -(-size // block))
                 of = np.repeat(np.arange(len(size)), count)

@@ -33,7 +33,7 @@ from .common import mix, slices, utf8
 
 UNKNOWN = "und"
 ORDER = 3
-SAMPLE = 1500
+SAMPLE = 1000  # Spark keeps ranks of up to 1000 by task before it sorts, so no language gathers in one task
 SAMPLE_BYTES = 65536
 MAX_LANGUAGES = 256
 LETTER = re.compile(r"[^\W\d_]")
