@@ -30,6 +30,23 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(4, 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    archives = write_archives(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM q
+"""
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import components
 
@@ -53,8 +70,8 @@ FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op4_language_id": op4_language_id, "op8_jaccard_join": op8_jaccard_join, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_packing": op1_packing, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op8_jaccard_join": op8_jaccard_join, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op5_warc": OP5_SQL, "op9_exact_dedup": OP9_SQL}
