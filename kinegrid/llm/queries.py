@@ -22,6 +22,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import near_duplicates
+
+    found, recall = near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("measured_recall", F.lit(recall))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -70,7 +77,7 @@ FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op8_jaccard_join": op8_jaccard_join, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op8_jaccard_join": op8_jaccard_join, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
