@@ -54,6 +54,13 @@ FROM q
 """
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    found = remove_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import components
 
@@ -77,7 +84,7 @@ FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op8_jaccard_join": op8_jaccard_join, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
