@@ -127,18 +127,35 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarr
         lo = hi
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word of all rows, and the words' offsets by row (len + 1)."""
-    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def _hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit polynomial hashes of data[s:e], mixed with the lengths."""
+    up, down = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return mix((total[e] - total[s]) * down[s] ^ (e - s).astype(np.uint64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans in ascending order, by segments."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        lo = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, lo + SEGMENT, "right")))
+        out[i:j] = _hashes(data[lo : ends[j - 1]], starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, spans: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hash of each word of all rows, and the words' offsets by row (len + 1); on request their starts and ends."""
+    hashes, starts, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s, e, lo, hi in word_spans(data, offsets):
-        up, down = _powers(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])
-        h = (total[e - lo] - total[s - lo]) * down[s - lo]
-        hashes.append(mix(h ^ (e - s).astype(np.uint64)))
+        hashes.append(_hashes(data[lo:hi], s - lo, e - lo))
         starts.append(s)
+        ends.append(e)
     at = np.concatenate(starts)
-    return np.concatenate(hashes), np.searchsorted(at, offsets)
+    out = np.concatenate(hashes), np.searchsorted(at, offsets)
+    return (*out, at, np.concatenate(ends)) if spans else out
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -29,6 +29,14 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("measured_recall", F.lit(recall))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenstore import as_uint32, read_store, write_store
+
+    store = write_store(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))
+    rows = read_store(spark, store)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32(as_uint32(store.width)("ids")).alias("ids_crc32"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -84,7 +92,7 @@ FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op3_token_store": op3_token_store, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

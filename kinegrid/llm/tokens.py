@@ -13,10 +13,10 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import ASCII_LOWER, span_hashes, utf8, word_hashes
+
 #: white space to Python only, or the start of a special token's string
 ODD = re.compile("[\x1c-\x1f\x85᠎]|<\\|")
-#: a symbol right before a stop or comma that ends a unit: the two are one split piece
-JOINED_STOP = re.compile(r"[^\w\s][.,]\s|_[.,]\s")
 MEMO = 1_000_000
 
 
@@ -61,45 +61,63 @@ class ByteLevel:
 
 
 class WordLevel:
+    """White-space units of the lower-cased text are encoded once each, by whole arrays of units.
+
+    The file lower-cases, and splits at white space and between letters and symbols, before any merge; so
+    units, and a stop or comma after an ASCII letter at a unit's end, can be encoded one by one.
+    """
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.dtype = _dtype(self.whole.get_vocab_size())
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units: list[bytes]) -> None:
         """Encode many units as one text; a token belongs to the unit in which it starts."""
+        step = self.dtype.itemsize
         for lo in range(0, len(units), 1000):
             some = units[lo : lo + 1000]
-            found = self.whole.encode_batch([" ".join(some)], add_special_tokens=False)[0]
+            texts = [u.decode() for u in some]
+            found = self.whole.encode_batch([" ".join(texts)], add_special_tokens=False)[0]
             starts = np.array([a for a, _ in found.offsets], np.int64)
-            lengths = np.array([len(u) + 1 for u in some], np.int64)
-            cut = (np.searchsorted(starts, np.cumsum(lengths) - lengths) * self.dtype.itemsize).tolist()
+            lengths = np.array([len(t) + 1 for t in texts], np.int64)
+            cut = (np.searchsorted(starts, np.cumsum(lengths) - lengths) * step).tolist()
             data = np.array(found.ids, self.dtype).tobytes()
             self.memo.update((u, data[a:b]) for u, a, b in zip(some, cut, [*cut[1:], len(data)], strict=True))
 
-    def ids(self, texts: Iterable[str | None]) -> list[bytes]:
-        texts = list(texts)
-        units: list[list[str] | None] = []
-        for x in texts:
-            if x and ODD.search(x):
-                units.append(None)
-                continue
-            x = x or ""
-            if not JOINED_STOP.search(x):
-                x = x.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-            units.append(x.split())
-        new = set().union(*(u for u in units if u)).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
+    def column(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a string column, end to end, and their offsets by row."""
+        data, offsets = utf8(column)
+        data = ASCII_LOWER[data]
+        words, at, starts, ends = word_hashes(data, offsets, spans=True)
+        last, before = data[ends - 1] if len(ends) else ends, data[np.maximum(ends - 2, 0)] if len(ends) else ends
+        stop = ((last == 46) | (last == 44)) & (before >= 97) & (before <= 122) & (ends - starts > 1)
+        if stop.any():  # a unit with a stop is two: the hash of the first part is taken anew
+            place = np.arange(len(starts)) + np.cumsum(stop) - stop
+            n = len(starts) + int(stop.sum())
+            s, e = np.empty(n, np.int64), np.empty(n, np.int64)
+            s[place], e[place] = starts, ends - stop
+            s[place[stop] + 1], e[place[stop] + 1] = ends[stop] - 1, ends[stop]
+            at = np.append(place, n)[at]
+            starts, ends = s, e
+            words = span_hashes(data, starts, ends)
+        _, first, inverse = np.unique(words, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        units = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if len(self.memo) + len(units) > MEMO:
             self.memo.clear()
-            new = set().union(*(u for u in units if u))
-        self._learn(list(new))
-        take = self.memo.__getitem__
-        return [
-            np.array(self.whole.encode(x, add_special_tokens=False).ids, self.dtype).tobytes() if u is None else b"".join(map(take, u))
-            for x, u in zip(texts, units, strict=True)
-        ]
+        memo = self.memo
+        self._learn([u for u in units if u not in memo])
+        pieces = [memo[u] for u in units]
+        size = np.array([len(x) for x in pieces], np.int64) // self.dtype.itemsize
+        pool = np.frombuffer(b"".join(pieces), self.dtype)
+        pool_at = np.cumsum(size) - size
+        n = size[inverse]
+        total = np.append(0, np.cumsum(n))
+        ids = pool[np.repeat(pool_at[inverse] - total[:-1], n) + np.arange(total[-1])]
+        return ids, total[at]
 
 
 _LOADED: dict[tuple[type, str], ByteLevel | WordLevel] = {}
