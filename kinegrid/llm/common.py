@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SEGMENT = 1 << 21  # bytes of text hashed at once: bounds a worker's memory, not the text
 
@@ -56,6 +57,16 @@ class Scratch:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n rows: those with the smallest hash of their key. A threshold goes first, so that the tasks
+    together pass on about twice what is asked for and not n rows each."""
+    h = F.xxhash64(F.col(key).cast("string"))
+    total = rows.count()
+    if total > 4 * n:
+        rows = rows.where(F.pmod(h, F.lit(1 << 32)) < int((1 << 32) * 2 * n / total))
+    return rows.orderBy(h, key).limit(n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser over uint64 (wraps on purpose)."""
     x = x ^ (x >> np.uint64(30))

@@ -69,6 +69,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score
+
+    return score(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import components
 
@@ -92,7 +98,7 @@ FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op3_token_store": op3_token_store, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op3_token_store": op3_token_store, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op7_hmm_scoring": op7_hmm_scoring, "op8_jaccard_join": op8_jaccard_join, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
