@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bounded_sample
 
 SKIPPABLE = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -186,8 +186,8 @@ def _put(uri: str, parts: list[bytes]) -> None:
 
 def train(pages: DataFrame) -> bytes:
     """A dictionary from the starts of a bounded number of pages (those with the smallest hash of their ids)."""
-    some = pages.where("html is not null").select(F.xxhash64(F.col("page_id").cast("string")).alias("h"), F.substring("html", 1, DICTIONARY_PREFIX).alias("html"))
-    texts = [r["html"].encode() for r in some.orderBy("h").limit(DICTIONARY_PAGES).collect()]
+    some = bounded_sample(pages.where("html is not null"), "page_id", DICTIONARY_PAGES)
+    texts = [r["html"].encode() for r in some.select(F.substring("html", 1, DICTIONARY_PREFIX).alias("html")).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
     except zstandard.ZstdError:  # too little to train on: plain content serves as well
