@@ -2,10 +2,12 @@
 
 A normalised text is cut into blocks of a fixed number of bytes. All blocks are sorted and each distinct
 one gets its rank as its name; adjacent names are then paired and the pairs named in the same way, level
-by level, until one name is left for each document. Ranks come from comparing the blocks themselves, so
-two documents of one level share a name if and only if their texts are equal: no hash is trusted.
+by level, until one name is left for each document. Names come from comparing the blocks themselves, so
+two documents of one level share a name if and only if their texts are equal. (Blocks are sorted by a 128-bit
+hash and then by content: ranges are cut at hashes, which are short. Two blocks that differ under one hash
+would stop the run; they can't share a name.)
 
-Sorting is by range over (block, row), so copies of one hot block spread over many tasks; what joins two
+Sorting is by range over (hash, row), so copies of one hot block spread over many tasks; what joins two
 ranges is one summary row a task. Each level is written to the shared folder and holds half the rows of
 the one before.
 
@@ -61,7 +63,7 @@ def _blocks(docs: DataFrame, block: int) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, i long, value binary, blocks long, sha256 string")
 
 
-def _named(rows: DataFrame, values: list[str], scratch: Scratch, label: str) -> DataFrame:
+def _named(rows: DataFrame, values: list[str], scratch: Scratch, label: str, hashed: bool = False) -> DataFrame:
     """The rows with ``name``, the dense rank of their values among all rows, in place of the values.
 
     A task ranks its sorted range; the last of its output says where the range begins and ends, and a
@@ -84,6 +86,12 @@ def _named(rows: DataFrame, values: list[str], scratch: Scratch, label: str) ->
             head = [c[0].as_py() for c in columns]
             new[0] = head != last
             first = head if first is None else first
+            if hashed:
+                same = np.ones(batch.num_rows, bool)
+                for c in (batch.column("h1"), batch.column("h2")):
+                    same[1:] &= pc.equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+                if (same & new)[1:].any():
+                    raise ValueError("two blocks differ under one hash")
             last = [c[-1].as_py() for c in columns]
             local = rank + np.cumsum(new)
             rank = int(local[-1])
@@ -101,14 +109,24 @@ def _named(rows: DataFrame, values: list[str], scratch: Scratch, label: str) ->
             )
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = [*values, "row", "i"]
-    done = scratch.write(rows.repartitionByRange(n, *key).sortWithinPartitions(*key).mapInArrow(run, schema), label)
+    hashes = ["h1", "h2"] if hashed else []
+    if hashed:
+        rows = rows.select("*", F.xxhash64(*values).alias("h1"), F.xxhash64(F.lit(1), *values).alias("h2"))
+    ranges = [*(hashes or values), "row", "i"]
+    done = scratch.write(rows.repartitionByRange(n, *ranges).sortWithinPartitions(*hashes, *values, "row", "i").mapInArrow(run, schema), label)
     ends = done.where("distinct is not null")
     order = Window.orderBy("part")  # a row for each task
     same = F.lit(True)
+    sides = [[F.col(f"{side}_{v}") for v in values] for side in ("first", "last")]
     for v in values:
         same = same & F.col(f"first_{v}").eqNullSafe(F.lag(f"last_{v}").over(order))
-    ends = ends.select("part", "distinct", F.when(same & F.lag("part").over(order).isNotNull(), 1).otherwise(0).alias("shared"))
+    shared = F.when(same & F.lag("part").over(order).isNotNull(), 1).otherwise(0)
+    if hashed:
+        clash = ~same
+        for seed in ([], [F.lit(1)]):
+            clash = clash & (F.xxhash64(*seed, *sides[0]) == F.lag(F.xxhash64(*seed, *sides[1])).over(order))
+        shared = F.when(clash, F.raise_error(F.lit("two blocks differ under one hash")).cast("int")).otherwise(shared)
+    ends = ends.select("part", "distinct", shared.alias("shared"))
     base = F.sum("distinct").over(order) - F.col("distinct") - F.sum("shared").over(order)
     ends = scratch.write(ends.select("part", base.alias("base")), f"{label}-bases")
     rows = done.where("distinct is null").join(F.broadcast(ends), "part")  # as many rows as there were tasks
@@ -118,7 +136,7 @@ def _named(rows: DataFrame, values: list[str], scratch: Scratch, label: str) ->
 def identities(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(row, doc_id, level, name, sha256): rows with the same level and name have equal normalised texts."""
     scratch = Scratch(spark, "exact")
-    named = _named(_blocks(docs, block), ["value"], scratch, "level0")
+    named = _named(_blocks(docs, block), ["value"], scratch, "level0", hashed=True)
     heads = named.where("i = 0").select("row", "doc_id", "sha256", "blocks", "name")
     most = heads.agg(F.max("blocks")).first()[0] or 1
     done = heads.where("blocks = 1").select("row", F.lit(0).alias("level"), "name")
