@@ -97,8 +97,15 @@ FROM d
 """
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode
+
+    rows = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_ids", "n_byte_ids", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op3_token_store": op3_token_store, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op7_hmm_scoring": op7_hmm_scoring, "op8_jaccard_join": op8_jaccard_join, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op3_token_store": op3_token_store, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op7_hmm_scoring": op7_hmm_scoring, "op8_jaccard_join": op8_jaccard_join, "op9_exact_dedup": op9_exact_dedup, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
