@@ -47,10 +47,12 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     row_of = np.repeat(np.arange(rows), count)
     whole = (np.arange(len(words)) + n <= at[row_of + 1])[: len(all_of)]
     values, of = all_of[whole], row_of[: len(all_of)][whole]
-    short = np.flatnonzero((count > 0) & (count < n))
-    if len(short):  # the whole sequence as one shingle
-        one = np.array([mix(np.array([len(w)], np.uint64) + sum(np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) * x for i, x in enumerate(w)))[0] for w in (words[at[r] : at[r + 1]] for r in short)], np.uint64)
-        values, of = np.append(values, one), np.append(of, short)
+    for k in range(1, n):  # the whole sequence as one shingle
+        short = np.flatnonzero(count == k)
+        one = np.full(len(short), k, np.uint64)
+        for i in range(k):
+            one = (one + words[at[short] + i]) * np.uint64(0x9E3779B97F4A7C15)
+        values, of = np.append(values, mix(one)), np.append(of, short)
     order = np.lexsort((values, of))
     values, of = values[order], of[order]
     fresh = np.ones(len(values), bool)
