@@ -39,6 +39,8 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         # shuffle files of a finished write are dead weight: the written table replaces them
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        # Python workers hold a batch at a time: texts are long, so fewer rows than the default 10000
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

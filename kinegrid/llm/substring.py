@@ -57,8 +57,9 @@ def _windows(column: pa.Array, window: int, run: int) -> tuple[np.ndarray, ...]:
     return row, place, least[at[row] + place] if len(row) else np.zeros(0, np.uint64), words, at
 
 
-def _confirmed(spark: SparkSession, texts: DataFrame, scratch: Scratch, window: int, run: int) -> DataFrame:
-    """(doc_id, owner, place, n): n consecutive windows of the owner, from the word at place on, are also in doc_id."""
+def _confirmed(spark: SparkSession, texts: DataFrame, scratch: Scratch, window: int, run: int) -> tuple[DataFrame, DataFrame]:
+    """Passages (owner, place, n): n consecutive windows of the owner from the word at place on, each of them in a later
+    document too; and routes (doc_id, owner, place) of the documents that hold a window of a passage."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,22 +100,25 @@ def _confirmed(spark: SparkSession, texts: DataFrame, scratch: Scratch, window:
     scratch.drop("held")
     owned = rows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi"), F.min_by("place", "doc_id").alias("at")).where("owner < hi")
     owned = scratch.write(owned.select("w", "owner", "at"), "owned")
-    repeats = rows.join(owned, "w").where("doc_id > owner").select("doc_id", "place", "owner", "at")
 
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # a passage that two batches share becomes two; each window is in one of them
-            doc, place, owner, at = (batch.column(c).to_numpy() for c in ("doc_id", "place", "owner", "at"))
-            fresh = np.ones(len(doc), bool)
-            fresh[1:] = (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]) | (np.diff(place) != 1) | (np.diff(at) != 1)
-            first = np.flatnonzero(fresh)
-            n = np.diff(np.append(first, len(doc)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(owner[first]), pa.array(at[first]), pa.array(n)], names=["doc_id", "owner", "place", "n"])
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The passage of each confirmed window: the run of its owner's windows that it is in, by its first word."""
+        for batch in batches:  # a run that two batches share becomes two; each window is in one of them
+            owner, at = batch.column("owner").to_numpy(), batch.column("at").to_numpy()
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = (owner[1:] != owner[:-1]) | (np.diff(at) != 1)
+            first = at[fresh][np.cumsum(fresh) - 1]
+            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("owner"), pa.array(first)], names=["w", "owner", "first"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = repeats.repartition(n, "doc_id").sortWithinPartitions("doc_id", "place")
-    out = scratch.write(sorted_rows.mapInArrow(passages, "doc_id long, owner long, place long, n long"), "passages")
-    scratch.drop("candidates", "owned")
-    return out
+    owned = owned.repartition(n, "owner").sortWithinPartitions("owner", "at").mapInArrow(runs, "w long, owner long, first long")
+    owned = scratch.write(owned, "runs")
+    scratch.drop("owned")
+    passages = scratch.write(owned.groupBy("owner", F.col("first").alias("place")).agg(F.count("*").alias("n")), "passages")
+    routes = rows.join(owned, "w").where("doc_id > owner").select("doc_id", "owner", F.col("first").alias("place")).distinct()
+    routes = scratch.write(routes, "routes")
+    scratch.drop("candidates", "runs")
+    return passages, routes
 
 
 def _common(a: str, i: int, b: str, j: int, step: int) -> int:
@@ -187,23 +191,23 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
     """(doc_id, n_words, n_removed, kept, spans): kept words joined by one space; spans of the words removed."""
     scratch = Scratch(spark, "substring")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    routes = _confirmed(spark, texts, scratch, window, min(RUN, window))
-    wanted = routes.groupBy(F.col("owner").alias("id")).agg(F.collect_set(F.struct("place", "n")).alias("parts"))
+    passages, routes = _confirmed(spark, texts, scratch, window, min(RUN, window))
+    wanted = passages.groupBy(F.col("owner").alias("id")).agg(F.collect_list(F.struct("place", "n")).alias("parts"))
 
     def quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, str]] = []
+            out: list[tuple[int, int, str]] = []
             for i in range(batch.num_rows):
                 words = WORD.findall(batch.column("text")[i].as_py() or "")
                 for part in batch.column("parts")[i].as_py():
                     a, n = part["place"], part["n"]
-                    out.append((batch.column("id")[i].as_py(), a, n, " ".join(words[a : a + n + window - 1])))
+                    out.append((batch.column("id")[i].as_py(), a, " ".join(words[a : a + n + window - 1])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["owner", "place", "n", "passage"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["owner", "place", "passage"])
 
-    quoted = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "text", "parts").mapInArrow(quote, "owner long, place long, n long, passage string")
+    quoted = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "text", "parts").mapInArrow(quote, "owner long, place long, passage string")
     quoted = scratch.write(quoted, "quoted")
-    to = routes.join(quoted, ["owner", "place", "n"]).groupBy(F.col("doc_id").alias("to")).agg(F.collect_set(F.struct("owner", "passage")).alias("passages"))
+    to = routes.join(quoted, ["owner", "place"]).groupBy(F.col("doc_id").alias("to")).agg(F.collect_set(F.struct("owner", "passage")).alias("passages"))
     to = scratch.write(to, "to")
     scratch.drop("quoted")
 
