@@ -24,7 +24,6 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -36,7 +35,6 @@ from pyspark.sql import functions as F
 from .common import Scratch, shingle_hashes, slices, utf8, word_hashes
 
 WINDOW, RUN = 13, 5
-WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
 def _windows(column: pa.Array, window: int, run: int) -> tuple[np.ndarray, ...]:
@@ -121,6 +119,11 @@ def _confirmed(spark: SparkSession, texts: DataFrame, scratch: Scratch, window:
     return passages, routes
 
 
+def split(text: str | None) -> list[bytes]:
+    """Words of a text: bytes.split cuts at just the blanks \\x20 and \\x09-\\x0D."""
+    return (text or "").encode().split()
+
+
 def _common(a: str, i: int, b: str, j: int, step: int) -> int:
     """How many symbols agree from a[i] and b[j] on, forwards (step 1) or backwards (-1)."""
     n, most = 0, min(len(a) - i, len(b) - j) if step > 0 else min(i, j) + 1
@@ -138,14 +141,14 @@ def _common(a: str, i: int, b: str, j: int, step: int) -> int:
 class Shard:
     """An automaton over the passages of a batch of documents; words are single symbols of its own alphabet."""
 
-    def __init__(self, window: int, passages: dict[str, int]):
+    def __init__(self, window: int, passages: dict[bytes, int]):
         """passages: text to smallest owner."""
         self.window, self.phrase = window, (window + 1) // 2
-        self.symbols: dict[str, str] = {}
+        self.symbols: dict[bytes, str] = {}
         self.passages, self.owners = [], []
         places: dict[str, list[tuple[int, int]]] = {}
         for text, owner in passages.items():
-            coded = self.code(WORD.findall(text), learn=True)
+            coded = self.code(text.split(), learn=True)
             self.passages.append(coded)
             self.owners.append(owner)
             for at in range(0, len(coded) - self.phrase + 1, self.phrase):
@@ -157,7 +160,7 @@ class Shard:
             self.automaton.make_automaton()
         self.empty = not places
 
-    def code(self, words: list[str], learn: bool = False) -> str:
+    def code(self, words: list[bytes], learn: bool = False) -> str:
         if learn:
             for w in words:
                 if w not in self.symbols:
@@ -168,7 +171,7 @@ class Shard:
         get = self.symbols.get
         return "".join([get(w, "\0") for w in words])
 
-    def covered(self, doc_id: int, words: list[str]) -> list[tuple[int, int]]:
+    def covered(self, doc_id: int, words: list[bytes]) -> list[tuple[int, int]]:
         """Spans of words that belong to a window of a passage whose owner is smaller than doc_id."""
         if self.empty or len(words) < self.window:
             return []
@@ -196,16 +199,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
 
     def quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, str]] = []
+            out: list[tuple[int, int, bytes]] = []
             for i in range(batch.num_rows):
-                words = WORD.findall(batch.column("text")[i].as_py() or "")
+                words = split(batch.column("text")[i].as_py())
                 for part in batch.column("parts")[i].as_py():
                     a, n = part["place"], part["n"]
-                    out.append((batch.column("id")[i].as_py(), a, " ".join(words[a : a + n + window - 1])))
+                    out.append((batch.column("id")[i].as_py(), a, b" ".join(words[a : a + n + window - 1])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["owner", "place", "passage"])
 
-    quoted = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "text", "parts").mapInArrow(quote, "owner long, place long, passage string")
+    quoted = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "text", "parts").mapInArrow(quote, "owner long, place long, passage binary")
     quoted = scratch.write(quoted, "quoted")
     to = routes.join(quoted, ["owner", "place"]).groupBy(F.col("doc_id").alias("to")).agg(F.collect_set(F.struct("owner", "passage")).alias("passages"))
     to = scratch.write(to, "to")
@@ -214,14 +217,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text"):
-                routed: dict[str, int] = {}
+                routed: dict[bytes, int] = {}
                 for row in some.column("passages").to_pylist():
                     for x in row or ():
                         routed[x["passage"]] = min(x["owner"], routed.get(x["passage"], x["owner"]))
                 shard = Shard(window, routed)
                 out = []
                 for doc_id, text, mine in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), some.column("passages").to_pylist(), strict=True):
-                    words = WORD.findall(text or "")
+                    words = split(text)
                     spans: list[list[int]] = []
                     for a, b in sorted(shard.covered(doc_id, words)) if mine else ():
                         if spans and a <= spans[-1][1]:
@@ -233,9 +236,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
                         kept += words[at:a]
                         at = b
                     kept += words[at:]
-                    out.append((doc_id, len(words), len(words) - len(kept), " ".join(kept), [{"start": a, "stop": b} for a, b in spans]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct({"start": pa.int64(), "stop": pa.int64()}))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+                    out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept), [{"start": a, "stop": b} for a, b in spans]))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct({"start": pa.int64(), "stop": pa.int64()}))]
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                columns[3] = columns[3].cast(pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
     rows = texts.join(to, texts["doc_id"] == to["to"], "left").select("doc_id", "text", "passages")
     return rows.mapInArrow(stream, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,stop:long>>")
