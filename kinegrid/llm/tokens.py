@@ -13,11 +13,11 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from .common import ASCII_LOWER, span_hashes, utf8, word_hashes
+from .common import ASCII_LOWER, span_hashes, utf8, word_spans
 
 #: white space to Python only, or the start of a special token's string
 ODD = re.compile("[\x1c-\x1f\x85᠎]|<\\|")
-MEMO = 1_000_000
+MEMO = 300_000  # units of a generation; two are held
 
 
 def _dtype(size: int) -> np.dtype:
@@ -73,28 +73,43 @@ class WordLevel:
         self.whole = Tokenizer.from_file(path)
         self.dtype = _dtype(self.whole.get_vocab_size())
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        for piece, i in self.whole.get_vocab().items():
+            self.ends[i] = piece.endswith("</w>")
 
     def _learn(self, units: list[bytes]) -> None:
-        """Encode many units as one text; a token belongs to the unit in which it starts."""
+        """Encode many units as one text each 1000 units.
+
+        A unit of letters is one split piece, whose last token ends a word; of other units a token belongs to the
+        one in which it starts.
+        """
         step = self.dtype.itemsize
-        for lo in range(0, len(units), 1000):
-            some = units[lo : lo + 1000]
-            texts = [u.decode() for u in some]
-            found = self.whole.encode_batch([" ".join(texts)], add_special_tokens=False)[0]
-            starts = np.array([a for a, _ in found.offsets], np.int64)
-            lengths = np.array([len(t) + 1 for t in texts], np.int64)
-            cut = (np.searchsorted(starts, np.cumsum(lengths) - lengths) * step).tolist()
-            data = np.array(found.ids, self.dtype).tobytes()
-            self.memo.update((u, data[a:b]) for u, a, b in zip(some, cut, [*cut[1:], len(data)], strict=True))
+        texts = [(u, u.decode()) for u in units]
+        for plain in (True, False):
+            chosen = [x for x in texts if x[1].isalpha() == plain]
+            for lo in range(0, len(chosen), 1000):
+                some = chosen[lo : lo + 1000]
+                found = self.whole.encode_batch([" ".join([t for _, t in some])], add_special_tokens=False)[0]
+                ids = np.array(found.ids, self.dtype)
+                cut = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+                if not plain or len(cut) != len(some) + 1:
+                    starts = np.array([a for a, _ in found.offsets], np.int64)
+                    lengths = np.array([len(t) + 1 for _, t in some], np.int64)
+                    cut = np.append(np.searchsorted(starts, np.cumsum(lengths) - lengths), len(ids))
+                data, cut = ids.tobytes(), (cut * step).tolist()
+                self.memo.update(zip([u for u, _ in some], [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True))
 
     def column(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a string column, end to end, and their offsets by row."""
         data, offsets = utf8(column)
         data = ASCII_LOWER[data]
-        words, at, starts, ends = word_hashes(data, offsets, spans=True)
+        found = [(s, e) for s, e, _, _ in word_spans(data, offsets)] or [(np.zeros(0, np.int64),) * 2]
+        starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+        at = np.searchsorted(starts, offsets)
         last, before = data[ends - 1] if len(ends) else ends, data[np.maximum(ends - 2, 0)] if len(ends) else ends
         stop = ((last == 46) | (last == 44)) & (before >= 97) & (before <= 122) & (ends - starts > 1)
-        if stop.any():  # a unit with a stop is two: the hash of the first part is taken anew
+        if stop.any():  # a unit with a stop is two
             place = np.arange(len(starts)) + np.cumsum(stop) - stop
             n = len(starts) + int(stop.sum())
             s, e = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -102,14 +117,16 @@ class WordLevel:
             s[place[stop] + 1], e[place[stop] + 1] = ends[stop] - 1, ends[stop]
             at = np.append(place, n)[at]
             starts, ends = s, e
-            words = span_hashes(data, starts, ends)
+        words = span_hashes(data, starts, ends)
         _, first, inverse = np.unique(words, return_index=True, return_inverse=True)
         raw = data.tobytes()
         units = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.memo) + len(units) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        self._learn([u for u in units if u not in memo])
+        if len(self.memo) > MEMO:  # units in use move on to the new generation
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        missing = [u for u in units if u not in memo]
+        memo.update((u, older[u]) for u in missing if u in older)
+        self._learn([u for u in missing if u not in older])
         pieces = [memo[u] for u in units]
         size = np.array([len(x) for x in pieces], np.int64) // self.dtype.itemsize
         pool = np.frombuffer(b"".join(pieces), self.dtype)

@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from .common import Scratch, mix, slices
 from .tokens import WordLevel, encoder
 
-REACH, BITS, LEAST, MOST = 8, 8, 64, 2048
+REACH, BITS, LEAST, MOST = 8, 9, 128, 4096
 
 
 def cuts(ids: np.ndarray, reach: int = REACH, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
