@@ -1 +1,3 @@
+from . import registry
 
+registry.load("scalar_plans")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def load(*modules: str) -> None:
+    """Import the plan modules; each registers its queries."""
+    for name in modules:
+        import_module(f"{__package__}.{name}")
