@@ -37,6 +37,19 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+class Units(dict):
+    """Ids by unit, composed when they are first asked for."""
+
+    def __init__(self, owner: Transducer):
+        self.owner = owner
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        out = self[unit] = self.owner.compose(unit)
+        return out
+
+
 class Transducer:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -69,7 +82,7 @@ class Transducer:
         self.dtype = np.dtype("<u2" if len(self.names) <= 1 << 16 else "<u4")
         self.follow: dict[tuple[str, str], bool] = {}
         self.parts: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.units = Units(self)
 
     def merges(self, text: str) -> list[str]:
         """What BPE makes of a short string: the adjacent two with the best merged score, leftmost first, become one."""
@@ -98,39 +111,59 @@ class Transducer:
 
     def shortest(self, text: str) -> list[str]:
         """Pieces (or characters without one) of the shortest path over a normalised part."""
-        n = len(text)
-        states: list[dict[str, tuple[float, str, int]]] = [{} for _ in range(n + 1)]  # piece: weight, piece before, position before
-        states[0][""] = (0.0, "", 0)
+        return self._bpe_path(text) if self.bpe else self._unigram_path(text)
+
+    def _bpe_path(self, text: str) -> list[str]:
+        """Arcs weigh nothing or infinity, so the first finite arc into a position is the path's own."""
+        n, trie, ids, weight, follow = len(text), self.trie, self.id, self.weight, self.follow
+        last: list[str | None] = [None] * (n + 1)
+        back = [0] * (n + 1)
+        last[0] = ""
         for i in range(n):
-            if not states[i]:
+            before = last[i]
+            if before is None:
                 continue
-            node, j, ends = self.trie, i, []
-            while j < n and text[j] in node:
-                node = node[text[j]]
-                j += 1
-                if "" in node:
-                    ends.append((j, node[""]))
-            for before, (so_far, _, _) in states[i].items():
-                for j, piece in ends:
-                    w = so_far + (0.0 if self.bpe and before and before not in self.id else self.weight(before if before in self.id else "", piece))
-                    if w < states[j].get(piece if self.bpe else "*", (np.inf,))[0]:
-                        states[j][piece if self.bpe else "*"] = (w, before, i) if self.bpe else (w, piece, i)
-                if not ends or ends[0][0] > i + 1:
-                    c = text[i]
-                    w = so_far + FALLBACK
-                    if c not in self.id and w < states[i + 1].get(c if self.bpe else "*", (np.inf,))[0]:
-                        states[i + 1][c if self.bpe else "*"] = (w, before, i) if self.bpe else (w, c, i)
+            if before not in ids:  # the start, or bytes: no merge reaches across
+                before = ""
+            node = trie
+            for j in range(i, n):
+                node = node.get(text[j])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is not None and last[j + 1] is None:
+                    w = follow.get((before, piece))
+                    if (weight(before, piece) == 0.0) if w is None else w:
+                        last[j + 1], back[j + 1] = piece, i
+            if last[i + 1] is None and text[i] not in ids:
+                last[i + 1], back[i + 1] = text[i], i
         out, i = [], n
-        if self.bpe:
-            piece = min(states[n], key=lambda p: (states[n][p][0], p))
-            while i:
-                out.append(piece)
-                _, piece, i = states[i][piece]
-        else:
-            while i:
-                _, piece, at = states[i]["*"]
-                out.append(piece)
-                i = at
+        while i:
+            out.append(last[i])
+            i = back[i]
+        return out[::-1]
+
+    def _unigram_path(self, text: str) -> list[str]:
+        n = len(text)
+        cost, back = [0.0] + [np.inf] * n, [0] * (n + 1)
+        for i in range(n):
+            node, single = self.trie, False
+            for j in range(i, n):
+                node = node.get(text[j])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is not None:
+                    single |= j == i
+                    w = cost[i] + self.weight("", piece)
+                    if w < cost[j + 1]:
+                        cost[j + 1], back[j + 1] = w, i
+            if not single and cost[i] + FALLBACK < cost[i + 1]:
+                cost[i + 1], back[i + 1] = cost[i] + FALLBACK, i
+        out, i = [], n
+        while i:
+            out.append(text[back[i] : i])
+            i = back[i]
         return out[::-1]
 
     def _ids(self, pieces: Iterable[str]) -> bytes:
@@ -144,31 +177,27 @@ class Transducer:
                 ids.append(self.unknown)
         return np.array(ids, self.dtype).tobytes()
 
-    def _unit(self, unit: str) -> bytes:
-        found = self.units.get(unit)
-        if found is None:
-            out, lo = [], 0
-            for hi in range(1, len(unit) + 1):
-                if hi < len(unit) and unit[hi - 1 : hi + 1] in self.adjoin:
-                    continue
-                part = unit[lo:hi]
-                got = self.parts.get(part)
-                if got is None:
-                    if len(self.parts) >= MEMO:
-                        self.parts.clear()
-                    got = self.parts[part] = self._ids(self.shortest(part))
-                out.append(got)
-                lo = hi
-            if len(self.units) >= MEMO:
-                self.units.clear()
-            found = self.units[unit] = b"".join(out)
-        return found
+    def compose(self, unit: str) -> bytes:
+        """Ids of a unit, part by part."""
+        out, lo, adjoin, parts = [], 0, self.adjoin, self.parts
+        for hi in range(1, len(unit) + 1):
+            if hi < len(unit) and unit[hi - 1 : hi + 1] in adjoin:
+                continue
+            part = unit[lo:hi]
+            got = parts.get(part)
+            if got is None:
+                if len(parts) >= MEMO:
+                    parts.clear()
+                got = parts[part] = self._ids(self.shortest(part))
+            out.append(got)
+            lo = hi
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian bytes of ``dtype``."""
         if not text:
             return b""
-        return b"".join(map(self._unit, UNIT.findall(self.prefix + text.replace(" ", BLANK))))
+        return b"".join(map(self.units.__getitem__, UNIT.findall(self.prefix + text.replace(" ", BLANK))))
 
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, self.dtype).tolist()
