@@ -30,11 +30,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .tokenstore import as_uint32, read_store, write_store
+    from .tokenstore import crc32, read_store, write_store
 
     store = write_store(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))
-    rows = read_store(spark, store)
-    return rows.select("doc_id", "start", "n_tokens", F.crc32(as_uint32(store.width)("ids")).alias("ids_crc32"))
+    return read_store(spark, store, crc32, "long").withColumnRenamed("ids", "ids_crc32")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,26 +37,25 @@ from .tokens import WordLevel, encoder
 REACH, BITS, LEAST, MOST = 8, 9, 128, 4096
 
 
-def cuts(ids: np.ndarray, reach: int = REACH, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    n = len(ids)
-    if n <= least:
-        return [n] if n else []
+def marks(ids: np.ndarray, reach: int = REACH, bits: int = BITS) -> np.ndarray:
+    """Places after the ids at which the rolling hash of the last ``reach`` ids has its low bits zero."""
     h = mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    rolled = np.zeros(n, np.uint64)
-    for i in range(reach):  # each id's part is its hash times a power for its age
-        rolled[i:] += h[: n - i] * np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64))
-    marks = np.flatnonzero(mix(rolled) & np.uint64((1 << bits) - 1) == 0) + 1
-    out, last, i = [], 0, 0
-    marks = marks.tolist()
-    while n - last > least:
-        while i < len(marks) and marks[i] < last + least:
+    rolled = np.zeros(len(ids), np.uint64)
+    for i in range(min(reach, len(ids))):  # each id's part is its hash times a power for its age
+        rolled[i:] += h[: len(ids) - i] * np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64))
+    return np.flatnonzero(mix(rolled) & np.uint64((1 << bits) - 1) == 0) + 1
+
+
+def cuts(found: list[int], lo: int, hi: int, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of the document at [lo, hi), given marks; as least >= REACH no window leaves the document."""
+    out, last, i = [], lo, 0
+    while hi - last > least:
+        while i < len(found) and found[i] < last + least:
             i += 1
-        end = min(marks[i] if i < len(marks) else n, last + most, n)
-        out.append(end)
-        last = end
-    if last < n:
-        out.append(n)
+        last = min(found[i] if i < len(found) else hi, last + most, hi)
+        out.append(last)
+    if last < hi:
+        out.append(hi)
     return out
 
 
@@ -107,14 +107,21 @@ def write_store(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: in
         enc = encoder(WordLevel, tokenizer)
         for batch in batches:
             for some in slices(batch, "text"):
-                ids, at = enc.column(some.column("text"))
+                found, at = enc.column(some.column("text"))
+                rows = len(at) - 1
+                ids = np.full(len(found) + rows, end_id, enc.dtype)
+                ids[np.arange(len(found)) + np.repeat(np.arange(rows), np.diff(at))] = found
+                at = at + np.arange(rows + 1)
+                data, places = ids.tobytes(), marks(ids)
+                between = np.searchsorted(places, at).tolist()
+                places, at = places.tolist(), at.tolist()
                 out = []
-                for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    own = np.append(ids[lo:hi], enc.dtype.type(end_id))
-                    data, ends = own.tobytes(), cuts(own)
-                    parts = [(a * width, (b - a) * width) for a, b in zip([0, *ends], ends, strict=False)]
-                    names = [hashlib.sha256(data[a : a + n]).digest() for a, n in parts]
-                    out.append((len(own), data, [{"address": x, "at": a, "size": n} for x, (a, n) in zip(names, parts, strict=True)], merkle(names)))
+                for i in range(rows):
+                    lo, hi = at[i], at[i + 1]
+                    ends = cuts(places[between[i] : between[i + 1]], lo, hi)
+                    parts = [(a * width, b * width) for a, b in zip([lo, *ends], ends, strict=False)]
+                    names = [hashlib.sha256(data[a:b]).digest() for a, b in parts]
+                    out.append((hi - lo, data[lo * width : hi * width], [{"address": x, "at": a - lo * width, "size": b - a} for x, (a, b) in zip(names, parts, strict=True)], merkle(names)))
                 n, data, parts, root = zip(*out, strict=True)
                 kind = pa.list_(pa.struct([("address", pa.binary()), ("at", pa.int32()), ("size", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(n), pa.array(data), pa.array(parts, kind), pa.array(root)], names=["doc_id", "n_tokens", "ids", "parts", "root"])
@@ -157,8 +164,11 @@ def write_store(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: in
     return Store(scratch, table, width)
 
 
-def read_store(spark: SparkSession, store: Store) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): every document's ids, verified against addresses, roots and manifest."""
+def read_store(spark: SparkSession, store: Store, derive: Callable[[np.ndarray], object] | None = None, kind: str = "binary") -> DataFrame:
+    """(doc_id, start, n_tokens, ids): every document's ids, verified against addresses, roots and manifest.
+
+    derive: what to hand out in place of the ids' bytes, computed from the ids where they are put together; kind: its type.
+    """
     manifest = {r["part"]: (r["documents"], bytes(r["root"]), r["start"]) for r in store.scratch.read("manifest").collect()}  # a row for each range
     recipes = store.scratch.read("recipes").where("documents is null")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -189,12 +199,12 @@ def read_store(spark: SparkSession, store: Store) -> DataFrame:
     elif manifest:
         listed = recipes.withColumn("start", start)
     else:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
+        return spark.createDataFrame([], f"doc_id long, start long, n_tokens long, ids {kind}")
     uses = listed.select("part", "number", F.posexplode("addresses").alias("i", "address"))
     held = uses.join(spark.table(store.chunks), "address").select("part", "number", "i", "address", "payload")
     heads = listed.select("part", "number", F.lit(-1).alias("i"), F.col("root").alias("address"), F.lit(None).cast("binary").alias("payload"), "doc_id", "n_tokens", (F.col("start") + F.col("before")).alias("start"))
     rows = heads.unionByName(held, allowMissingColumns=True).repartition(n, "part", "number").sortWithinPartitions("part", "number", "i")
-    width = store.width
+    width, to_arrow = store.width, {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}[kind]
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, names, parts = None, [], []
@@ -204,20 +214,20 @@ def read_store(spark: SparkSession, store: Store) -> DataFrame:
             ids = b"".join(parts)
             if merkle(names) != root or len(ids) != tokens * width:
                 raise ValueError(f"document {doc_id} does not match its recipe")
-            return doc_id, start, tokens, ids
+            return doc_id, start, tokens, len(ids), derive(np.frombuffer(ids, f"<u{width}")) if derive else ids
 
         columns = ("i", "address", "payload", "doc_id", "n_tokens", "start")
         out, size = [], 0
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(*r[:3], r[4]) for r in out], strict=True), (pa.int64(), pa.int64(), pa.int64(), to_arrow), strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
 
         for batch in batches:
             for i, address, payload, doc_id, tokens, start in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if i < 0:
                     if head:
                         out.append(close())
-                        size += len(out[-1][3])
+                        size += out[-1][3]
                     head, names, parts = (address, doc_id, tokens, start), [], []
                     continue
                 if hashlib.sha256(payload).digest() != address:
@@ -232,14 +242,9 @@ def read_store(spark: SparkSession, store: Store) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    return rows.mapInArrow(rebuild, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def as_uint32(width: int):
-    """Column function: ids widened to little-endian uint32 bytes."""
+    return rows.mapInArrow(rebuild, f"doc_id long, start long, n_tokens long, ids {kind}")
 
-    @F.arrow_udf("binary")
-    def widen(ids: pa.Array) -> pa.Array:
-        return pa.array([np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in ids.to_pylist()], pa.binary())
 
-    return widen
+def crc32(ids: np.ndarray) -> int:
+    """CRC-32 of ids as little-endian uint32."""
+    return zlib.crc32(ids.astype("<u4").tobytes())
