@@ -4,7 +4,11 @@ A document is the set of its distinct word shingles. Documents with one and the
 and classes are compared. Who must meet whom is decided without loss: two sets that are similar enough
 differ in at most D shingles, so when the shingles' hash space is dealt into more than D segments, some
 segment holds the same shingles in both. Segment contents are the keys under which classes meet; shared
-passages alone give no common key. Classes that share keys, in whatever chains, form a search group.
+passages alone seldom give a common key. There are some segments more than D, so two such sets share several
+keys, as many as the band says at least. Keys of more than HOT classes are hot (as very common passages give): a
+class with fewer hot keys than that many is sure to meet its partners under others and leaves its hot keys. Under
+the other keys, of HOT classes at most, two classes meet if they share enough keys. Classes that meet, in whatever
+chains, form a search group.
 
 Inside a group every class, by size, is a T-occurrence query on the inverted lists of the smaller ones:
 the L longest lists are set aside, the short ones are merged and classes with T - L occurrences remain;
@@ -33,7 +37,8 @@ from .common import ASCII_LOWER, Scratch, mix, shingle_hashes, slices, utf8, wor
 from .graph import components as connected
 
 BLOCK = 3000  # classes of a search group in one block
-SPARE = 3  # segments beyond D: up to SPARE - 1 of a set's segments may be empty without being keys
+EMPTY = 2  # empty segments that a set may have before they are keys too
+HOT = 8  # classes of a key beyond which it is hot
 MU = 0.0085  # weight of a probe in DivideSkip's choice of L
 
 
@@ -69,10 +74,19 @@ def _bands(percent: int) -> np.ndarray:
     return np.array(out)
 
 
+def _segments(bands: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """By band: segments into which its sets are dealt, 0 where only equal sets link; and keys that linked sets share at least."""
+    most = np.append(bands[1:] - 1, bands[-1])
+    differ = 2 * most * (100 - percent) // (100 + percent)
+    common = 1 + differ // 3
+    return np.where(differ > 0, differ + common + EMPTY, 0), common
+
+
 def segment_keys(values: np.ndarray, at: np.ndarray, percent: int) -> list[np.ndarray]:
     """Keys of each row: hashes of its segments' contents, for its own band and the next where it may link there."""
     size = np.diff(at)
     bands = _bands(percent)
+    segments, _ = _segments(bands, percent)
     own = np.searchsorted(bands, size, "right") - 1
     keys, rows = [], []
     for up in (0, 1):
@@ -80,10 +94,8 @@ def segment_keys(values: np.ndarray, at: np.ndarray, percent: int) -> list[np.nd
         use = size > 0
         if up:
             use &= 100 * size >= percent * bands[np.minimum(band, len(bands) - 1)]
-        most = bands[np.maximum(band, 0) + 1] - 1
-        differ = 2 * most * (100 - percent) // (100 + percent)
-        use &= differ > 0  # else only equal sets link
-        k = np.where(use, differ + SPARE, 0)
+        k = np.where(use, segments[np.maximum(band, 0)], 0)
+        use &= k > 0
         first = np.cumsum(k) - k
         of = np.repeat(np.arange(len(size)), size)
         chosen = use[of]
@@ -95,8 +107,9 @@ def segment_keys(values: np.ndarray, at: np.ndarray, percent: int) -> list[np.nd
         row = np.repeat(np.arange(len(size)), k)
         number = np.arange(len(row)) - first[row]
         empty = np.bincount(row[n == 0], minlength=len(size))
-        emit = (n > 0) | (empty[row] >= SPARE)
+        emit = (n > 0) | (empty[row] > EMPTY)
         key = mix(mix(sums + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + band[row].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        key = key & np.uint64(~0xFF & (1 << 64) - 1) | band[row].astype(np.uint64)  # a key's last byte is its band
         keys.append(key[emit])
         rows.append(row[emit])
     key, row = np.concatenate(keys), np.concatenate(rows)
@@ -198,11 +211,24 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
     first = sets.where("size(keys) > 0").join(classes, [*same], "left").where("doc_id = rep")
     postings = scratch.write(first.select(F.explode("keys").alias("key"), "rep"), "postings")
     scratch.drop("sets")
-    lists = postings.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "lo")
-    lists = scratch.write(lists, "lists")
-    meet = postings.join(lists, "key").where("rep > lo").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
-    groups = scratch.write(connected(meet, scratch, "meet"), "groups")
+    lists = postings.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    lists = scratch.write(lists.select("key", "lo", (F.col("n") > HOT).alias("hot")), "lists")
+    held = scratch.write(postings.join(lists, "key").select("key", "rep", "lo", F.col("key").bitwiseAND(255).alias("band"), "hot"), "held")
     scratch.drop("postings", "lists")
+    common = _segments(_bands(percent), percent)[1].tolist()
+    least = F.element_at(F.array(*map(F.lit, common)), (F.col("band") + 1).cast("int"))
+    hot = scratch.write(held.where("hot").groupBy("rep", "band").agg(F.count("*").alias("h")), "hot")
+    # of hot keys those of classes that hold enough of them, tied to the key's first class
+    tied = held.where("hot").join(hot.where(F.col("h") >= least).select("rep", "band"), ["rep", "band"], "left_semi").where("rep > lo")
+    # other keys have HOT classes at most: a pair must have enough of them in common
+    member = F.struct("rep", F.coalesce("h", F.lit(0)).alias("h"))
+    few = held.where("not hot").join(hot, ["rep", "band"], "left").groupBy("key", "band").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    few = few.select("band", "m", F.posexplode("m").alias("i", "y")).select("band", "y", F.explode(F.slice("m", F.lit(1), F.col("i"))).alias("x"))
+    shared = few.groupBy(F.col("y.rep").alias("a"), F.col("x.rep").alias("b"), "band").agg(F.count("*").alias("n"), F.first(F.least("x.h", "y.h")).alias("h"))
+    shared = shared.where(F.col("n") >= F.greatest(F.lit(1), least - F.col("h")))
+    meet = shared.select("a", "b").unionByName(tied.select(F.col("rep").alias("a"), F.col("lo").alias("b")))
+    groups = scratch.write(connected(meet, scratch, "meet"), "groups")
+    scratch.drop("held")
 
     # tasks of a group: one for each pair of its blocks, which most groups have one of
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1")
