@@ -20,6 +20,10 @@ ODD = re.compile("[\x1c-\x1f\x85᠎]|<\\|")
 MEMO = 300_000  # units of a generation; two are held
 
 
+#: ASCII symbols but the apostrophe, which may begin a contraction, and those of special tokens' strings
+SYMBOL = np.array([33 <= c < 127 and not chr(c).isalnum() and chr(c) not in "'<|>" for c in range(256)])
+
+
 def _dtype(size: int) -> np.dtype:
     return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
@@ -64,7 +68,7 @@ class WordLevel:
     """White-space units of the lower-cased text are encoded once each, by whole arrays of units.
 
     The file lower-cases, and splits at white space and between letters and symbols, before any merge; so
-    units, and a stop or comma after an ASCII letter at a unit's end, can be encoded one by one.
+    units, and symbols after a letter at a unit's end, can be encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -107,14 +111,21 @@ class WordLevel:
         found = [(s, e) for s, e, _, _ in word_spans(data, offsets)] or [(np.zeros(0, np.int64),) * 2]
         starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
         at = np.searchsorted(starts, offsets)
-        last, before = data[ends - 1] if len(ends) else ends, data[np.maximum(ends - 2, 0)] if len(ends) else ends
-        stop = ((last == 46) | (last == 44)) & (before >= 97) & (before <= 122) & (ends - starts > 1)
-        if stop.any():  # a unit with a stop is two
+        run, here = np.zeros(len(ends), np.int64), np.ones(len(ends), bool)
+        for k in range(1, 5):  # symbols at the unit's end, four at most
+            here &= (ends - starts > k) & SYMBOL[data[np.maximum(ends - k, 0)]]
+            run += here
+        before, second = data[np.maximum(ends - run - 1, 0)], data[np.maximum(ends - run - 2, 0)]
+        # a letter of ASCII or of Latin-1 (in UTF-8: 0xC3 and a byte; 0x97 and 0xB7 are the signs of arithmetic)
+        letter = (before >= 97) & (before <= 122) | (second == 0xC3) & (ends - starts > run + 1) & (before >= 128) & (before != 0x97) & (before != 0xB7)
+        stop = (run > 0) & letter
+        if stop.any():  # a unit with symbols at its end is two
             place = np.arange(len(starts)) + np.cumsum(stop) - stop
             n = len(starts) + int(stop.sum())
             s, e = np.empty(n, np.int64), np.empty(n, np.int64)
-            s[place], e[place] = starts, ends - stop
-            s[place[stop] + 1], e[place[stop] + 1] = ends[stop] - 1, ends[stop]
+            run = np.where(stop, run, 0)
+            s[place], e[place] = starts, ends - run
+            s[place[stop] + 1], e[place[stop] + 1] = (ends - run)[stop], ends[stop]
             at = np.append(place, n)[at]
             starts, ends = s, e
         words = span_hashes(data, starts, ends)

@@ -106,7 +106,7 @@ def write_store(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(WordLevel, tokenizer)
         for batch in batches:
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", 6 << 20):  # distinct units are looked up once a slice
                 found, at = enc.column(some.column("text"))
                 rows = len(at) - 1
                 ids = np.full(len(found) + rows, end_id, enc.dtype)
