@@ -67,3 +67,18 @@ def test_streamed_roots(n):
     for x in leaves:
         r.add(x)
     assert r.root() == T.merkle(leaves)
+
+
+ODD = ["foo%%% été&&& naïve… x× x÷, ×. a'' it's. 'tis' don't!!! o'clock? (a) [b]{c} --- é. É, ß; 3.14, 12% $$$ a_b_ Ω. Ωé, x@y.z, a.b.c, foo,,,,, bar.....", "¿qué? «oui», „ja“ … . , ; á. é,", "<|endoftext|>. x<|startoftext|>,", "\x1ca\x1f. b\x85, c\xa0d."]
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_units_against_the_library(text):
+    import pyarrow as pa
+
+    from kinegrid.llm.tokens import WordLevel, encoder
+
+    enc = encoder(WordLevel, PATH)
+    ids, at = enc.column(pa.array(["", text, None, text.upper(), text + "\n" + text]))
+    whole = [enc.whole.encode(t or "", add_special_tokens=False).ids for t in ["", text, None, text.upper(), text + "\n" + text]]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == whole
