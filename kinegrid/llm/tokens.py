@@ -20,8 +20,8 @@ ODD = re.compile("[\x1c-\x1f\x85᠎]|<\\|")
 MEMO = 300_000  # units of a generation; two are held
 
 
-#: ASCII symbols but the apostrophe, which may begin a contraction, and those of special tokens' strings
-SYMBOL = np.array([33 <= c < 127 and not chr(c).isalnum() and chr(c) not in "'<|>" for c in range(256)])
+#: ASCII symbols but the apostrophe, which may begin a contraction
+SYMBOL = np.array([33 <= c < 127 and not chr(c).isalnum() and c != 39 for c in range(256)])
 
 
 def _dtype(size: int) -> np.dtype:
@@ -68,7 +68,8 @@ class WordLevel:
     """White-space units of the lower-cased text are encoded once each, by whole arrays of units.
 
     The file lower-cases, and splits at white space and between letters and symbols, before any merge; so
-    units, and symbols after a letter at a unit's end, can be encoded one by one.
+    units, and symbols after a letter at a unit's end, can be encoded one by one. Rows that may hold a special
+    token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -107,7 +108,19 @@ class WordLevel:
     def column(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a string column, end to end, and their offsets by row."""
         data, offsets = utf8(column)
-        data = ASCII_LOWER[data]
+        marked = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # "<|": the row may hold a special token's string
+        if not len(marked):
+            return self._rows(ASCII_LOWER[data], offsets)
+        data, whole = data.copy(), {}
+        for r in np.unique(np.searchsorted(offsets, marked, "right") - 1).tolist():
+            a, b = offsets[r], offsets[r + 1]
+            whole[r] = np.array(self.whole.encode(data[a:b].tobytes().decode(), add_special_tokens=False).ids, self.dtype)
+            data[a:b] = 32
+        ids, at = self._rows(ASCII_LOWER[data], offsets)
+        parts = [whole.get(r, ids[at[r] : at[r + 1]]) for r in range(len(at) - 1)]
+        return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+
+    def _rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = [(s, e) for s, e, _, _ in word_spans(data, offsets)] or [(np.zeros(0, np.int64),) * 2]
         starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
         at = np.searchsorted(starts, offsets)
