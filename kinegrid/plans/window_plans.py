@@ -176,7 +176,7 @@ SELECT site, round(avg(hit), 6) AS prob FROM a WHERE n = 5 GROUP BY site""")
 
 def onsets(spark, sf_dir):
     """First days of the merged active intervals of one class of sites."""
-    u = units(spark, sf_dir).where("site % 10 = 0").withColumn("k", F.lit(0))
+    u = units(spark, sf_dir).where("site % 10 = 0").select("t0", "t1").distinct().withColumn("k", F.lit(0))  # as many as pairs of frames at most
     return W.union_intervals(u, ["k"], "t0", "t1", 0).select(F.col("t0").alias("start"))
 
 
