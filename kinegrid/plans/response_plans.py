@@ -147,7 +147,8 @@ def supersampled(spark, sf_dir):
     f, h = F.col("px") - F.col("x0"), F.col("py") - F.col("y0")
     g = g.select("i", "j", "x0", "y0", f.alias("f"), h.alias("h"), corner.alias("c"))
     g = g.select("i", "j", (F.col("x0") + F.col("c.a")).alias("x"), (F.col("y0") + F.col("c.b")).alias("y"), (F.when(F.col("c.a") == 1, F.col("f")).otherwise(1 - F.col("f")) * F.when(F.col("c.b") == 1, F.col("h")).otherwise(1 - F.col("h"))).alias("w"))
-    return g.join(c, ["x", "y"]).groupBy("i", "j").agg(S.r6(F.sum(F.col("w") * F.col("dx"))).alias("v"))
+    out = g.join(c, ["x", "y"]).groupBy("i", "j").agg(S.r6(F.sum(F.col("w") * F.col("dx"))).alias("v"), F.count("*").alias("n"))
+    return out.where("n = 4").drop("n")  # where all four are filled
 
 
 register("supersampled", supersampled, f"""
