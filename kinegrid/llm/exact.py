@@ -13,7 +13,7 @@ the one before.
 
 Cases: null text counts as empty, and all empty texts are equal; only A-Z is lower-cased; a row is a
 document of its own even if its id occurs again (then rows of one id are kept or dropped together);
-an empty table gives no rows; further columns are ignored.
+an empty table gives no rows; further columns are ignored; a null id is smaller than all others.
 """
 
 from __future__ import annotations
@@ -164,4 +164,4 @@ def groups(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> DataFram
     # a sort-merge join whose hot keys Spark can split; single documents meet nothing
     rows = rows.join(same, ["level", "name"], "left")
     keep = F.coalesce("keep_id", "doc_id")
-    return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (F.col("doc_id") == keep).alias("kept"), F.col("sha256").alias("text_sha256"))
+    return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha256").alias("text_sha256"))

@@ -21,7 +21,8 @@ for any group and no link is lost. Never are all pairs of a group emitted: a tas
 for each class it holds.
 
 Cases: null and empty texts have no shingles and link with nothing; a text with fewer words than a shingle
-is one shingle; repeated rows count once each and share a class; further columns are ignored; an empty table gives no rows.
+is one shingle; repeated rows count once each and share a class; further columns are ignored; an empty table gives no rows; a
+document without an id belongs to its class but leads none.
 """
 
 from __future__ import annotations

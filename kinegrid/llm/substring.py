@@ -19,7 +19,7 @@ its documents' own lengths.
 
 Cases: null text has no words; a document shorter than a window is kept whole; repeats inside one document
 alone stay; rows that repeat an id are one document (its windows do not repeat each other); an empty table gives
-no rows; further columns are ignored.
+no rows; further columns are ignored; a document without an id is kept whole and is nobody's owner.
 """
 
 from __future__ import annotations
