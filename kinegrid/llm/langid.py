@@ -33,7 +33,7 @@ from .common import mix, slices, utf8
 
 UNKNOWN = "und"
 ORDER = 3
-SAMPLE = 1000  # Spark keeps ranks of up to 1000 by task before it sorts, so no language gathers in one task
+SAMPLE = 1000
 SAMPLE_BYTES = 65536
 MAX_LANGUAGES = 256
 LETTER = re.compile(r"[^\W\d_]")
@@ -146,12 +146,17 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, sample_bytes
     """Context trees of the labelled documents outside the held-out quarter."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(4, 2))
     known = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "doc_id", F.col("text").cast("string").alias("text"))
-    names = sorted(r["lang"] for r in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    names = sorted(sizes)
+    # a threshold on the hash leaves about twice the sample of each language, whatever the table's size
+    below = F.lit(False)
+    for x, n in sizes.items():
+        below = below | ((F.col("lang") == x) & (F.pmod("h", F.lit(1 << 32)) < int((1 << 32) * min(1.0, max(2 * sample, 100) / n))))
     # the ids of the sample first: only they are sorted, and only their texts are read again
     best = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = known.select("lang", "h", "doc_id").withColumn("k", F.row_number().over(best)).where(F.col("k") <= sample)
+    ids = known.select("lang", "h", "doc_id").where(below).withColumn("k", F.row_number().over(best)).where(F.col("k") <= sample)
     chosen = known.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")  # sample x languages rows
     number = {x: i for i, x in enumerate(names)}
 
