@@ -222,3 +222,33 @@ def resize_weights(size: int, out: int, kernel: str = "cubic") -> tuple[np.ndarr
     w /= w.sum(1, keepdims=True)
     index = np.mod(index, 2 * size)
     return np.where(index < size, index, 2 * size - 1 - index), w
+
+
+def resample(x: np.ndarray, n: int = 16) -> np.ndarray:
+    """Linear resampling to n points, endpoints included."""
+    x = np.asarray(x, float)
+    return np.interp(np.linspace(0, max(len(x) - 1, 0), n), np.arange(len(x)), x) if len(x) else np.zeros(n)
+
+
+def unified_trace(traces: list[np.ndarray], weights: np.ndarray, n: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
+    """Weighted mean of resampled traces, signs aligned with the medoid's, at unit norm; the signs; the medoid's number.
+
+    The medoid has the least weighted sum of sign-aware warping distances to the others; the first of equals."""
+    r = [resample(t, n) for t in traces]
+    d = np.array([[0.0 if i == j else signed_dtw(a, b)[0] for j, b in enumerate(r)] for i, a in enumerate(r)])
+    best = int(np.argmin((d * weights).sum(1)))
+    centred = [x - x.mean() for x in r]
+    signs = np.array([-1 if float(x @ centred[best]) < 0 else 1 for x in centred])
+    mean = (np.array(r) * (signs * weights)[:, None]).sum(0) / max(float(weights.sum()), 1e-12)
+    size = float(np.linalg.norm(mean))
+    return (mean / size if size > 1e-12 else mean), signs, best
+
+
+def motion_field(shape: tuple[int, int], amplitude: float, radius: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A smooth random displacement field; each component is scaled by its own spread."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(2):
+        f = box(box(rng.normal(size=shape), radius), radius)
+        out.append(amplitude * (f - f.mean()) / max(float(f.std()), 1e-12))
+    return out[0], out[1]

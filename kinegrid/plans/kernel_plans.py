@@ -127,3 +127,47 @@ def resized_field(spark, sf_dir):
 
 
 register("resized_field", resized_field)
+
+
+def pattern_modes(spark, sf_dir):
+    """One activation for each pattern: members resampled, signs aligned with the medoid's, strength-weighted mean."""
+    p = region_patterns(spark, sf_dir)
+    h = traces(spark, sf_dir).withColumn("w", F.greatest(F.aggregate("h", F.lit(0.0), lambda a, x: a + x), F.lit(1.0)))
+    j = p.join(h, F.col("region") == F.col("site")).select("pattern", "region", "h", "w")
+
+    def unify(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("region")
+        mean, signs, best = K.unified_trace(list(pdf.h), pdf.w.to_numpy())
+        return pd.DataFrame({"pattern": [int(pdf.pattern.iloc[0])], "members": [len(pdf)], "medoid": [int(pdf.region.iloc[best])], "flipped": [int((signs < 0).sum())], "activation": [mean.round(6)]})
+
+    return j.groupBy("pattern").applyInPandas(unify, "pattern long, members long, medoid long, flipped long, activation array<double>")
+
+
+register("pattern_modes", pattern_modes)
+
+
+def simulated_recovery(spark, sf_dir):
+    """A sweep of amplitudes, radii and noise: planted motion on the mean field, registered back; seeds are the rows' own."""
+    grid = spark.range(0, 24).select("id", (F.col("id") % 4 * 0.4 + 0.4).alias("amplitude"), (F.floor(F.col("id") / 4) % 3 * 2 + 4).alias("radius"), (F.floor(F.col("id") / 12) * 0.05).alias("noise"))
+    image = F.struct("x", "y", "dx")
+    cells = I.cells(spark, sf_dir).agg(F.collect_list(image).alias("cells"))  # the grid's 1000 cells at most
+    rows = grid.join(F.broadcast(cells))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                a = np.full((40, 25), 25.0)
+                for c in r.cells:
+                    a[c["x"], c["y"]] = c["dx"]
+                a = K.enlarge(K.box(a, 2), (80, 50))
+                gx, gy = K.motion_field(a.shape, r.amplitude, int(r.radius), int(r.id))
+                moved = K.shift_rows(a, -gx, -gy) + np.random.default_rng(int(r.id) + 1000).normal(scale=r.noise, size=a.shape)
+                dx, dy, errors = K.flow(moved, a, layers=2, radius=4)
+                out.append((r.id, r.amplitude, r.radius, r.noise, round(float(np.hypot(dx - gx, dy - gy)[6:-6, 6:-6].mean()), 6), round(errors[0], 6), round(min(errors), 6)))
+            yield pd.DataFrame(out, columns=["id", "amplitude", "radius", "noise", "endpoint_error", "error_before", "error_after"])
+
+    return rows.repartition(8, "id").mapInPandas(run, "id long, amplitude double, radius long, noise double, endpoint_error double, error_before double, error_after double")
+
+
+register("simulated_recovery", simulated_recovery)

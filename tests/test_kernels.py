@@ -100,3 +100,15 @@ def test_resize_weights(kernel):
     assert np.allclose((a[index] * w).sum(1), a)
     index, w = K.resize_weights(12, 5, kernel)
     assert np.allclose((np.ones(12)[index] * w).sum(1), 1)
+
+
+def test_unified_trace_aligns_signs():
+    t = np.sin(np.linspace(0, 3, 30))
+    mean, signs, best = K.unified_trace([t, -t[:20], t * 2], np.ones(3))
+    assert signs[best] == 1 and signs.tolist().count(-1) in (1, 2) and np.linalg.norm(mean) == pytest.approx(1)
+    assert K.resample([0.0, 2.0], 3).tolist() == [0, 1, 2] and K.resample([], 4).tolist() == [0] * 4
+
+
+def test_motion_field_has_the_amplitude():
+    x, y = K.motion_field((30, 20), 1.5, 3, 1)
+    assert x.std() == pytest.approx(1.5) and y.std() == pytest.approx(1.5) and abs(x.mean()) < 1e-9
