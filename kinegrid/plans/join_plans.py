@@ -15,9 +15,9 @@ from .window_plans import UNITS, units
 ACTIVE = "act AS (SELECT site AS region, t AS x, site % 7 AS y FROM patches WHERE v > 300)"
 
 
-def reference_intervals(spark, sf_dir):
+def reference_intervals(spark, sf_dir, parts="p_partkey % 50 = 0"):
     """Frames with the reference that covers them: closed intervals from names, expanded and joined by equality."""
-    names = I.table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select((F.col("p_partkey") % 3000).alias("a"), "p_size")
+    names = I.table(spark, sf_dir, "part").where(parts).select((F.col("p_partkey") % 3000).alias("a"), "p_size")
     names = names.select(F.concat(F.lit("vol_ref_"), F.lpad(F.col("a").cast("string"), 6, "0"), F.lit("_"), F.lpad((F.col("a") + F.col("p_size")).cast("string"), 6, "0"), F.lit(".tif")).alias("file"))
     m = lambda i: F.regexp_extract("file", r"vol_ref_(\d{6})_(\d{6})\.tif", i).cast("long")
     frames = names.select("file", F.explode(F.sequence(m(1), m(2))).alias("frame"))
@@ -30,6 +30,14 @@ WITH n AS (SELECT p_partkey % 3000 AS a, p_size FROM part WHERE p_partkey % 50 =
 SELECT o_orderkey, o_orderkey % 3000 AS frame, file FROM orders JOIN f ON o_orderkey % 3000 BETWEEN a AND b""")
 
 
+def reference_intervals_whole(spark, sf_dir):
+    """``reference_intervals`` with the intervals of all parts."""
+    return reference_intervals(spark, sf_dir, "true")
+
+
+register("reference_intervals_whole", reference_intervals_whole)
+
+
 def tolerance_pairs(spark, sf_dir):
     """Pairs of unit groups whose start and end both lie within one frame, by equality on exploded tolerances."""
     g = units(spark, sf_dir).groupBy("t0", "t1").agg(F.count("*").alias("n"))

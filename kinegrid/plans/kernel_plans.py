@@ -12,7 +12,7 @@ from ..operators import kernels as K
 from . import inputs as I
 from .join_plans import active_cells, compatible_regions
 from .registry import register
-from .window_plans import lag_coupling
+from .window_plans import lag_coupling_whole
 
 
 def traces(spark, sf_dir):
@@ -62,7 +62,7 @@ register("region_patterns", region_patterns)
 
 def coupling_pvalues(spark, sf_dir):
     """Binomial tail of the best lag's hits at the baseline rate."""
-    d = lag_coupling(spark, sf_dir)
+    d = lag_coupling_whole(spark, sf_dir)
 
     def run(batches):
         for pdf in batches:

@@ -11,10 +11,10 @@ from ..operators import windows as W
 from . import inputs as I
 from .join_plans import ACTIVE, PAIRS, active_cells, bad_cells
 from .registry import register
-from .window_plans import CLICKS, ONSETS, UNITS, onsets
+from .window_plans import CLICKS, ONSETS, UNITS, onsets, onsets_whole
 
 
-def event_hit_rates(spark, sf_dir):
+def event_hit_rates(spark, sf_dir, onsets=onsets):
     """Of the windows of four frames after the onsets, those that hold an active frame of the site."""
     p = I.patches(spark, sf_dir, "click").withColumn("active", F.col("v") > 0).withColumn("t", F.col("t").cast("long"))
     frames = p.agg(F.max("frames")).first()[0]  # one number
@@ -27,6 +27,14 @@ WITH {I.PATCHES}, {CLICKS}, {UNITS}, {ONSETS}, h AS (SELECT site, start, max(CAS
 SELECT site, count(*) AS windows, CAST(sum(hit) AS BIGINT) AS hits, round(sum(hit) / count(*), 6) AS rate FROM h GROUP BY site""")
 
 
+def event_hit_rates_whole(spark, sf_dir):
+    """``event_hit_rates`` after the onsets of all sites."""
+    return event_hit_rates(spark, sf_dir, onsets_whole)
+
+
+register("event_hit_rates_whole", event_hit_rates_whole)
+
+
 def offset_curve(spark, sf_dir):
     """Score of each offset z0: sum over moving slices k of their correlation with reference slice z0 + 2 k; the first best wins.
 

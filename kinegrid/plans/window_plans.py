@@ -180,13 +180,19 @@ def onsets(spark, sf_dir):
     return W.union_intervals(u, ["k"], "t0", "t1", 0).select(F.col("t0").alias("start"))
 
 
+def onsets_whole(spark, sf_dir):
+    """First days of the merged active intervals of all sites."""
+    u = units(spark, sf_dir).select("t0", "t1").distinct().withColumn("k", F.lit(0))  # as many as pairs of frames at most
+    return W.union_intervals(u, ["k"], "t0", "t1", 0).select(F.col("t0").alias("start"))
+
+
 ONSETS = """
 o1 AS (SELECT t0, t1, CASE WHEN t0 <= max(t1) OVER (ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM units WHERE site % 10 = 0),
 o2 AS (SELECT *, sum(fresh) OVER (ORDER BY t0, t1 ROWS UNBOUNDED PRECEDING) AS run FROM o1),
 onsets AS (SELECT min(t0) AS start FROM o2 GROUP BY run)"""
 
 
-def lag_coupling(spark, sf_dir):
+def lag_coupling(spark, sf_dir, onsets=onsets):
     """Best lag of each site: hit rate of windows after the onsets against the baseline; the earliest lag wins ties."""
     p = I.patches(spark, sf_dir, "click").withColumn("active", F.col("v") > 0)
     frames = p.agg(F.max("frames")).first()[0]  # one number
@@ -213,6 +219,14 @@ d AS (SELECT r.*, round(hits / windows - prob, 6) AS dependency FROM r JOIN b US
 SELECT site, lag, windows, hits, dependency FROM d QUALIFY row_number() OVER (PARTITION BY site ORDER BY dependency DESC, lag) = 1""")
 
 
+def lag_coupling_whole(spark, sf_dir):
+    """``lag_coupling`` after the onsets of all sites."""
+    return lag_coupling(spark, sf_dir, onsets_whole)
+
+
+register("lag_coupling_whole", lag_coupling_whole)
+
+
 def lag_correlation(spark, sf_dir):
     """Correlation of each site's trace with its clicks at lags 0..5, from moments; flat series have none."""
     a = I.patches(spark, sf_dir).select("site", "t", F.col("v").alias("a"))
