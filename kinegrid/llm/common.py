@@ -98,10 +98,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets (len + 1) of a string column; null counts as empty."""
+    """Bytes and row offsets (len + 1) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    kind = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
+    column = pc.fill_null(column.cast(kind), pa.scalar("").cast(kind))
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

@@ -11,10 +11,9 @@ and the first factor is computed exactly by the scaled forward recursion. Texts
 ``SEGMENT_WORDS`` tokens that are run side by side; the segments of one text are chained by their transfer
 matrices, which is the same recursion in another order of multiplication, so no text is too long for it.
 
-Training is Baum-Welch over every training document: each task sums the expected counts of its partition and
-the sums are aggregated by Spark. Its starting point comes from a few rounds on ``START_DOCUMENTS`` documents
-(smallest hash of their ids; at most ``START_BYTES`` bytes of each): a start only, replaced by the whole corpus'
-counts. Word counts cover all training documents. The ``local`` most frequent words are known to every task
+Training is Baum-Welch: every round runs over every training document, whole. Each task sums the expected counts
+of its partition and the sums are aggregated by Spark. It starts from seeded noise, takes ``ROUNDS`` rounds (the
+first ones leave the noise's plateau) and goes on until the likelihood settles. Word counts cover all training documents. The ``local`` most frequent words are known to every task
 (a bounded table); rarer words of a text meet their counts in a join.
 
 Cases: null text is empty and consists of the end alone; rows that repeat an id are scored each for itself;
@@ -32,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Scratch, bounded_sample, slices, utf8, word_hashes
+from .common import ASCII_LOWER, Scratch, slices, utf8, word_hashes
 from .langid import held_out
 
 STATES, OWN, SUFFIXES, LOCAL = 6, 4096, 512, 1_000_000
-START_DOCUMENTS, START_BYTES, START_ROUNDS, ROUNDS = 800, 16384, 8, 1
+ROUNDS, SETTLED = 9, 1e-3
+CLASS_BYTES = 1 << 19  # of class numbers in one matrix
 SEGMENT_WORDS = 256
 END = np.uint64(0xE5D000000000E5D1)
 ALPHA = 0.1
@@ -293,36 +293,49 @@ def vocabulary(counts: DataFrame, own: int, local: int) -> Vocabulary:
     return Vocabulary(word[back], c[back], number[back], mass, int(sums[0] or 0), int(sums[1] or 0))
 
 
-def train(spark: SparkSession, rows: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Model:
+def train(spark: SparkSession, rows: DataFrame, vocab: Vocabulary, scratch: Scratch, states: int = STATES, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch over all rows: ``rounds`` rounds, then more until one raises the log likelihood by less than SETTLED of it."""
     share = vocab.mass / vocab.mass.sum()
-    some = bounded_sample(rows, "doc_id", START_DOCUMENTS).select(F.substring("text", 1, START_BYTES).alias("text"))
-    texts = some.toArrow().column("text").combine_chunks()
     model = Model.start(share, states)
-    if not len(texts):
+    if not vocab.total:
         return model
-    b = tokens(texts)
-    first = Segments.of(vocab.find(b)[0][b.token], b.at)
-    for _ in range(START_ROUNDS):
-        model = Model.of(*model.expect(first)[:3], share)
-    shape = model.emit.shape
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((model, vocab))
+    known = spark.sparkContext.broadcast(vocab)
+    kind = np.dtype(np.uint16 if len(share) <= 1 << 16 else np.uint32)
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = known.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                x = tokens(part.column("text"))
+                data = v.find(x)[0][x.token].astype(kind)
+                buffers = [None, pa.py_buffer((x.at * kind.itemsize).astype(np.int64)), pa.py_buffer(data)]
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), len(x.at) - 1, buffers).cast(pa.binary())], names=["classes"])
+
+    coded = scratch.write(rows.select("text").mapInArrow(classes, "classes binary"), "classes")  # texts are split into words once
+    shape, log, turn = model.emit.shape, -np.inf, 0
+    while True:
+        shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, known = shared.value
-            total = np.zeros(states + states * states + own.emit.size)
+            own = shared.value
+            total = np.zeros(states + states * states + own.emit.size + 1)
             for batch in batches:
-                for part in slices(batch, "text"):
-                    x = tokens(part.column("text"))
-                    got = own.expect(Segments.of(known.find(x)[0][x.token], x.at))
-                    total += np.concatenate([y.ravel() for y in got[:3]])
+                for part in slices(batch, "classes", CLASS_BYTES):
+                    data, at = utf8(part.column("classes"))
+                    got = own.expect(Segments.of(data.view(kind).astype(np.int64), at // kind.itemsize))
+                    total += np.concatenate([np.ravel(y) for y in got])
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
-        got = rows.select("text").mapInArrow(run, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row for each parameter
-        total = np.zeros(states + states * states + shape[0] * shape[1])
+        got = coded.mapInArrow(run, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row for each parameter
+        total = np.zeros(states + states * states + shape[0] * shape[1] + 1)
         total[got.column("i").to_numpy()] = got.column("n").to_numpy()
-        model = Model.of(total[:states], total[states : states + states**2].reshape(states, states), total[states + states**2 :].reshape(shape), share)
+        model = Model.of(total[:states], total[states : states + states**2].reshape(states, states), total[states + states**2 : -1].reshape(shape), share)
+        shared.unpersist()
+        turn, before, log = turn + 1, log, float(total[-1])
+        if turn >= rounds and log - before < SETTLED * abs(log):
+            break
+    scratch.drop("classes")
     return model
 
 
@@ -333,7 +346,7 @@ def score(spark: SparkSession, docs: DataFrame, states: int = STATES, own: int =
     known = rows.where(~held_out(10, 0))
     counts = count_words(known, scratch)
     vocab = vocabulary(counts, own, local)
-    model = train(spark, known, vocab, states, rounds)
+    model = train(spark, known, vocab, scratch, states, rounds)
     shared = spark.sparkContext.broadcast((model, vocab))
     log_classes = np.log10(vocab.mass)
     owned = len(vocab.mass) - SUFFIXES

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinegrid.llm import hmm
@@ -100,3 +101,26 @@ def test_empty_tables(spark):
     only_held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     got = hmm.score(spark, spark.createDataFrame([(only_held, "a b")], "doc_id long, text string")).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got] == [(3, 0, 0)] and all(np.isfinite(r["score"]) for r in got)
+
+
+def test_every_round_sees_all_training_texts(spark):
+    """More documents than a sample would hold, and one whose later part has words of its own."""
+    from kinegrid.llm.common import Scratch
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 30, 6)) for _ in range(900)] + ["w1 w2 " * 3000 + "late tail words " * 3000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scratch = Scratch(spark, "test")
+    vocab = hmm.vocabulary(hmm.count_words(df, scratch), 20, 1000)
+    got = hmm.train(spark, df, vocab, scratch, 3)
+    b = hmm.tokens(pa.array(texts))
+    s = hmm.Segments.of(vocab.find(b)[0][b.token], b.at)
+    share = vocab.mass / vocab.mass.sum()
+    want, log, turn = hmm.Model.start(share, 3), -np.inf, 0
+    while True:
+        first, step, emit, now = want.expect(s)
+        want = hmm.Model.of(first, step, emit, share)
+        turn, before, log = turn + 1, log, now
+        if turn >= 9 and log - before < 1e-3 * abs(log):
+            break
+    assert got.first == pytest.approx(want.first) and got.step == pytest.approx(want.step) and got.emit == pytest.approx(want.emit)
