@@ -41,6 +41,9 @@ def _windows(column: pa.Array, window: int, run: int) -> tuple[np.ndarray, ...]:
     """Of all windows of all rows: row, place, anchor hash; and the words' hashes and offsets by row."""
     words, at = word_hashes(*utf8(column))
     n = np.diff(at)
+    if len(words) < window:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64), words, at
     runs = shingle_hashes(words, run)
     span = window - run + 1
     least, reach = runs, 1

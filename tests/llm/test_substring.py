@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from kinegrid.llm import substring
@@ -53,3 +54,20 @@ def test_spans_and_empty_table(spark):
 def test_rows_of_one_id_do_not_repeat_each_other(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d")], "doc_id long, text string")
     assert [r["n_removed"] for r in substring.remove_repeats(spark, df, 4).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 13, 50])
+def test_slices_of_few_words(window):
+    """A slice of one text of any word count: its windows, or none."""
+    for n in range(2 * window + 3):
+        row, place, anchor, _, _ = substring._windows(pa.array([" ".join(f"w{i}" for i in range(n))]), window, min(5, window))
+        count = max(0, n - window + 1)
+        assert row.tolist() == [0] * count and place.tolist() == list(range(count)) and len(anchor) == count
+
+
+def test_partitions_of_one_short_row(spark):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (9, 10, 12, 13, 14, 14)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 6), df.schema)  # a partition each
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring.remove_repeats(spark, df, 13).collect())
+    assert got == brute(list(enumerate(texts)), 13)
