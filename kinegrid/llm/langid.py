@@ -36,6 +36,7 @@ ORDER = 3
 SAMPLE = 1000
 SAMPLE_BYTES = 65536
 MAX_LANGUAGES = 256
+FAR, SLACK, LEAST = 1.5, 256, 20  # of misfits
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -183,8 +184,8 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, sample_bytes
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, bits_per_byte): score is the posterior of the language at equal priors, a text's
-    code lengths taken per 32 bytes, so that it says how clear the case is and not how long the text."""
+    """(doc_id, lang_pred, score, bits_per_byte, n_bytes, letters, label): score is the posterior of the language at equal priors, a text's
+    code lengths taken per 32 bytes, so that it says how clear the case is and not how long the text; letters: whether it has any; label: docs' lang."""
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,12 +203,29 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                     score = 1 / np.exp2(-np.minimum((bits - low[:, None]) / size[:, None] * 32, 1000)).sum(1)
                     lang = np.where(letter, np.array(m.languages, object)[best], UNKNOWN)
                 else:
-                    letter[:] = False
                     low, score, lang = np.zeros(len(size)), np.zeros(len(size)), np.array([UNKNOWN] * len(size), object)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(lang.tolist(), pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(low / size)],
-                    names=["doc_id", "lang_pred", "score", "bits_per_byte"],
+                    [some.column("doc_id"), pa.array(lang.tolist(), pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(low / size), pa.array(np.diff(offsets)), pa.array(letter), some.column("label")],
+                    names=["doc_id", "lang_pred", "score", "bits_per_byte", "n_bytes", "letters", "label"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    label = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), label.cast("string").alias("label"))
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double, n_bytes long, letters boolean, label string")
+
+
+def misfits(found: DataFrame):
+    """Whether a row of ``predict`` has no letter or fits no learnt language: its code is longer, by more than SLACK
+    bits, than FAR times what 99% of the labelled texts that were not fitted on take a byte in the language it got.
+    Languages with fewer than LEAST such texts take all languages' ones; fewer still reject nothing, and so does a
+    model without languages."""
+    told = found.where(held_out(4, 2) & F.col("letters") & (F.col("label") == F.col("lang_pred")))
+    sums = told.rollup("lang_pred").agg(F.count("*").alias("n"), F.percentile_approx("bits_per_byte", 0.99, 10000).alias("most")).where(F.col("n") >= LEAST)
+    limits = {r["lang_pred"]: r["most"] for r in sums.collect()}  # MAX_LANGUAGES + 1 rows at most; None: all languages
+    out = ~F.col("letters")
+    if limits:
+        limit = F.lit(limits[None])
+        for lang, most in limits.items():
+            limit = F.when(F.col("lang_pred") == lang, most).otherwise(limit) if lang is not None else limit
+        out = out | (F.col("bits_per_byte") * F.col("n_bytes") - SLACK > FAR * limit * F.col("n_bytes"))
+    return out
