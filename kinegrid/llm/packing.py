@@ -196,6 +196,8 @@ def pack(
     """
     if window % packet:
         raise ValueError("window must be a multiple of packet")
+    if targets is not None and docs.select(F.coalesce(F.col("source").cast("string"), F.lit("\0null"))).distinct().limit(max_queues + 1).count() > max_queues:
+        raise ValueError(f"targets need at most {max_queues} sources: more are grouped by hash")
     scratch = Scratch(spark, "pack")
     tokens = tokenize(docs, scratch, tokenizer, end_id, max_queues)
     sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))

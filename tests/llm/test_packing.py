@@ -89,3 +89,9 @@ def test_blocks_agree_with_one_sequential_pass():
         slots += [s for w in where for s in w.tolist()]
     assert sorted(slots) == list(range(plan.packets))
     assert zlib.crc32(b"") == 0
+
+
+def test_targets_that_groups_would_ignore_raise(spark):
+    df = spark.createDataFrame([(i, "some text", f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="at most 3 sources"):
+        packing.pack(spark, df, public_tokenizers.path("byte_bpe_50k.json"), targets={"s1": 1.0}, max_queues=3)
