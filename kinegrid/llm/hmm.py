@@ -36,8 +36,8 @@ from .langid import held_out
 
 STATES, OWN, SUFFIXES, LOCAL = 6, 4096, 512, 1_000_000
 ROUNDS, SETTLED = 9, 1e-3
-CLASS_BYTES = 1 << 19  # of class numbers in one matrix
-SEGMENT_WORDS = 256
+CLASS_BYTES = 1 << 20  # of class numbers in one run
+SEGMENT_WORDS = 1024
 END = np.uint64(0xE5D000000000E5D1)
 ALPHA = 0.1
 
@@ -95,13 +95,13 @@ class Vocabulary:
 
 @dataclass
 class Segments:
-    """Segments of all rows, longest first, as a matrix of classes by step."""
+    """Segments of all rows, longest first; the tokens of one step of all segments lie together, steps one after another."""
 
     row: np.ndarray
     number: np.ndarray
     size: np.ndarray
     classes: np.ndarray
-    alive: np.ndarray  # segments that have a token at each step
+    steps: np.ndarray  # where each step begins (steps + 1); a step has the segments 0, 1, ... that are long enough
     follows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the row's next segment, -1: none
 
     @staticmethod
@@ -117,10 +117,21 @@ class Segments:
         place[order] = np.arange(len(order))
         follows = np.where(number + 1 < parts[row], np.append(place[1:], -1)[: len(row)], -1)[order]
         row, number, start, size = row[order], number[order], start[order], size[order]
-        steps = int(size[0]) if len(size) else 0
-        step = np.arange(steps)[:, None]
-        matrix = classes[np.minimum(start + step, len(classes) - 1)] if steps else np.zeros((0, 0), np.int64)
-        return Segments(row, number, size, matrix, np.searchsorted(-size, -np.arange(steps), "left"), follows)
+        alive = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
+        steps = np.append(0, np.cumsum(alive))
+        step = np.repeat(np.arange(len(alive)), alive)
+        segment = np.arange(len(step)) - steps[step]
+        return Segments(row, number, size, classes[start[segment] + step], steps, follows)
+
+    @property
+    def last(self) -> np.ndarray:
+        """Where each segment's last token lies."""
+        return self.steps[self.size - 1] + np.arange(len(self.size))
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Sums of a value of each token by segment."""
+        alive = np.diff(self.steps)
+        return np.bincount(np.arange(len(x)) - np.repeat(self.steps[:-1], alive), x, len(self.size))
 
 
 @dataclass
@@ -129,30 +140,30 @@ class Model:
     step: np.ndarray  # state to state
     emit: np.ndarray  # class by state: probability of the class in the state
 
-    def transfers(self, s: Segments, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled transfer matrices of some segments (numbers in ascending order) and the logs of their scales."""
+    def transfers(self, s: Segments, which: np.ndarray) -> np.ndarray:
+        """Transfer matrices of some segments (numbers in ascending order), each up to a factor."""
         k = len(self.first)
-        m = np.broadcast_to(np.eye(k), (len(which), k, k)).copy()
-        log = np.zeros(len(which))
+        m = np.broadcast_to(np.eye(k, dtype=self.step.dtype), (len(which), k, k)).copy()
+        alive = np.diff(s.steps)
         for t in range(int(s.size[which].max(initial=0))):
-            n = np.searchsorted(which, s.alive[t])
-            x = m[:n] * self.emit[s.classes[t, which[:n]]][:, None, :]
-            scale = x.sum((1, 2))
-            x /= scale[:, None, None]
-            log[:n] += np.log(scale)
+            n = np.searchsorted(which, alive[t])
+            x = m[:n] * self.emit.take(s.classes[s.steps[t] + which[:n]], 0)[:, None, :]
+            x = x.reshape(n, k * k)
+            x /= (x @ np.ones(k * k, x.dtype))[:, None]
             m[:n] = (x.reshape(-1, k) @ self.step).reshape(n, k, k)
-        return m, log
+        return m
 
-    def chain(self, s: Segments) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """State distributions before each segment's first token, weights of the states after its last, and the rounds of the chain."""
+    def chain(self, s: Segments) -> tuple[np.ndarray, np.ndarray]:
+        """State distributions before each segment's first token, and weights of the states that follow its last, up to a factor."""
         k = len(self.first)
-        before, after = np.tile(self.first, (len(s.row), 1)), np.ones((len(s.row), k))
+        before, after = np.tile(self.first, (len(s.row), 1)), np.ones((len(s.row), k), self.step.dtype)
         parts = s.follows >= 0
         parts[s.follows[parts]] = True
         which = np.flatnonzero(parts)
-        rounds = [which[s.number[which] == i] for i in range(int(s.number.max(initial=-1)) + 1)]
         if len(which):
-            m, _ = self.transfers(s, which)
+            m = self.transfers(s, which)
+            order = which[np.argsort(s.number[which], kind="stable")]
+            rounds = np.split(order, np.searchsorted(s.number[order], np.arange(1, int(s.number[order[-1]]) + 1)))
             for some in rounds[:-1]:
                 some = some[s.follows[some] >= 0]
                 x = np.einsum("ni,nij->nj", before[some], m[np.searchsorted(which, some)])
@@ -162,57 +173,56 @@ class Model:
                 then = s.follows[some]
                 x = np.einsum("nij,nj->ni", m[np.searchsorted(which, then)], after[then])
                 after[some] = x / x.max(1)[:, None]
-        return before, after, rounds
-
-    def forward(self, s: Segments, before: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log likelihood of each segment after ``before``; on request the filtered states of each step."""
-        p, log = before.copy(), np.zeros(len(s.row))
-        kept = np.zeros((*s.classes.shape, len(self.first))) if keep else None
-        for t in range(len(s.classes)):
-            n = s.alive[t]
-            a = p[:n] * self.emit[s.classes[t, :n]]
-            scale = a.sum(1)
-            a /= scale[:, None]
-            log[:n] += np.log(scale)
-            if keep:
-                kept[t, :n] = a
-            p[:n] = a @ self.step
-        return log, kept
+        return before, after
+
+    def forward(self, s: Segments, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: the filtered states, the scale (its probability after all before it), its class's emissions."""
+        k = len(self.first)
+        p, emitted = before.copy(), self.emit.take(s.classes, 0)
+        states, scale, one = np.empty_like(emitted), np.empty(len(emitted), emitted.dtype), np.ones(k, emitted.dtype)
+        at, step = s.steps.tolist(), self.step
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            x = states[lo:hi]
+            np.multiply(p[: hi - lo], emitted[lo:hi], out=x)
+            c = np.matmul(x, one, out=scale[lo:hi])
+            x /= c[:, None]
+            np.matmul(x, step, out=p[: hi - lo])
+        return states, scale, emitted
 
     def likelihoods(self, s: Segments, rows: int) -> np.ndarray:
-        before, _, _ = self.chain(s)
-        return np.bincount(s.row, self.forward(s, before)[0], rows)
+        """Natural log likelihood of each row."""
+        scale = self.forward(s, self.chain(s)[0])[1]
+        return np.bincount(s.row, s.sums(np.log(scale)), rows)
 
     def expect(self, s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of first states, steps and classes by state, and the log likelihood."""
-        k = len(self.first)
-        before, after, _ = self.chain(s)
-        log, kept = self.forward(s, before, keep=True)
-        first, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit)
-        q = after.copy()
-        inner = s.follows >= 0
-        gammas = np.zeros_like(kept)
-        for t in range(len(s.classes) - 1, -1, -1):
-            n = s.alive[t]
-            a = kept[t, :n]
-            weight = q[:n] @ self.step.T
-            g = a * weight
-            norm = g.sum(1)
-            moves = (s.size[:n] > t + 1) | inner[:n]  # the last token of a text moves nowhere
-            step += (a[moves] / norm[moves, None]).T @ q[:n][moves]
-            g /= norm[:, None]
-            gammas[t, :n] = g
-            x = self.emit[s.classes[t, :n]] * weight
-            q[:n] = x / x.max(1)[:, None]
+        k, n = len(self.first), len(s.row)
+        first, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros(self.emit.shape)
+        if not n:
+            return first, step, emit, 0.0
+        before, after = self.chain(s)
+        states, scale, onward = self.forward(s, before)
+        onward /= scale[:, None]  # becomes the scaled weight that a token hands to the one before it
+        at, back, ends = s.steps.tolist(), np.ascontiguousarray(self.step.T), states[s.last]
+        q = after @ back
+        q /= (ends * q).sum(1)[:, None]  # scaled as the forward pass is: states times q are posteriors
+        posterior = np.empty_like(states)
+        for t in range(len(at) - 2, -1, -1):
+            lo, hi = at[t], at[t + 1]
+            b = q[: hi - lo]
+            np.multiply(states[lo:hi], b, out=posterior[lo:hi])
+            w = onward[lo:hi]
+            w *= b
+            np.matmul(w, back, out=b)
+            if t:
+                step += states[at[t - 1] : at[t - 1] + hi - lo].T @ w
+        linked = np.flatnonzero(s.follows >= 0)  # the first token of a segment lies at the segment's own number
+        step += ends[linked].T @ onward[s.follows[linked]]
         step *= self.step
-        valid = np.arange(len(s.classes))[:, None] < s.size
-        flat, g = s.classes[valid], gammas[valid]
         for i in range(k):
-            emit[:, i] = np.bincount(flat, g[:, i], len(emit))
-        heads = s.number == 0
-        if len(gammas):
-            first = gammas[0, heads].sum(0)
-        return first, step, emit, float(log.sum())
+            emit[:, i] = np.bincount(s.classes, posterior[:, i], len(emit))
+        first = posterior[:n][s.number == 0].sum(0)
+        return first, step, emit, float(np.log(scale).sum())
 
     @staticmethod
     def of(first: np.ndarray, step: np.ndarray, emit: np.ndarray, share: np.ndarray) -> Model:
