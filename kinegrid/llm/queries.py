@@ -25,8 +25,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import near_duplicates
 
-    found, recall = near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return found.withColumn("measured_recall", F.lit(recall))
+    return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +104,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
-good AS (SELECT vec_id, e FROM v WHERE len(e) > 1 AND NOT list_bool_or([x IS NULL OR isnan(x) OR isinf(x) FOR x IN e]) AND NOT list_bool_and([x = 0 FOR x IN e])),
+good AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND NOT list_bool_or([x IS NULL OR isnan(x) OR isinf(x) FOR x IN e]) AND NOT list_bool_and([x = 0 FOR x IN e])),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
 n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a),
 r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
-SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept, CAST(1.0 AS DOUBLE) AS measured_recall FROM c LEFT JOIN n USING (vec_id)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
 """
 
 OP6_SQL = r"""
