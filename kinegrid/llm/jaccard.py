@@ -11,14 +11,19 @@ the other keys, of HOT classes at most, two classes meet if they share enough ke
 chains, form a search group.
 
 Inside a group every class, by size, is a T-occurrence query on the inverted lists of the smaller ones:
-the L longest lists are set aside, the short ones are merged and classes with T - L occurrences remain;
-these are probed by binary search in the long lists until their overlap is sure to reach, or to miss, what
-the threshold demands. Classes that are linked already, over others, need no probe. Short lists are merged
-by one sort of their concatenation, which gives what a heap of cursors would at a fraction of the cost in Python.
+the L longest lists are set aside, the short ones are merged by a heap of cursors, which leaps over classes that
+can't come to T - L occurrences any more, and classes with that many remain; these are probed by binary search in
+the long lists until their overlap is sure to reach, or to miss, what the threshold demands. Only links that join
+what is not joined yet are sought: a class is first compared with one class of each of a few components near its size,
+and if that leaves no other component in reach, its lists aren't merged at all. So near copies of one text cost a
+comparison or two each and not one with every other.
 
-A group too large for one task is dealt into blocks and each pair of blocks is a task, so memory is bounded
-for any group and no link is lost. Never are all pairs of a group emitted: a task returns at most one link
-for each class it holds.
+A group of more than ``block`` classes or SHINGLES shingles is dealt into blocks. First each block is searched with some of the group's
+classes, the hubs, beside it; links by then join most of what belongs together. Classes outside the group's largest
+component so far, the minor ones, then meet every class of the group, block by block: two classes of the largest
+component are joined already, and of any other two one is minor. So a task's memory is bounded by blocks of
+shingles, no link is lost, and the cost is linear where a group is one text's copies; it grows with the square of
+the minor classes alone. Never are all pairs of a group emitted: a task returns at most one link for each class.
 
 Cases: null and empty texts have no shingles and link with nothing; a text with fewer words than a shingle
 is one shingle; repeated rows count once each and share a class; further columns are ignored; an empty table gives no rows; a
@@ -27,7 +32,9 @@ document without an id belongs to its class but leads none.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +44,9 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, Scratch, mix, shingle_hashes, slices, utf8, word_hashes
 from .graph import components as connected
 
-BLOCK = 3000  # classes of a search group in one block
+BLOCK, SHINGLES = 3000, 4_000_000  # classes, and their shingles, of a search group in one block
+HUBS = 32  # classes of a group, about, that all its blocks see
+NEAR = 4  # components near a class that it is compared with before lists are merged
 EMPTY = 2  # empty segments that a set may have before they are keys too
 HOT = 8  # classes of a key beyond which it is hot
 MU = 0.0085  # weight of a probe in DivideSkip's choice of L
@@ -123,31 +132,96 @@ def need(n: np.ndarray, m: np.ndarray | int, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def merge_skip(lists: list[list[int]], t: int) -> tuple[list[int], list[int]]:
+    """Members of at least t of the ascending lists, and in how many lists each is, by a heap of cursors.
+
+    Where the smallest member is at the head of fewer than t lists, t - 1 cursors in all leap, by binary search, to
+    the least member that could still be in t of them.
+    """
+    heap = [(x[0], i, 0) for i, x in enumerate(lists)]
+    heapify(heap)
+    found, times = [], []
+    while len(heap) >= t:
+        low = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == low:
+            popped.append(heappop(heap))
+        if len(popped) >= t:
+            found.append(low)
+            times.append(len(popped))
+            goal = low + 1
+        else:
+            while heap and len(popped) < t - 1:
+                popped.append(heappop(heap))
+            if not heap:
+                break
+            goal = heap[0][0]
+        for _, i, at in popped:
+            at = bisect_left(lists[i], goal, at)
+            if at < len(lists[i]):
+                heappush(heap, (lists[i][at], i, at))
+    return found, times
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
 def divide_skip(ids: list[int], sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join the linked classes of a group into trees. sides: only pairs from different sides are sought
-    (classes of one block meet in a task of their own)."""
+    (classes of one side have met in a task of their own)."""
     size = np.array([len(s) for s in sets])
     order = np.lexsort((ids, size))
     size, sets, ids = size[order], [sets[i] for i in order], [ids[i] for i in order]
-    sides = None if sides is None else sides[order]
-    values = np.concatenate(sets)
-    of = np.repeat(np.arange(len(sets)), size)
-    by = np.argsort(values, kind="stable")  # the lists end to end, members of each in the order of size
-    postings = of[by]
-    sorted_values = values[by]
-    fresh = np.ones(len(by), bool)
-    fresh[1:] = sorted_values[1:] != sorted_values[:-1]
-    starts = np.append(np.flatnonzero(fresh), len(by))
-    of_value = np.empty(len(by), np.int64)
-    of_value[by] = np.cumsum(fresh) - 1
-    bounds = np.append(0, np.cumsum(size))
+    sides = None if sides is None else np.asarray(sides)[order]
+    lists: tuple[np.ndarray, ...] | None = None
+
+    def build() -> tuple[np.ndarray, ...]:
+        """The lists end to end, members of each in the order of size, where they start, and each member's list."""
+        values = np.concatenate(sets)
+        by = np.argsort(values, kind="stable")
+        postings = np.repeat(np.arange(len(sets), dtype=np.int32), size)[by]
+        values = values[by]
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = values[1:] != values[:-1]
+        del values
+        of_value = np.empty(len(by), np.int32)
+        of_value[by] = np.cumsum(fresh, dtype=np.int32) - 1
+        return postings, np.append(np.flatnonzero(fresh), len(by)), of_value, np.append(0, np.cumsum(size))
+
     label = np.arange(len(sets))
     out: list[tuple[int, int]] = []
+
+    def join(r: int, c: int) -> None:
+        out.append((ids[r], ids[c]))
+        label[label == label[r]] = label[c]
+
     for r in range(1, len(sets)):
         n = int(size[r])
         low = int(np.searchsorted(size, -(-percent * n // 100)))
-        if low >= r:
+        apart, tested, failed = np.zeros(0, np.int64), [], []
+        while low < r:  # of each component in reach the class nearest in size
+            apart = np.flatnonzero(label[low:r] != label[r]) + low
+            if sides is not None:
+                apart = apart[sides[apart] != sides[r]]
+            fresh = apart[~np.isin(label[apart], failed)] if failed else apart
+            if not len(fresh) or len(tested) == NEAR:
+                break
+            c = int(fresh[-1])
+            if _overlap(sets[c], sets[r]) >= need(int(size[c]), n, percent):
+                join(r, c)
+            else:
+                tested.append(c)
+                failed.append(label[c])
+        if not np.isin(apart, tested, invert=True).any():
             continue
+        if lists is None:
+            lists = build()
+        postings, starts, of_value, bounds = lists
         mine = of_value[bounds[r] : bounds[r + 1]]
         lo, hi = starts[mine], starts[mine + 1]
         length = hi - lo
@@ -159,12 +233,16 @@ def divide_skip(ids: list[int], sets: list[np.ndarray], percent: int, sides: np.
         skip = min(int(t / (MU * np.log2(longest) + 1)), t - 1)
         short, long = rank[: n - skip], rank[n - skip :]
         several = short[length[short] > 1]
-        if not len(several):
+        merge = []
+        for a, b in zip(lo[several].tolist(), hi[several].tolist(), strict=True):
+            members = postings[a:b]
+            members = members[np.searchsorted(members, low) : np.searchsorted(members, r)]
+            if len(members):
+                merge.append(members.tolist())
+        found, count = (np.array(x, np.int64) for x in merge_skip(merge, t - skip))
+        if not len(found):
             continue
-        merged = np.concatenate([postings[a:b] for a, b in zip(lo[several].tolist(), hi[several].tolist(), strict=True)])
-        merged = merged[(merged >= low) & (merged < r)]
-        found, count = np.unique(merged, return_counts=True)
-        ok = (count >= t - skip) & (label[found] != label[r])
+        ok = label[found] != label[r]
         if sides is not None:
             ok &= sides[found] != sides[r]
         found, count = found[ok], count[ok]
@@ -182,11 +260,15 @@ def divide_skip(ids: list[int], sets: list[np.ndarray], percent: int, sides: np.
                 found, count, goal = found[alive], count[alive], goal[alive]
         for c in found[count >= goal].tolist():
             if label[c] != label[r]:
-                out.append((ids[r], ids[c]))
-                label[label == label[r]] = label[c]
+                join(r, c)
     return out
 
 
+def _parts(block: int):
+    """Into how many blocks classes of n shingles go."""
+    return F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / block))
+
+
 def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents link when 100 * intersection >= percent * union of their sets."""
     scratch = Scratch(spark, "jaccard")
@@ -231,22 +313,26 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
     groups = scratch.write(connected(meet, scratch, "meet"), "groups")
     scratch.drop("held")
 
-    # tasks of a group: one for each pair of its blocks, which most groups have one of
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1")
-    dealt = groups.join(sizes, "component", "left").select("node", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.explode(F.expr("sequence(0L, blocks - 1)"))
-    tasks = dealt.withColumn("other", other).select("node", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"))
-    tasks = scratch.write(tasks, "tasks")
-    key = ["component", "i", "j"]
-    held = texts.join(tasks, texts["doc_id"] == tasks["node"]).select(*key, "node", "second", "text")
+    # of each group's blocks, dealt by shingles; a group of one block is a single task
+    weight = classes.select(F.col("rep").alias("node"), "n")
+    dealt = groups.join(weight, "node")
+    sizes = dealt.groupBy("component").agg(_parts(block).alias("blocks"), F.count("*").alias("classes")).where("blocks > 1")
+    sizes = scratch.write(sizes, "sizes")
+    node = F.pmod(F.xxhash64("node"), F.lit(1 << 40))
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    dealt = dealt.join(sizes, "component", "left").select("node", "component", "n", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.coalesce("classes", F.lit(1)).alias("classes"))
+    dealt = scratch.write(dealt.withColumn("i", mine).withColumn("hub", (F.col("blocks") > 1) & (node < F.lit(float(HUBS << 40)) / F.col("classes"))), "dealt")
+    plain = dealt.select("node", "component", F.lit(0).cast("long").alias("k"), "i", F.lit(False).alias("second"))
+    hubs = dealt.where("hub").select("node", "component", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("j"), "i").where("i <> j")
+    tasks = scratch.write(plain.unionByName(hubs.select("node", "component", F.lit(0).cast("long").alias("k"), F.col("j").alias("i"), F.lit(False).alias("second"))), "tasks")
+    key = ["component", "k", "i"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets, second = None, [], [], []
 
         def links() -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
-                got = divide_skip(ids, sets, percent, None if now[1] == now[2] else np.array(second))
+                got = divide_skip(ids, sets, percent, np.array(second) if any(second) else None)
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got]), pa.array([x[1] for x in got])], names=["a", "b"])
 
@@ -263,7 +349,28 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
         yield from links()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = held.repartition(n, *key).sortWithinPartitions(*key, "node")
-    found = scratch.write(connected(held.mapInArrow(search, "a long, b long"), scratch, "links"), "found")
+
+    def searched(tasks: DataFrame, name: str) -> DataFrame:
+        held = texts.join(tasks, texts["doc_id"] == tasks["node"]).select(*key, "node", "second", "text")
+        held = held.repartition(n, *key).sortWithinPartitions(*key, "node")
+        return scratch.write(held.mapInArrow(search, "a long, b long"), name)
+
+    links = searched(tasks, "links")
+    if sizes.limit(1).count():
+        large = dealt.where("blocks > 1").select("node", "component", "n", "blocks", "i")
+        label = connected(links, scratch, "joined").withColumnRenamed("component", "label")
+        label = scratch.write(large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+        counts = label.groupBy("component", "label").agg(F.sum("n").alias("n"))
+        most = counts.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+        minor = label.join(most, "component").where("label <> most").select("node", "component", "n", "blocks")
+        parts = minor.groupBy("component").agg(_parts(block).alias("parts"))
+        minor = scratch.write(minor.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))), "minor")
+        each = minor.select("node", "component", (F.col("part") + 1).alias("k"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("i"), F.lit(True).alias("second"))
+        other = large.join(minor.select("component", "parts").distinct(), "component").join(minor.select("node", F.col("part").alias("own")), "node", "left")
+        # a class that is minor itself meets its own part as one of it, and the other parts as all others do
+        other = other.select("node", "component", F.explode(F.expr("sequence(1L, parts)")).alias("k"), "i", F.lit(False).alias("second"), "own").where("own is null or own + 1 <> k").drop("own")
+        own = minor.select("node", "component", (F.col("part") + 1).alias("k"), F.lit(-1).cast("long").alias("i"), F.lit(False).alias("second"))
+        links = links.unionByName(searched(scratch.write(each.unionByName(other).unionByName(own), "minor-tasks"), "minor-links"))
+    found = scratch.write(connected(links, scratch, "found"), "components")
     out = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

@@ -85,3 +85,37 @@ def test_divide_skip_against_all_pairs():
             if 100 * inter >= 90 * (len(sets[i]) + len(sets[j]) - inter):
                 want[top(i)] = top(j)
     assert got == {frozenset(j for j in range(60) if top(j) == top(i)) for i in range(60)}
+
+
+def test_heap_merge_against_counting():
+    import collections
+
+    rng = random.Random(1)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(40), rng.randrange(1, 25))) for _ in range(rng.randrange(0, 12))]
+        times = collections.Counter(x for one in lists for x in one)
+        for t in (1, 2, 3, 7):
+            want = {x: n for x, n in times.items() if n >= t}
+            assert dict(zip(*jaccard.merge_skip(lists, t), strict=True)) == want
+
+
+def test_groups_of_blocks(spark, monkeypatch):
+    """A chain of texts and strangers tied to it, with blocks of few shingles: several blocks, hubs and minor classes."""
+    monkeypatch.setattr(jaccard, "SHINGLES", 400)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(80):  # each a step from the one before: far ones are linked through others only
+        words[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [near(rng, words, k) for k in (1, 2, 5, 9) for _ in range(10)] + [texts[3], texts[3].upper()]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.components(spark, df, 3, 85).collect())
+    assert got == brute(rows, 3, 85)
+
+
+def test_rows_of_one_id(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "x y z"), (0, "X y z")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.components(spark, df).collect())
+    assert got == [(0, 1, 0), (1, 1, 0), (1, 2, 1), (1, 2, 1)]
