@@ -41,7 +41,7 @@ ARCHIVE_MB = 16
 DICTIONARY_PAGES, DICTIONARY_PREFIX, DICTIONARY_BYTES = 400, 8192, 32768
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+RECORD = "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, date: str = DATE) -> bytes:
@@ -95,13 +95,12 @@ def frames(data: bytes) -> Iterator[bytes]:
         if data[at : at + 4] != ZSTD_MAGIC:
             raise ValueError(f"no frame at byte {at}")
         one = decode.decompressobj()
-        out = [one.decompress(view[at : at + (1 << 20)])]
-        fed = min(len(data), at + (1 << 20))
+        out, fed, step = [], at, 1 << 12  # what is fed beyond the frame's end is copied, so steps grow with the frame
         while not one.eof:
             if fed >= len(data):
                 raise ValueError(f"the frame at byte {at} is cut short")
-            out.append(one.decompress(view[fed : fed + (1 << 20)]))
-            fed = min(len(data), fed + (1 << 20))
+            out.append(one.decompress(view[fed : fed + step]))
+            fed, step = min(len(data), fed + step), min(2 * step, 1 << 20)
         at = fed - len(one.unused_data)
         yield b"".join(out)
 
@@ -120,14 +119,15 @@ def _fields(head: bytes, what: str) -> dict[str, str]:
 
 
 def _id(urn: str) -> int | None:
-    m = re.fullmatch(r"<urn:page:(null|-?\d+)>", urn)
-    if not m:
+    """The page that a record id names, if it is one of this writer's."""
+    if not re.fullmatch(r"<[^<>\s]+:[^<>\s]*>", urn):
         raise ValueError(f"not a record id: {urn[:80]}")
-    return None if m[1] == "null" else int(m[1])
+    m = re.fullmatch(r"<urn:page:(-?\d+)>", urn)
+    return int(m[1]) if m else None
 
 
-def parse_record(data: bytes) -> dict:
-    """The record in a frame, validated."""
+def parse_record(data: bytes) -> dict | None:
+    """The record in a frame, validated; None for a record that is neither a response nor a revisit."""
     head, gap, rest = data.partition(b"\r\n\r\n")
     version, _, head = head.partition(b"\r\n")
     if not gap or not re.fullmatch(rb"WARC/1\.[01]", version):
@@ -146,7 +146,7 @@ def parse_record(data: bytes) -> dict:
         raise ValueError("the block does not match its digest")
     kind = field["warc-type"]
     if kind not in ("response", "revisit"):
-        raise ValueError(f"records of type {kind} are not expected")
+        return None
     http, gap, payload = block.partition(b"\r\n\r\n")
     status, _, http = http.partition(b"\r\n")
     if not gap or not status.startswith(b"HTTP/"):
@@ -160,7 +160,7 @@ def parse_record(data: bytes) -> dict:
     if kind == "revisit" and (payload or "warc-refers-to" not in field):
         raise ValueError("a revisit has no payload and names what it refers to")
     return {
-        "page_id": _id(field["warc-record-id"]), "url": unquote(field.get("warc-target-uri", "")), "record_type": kind,
+        "record_id": field["warc-record-id"], "page_id": _id(field["warc-record-id"]), "url": unquote(field.get("warc-target-uri", "")), "record_type": kind,
         "refers_to": _id(field["warc-refers-to"]) if kind == "revisit" else None, "payload_bytes": length, "payload_digest": digest,
         "payload": payload if kind == "response" else None,
     }
@@ -251,14 +251,15 @@ def read_archives(spark: SparkSession, archives: Archives) -> DataFrame:
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content").join(archives.manifest.select("archive", "records"), "archive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         names = [c.split()[0] for c in RECORD.split(", ")]
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, size, seen = [], 0, 0
                 for data in frames(batch.column("content")[i].as_py()):
-                    rows.append(parse_record(data))
-                    seen, size = seen + 1, size + len(data)
+                    seen, size, found = seen + 1, size + len(data), parse_record(data)
+                    if found:
+                        rows.append(found)
                     if size >= 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
                         rows, size = [], 0

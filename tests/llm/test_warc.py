@@ -64,7 +64,7 @@ def test_dictionary_plain_or_compressed():
 GOOD = warc.record_bytes(3, "http://a", b"hello " * 30)
 
 
-@pytest.mark.parametrize("change", [lambda b: b[:-1], lambda b: b + b"x", lambda b: b.replace(b"WARC/1.1", b"WARC/9"), lambda b: b.replace(b"hello", b"jello", 1), lambda b: b.replace(b"WARC-Type: response", b"WARC-Type: other"), lambda b: b.replace(b"WARC-Date:", b"WARC Date:"), lambda b: b.replace(b"WARC-Date: ", b"WARC-Type: "), lambda b: b.replace(b"urn:page:3", b"urn:page:x")])
+@pytest.mark.parametrize("change", [lambda b: b[:-1], lambda b: b + b"x", lambda b: b.replace(b"WARC/1.1", b"WARC/9"), lambda b: b.replace(b"hello", b"jello", 1), lambda b: b.replace(b"WARC-Date:", b"WARC Date:"), lambda b: b.replace(b"WARC-Date: ", b"WARC-Type: "), lambda b: b.replace(b"<urn:page:3>", b"urn:page:3")])
 def test_damaged_records(change):
     assert warc.parse_record(GOOD)["page_id"] == 3
     with pytest.raises(ValueError):
@@ -76,3 +76,18 @@ def test_damaged_frames():
     for bad in (data[:-1], data + b"junk", data + frame(GOOD)[:-4]):
         with pytest.raises(ValueError):
             list(warc.frames(bad))
+
+
+def test_records_of_other_writers():
+    """A warcinfo record is passed over, an id that names no page is kept as it is."""
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    assert warc.parse_record(info) is None
+    got = warc.parse_record(GOOD.replace(b"urn:page:3", b"urn:uuid:3"))
+    assert got["page_id"] is None and got["record_id"] == "<urn:uuid:3>"
+
+
+def test_frames_of_many_sizes():
+    import random
+
+    records = [random.Random(n).randbytes(n) for n in (1, 4000, 5000, 70000, 3 << 20, 10)]
+    assert list(warc.frames(b"".join(frame(r) for r in records))) == records
