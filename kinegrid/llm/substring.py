@@ -6,16 +6,24 @@ in a document with a smaller id; the smallest such document owns the window.
 1. Anchors: of each window the word run with the smallest hash. Equal windows have equal anchors, so a window
    none of whose anchor's other documents exist can't recur; anchors found in one document only fall away.
 2. Confirmation: windows with a recurring anchor are counted by hash; one that lies in two documents is
-   confirmed, with its owner and its place there. Consecutive ones form the passages that a document repeats.
-3. Automata: the owner's words of these passages are read from its text and routed to the documents that repeat
-   them. Each batch of documents is a shard with an Aho-Corasick automaton of its own, compiled from every
-   (window + 1) // 2 words of the passages routed to it (each window holds one such phrase whole), words being
-   single symbols. All documents stream through their shard's automaton; every phrase found is extended, word by
-   word as written, as far as the passage and the document agree, and what reaches a window's length is removed.
-   So hashes only propose: the words themselves decide.
-
-Counts and confirmations are aggregates and joins whose hot keys Spark splits; a batch's automaton is bounded by
-its documents' own lengths.
+   confirmed, with its owner and its place there. Consecutive windows of an owner form its passages, in parts of
+   ``PART`` windows at most.
+3. Automata: passages, as the owner's own words, are compiled into Aho-Corasick automata, one for each shard, from
+   every (window + 1) // 2 words of them (each window holds one such phrase whole), words being single symbols. Every
+   document streams through its shard's automaton, which locates the occurrences; every phrase found is extended,
+   word by word as written, as far as the passage and the document agree, and what reaches a window's length is
+   removed. Hashes only propose: the words themselves decide, what and where.
+
+Which automaton a document meets: all of them would cost documents times passages, so shards go with the documents.
+A shard is a batch of documents with the passages, cut to the windows in question, that some document of it may
+hold by the confirmation; all documents of the batch stream through it, also those for which nothing was proposed.
+With ``everywhere`` there are no proposals: passages are dealt into shards of ``SHARD_WORDS`` words and all documents
+stream through every shard in turn (a pass each), which is the plain method for a phrase table of modest size; both
+give the same result.
+
+Counts and confirmations are aggregates and joins whose hot keys Spark splits. A batch is at most SEGMENT bytes of
+text or one document; the words of the passages routed to it are at most about PART / window times its own, so the
+largest document bounds a task's memory.
 
 Cases: null text has no words; a document shorter than a window is kept whole; repeats inside one document
 alone stay; rows that repeat an id are one document (its windows do not repeat each other); an empty table gives
@@ -35,6 +43,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, shingle_hashes, slices, utf8, word_hashes
 
 WINDOW, RUN = 13, 5
+PART = 256  # windows of a passage at most
+SHARD_WORDS = 500_000  # of a shard's passages
+SYMBOLS = 1_000_000  # words that an automaton tells apart
 
 
 def _windows(column: pa.Array, window: int, run: int) -> tuple[np.ndarray, ...]:
@@ -60,7 +71,8 @@ def _windows(column: pa.Array, window: int, run: int) -> tuple[np.ndarray, ...]:
 
 def _confirmed(spark: SparkSession, texts: DataFrame, scratch: Scratch, window: int, run: int) -> tuple[DataFrame, DataFrame]:
     """Passages (owner, place, n): n consecutive windows of the owner from the word at place on, each of them in a later
-    document too; and routes (doc_id, owner, place) of the documents that hold a window of a passage."""
+    document too; and routes (doc_id, owner, place, lo, hi) of the documents that may hold a window of a passage: those
+    at the owner's words lo to hi."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,14 +121,16 @@ def _confirmed(spark: SparkSession, texts: DataFrame, scratch: Scratch, window:
             fresh = np.ones(len(at), bool)
             fresh[1:] = (owner[1:] != owner[:-1]) | (np.diff(at) != 1)
             first = at[fresh][np.cumsum(fresh) - 1]
-            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("owner"), pa.array(first)], names=["w", "owner", "first"])
+            first += (at - first) // PART * PART
+            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("owner"), pa.array(first), batch.column("at")], names=["w", "owner", "first", "at"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    owned = owned.repartition(n, "owner").sortWithinPartitions("owner", "at").mapInArrow(runs, "w long, owner long, first long")
+    owned = owned.repartition(n, "owner").sortWithinPartitions("owner", "at").mapInArrow(runs, "w long, owner long, first long, at long")
     owned = scratch.write(owned, "runs")
     scratch.drop("owned")
     passages = scratch.write(owned.groupBy("owner", F.col("first").alias("place")).agg(F.count("*").alias("n")), "passages")
-    routes = rows.join(owned, "w").where("doc_id > owner").select("doc_id", "owner", F.col("first").alias("place")).distinct()
+    routes = rows.select("w", "doc_id").join(owned, "w").where("doc_id > owner").groupBy("doc_id", "owner", F.col("first").alias("place"))
+    routes = routes.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     routes = scratch.write(routes, "routes")
     scratch.drop("candidates", "runs")
     return passages, routes
@@ -142,7 +156,7 @@ def _common(a: str, i: int, b: str, j: int, step: int) -> int:
 
 
 class Shard:
-    """An automaton over the passages of a batch of documents; words are single symbols of its own alphabet."""
+    """An automaton over passages; words are single symbols of its own alphabet."""
 
     def __init__(self, window: int, passages: dict[bytes, int]):
         """passages: text to smallest owner."""
@@ -168,8 +182,6 @@ class Shard:
             for w in words:
                 if w not in self.symbols:
                     n = len(self.symbols) + 1
-                    if n > 1_000_000:
-                        raise ValueError("too many distinct words in one batch")
                     self.symbols[w] = chr(n if n < 0xD800 else n + 0x800)
         get = self.symbols.get
         return "".join([get(w, "\0") for w in words])
@@ -193,29 +205,44 @@ class Shard:
         return spans
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, spans): kept words joined by one space; spans of the words removed."""
-    scratch = Scratch(spark, "substring")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passages, routes = _confirmed(spark, texts, scratch, window, min(RUN, window))
-    wanted = passages.groupBy(F.col("owner").alias("id")).agg(F.collect_list(F.struct("place", "n")).alias("parts"))
+def shards(window: int, passages: dict[bytes, int]) -> list[Shard]:
+    """Automata over all passages: one, unless they have more words than an alphabet has symbols."""
+    out, some, room = [], {}, SYMBOLS
+    for text, owner in passages.items():
+        n = text.count(b" ") + 1
+        if n > room and some:
+            out.append(Shard(window, some))
+            some, room = {}, SYMBOLS
+        some[text], room = owner, room - n
+    return [*out, Shard(window, some)] if some else out
 
-    def quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, bytes]] = []
-            for i in range(batch.num_rows):
-                words = split(batch.column("text")[i].as_py())
-                for part in batch.column("parts")[i].as_py():
-                    a, n = part["place"], part["n"]
-                    out.append((batch.column("id")[i].as_py(), a, b" ".join(words[a : a + n + window - 1])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["owner", "place", "passage"])
-
-    quoted = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "text", "parts").mapInArrow(quote, "owner long, place long, passage binary")
-    quoted = scratch.write(quoted, "quoted")
-    to = routes.join(quoted, ["owner", "place"]).groupBy(F.col("doc_id").alias("to")).agg(F.collect_set(F.struct("owner", "passage")).alias("passages"))
-    to = scratch.write(to, "to")
-    scratch.drop("quoted")
+
+def _united(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+def _covered(automata: list[Shard], doc_id: int | None, words: list[bytes]) -> list[list[int]]:
+    """Disjoint spans of a document's words that the automata's passages cover; without an id none."""
+    return [] if doc_id is None else _united([x for s in automata for x in s.covered(doc_id, words)])
+
+
+SPANS = "array<struct<start:long,stop:long>>"
+SPAN_LIST = pa.list_(pa.struct({"start": pa.int64(), "stop": pa.int64()}))
+
+
+def _by_routes(texts: DataFrame, routes: DataFrame, quoted: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """Each batch of documents through an automaton of what was proposed for any of them."""
+    words = F.split("passage", " ", -1)
+    part = F.array_join(F.slice(words, (F.col("lo") - F.col("place") + 1).cast("int"), (F.col("hi") - F.col("lo") + window).cast("int")), " ")
+    to = routes.join(quoted, ["owner", "place"]).select(F.col("doc_id").alias("to"), F.struct("owner", part.alias("passage")).alias("p"))
+    to = scratch.write(to.groupBy("to").agg(F.collect_set("p").alias("passages")), "to")
+    scratch.drop("quoted", "routes")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,27 +250,93 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
                 routed: dict[bytes, int] = {}
                 for row in some.column("passages").to_pylist():
                     for x in row or ():
-                        routed[x["passage"]] = min(x["owner"], routed.get(x["passage"], x["owner"]))
-                shard = Shard(window, routed)
+                        passage = x["passage"].encode()
+                        routed[passage] = min(x["owner"], routed.get(passage, x["owner"]))
+                automata = shards(window, routed)
                 out = []
-                for doc_id, text, mine in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), some.column("passages").to_pylist(), strict=True):
+                for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
                     words = split(text)
-                    spans: list[list[int]] = []
-                    for a, b in sorted(shard.covered(doc_id, words)) if mine else ():
-                        if spans and a <= spans[-1][1]:
-                            spans[-1][1] = max(b, spans[-1][1])
-                        else:
-                            spans.append([a, b])
-                    at, kept = 0, []
-                    for a, b in spans:
-                        kept += words[at:a]
-                        at = b
-                    kept += words[at:]
-                    out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept), [{"start": a, "stop": b} for a, b in spans]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct({"start": pa.int64(), "stop": pa.int64()}))]
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                columns[3] = columns[3].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+                    out.append(_kept(doc_id, words, _covered(automata, doc_id, words)))
+                yield _batch(out)
 
     rows = texts.join(to, texts["doc_id"] == to["to"], "left").select("doc_id", "text", "passages")
-    return rows.mapInArrow(stream, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,stop:long>>")
+    return rows.mapInArrow(stream, RESULT)
+
+
+RESULT = f"doc_id long, n_words long, n_removed long, kept string, spans {SPANS}"
+
+
+def _kept(doc_id: int | None, words: list[bytes], spans: list[list[int]]) -> tuple:
+    at, kept = 0, []
+    for a, b in spans:
+        kept += words[at:a]
+        at = b
+    kept += words[at:]
+    return doc_id, len(words), len(words) - len(kept), b" ".join(kept), [{"start": a, "stop": b} for a, b in spans]
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), SPAN_LIST]
+    columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+    columns[3] = columns[3].cast(pa.string())
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+
+
+def _everywhere(spark: SparkSession, texts: DataFrame, quoted: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """Every document through every shard of all passages, a pass for each shard."""
+    size = quoted.agg(F.sum(F.size(F.split("passage", " ", -1)))).first()[0] or 0
+    parts = -(-size // SHARD_WORDS)
+    numbered = scratch.write(texts.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    quoted = quoted.withColumn("shard", F.pmod(F.xxhash64("owner", "place"), F.lit(max(1, parts))))
+    found = None
+    for i in range(parts):  # a shard's passages have about SHARD_WORDS words
+        passages: dict[bytes, int] = {}
+        for r in quoted.where(F.col("shard") == i).select("owner", "passage").toLocalIterator():
+            passage = r["passage"].encode()
+            passages[passage] = min(r["owner"], passages.get(passage, r["owner"]))
+        shared = spark.sparkContext.broadcast(passages)
+
+        def stream(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automata = shards(window, shared.value)
+            for batch in batches:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True)
+                out = [(row, [{"start": a, "stop": b} for a, b in _covered(automata, doc_id, split(text))]) for row, doc_id, text in rows]
+                out = [x for x in out if x[1]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], SPAN_LIST)], names=["row", "spans"])
+
+        one = scratch.write(numbered.mapInArrow(stream, f"row long, spans {SPANS}"), f"spans-{i}")
+        found = one if found is None else found.unionByName(one)
+        shared.unpersist()
+    spans = found.groupBy(F.col("row").alias("of")).agg(F.flatten(F.collect_list("spans")).alias("spans")) if found is not None else spark.createDataFrame([], f"of long, spans {SPANS}")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True)
+                yield _batch([_kept(doc_id, split(text), _united([(x["start"], x["stop"]) for x in s or ()])) for doc_id, text, s in rows])
+
+    return numbered.join(spans, numbered["row"] == spans["of"], "left").select("doc_id", "text", "spans").mapInArrow(cut, RESULT)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, everywhere: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, spans): kept words joined by one space; spans of the words removed."""
+    scratch = Scratch(spark, "substring")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    passages, routes = _confirmed(spark, texts, scratch, window, min(RUN, window))
+    wanted = passages.groupBy(F.col("owner").alias("id")).agg(F.collect_list(F.struct("place", "n")).alias("parts"))  # as long as the owner's text
+
+    def quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "text"):
+                out: list[tuple[int, int, bytes]] = []
+                for owner, text, parts in zip(*(some.column(c).to_pylist() for c in ("id", "text", "parts")), strict=True):
+                    words = split(text)
+                    out += [(owner, x["place"], b" ".join(words[x["place"] : x["place"] + x["n"] + window - 1])) for x in parts]
+                if out:
+                    owners, places, quotes = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(places, pa.int64()), pa.array(quotes, pa.binary()).cast(pa.string())], names=["owner", "place", "passage"])
+
+    quoted = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "text", "parts").mapInArrow(quote, "owner long, place long, passage string")
+    quoted = scratch.write(quoted, "quoted")
+    return _everywhere(spark, texts, quoted, scratch, window) if everywhere else _by_routes(texts, routes, quoted, scratch, window)

@@ -26,7 +26,10 @@ def brute(rows, window):
 
 
 @pytest.mark.parametrize("window", [1, 4, 13, 50])
-def test_against_brute_force(spark, window):
+@pytest.mark.parametrize("everywhere", [False, True])
+def test_against_brute_force(spark, monkeypatch, window, everywhere):
+    monkeypatch.setattr(substring, "SHARD_WORDS", 400)
+    monkeypatch.setattr(substring, "PART", 7)
     rng = random.Random(window)
     fresh = lambda n: [f"w{rng.randrange(3 if window == 4 else 5000)}" for _ in range(n)]
     shared = [fresh(rng.choice([window - 1 or 1, window, window + 3, 3 * window])) for _ in range(8)]
@@ -40,7 +43,7 @@ def test_against_brute_force(spark, window):
         rows.append((i, rng.choice([" ", "\n", " \t"]).join(parts)))
     rows += [(60, None), (61, ""), (62, " ".join(shared[0] * 40)), (63, rows[5][1]), (64, "é à " * 30)]
     df = spark.createDataFrame([(i, t, 1, "p") for i, t in rows], "doc_id long, text string, place int, passages string")
-    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring.remove_repeats(spark, df, window).collect())
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring.remove_repeats(spark, df, window, everywhere).collect())
     assert got == brute(rows, window)
 
 
@@ -71,3 +74,47 @@ def test_partitions_of_one_short_row(spark):
     df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 6), df.schema)  # a partition each
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring.remove_repeats(spark, df, 13).collect())
     assert got == brute(list(enumerate(texts)), 13)
+
+
+def test_located_without_a_proposal(spark, monkeypatch):
+    """The automaton finds a repeat in a document for which nothing was proposed, if its batch has the passage."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    df = spark.createDataFrame([(1, passage), (2, "x " + passage), (3, passage + " y")], "doc_id long, text string").coalesce(1)
+    found = substring._confirmed
+
+    def fewer(*a):
+        passages, routes = found(*a)
+        return passages, routes.where("doc_id = 2")
+
+    monkeypatch.setattr(substring, "_confirmed", fewer)
+    assert {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(spark, df).collect()} == {1: 0, 2: 20, 3: 20}
+
+
+def test_quotes_of_a_long_text_stay_short(spark, monkeypatch):
+    """What is routed is a small multiple of what is quoted."""
+    rng = random.Random(3)
+    long = [f"w{i}" for i in range(20000)]
+    rows = [(0, " ".join(long))] + [(i, " ".join(long[(a := rng.randrange(19980)) : a + 13])) for i in range(1, 301)]
+    routed = []
+    found = substring._by_routes
+    monkeypatch.setattr(substring, "_by_routes", lambda texts, routes, *a: (routed.append(routes.selectExpr("sum(hi - lo + 13)").first()[0]), found(texts, routes, *a))[1])
+    got = substring.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["n_removed"] for r in got) == 13 * 300 and routed[0] <= 2 * 13 * 300
+
+
+def test_more_words_than_symbols(monkeypatch):
+    monkeypatch.setattr(substring, "SYMBOLS", 30)
+    passages = {" ".join(f"a{i}-{k}" for i in range(20)).encode(): k for k in range(5)}
+    automata = substring.shards(13, passages)
+    assert len(automata) == 5
+    words = b" ".join(passages).split()
+    assert substring._covered(automata, 9, words) == [[20 * k, 20 * k + 20] for k in range(5)] or substring._covered(automata, 9, words) == [[0, 100]]
+
+
+def test_a_text_longer_than_a_segment(spark):
+    """Words and windows across the cuts of a text of over 2 MiB, one of which is longer than a segment itself."""
+    rng = random.Random(4)
+    long = " ".join(f"word{rng.randrange(10**7)}" for _ in range(200_000)) + " " + "z" * (2 << 20) + " " + " ".join(f"tail{i}" for i in range(100))
+    rows = [(1, long), (2, "some other " + long[len(long) // 2 :]), (3, long[: len(long) // 3] + " more")]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows, 13)
