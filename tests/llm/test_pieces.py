@@ -77,3 +77,57 @@ def test_unigram_paths_are_the_best_of_all():
         got = t.shortest(s)
         assert "".join(got) == s and sum(-t.score[p] for p in got) == pytest.approx(best(s))
     assert t.shortest("axb") == ["a", "x", "b"]
+
+
+def small_model(tmp_path, kind, pieces_of, rule="identity", squeeze=False, prefix=True, fallback=True):
+    """A model file made by hand, and the library on it."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    if rule != "identity":
+        m.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.escape_whitespaces = squeeze, prefix, True
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = kind, fallback
+    for name, type_, score in [("<unk>", 2, 0.0), *([(f"<0x{b:02X}>", 6, 0.0) for b in range(256)] if fallback else []), *((p, 1, s) for p, s in pieces_of)]:
+        p = m.pieces.add()
+        p.piece, p.type, p.score = name, type_, score
+    path = tmp_path / "small.model"
+    path.write_bytes(m.SerializeToString())
+    return pieces.Transducer(str(path)), sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+
+
+SPACED = [("▁", -9.0), *((c, -8.0 - i / 10) for i, c in enumerate("abcdefi2k")), ("ab", -3.1), ("▁a", -3.3), ("abc", -4.7), ("bc", -2.9), ("a▁b", -3.5), ("▁▁", -5.2), ("fi", -4.1), ("c▁", -4.4)]
+TEXTS = ["abc ab", "  a  b c ", "ａｂｃ ﬁ ² K", "é a\u0301bc\tab", "", " ", "a\u200bb", "abcabcabc a b a b", "zz a\nb", "c " * 40]
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("rule", ["identity", "nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("prefix", [False, True])
+def test_normalisers_and_both_kinds(tmp_path, kind, rule, squeeze, prefix):
+    """Character maps, squeezed blanks, and pieces that reach across blanks."""
+    scores = [(p, s if kind == 1 else -float(i)) for i, (p, s) in enumerate(SPACED)]
+    t, lib = small_model(tmp_path, kind, scores, rule, squeeze, prefix)
+    assert not t.apart
+    for text in TEXTS:
+        ids = np.frombuffer(t.encode(text), t.dtype).tolist()
+        assert ids == lib.encode(text), text
+        assert t.decode(t.encode(text)) == lib.decode(ids), text
+
+
+def test_whole_character_map():
+    from sentencepiece import sentencepiece_model_pb2
+
+    n = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    m = sentencepiece_model_pb2.ModelProto()
+    m.ParseFromString(n.serialized_model_proto())
+    rules = pieces.charsmap(m.normalizer_spec.precompiled_charsmap)
+    assert len(rules) > 5000
+    own = pieces.Normaliser(rules, True, pieces.BLANK)
+    for key in sorted(rules)[::37]:
+        assert own(f"x{key}y") == n.Normalize(f"x{key}y")
+
+
+def test_kinds_that_are_refused(tmp_path):
+    with pytest.raises(ValueError):
+        small_model(tmp_path, 3, SPACED)
