@@ -10,7 +10,8 @@ Frozen statistics make the cost of a byte a function of the last ``ORDER`` + 1 b
 table look-up per byte and order, for all languages at once.
 
 Fitting reads a bounded sample: ``sample`` labelled documents of each language (those with the smallest
-hash of their ids), ``sample_bytes`` bytes of each; counts are merged by task. Scoring reads whole texts.
+hash of their ids), whole; counts are merged by task. Of more than ``MAX_LANGUAGES`` labels those with the most
+documents are learnt. Scoring reads whole texts.
 
 Cases: null text, empty text and text without a letter give ``und`` with score 0; ties go to the first
 language in alphabetical order; repeated rows are predicted alike; an empty table gives no rows; without
@@ -33,8 +34,7 @@ from .common import mix, slices, utf8
 
 UNKNOWN = "und"
 ORDER = 3
-SAMPLE = 1000
-SAMPLE_BYTES = 65536
+SAMPLE = 1500
 MAX_LANGUAGES = 256
 FAR, SLACK, LEAST = 1.5, 256, 20  # of misfits
 LETTER = re.compile(r"[^\W\d_]")
@@ -143,13 +143,11 @@ def _model(counts: dict[str, np.ndarray], languages: list[str]) -> Model:
     return Model(languages, cost, escape)
 
 
-def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, most: int = MAX_LANGUAGES) -> Model:
     """Context trees of the labelled documents outside the held-out quarter."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(4, 2))
     known = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "doc_id", F.col("text").cast("string").alias("text"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     names = sorted(sizes)
     # a threshold on the hash leaves about twice the sample of each language, whatever the table's size
     below = F.lit(False)
@@ -163,19 +161,19 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, sample_bytes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
-            data, offsets = utf8(batch.column("text"))
-            lo, hi = offsets[:-1], np.minimum(offsets[1:], offsets[:-1] + sample_bytes)
-            for k in np.unique(lang):
-                some = [data[a:b] for a, b in zip(lo[lang == k].tolist(), hi[lang == k].tolist(), strict=True)]
-                joined = np.concatenate(some)
-                full = grams(joined, np.append(0, np.cumsum([len(x) for x in some])), ORDER + 1)
+            for some in slices(batch, "text"):
+                lang = np.array([number[x] for x in some.column("lang").to_pylist()], np.int64)
+                data, offsets = utf8(some.column("text"))
+                full = grams(data, offsets, ORDER + 1)
+                of = np.repeat(lang, np.diff(offsets))
                 for n in range(ORDER + 1):
-                    gram, c = np.unique(full & np.uint64((1 << 8 * (n + 1)) - 1), return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(k)] * len(gram), pa.int64()), pa.array([n] * len(gram), pa.int64()), pa.array(gram.astype(np.int64)), pa.array(c.astype(np.int64))],
-                        names=["lang", "n", "gram", "c"],
-                    )
+                    order = np.lexsort((own := full & np.uint64((1 << 8 * (n + 1)) - 1), of))
+                    own, at = own[order], of[order]
+                    fresh = np.ones(len(own), bool)
+                    fresh[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1])
+                    c = np.diff(np.append(np.flatnonzero(fresh), len(own)).astype(np.int64))
+                    k = int(fresh.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(at[fresh]), pa.array(np.full(k, n)), pa.array(own[fresh].astype(np.int64)), pa.array(c)], names=["lang", "n", "gram", "c"])
 
     # as many rows as the bounded sample has distinct grams
     got = chosen.select("lang", "text").mapInArrow(count, "lang long, n long, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).toArrow()

@@ -78,3 +78,33 @@ def test_edges_and_held_out_accuracy(spark, sf_dir):
 def test_without_labels(spark):
     docs = spark.createDataFrame([(0, "text", None)], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in langid.predict(spark, docs, langid.fit(spark, docs)).collect()] == ["und"]
+
+
+def learners(n):
+    """Ids that are not held out."""
+    return [i for i in range(4 * n) if zlib.crc32(str(i).encode()) % 4 != 2][:n]
+
+
+def test_ties_and_clashing_columns(spark):
+    """Two languages of equal texts: the first in alphabetical order; columns of the operator's own names are ignored."""
+    rows = [(i, "the very same words", ("zz", "mm")[k % 2], "x", 1, 2.0) for k, i in enumerate(learners(6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, label string, n_bytes int, score double")
+    got = langid.predict(spark, docs, langid.fit(spark, docs)).collect()
+    assert {r["lang_pred"] for r in got} == {"mm"} and {round(r["score"], 6) for r in got} == {0.5}
+
+
+def test_the_most_frequent_of_many_languages(spark):
+    rows = [(i, f"text number {k}", f"l{k % 5 if k < 40 else k:02d}") for k, i in enumerate(learners(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(spark, docs, most=5).languages == ["l00", "l01", "l02", "l03", "l04"]
+    assert len(langid.fit(spark, docs).languages) == 25
+
+
+def test_long_texts_are_learnt_and_scored_whole(spark):
+    """What stands behind 2 MiB of other text counts, in learning and in scoring."""
+    a, b, c = learners(3)
+    filler = "neutral filler " * 160_000
+    docs = spark.createDataFrame([(a, filler + "quorx zub " * 2000, "aa"), (b, filler + "mifel dant " * 2000, "bb")], "doc_id long, text string, lang string")
+    model = langid.fit(spark, docs)
+    probe = spark.createDataFrame([(1, "zub quorx zub"), (2, "dant mifel"), (3, filler + "mifel dant " * 3000)], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.predict(spark, probe, model).orderBy("doc_id").collect()] == ["aa", "bb", "bb"]
