@@ -30,8 +30,9 @@ def test_round_trip(spark):
     assert sorted(tuple(r) for r in got) == brute(rows)
     plain = {r["doc_id"]: bytes(r["ids"]) for r in T.read_store(spark, store).collect()}
     assert all(zlib.crc32(np.frombuffer(plain[i], f"<u{store.width}").astype("<u4").tobytes()) == c for i, _, _, c in brute(rows))
-    chunks, uses = spark.table(store.chunks), store.scratch.read("recipes").where("documents is null").select(F.explode("addresses").alias("a"))
+    chunks, uses = store.chunks, store.scratch.read("recipes").where("documents is null").select(F.explode("addresses").alias("a"))
     assert chunks.count() == uses.distinct().count() < uses.count()
+    assert not [x.name for x in spark.catalog.listTables() if x.name.startswith("chunks_")]
 
 
 def test_damage_is_found(spark):
@@ -82,3 +83,15 @@ def test_units_against_the_library(text):
     ids, at = enc.column(pa.array(["", text, None, text.upper(), text + "\n" + text]))
     whole = [enc.whole.encode(t or "", add_special_tokens=False).ids for t in ["", text, None, text.upper(), text + "\n" + text]]
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == whole
+
+
+def test_rows_of_one_id_and_texts_longer_than_a_segment(spark):
+    """Each row of an id keeps its own ids; a text crosses the cuts at 2 MiB."""
+    long = " ".join(f"word{i % 977} Café," for i in range(200_000))
+    assert len(long) > 2 << 20
+    rows = [(2, "second"), (2, "another of the same id"), (2, "second"), (1, long), (3, None)]
+    got = T.read_store(spark, T.write_store(spark, spark.createDataFrame(rows, "doc_id long, text string"), PATH), T.crc32, "long").collect()
+    ids = lambda r: (r["doc_id"], r["n_tokens"], r["ids"])
+    assert sorted(map(ids, got)) == sorted((i, n, c) for i, _, n, c in brute(rows))
+    ends = sorted((r["start"], r["start"] + r["n_tokens"], r["doc_id"]) for r in got)
+    assert [a for a, _, _ in ends] == [0, *(b for _, b, _ in ends[:-1])] and [i for _, _, i in ends] == [1, 2, 2, 2, 3]
