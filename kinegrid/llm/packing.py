@@ -8,6 +8,10 @@ the order of their due times), so any task can compute any block and the carry c
 without a sequential pass. What is left of each queue after its last whole packet goes, end to end,
 into the windows after the others; only the very last window is not full.
 
+The ``max_queues`` sources with the most documents and all that have targets are queues of their own; what sources
+there are beyond share one more queue, whose part is the sum of theirs. So the driver and each task know a bounded
+number of queues, and targets hold whatever the number of sources.
+
 Two passes over the data, no shuffle of texts or ids: tokens are written once with their place in the
 task's part of the queue, queue bases come from sums by task and queue, and the pieces follow.
 
@@ -18,7 +22,7 @@ gives no rows; further columns are ignored; repeated rows are packed as often as
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -96,8 +100,8 @@ class Schedule:
                 if n:
                     where[s].extend(range(slot, slot + n))
                     slot, room, todo, left[s], deficit[s] = slot + n, room - n, todo - n, left[s] - n, deficit[s] - n
-            while room:  # the window is full before it is left: the queues next to their packet
-                s = max((i for i in range(len(left)) if left[i]), key=lambda i: (deficit[i], -i))
+            while room:  # the window is full before it is left: the queues that would earn a packet next
+                s = min((i for i in range(len(left)) if left[i]), key=lambda i: ((1 - deficit[i]) / earn[i], i))
                 where[s].append(slot)
                 slot, room, todo, left[s], deficit[s] = slot + 1, room - 1, todo - 1, left[s] - 1, deficit[s] - 1
         return first, [np.array(w, np.int64) for w in where], np.array(carried)
@@ -151,12 +155,16 @@ class Schedule:
             pos += take
 
 
-def tokenize(docs: DataFrame, scratch: Scratch, path: str, end_id: int, max_queues: int) -> DataFrame:
+REST, NULL = "\0rest", "\0null"  # queues of the remaining sources and of rows without a source
+
+
+def tokenize(docs: DataFrame, scratch: Scratch, path: str, end_id: int, max_queues: int, named: Iterable[str] = ()) -> DataFrame:
     """(doc_id, queue, part, before, n, ids): ids of whole texts with the end id; before: ids of the queue
-    ahead in the same task's output. Beyond max_queues sources, queues are groups of sources by hash."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit("\0null"))
-    kinds = docs.select(source.alias("s")).distinct().limit(max_queues + 1).count()
-    queue = source if kinds <= max_queues else F.concat(F.lit("group "), F.pmod(F.xxhash64(source), F.lit(max_queues)))
+    ahead in the same task's output."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit(NULL))
+    # max_queues + 1 rows at most
+    first = [r["s"] for r in docs.groupBy(source.alias("s")).count().orderBy(F.desc("count"), "s").select("s").limit(max_queues + 1).collect()]
+    queue = source if len(first) <= max_queues else F.when(source.isin(sorted({*first[:max_queues], *named})), source).otherwise(REST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ByteLevel, path)
@@ -196,15 +204,13 @@ def pack(
     """
     if window % packet:
         raise ValueError("window must be a multiple of packet")
-    if targets is not None and docs.select(F.coalesce(F.col("source").cast("string"), F.lit("\0null"))).distinct().limit(max_queues + 1).count() > max_queues:
-        raise ValueError(f"targets need at most {max_queues} sources: more are grouped by hash")
     scratch = Scratch(spark, "pack")
-    tokens = tokenize(docs, scratch, tokenizer, end_id, max_queues)
+    tokens = tokenize(docs, scratch, tokenizer, end_id, max_queues, targets or ())
     sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     sums = scratch.write(sums, "sums")
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = scratch.write(sums.select("queue", "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "bases")
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # max_queues rows at most
+    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # max_queues and the targets at most
     names = sorted(totals)
     sizes = [totals[q] for q in names]
     shares = [float(t) for t in sizes] if targets is None else [targets.get(q, 0.0) or 1e-9 for q in names]

@@ -58,7 +58,7 @@ def test_edge_cases(spark):
 def test_many_sources_share_queues(spark):
     docs = spark.createDataFrame([(i, f"text {i}", f"s{i}") for i in range(30)], "doc_id long, text string, source string")
     got = packing.pack(spark, docs, PATH, max_queues=4).collect()
-    assert len({r["queue"] for r in got}) <= 4
+    assert len({r["queue"] for r in got}) == 5
     check(got, {i: x for i, x in enumerate(encoded([f"text {i}" for i in range(30)]))})
 
 
@@ -91,7 +91,38 @@ def test_blocks_agree_with_one_sequential_pass():
     assert zlib.crc32(b"") == 0
 
 
-def test_targets_that_groups_would_ignore_raise(spark):
-    df = spark.createDataFrame([(i, "some text", f"s{i}") for i in range(6)], "doc_id long, text string, source string")
-    with pytest.raises(ValueError, match="at most 3 sources"):
-        packing.pack(spark, df, public_tokenizers.path("byte_bpe_50k.json"), targets={"s1": 1.0}, max_queues=3)
+def test_targets_hold_beyond_the_queues(spark):
+    """More sources than queues: a named one keeps its part of every window, the small ones share a queue."""
+    docs = spark.createDataFrame([(i, "some words of text " * 120, "big" if i % 3 else f"s{i}") for i in range(90)], "doc_id long, text string, source string")
+    got = packing.pack(spark, docs, PATH, targets={"s3": 0.5, "big": 0.5}, max_queues=2).collect()
+    assert {r["queue"] for r in got} >= {"big", "s3", packing.REST}
+    first = [r for r in got if r["sequence_id"] == 0]
+    assert abs(sum(r["length"] for r in first if r["queue"] == "big") - 1536) <= 512 and {r["queue"] for r in first} == {"big", "s3"}
+    check(got, dict(enumerate(encoded(["some words of text " * 120] * 90))))
+
+
+def test_sequences_are_padded_but_at_powers_of_two(spark):
+    docs = spark.createDataFrame([(1, "word " * 300, "a"), (2, "more text " * 40, "b")], "doc_id long, text string, source string")
+    pieces = packing.pack(spark, docs, PATH, window=256, packet=64)
+    for r in packing.sequences(pieces, 256).collect():
+        own = sorted((s["offset"], s["length"]) for s in r["spans"])
+        n = own[-1][0] + own[-1][1]
+        assert [a for a, _ in own] == [0, *(a + k for a, k in own[:-1])]
+        assert len(r["input_ids"]) == (n if n & (n - 1) == 0 else 256) and all(x == 0 for x in r["input_ids"][n:])
+    want = {i: x for i, x in zip((1, 2), encoded(["word " * 300, "more text " * 40]), strict=True)}
+    for r in packing.sequences(pieces, 256).collect():
+        for s in r["spans"]:
+            assert r["input_ids"][s["offset"] : s["offset"] + s["length"]] == want[s["doc_id"]][s["start"] : s["start"] + s["length"]]
+    exact = packing.pack(spark, spark.createDataFrame([(1, None, "a")] * 4, "doc_id long, text string, source string"), PATH)
+    assert [len(r["input_ids"]) for r in packing.sequences(exact).collect()] == [4]
+
+
+def test_rows_of_one_id_and_a_text_longer_than_a_segment(spark):
+    """Repeated rows are packed as often as they occur; a text of over 2 MiB is one document."""
+    long = "a few words, again " * 120_000
+    rows = [(1, "copy", "s"), (1, "copy", "s"), (1, "another", "t"), (2, long, "s")]
+    got = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), PATH).collect()
+    sizes = [len(x) for x in encoded([t for _, t, _ in rows])]
+    assert sum(r["length"] for r in got) == sum(sizes) and {r["doc_tokens"] for r in got} == set(sizes)
+    two = sorted((r["start"], r["length"], bytes(r["ids"])) for r in got if r["doc_id"] == 2)
+    assert b"".join(x[2] for x in two) == np.array(encoded([long])[0], "<u4").tobytes()
