@@ -7,6 +7,7 @@ a lost executor then costs a re-read, never a recomputation of the whole lineage
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,21 +23,43 @@ SEGMENT = 1 << 21  # bytes of text hashed at once: bounds a worker's memory, not
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where the setting is missing (tests, local mode)."""
+    """The cluster's shared folder; a private one only in local mode without the setting (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="kinegrid-")
         spark.sparkContext.setCheckpointDir(found)
         atexit.register(shutil.rmtree, found, True)
     return found.rstrip("/")
 
 
+_ROOTS: list[str] = []  # of all runs of this driver that are not closed
+
+
+def close(spark: SparkSession) -> None:
+    """Remove the tables of all runs so far; results that were not written elsewhere can't be read any more."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
-    """Tables of one run under the shared folder, dropped one by one as soon as they are not needed."""
+    """Tables of one run under the shared folder, dropped one by one as soon as they are not needed.
+
+    Results are lazy, so two settings hold for the session from here on, until it is stopped or they are set anew:
+    shuffle files go when a write is done, and Arrow batches have fewer rows than by default.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
         # shuffle files of a finished write are dead weight: the written table replaces them
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         # Python workers hold a batch at a time: texts are long, so fewer rows than the default 10000
@@ -53,10 +76,14 @@ class Scratch:
         return self.spark.read.parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        sc = self.spark.sparkContext
         for name in names:
-            path = sc._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self.path(name))
+
+    def close(self) -> None:
+        """Remove all tables of the run."""
+        _delete(self.spark, self.root)
+        if self.root in _ROOTS:
+            _ROOTS.remove(self.root)
 
 
 def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:

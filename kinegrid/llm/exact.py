@@ -11,6 +11,8 @@ Sorting is by range over (hash, row), so copies of one hot block spread over man
 ranges is one summary row a task. Each level is written to the shared folder and holds half the rows of
 the one before.
 
+Texts are cut up in slices of 8 MiB or one text, so the longest text bounds a task's memory.
+
 Cases: null text counts as empty, and all empty texts are equal; only A-Z is lower-cased; a row is a
 document of its own even if its id occurs again (then rows of one id are kept or dropped together);
 an empty table gives no rows; further columns are ignored; a null id is smaller than all others.
@@ -136,7 +138,9 @@ def _named(rows: DataFrame, values: list[str], scratch: Scratch, label: str, has
 def identities(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(row, doc_id, level, name, sha256): rows with the same level and name have equal normalised texts."""
     scratch = Scratch(spark, "exact")
-    named = _named(_blocks(docs, block), ["value"], scratch, "level0", hashed=True)
+    blocks = scratch.write(_blocks(docs, block), "blocks")  # read twice: by the sampling of ranges and by the sort
+    named = _named(blocks, ["value"], scratch, "level0", hashed=True)
+    scratch.drop("blocks")
     heads = named.where("i = 0").select("row", "doc_id", "sha256", "blocks", "name")
     most = heads.agg(F.max("blocks")).first()[0] or 1
     done = heads.where("blocks = 1").select("row", F.lit(0).alias("level"), "name")

@@ -16,6 +16,8 @@ of its partition and the sums are aggregated by Spark. It starts from seeded noi
 first ones leave the noise's plateau) and goes on until the likelihood settles. Word counts cover all training documents. The ``local`` most frequent words are known to every task
 (a bounded table); rarer words of a text meet their counts in a join.
 
+Texts are read in slices of 2 MiB or one text; the longest text bounds a task's memory.
+
 Cases: null text is empty and consists of the end alone; rows that repeat an id are scored each for itself;
 words are told apart by 64-bit hashes; an empty table gives no rows; without training documents every word is
 unseen; further columns are ignored.
