@@ -47,6 +47,11 @@ def boundary(cells: DataFrame, keys: list[str]) -> DataFrame:
     return dilate(cells, keys, 1, False).exceptAll(erode(cells, keys, 1, False))
 
 
+def cell_key(x, y):
+    """One number for a cell, for coordinates of up to 31 bits."""
+    return F.shiftleft(F.col(x).cast("long"), 32) + F.col(y).cast("long")
+
+
 def neighbours(cells: DataFrame, node: str, keys: list[str], diagonal: bool = True) -> DataFrame:
     """(a, b): pairs of adjoining cells of a set by their numbers, each pair once."""
     near = cells.select(*keys, F.col(node).alias("a"), "x", "y", F.explode(offsets(1, diagonal)).alias("o"))
@@ -83,8 +88,8 @@ def fill_holes(cells: DataFrame, keys: list[str], value: str, reach: int) -> Dat
     holes = cells.where(F.col(value).isNull()).select(*keys, "x", "y", o.alias("o"))
     near = holes.select(*keys, F.col("x").alias("hx"), F.col("y").alias("hy"), "o", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
     full = cells.where(F.col(value).isNotNull())
-    best = near.join(full, [*keys, "x", "y"]).groupBy(*keys, F.col("hx").alias("x"), F.col("hy").alias("y")).agg(F.min_by(value, "o").alias("_near"))
-    return cells.join(best, [*keys, "x", "y"], "left").select(*keys, "x", "y", F.coalesce(value, "_near").alias(value), F.col(value).isNull().alias("was_hole"))
+    best = near.join(full, [*keys, "x", "y"]).groupBy(*keys, F.col("hx").alias("x"), F.col("hy").alias("y")).agg(F.min_by(value, "o").alias("_kg_near"))
+    return cells.join(best, [*keys, "x", "y"], "left").select(*keys, "x", "y", F.coalesce(value, "_kg_near").alias(value), F.col(value).isNull().alias("was_hole"))
 
 
 def weighted_stats(rows: DataFrame, keys: list[str], w: str) -> DataFrame:
@@ -106,7 +111,18 @@ def pair_overlap(cells: DataFrame, region: str) -> DataFrame:
     return inter.select("i", "j", "inter", "a", "b", (F.col("inter") / (F.col("a") + F.col("b") - F.col("inter"))).alias("iou"))
 
 
+def near_pairs(points: DataFrame, node: str, reach: float) -> DataFrame:
+    """(i, j, distance) of points (node, cx, cy) at most ``reach`` apart, i < j: they meet in buckets of that size, of
+    which each point enters the nine around its own, so no pair is lost and none meets twice."""
+    bx, by = F.floor(F.col("cx") / reach).cast("long"), F.floor(F.col("cy") / reach).cast("long")
+    left = points.select(F.col(node).alias("i"), F.col("cx").alias("ix"), F.col("cy").alias("iy"), bx.alias("bx"), by.alias("by"), F.explode(offsets(1)).alias("o"))
+    left = left.select("i", "ix", "iy", (F.col("bx") + F.col("o.dx")).alias("bx"), (F.col("by") + F.col("o.dy")).alias("by"))
+    right = points.select(F.col(node).alias("j"), F.col("cx").alias("jx"), F.col("cy").alias("jy"), bx.alias("bx"), by.alias("by"))
+    d = F.sqrt((F.col("ix") - F.col("jx")) * (F.col("ix") - F.col("jx")) + (F.col("iy") - F.col("jy")) * (F.col("iy") - F.col("jy")))
+    return left.join(right, ["bx", "by"]).where("i < j").select("i", "j", d.alias("distance")).where(F.col("distance") <= reach)
+
+
 def best(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each group in a total order."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    return rows.withColumn("_kg_k", F.row_number().over(w)).where("_kg_k = 1").drop("_kg_k")

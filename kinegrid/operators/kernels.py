@@ -252,3 +252,20 @@ def motion_field(shape: tuple[int, int], amplitude: float, radius: int, seed: in
         f = box(box(rng.normal(size=shape), radius), radius)
         out.append(amplitude * (f - f.mean()) / max(float(f.std()), 1e-12))
     return out[0], out[1]
+
+
+def best_correlations(a: np.ndarray, b: np.ndarray, ids: np.ndarray, others: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of a the n rows of b with the highest correlation (to 9 digits, first ids win), itself left out."""
+    unit = [x - x.mean(1, keepdims=True) for x in (a, b)]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        unit = [x / np.sqrt((x * x).sum(1, keepdims=True)) for x in unit]
+    out: list[list[np.ndarray]] = [[], [], []]
+    for lo in range(0, len(a), 512):
+        r = np.round(unit[0][lo : lo + 512] @ unit[1].T, 9)
+        r[(ids[lo : lo + 512, None] == others) | np.isnan(r)] = -np.inf
+        best = np.argsort(-r, axis=1, kind="stable")[:, :n]
+        got = np.take_along_axis(r, best, 1)
+        row, k = np.nonzero(np.isfinite(got))
+        for column, x in zip(out, (ids[lo + row], others[best[row, k]], got[row, k]), strict=True):
+            column.append(x)
+    return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)

@@ -36,6 +36,11 @@ def patches(spark: SparkSession, sf_dir: str, event_type: str | None = None) ->
     return joined.select(F.col("user_id").alias("site"), (F.col("user_id") % WIDTH).alias("x"), F.floor(F.col("user_id") / WIDTH).alias("y"), "t", "frames", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+def span(spark: SparkSession, sf_dir: str) -> int:
+    """The number of days of the events: read once, when a plan that clips windows to it is made."""
+    return table(spark, sf_dir, "events").agg(F.max(F.datediff(F.to_date("ts"), F.lit(EPOCH)))).first()[0] + 1
+
+
 PATCHES = """
 ev AS (SELECT user_id, event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS t, value FROM events),
 patches AS (

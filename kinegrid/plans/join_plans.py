@@ -2,40 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import components as C
 from ..operators import grids as G
+from ..operators import kernels as K
+from ..operators import ranks as R
 from . import inputs as I
 from .registry import register
 from .window_plans import UNITS, units
 
-ACTIVE = "act AS (SELECT site AS region, t AS x, site % 7 AS y FROM patches WHERE v > 300)"
+ACTIVE = "act AS (SELECT site AS region, t AS x, site // 15 AS y FROM patches WHERE v > 300)"
 
 
-def reference_intervals(spark, sf_dir, parts="p_partkey % 50 = 0"):
-    """Frames with the reference that covers them: closed intervals from names, expanded and joined by equality."""
-    names = I.table(spark, sf_dir, "part").where(parts).select((F.col("p_partkey") % 3000).alias("a"), "p_size")
-    names = names.select(F.concat(F.lit("vol_ref_"), F.lpad(F.col("a").cast("string"), 6, "0"), F.lit("_"), F.lpad((F.col("a") + F.col("p_size")).cast("string"), 6, "0"), F.lit(".tif")).alias("file"))
-    m = lambda i: F.regexp_extract("file", r"vol_ref_(\d{6})_(\d{6})\.tif", i).cast("long")
+def reference_intervals(spark, sf_dir):
+    """Frames with the references that cover them: closed intervals from names, expanded and joined by equality. Part
+    keys begin intervals and order keys fold onto their range, so a frame has about as many references at any size."""
+    names = I.table(spark, sf_dir, "part").select(F.format_string("vol_ref_%06d_%06d.tif", "p_partkey", F.col("p_partkey") + F.col("p_size")).alias("file"))
+    m = lambda i: F.regexp_extract("file", r"vol_ref_(\d{6,})_(\d{6,})\.tif", i).cast("long")
     frames = names.select("file", F.explode(F.sequence(m(1), m(2))).alias("frame"))
-    o = I.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3000).alias("frame"))
+    last = I.table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("last"))  # one row
+    o = I.table(spark, sf_dir, "orders").join(F.broadcast(last)).select("o_orderkey", (F.col("o_orderkey") % F.col("last")).alias("frame"))
     return o.join(frames, "frame").select("o_orderkey", "frame", "file")
 
 
 register("reference_intervals", reference_intervals, r"""
-WITH n AS (SELECT p_partkey % 3000 AS a, p_size FROM part WHERE p_partkey % 50 = 0), f AS (SELECT 'vol_ref_' || lpad(CAST(a AS VARCHAR), 6, '0') || '_' || lpad(CAST(a + p_size AS VARCHAR), 6, '0') || '.tif' AS file, a, a + p_size AS b FROM n)
-SELECT o_orderkey, o_orderkey % 3000 AS frame, file FROM orders JOIN f ON o_orderkey % 3000 BETWEEN a AND b""")
-
-
-def reference_intervals_whole(spark, sf_dir):
-    """``reference_intervals`` with the intervals of all parts."""
-    return reference_intervals(spark, sf_dir, "true")
-
-
-register("reference_intervals_whole", reference_intervals_whole)
+WITH f AS (SELECT printf('vol_ref_%06d_%06d.tif', p_partkey, p_partkey + p_size) AS file, p_partkey AS a, p_partkey + p_size AS b FROM part), o AS (SELECT o_orderkey, o_orderkey % (SELECT max(p_partkey) FROM part) AS frame FROM orders)
+SELECT o_orderkey, frame, file FROM o JOIN f ON frame BETWEEN a AND b""")
 
 
 def tolerance_pairs(spark, sf_dir):
@@ -54,14 +51,14 @@ SELECT a.t0 AS a0, a.t1 AS a1, b.t0 AS b0, b.t1 AS b1, a.n AS na, b.n AS nb FROM
 
 def motion_episodes(spark, sf_dir):
     """Episodes: unit groups chained by the tolerance pairs, named by their first group, with bounds and area."""
-    g = units(spark, sf_dir).groupBy("t0", "t1").agg(F.count("*").alias("n")).withColumn("node", F.col("t0") * 100000 + F.col("t1"))
-    p = tolerance_pairs(spark, sf_dir).where("na >= 3 and nb >= 3").select((F.col("a0") * 100000 + F.col("a1")).alias("a"), (F.col("b0") * 100000 + F.col("b1")).alias("b"))
+    g = units(spark, sf_dir).groupBy("t0", "t1").agg(F.count("*").alias("n")).withColumn("node", F.shiftleft("t0", 32) + F.col("t1"))
+    p = tolerance_pairs(spark, sf_dir).where("na >= 3 and nb >= 3").select((F.shiftleft("a0", 32) + F.col("a1")).alias("a"), (F.shiftleft("b0", 32) + F.col("b1")).alias("b"))
     c = C.components(g.select("node"), p)
     return g.join(c, "node").groupBy(F.col("component").alias("episode")).agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("n").alias("area"), F.count("*").alias("groups")).where("area >= 3")
 
 
 register("motion_episodes", motion_episodes, f"""
-WITH RECURSIVE {I.PATCHES}, {UNITS}, g AS (SELECT t0, t1, count(*) AS n, t0 * 100000 + t1 AS node FROM units GROUP BY t0, t1),
+WITH RECURSIVE {I.PATCHES}, {UNITS}, g AS (SELECT t0, t1, count(*) AS n, t0 * 4294967296 + t1 AS node FROM units GROUP BY t0, t1),
 e AS (SELECT a.node AS a, b.node AS b FROM g a JOIN g b ON abs(a.t0 - b.t0) <= 1 AND abs(a.t1 - b.t1) <= 1 AND a.node <> b.node WHERE a.n >= 3 AND b.n >= 3),
 r AS (SELECT node AS a, node AS b FROM g UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)
@@ -69,7 +66,8 @@ SELECT component AS episode, min(t0) AS t0, max(t1) AS t1, CAST(sum(n) AS BIGINT
 
 
 def active_cells(spark, sf_dir):
-    return I.patches(spark, sf_dir).where("v > 300").select(F.col("site").alias("region"), F.col("t").cast("long").alias("x"), (F.col("site") % 7).alias("y"))
+    """(region, x, y): active days of each site in its row of the grid; a cell is shared by a row's sites at most."""
+    return I.patches(spark, sf_dir).where("v > 300").select(F.col("site").alias("region"), F.col("t").cast("long").alias("x"), F.floor(F.col("site") / I.WIDTH).alias("y"))
 
 
 def region_overlap(spark, sf_dir):
@@ -84,35 +82,46 @@ register("region_overlap", region_overlap, f"WITH {I.PATCHES}, {ACTIVE}, {PAIRS}
 
 
 def compatible_regions(spark, sf_dir):
-    """Pairs of different groups that overlap enough or whose centroids are near, with the rule that let them in."""
+    """Pairs of different groups that overlap enough or whose centroids are near, with the rule that let them in.
+
+    Overlapping pairs meet by cell, near ones by buckets of their centroids, whether or not they share a cell."""
     cells = active_cells(spark, sf_dir)
-    p = G.pair_overlap(cells, "region").where("i % 3 <> j % 3")
     c = cells.groupBy("region").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    j = p.join(c.select(F.col("region").alias("i"), F.col("cx").alias("ix"), F.col("cy").alias("iy")), "i").join(c.select(F.col("region").alias("j"), F.col("cx").alias("jx"), F.col("cy").alias("jy")), "j")
-    d = S.norm(F.col("ix") - F.col("jx"), F.col("iy") - F.col("jy"))
-    return j.select("i", "j", S.r6(F.col("iou")).alias("iou"), S.r6(d).alias("distance"), F.when(F.col("iou") >= 0.3, "iou").when(d <= 1.0, "centroid").otherwise("none").alias("reason"))
+    near = G.near_pairs(c, "region", 1.0).select("i", "j")
+    both = G.pair_overlap(cells, "region").select("i", "j", "iou").join(near.withColumn("near", F.lit(True)), ["i", "j"], "full").where("i % 3 <> j % 3")
+    j = both.join(c.select(F.col("region").alias("i"), F.col("cx").alias("ix"), F.col("cy").alias("iy")), "i").join(c.select(F.col("region").alias("j"), F.col("cx").alias("jx"), F.col("cy").alias("jy")), "j")
+    iou, d = F.coalesce("iou", F.lit(0.0)), S.norm(F.col("ix") - F.col("jx"), F.col("iy") - F.col("jy"))
+    return j.select("i", "j", S.r6(iou).alias("iou"), S.r6(d).alias("distance"), F.when(iou >= 0.3, "iou").when(F.col("near"), "centroid").otherwise("none").alias("reason"))
 
 
 register("compatible_regions", compatible_regions, f"""
-WITH {I.PATCHES}, {ACTIVE}, {PAIRS}, c AS (SELECT region, avg(x) AS cx, avg(y) AS cy FROM act GROUP BY region)
-SELECT i, j, round(iou, 6) AS iou, round(sqrt((p.cx-q.cx)*(p.cx-q.cx) + (p.cy-q.cy)*(p.cy-q.cy)), 6) AS distance,
-  CASE WHEN iou >= 0.3 THEN 'iou' WHEN sqrt((p.cx-q.cx)*(p.cx-q.cx) + (p.cy-q.cy)*(p.cy-q.cy)) <= 1.0 THEN 'centroid' ELSE 'none' END AS reason
-FROM pairs JOIN c p ON p.region = i JOIN c q ON q.region = j WHERE i % 3 <> j % 3""")
+WITH {I.PATCHES}, {ACTIVE}, {PAIRS}, c AS (SELECT region, avg(x) AS cx, avg(y) AS cy FROM act GROUP BY region),
+d AS (SELECT p.region AS i, q.region AS j, sqrt((p.cx-q.cx)*(p.cx-q.cx) + (p.cy-q.cy)*(p.cy-q.cy)) AS distance FROM c p JOIN c q ON p.region < q.region WHERE p.region % 3 <> q.region % 3)
+SELECT d.i, d.j, round(coalesce(iou, 0.0), 6) AS iou, round(distance, 6) AS distance, CASE WHEN iou >= 0.3 THEN 'iou' WHEN distance <= 1.0 THEN 'centroid' ELSE 'none' END AS reason
+FROM d LEFT JOIN pairs ON pairs.i = d.i AND pairs.j = d.j WHERE iou IS NOT NULL OR distance <= 1.0""")
+
+
+def grid_size(spark, sf_dir):
+    """One row: the grid's rows and the frames."""
+    return I.table(spark, sf_dir, "events").agg(F.countDistinct(F.floor(F.col("user_id") / I.WIDTH)).alias("rows"), (F.max(F.datediff(F.to_date("ts"), F.lit(I.EPOCH))) + 1).alias("frames"))
+
+
+GRID = "grid AS (SELECT count(DISTINCT user_id // 15) AS rows, max(t) + 1 AS frames FROM ev)"
 
 
 def overlapping_patterns(spark, sf_dir):
-    """Regions against a query mask: kept if any of three coverages passes; best overlap first."""
+    """Regions against a query mask, frames 5 to 14 of all rows: kept if any of three coverages passes; best overlap first."""
     cells = active_cells(spark, sf_dir)
     hit = ((F.col("x") >= 5) & (F.col("x") < 15)).cast("int")
-    r = cells.groupBy("region").agg(F.sum(hit).alias("inter"), F.count("*").alias("n")).where("inter > 0")
-    q = F.lit(70.0)
+    r = cells.groupBy("region").agg(F.sum(hit).alias("inter"), F.count("*").alias("n")).where("inter > 0").join(F.broadcast(grid_size(spark, sf_dir)))
+    q = F.col("rows") * 10.0
     rows = r.select("region", "inter", S.r6(F.col("inter") / (F.col("n") + q - F.col("inter"))).alias("iou"), S.r6(F.col("inter") / q).alias("query_covered"), S.r6(F.col("inter") / F.col("n")).alias("pattern_covered"))
     return rows.where("iou >= 0.05 or query_covered >= 0.1 or pattern_covered >= 0.5").orderBy(F.desc("iou"), "region")
 
 
 register("overlapping_patterns", overlapping_patterns, f"""
-WITH {I.PATCHES}, {ACTIVE}, r AS (SELECT region, count(*) FILTER (x >= 5 AND x < 15) AS inter, count(*) AS n FROM act GROUP BY region),
-o AS (SELECT region, inter, round(inter / (n + 70.0 - inter), 6) AS iou, round(inter / 70.0, 6) AS query_covered, round(inter / n, 6) AS pattern_covered FROM r WHERE inter > 0)
+WITH {I.PATCHES}, {ACTIVE}, {GRID}, r AS (SELECT region, count(*) FILTER (x >= 5 AND x < 15) AS inter, count(*) AS n FROM act GROUP BY region),
+o AS (SELECT region, inter, round(inter / (n + rows * 10.0 - inter), 6) AS iou, round(inter / (rows * 10.0), 6) AS query_covered, round(inter / n, 6) AS pattern_covered FROM r, grid WHERE inter > 0)
 SELECT * FROM o WHERE iou >= 0.05 OR query_covered >= 0.1 OR pattern_covered >= 0.5""")
 
 
@@ -120,16 +129,16 @@ def roi_classes(spark, sf_dir):
     """Units by how much of them, and of the region of interest, the two share."""
     cells = active_cells(spark, sf_dir)
     inside = (F.col("x") < 10).cast("int")
-    r = cells.groupBy("region").agg(F.sum(inside).alias("inter"), F.count("*").alias("n"))
-    loc, glob = F.col("inter") / F.col("n"), F.col("n") / 30.0
+    r = cells.groupBy("region").agg(F.sum(inside).alias("inter"), F.count("*").alias("n")).join(F.broadcast(grid_size(spark, sf_dir)))
+    loc, glob = F.col("inter") / F.col("n"), F.col("n") / F.col("frames")
     cls = F.when(F.col("inter") < 1, "outside").when(loc >= 0.6, "local").when(glob >= 0.2, "global").otherwise("mixed")
     return r.select("region", "inter", S.r6(loc).alias("locality"), S.r6(glob).alias("globalness"), cls.alias("class"))
 
 
 register("roi_classes", roi_classes, f"""
-WITH {I.PATCHES}, {ACTIVE}, r AS (SELECT region, count(*) FILTER (x < 10) AS inter, count(*) AS n FROM act GROUP BY region)
-SELECT region, inter, round(inter / n, 6) AS locality, round(n / 30.0, 6) AS globalness,
-  CASE WHEN inter < 1 THEN 'outside' WHEN inter / n >= 0.6 THEN 'local' WHEN n / 30.0 >= 0.2 THEN 'global' ELSE 'mixed' END AS class FROM r""")
+WITH {I.PATCHES}, {ACTIVE}, {GRID}, r AS (SELECT region, count(*) FILTER (x < 10) AS inter, count(*) AS n FROM act GROUP BY region)
+SELECT region, inter, round(inter / n, 6) AS locality, round(n / frames, 6) AS globalness,
+  CASE WHEN inter < 1 THEN 'outside' WHEN inter / n >= 0.6 THEN 'local' WHEN n / frames >= 0.2 THEN 'global' ELSE 'mixed' END AS class FROM r, grid""")
 
 
 def class_intervals(spark, sf_dir):
@@ -140,8 +149,8 @@ def class_intervals(spark, sf_dir):
 
 
 register("class_intervals", class_intervals, f"""
-WITH {I.PATCHES}, {UNITS}, {ACTIVE}, r AS (SELECT region, count(*) FILTER (x < 10) AS inter, count(*) AS n FROM act GROUP BY region),
-k AS (SELECT region, CASE WHEN inter < 1 THEN 'outside' WHEN inter / n >= 0.6 THEN 'local' WHEN n / 30.0 >= 0.2 THEN 'global' ELSE 'mixed' END AS class FROM r),
+WITH {I.PATCHES}, {UNITS}, {ACTIVE}, {GRID}, r AS (SELECT region, count(*) FILTER (x < 10) AS inter, count(*) AS n FROM act GROUP BY region),
+k AS (SELECT region, CASE WHEN inter < 1 THEN 'outside' WHEN inter / n >= 0.6 THEN 'local' WHEN n / frames >= 0.2 THEN 'global' ELSE 'mixed' END AS class FROM r, grid),
 i AS (SELECT class, t0, t1 FROM units JOIN k ON region = site WHERE class IN ('local', 'mixed')),
 f AS (SELECT *, CASE WHEN t0 <= max(t1) OVER (PARTITION BY class ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 0 ELSE 1 END AS fresh FROM i),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY class ORDER BY t0, t1 ROWS UNBOUNDED PRECEDING) AS run FROM f)
@@ -185,18 +194,16 @@ SELECT g.x, g.y, round(coalesce(m.dx, near), 6) AS dx, CASE WHEN m.dx IS NOT NUL
 
 
 def quantile_mapped(spark, sf_dir):
-    """Piecewise linear map between quantile anchors of two distributions, flat outside, applied to every price."""
+    """Piecewise linear map between quantile anchors of two distributions, flat outside, applied to every price. The
+    eleven anchors of each are exact order statistics, found by counting in narrowing brackets."""
     li, o = I.table(spark, sf_dir, "lineitem"), I.table(spark, sf_dir, "orders")
     q = [i / 10 for i in range(11)]
-    src = li.agg(F.percentile("l_extendedprice", F.array(*map(F.lit, q))).alias("s"))
-    tgt = o.agg(F.percentile("o_totalprice", F.array(*map(F.lit, q))).alias("g"))
-    anchors = src.join(tgt).select("s", "g")  # one row of eleven anchors each
-    rows = li.join(F.broadcast(anchors))
+    s, g = (F.array(*map(F.lit, R.quantiles(t, c, q))) for t, c in ((li, "l_extendedprice"), (o, "o_totalprice")))
     v = F.col("l_extendedprice")
-    k = F.greatest(F.lit(0), F.least(F.lit(9), F.size(F.filter("s", lambda a: a <= v)) - 1))
-    lo, hi = F.get("s", k), F.get("s", k + 1)
-    f = F.coalesce(F.try_divide(S.clamp(v, F.get("s", F.lit(0)), F.get("s", F.lit(10))) - lo, hi - lo), F.lit(0.0))
-    return rows.select("l_orderkey", "l_linenumber", F.round(F.get("g", k) + f * (F.get("g", k + 1) - F.get("g", k)), 3).alias("mapped"))
+    k = F.greatest(F.lit(0), F.least(F.lit(9), F.size(F.filter(s, lambda a: a <= v)) - 1))
+    lo, hi = F.get(s, k), F.get(s, k + 1)
+    f = F.coalesce(F.try_divide(S.clamp(v, F.get(s, F.lit(0)), F.get(s, F.lit(10))) - lo, hi - lo), F.lit(0.0))
+    return li.select("l_orderkey", "l_linenumber", F.round(F.get(g, k) + f * (F.get(g, k + 1) - F.get(g, k)), 3).alias("mapped"))
 
 
 register("quantile_mapped", quantile_mapped, """
@@ -221,14 +228,24 @@ SELECT t, x, y, round(dx, 6) AS dx, raw, cells FROM field JOIN o USING (t) JOIN
 
 
 def initial_reference(spark, sf_dir):
-    """In each label the slice with the best mean of its five highest correlations to others, and those five."""
-    p = I.pixels(spark, sf_dir)
-    z = p.groupBy("label", "slice").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("v"))
-    m = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
-    z = z.withColumn("m", m).withColumn("c", F.transform("v", lambda x: x - F.col("m")))
-    z = z.withColumn("n", F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x))).select("label", "slice", F.transform("c", lambda x: x / F.col("n")).alias("c"))
-    a, b = z.select("label", F.col("slice").alias("i"), F.col("c").alias("ci")), z.select("label", F.col("slice").alias("j"), F.col("c").alias("cj"))
-    r = a.join(b, "label").where("i <> j").select("label", "i", "j", F.round(F.aggregate(F.zip_with("ci", "cj", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 9).alias("r"))
+    """In each label the slice with the best mean of its five highest correlations to others, and those five.
+
+    A label's slices are dealt into blocks and pairs of blocks are tasks of one matrix product each; a task keeps the
+    five best of each slice, so no pairs are emitted. The work is that of all pairs, as the definition asks."""
+    e = I.table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("slice"), F.col("embedding").cast("array<double>").alias("v"))
+    sizes = e.groupBy("label").agg(F.ceil(F.count("*") / 2048).alias("blocks"))
+    e = e.join(sizes, "label").withColumn("mine", F.pmod(F.xxhash64("slice"), F.col("blocks")))
+    other = F.explode(F.expr("sequence(0L, blocks - 1)")).alias("b")
+    asks = e.select("label", F.col("mine").alias("a"), other, F.lit(True).alias("asks"), "slice", "v")
+    told = e.select("label", other.alias("a"), F.col("mine").alias("b"), F.lit(False).alias("asks"), "slice", "v")
+
+    def best_five(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("slice")
+        ask, tell = pdf[pdf.asks], pdf[~pdf.asks]
+        out = K.best_correlations(*(np.array(list(x.v), float).reshape(len(x), -1) for x in (ask, tell)), ask.slice.to_numpy(), tell.slice.to_numpy(), 5)
+        return pd.DataFrame({"label": pdf.label.iloc[0], "i": out[0], "j": out[1], "r": out[2]})
+
+    r = asks.unionByName(told).groupBy("label", "a", "b").applyInPandas(best_five, "label long, i long, j long, r double")
     top = r.withColumn("k", F.row_number().over(I.over("label", "i").orderBy(F.desc("r"), "j"))).where("k <= 5")
     s = top.groupBy("label", "i").agg(F.round(F.avg("r"), 6).alias("score"), F.array_sort(F.collect_list("j")).alias("nearest"))
     return G.best(s, ["label"], F.desc("score"), "i").select("label", F.col("i").alias("slice"), "score", "nearest")
@@ -259,13 +276,15 @@ def artifact_reasons(spark, sf_dir):
     """Episodes by the first rule that drops them."""
     u = units(spark, sf_dir).groupBy("t0", "t1").agg(F.count("*").alias("area"), F.avg((F.col("site") % 15 == 0).cast("double")).alias("edge"))
     d = F.col("t1") - F.col("t0") + 1
-    reason = F.when(F.col("area") / 150 > 0.1, "fov").when(d < 4, "short").when(d > 12, "long").when(F.col("edge") > 0.5, "edge").otherwise("kept")
+    sites = I.table(spark, sf_dir, "events").agg(F.countDistinct("user_id").alias("sites"))  # one row
+    u = u.join(F.broadcast(sites))
+    reason = F.when(F.col("area") / F.col("sites") > 0.1, "fov").when(d < 4, "short").when(d > 12, "long").when(F.col("edge") > 0.5, "edge").otherwise("kept")
     return u.groupBy(reason.alias("reason")).agg(F.count("*").alias("episodes"), F.sum("area").alias("units"))
 
 
 register("artifact_reasons", artifact_reasons, f"""
 WITH {I.PATCHES}, {UNITS}, e AS (SELECT t0, t1, count(*) AS area, avg(CAST(site % 15 = 0 AS INT)) AS edge FROM units GROUP BY t0, t1)
-SELECT CASE WHEN area / 150 > 0.1 THEN 'fov' WHEN t1 - t0 + 1 < 4 THEN 'short' WHEN t1 - t0 + 1 > 12 THEN 'long' WHEN edge > 0.5 THEN 'edge' ELSE 'kept' END AS reason, count(*) AS episodes, CAST(sum(area) AS BIGINT) AS units FROM e GROUP BY 1""")
+SELECT CASE WHEN area / (SELECT count(DISTINCT user_id) FROM events) > 0.1 THEN 'fov' WHEN t1 - t0 + 1 < 4 THEN 'short' WHEN t1 - t0 + 1 > 12 THEN 'long' WHEN edge > 0.5 THEN 'edge' ELSE 'kept' END AS reason, count(*) AS episodes, CAST(sum(area) AS BIGINT) AS units FROM e GROUP BY 1""")
 
 
 BAD = "bad AS (SELECT x, y FROM cells WHERE dx > 27)"
@@ -296,13 +315,13 @@ e AS (SELECT x + i AS x, y + j AS y FROM a, p GROUP BY ALL HAVING count(*) = 9)
 
 def mask_components(spark, sf_dir):
     """Eight-connected components of the mask of at least three cells, with their boxes."""
-    cells = bad_cells(spark, sf_dir).withColumn("node", F.col("x") * 1000 + F.col("y"))
+    cells = bad_cells(spark, sf_dir).withColumn("node", G.cell_key("x", "y"))
     c = C.components(cells.select("node"), G.neighbours(cells, "node", []))
     return cells.join(c, "node").groupBy("component").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).where("area >= 3")
 
 
 register("mask_components", mask_components, f"""
-WITH RECURSIVE {I.CELLS}, {BAD}, n AS (SELECT x, y, x * 1000 + y AS node FROM bad), e AS (SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.node <> b.node),
+WITH RECURSIVE {I.CELLS}, {BAD}, n AS (SELECT x, y, x * 4294967296 + y AS node FROM bad), e AS (SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.node <> b.node),
 r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)
 SELECT component, count(*) AS area, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM n JOIN c USING (node) GROUP BY component HAVING count(*) >= 3""")
 

@@ -12,7 +12,6 @@ from ..operators import kernels as K
 from . import inputs as I
 from .join_plans import active_cells, compatible_regions
 from .registry import register
-from .window_plans import lag_coupling_whole
 
 
 def traces(spark, sf_dir):
@@ -60,21 +59,6 @@ def region_patterns(spark, sf_dir):
 register("region_patterns", region_patterns)
 
 
-def coupling_pvalues(spark, sf_dir):
-    """Binomial tail of the best lag's hits at the baseline rate."""
-    d = lag_coupling_whole(spark, sf_dir)
-
-    def run(batches):
-        for pdf in batches:
-            p = (pdf.hits / pdf.windows - pdf.dependency).clip(0, 1)
-            yield pdf.assign(p_value=[round(K.binomial_tail(int(k), int(n), float(q)), 9) for k, n, q in zip(pdf.hits, pdf.windows, p, strict=True)])
-
-    return d.mapInPandas(run, "site long, lag long, windows long, hits long, dependency double, p_value double")
-
-
-register("coupling_pvalues", coupling_pvalues)
-
-
 def field_modes(spark, sf_dir):
     """Sparse shared modes of the block field, for each band of blocks."""
     b = G.block_mean(I.field(spark, sf_dir), ["t"], "x", "y", 5, ["dx", "dy"], 40, 25)

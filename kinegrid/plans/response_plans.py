@@ -7,56 +7,46 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import components as C
 from ..operators import grids as G
+from ..operators import ranks as R
 from ..operators import windows as W
 from . import inputs as I
 from .join_plans import ACTIVE, PAIRS, active_cells, bad_cells
 from .registry import register
-from .window_plans import CLICKS, ONSETS, UNITS, onsets, onsets_whole
+from .window_plans import CLICKS, ONSETS, UNITS, clicked, onsets
 
 
-def event_hit_rates(spark, sf_dir, onsets=onsets):
-    """Of the windows of four frames after the onsets, those that hold an active frame of the site."""
-    p = I.patches(spark, sf_dir, "click").withColumn("active", F.col("v") > 0).withColumn("t", F.col("t").cast("long"))
-    frames = p.agg(F.max("frames")).first()[0]  # one number
-    h = W.hit_rate(p, onsets(spark, sf_dir), ["site"], "t", "active", 4, frames)
+def event_hit_rates(spark, sf_dir):
+    """Of the windows of four frames after the onsets of a site's region, those that hold an active frame of the site."""
+    h = W.hit_rate(clicked(spark, sf_dir), onsets(spark, sf_dir), ["site"], "t", "active", 4, I.span(spark, sf_dir), ["roi"])
     return h.select("site", "windows", "hits", S.r6(F.col("hits") / F.col("windows")).alias("rate"))
 
 
 register("event_hit_rates", event_hit_rates, f"""
-WITH {I.PATCHES}, {CLICKS}, {UNITS}, {ONSETS}, h AS (SELECT site, start, max(CAST(active AS INT)) AS hit FROM onsets JOIN clicks ON t >= start AND t < start + 4 GROUP BY ALL)
+WITH {I.PATCHES}, {CLICKS}, {UNITS}, {ONSETS}, h AS (SELECT site, start, max(CAST(active AS INT)) AS hit FROM onsets JOIN clicks ON site // 15 = roi AND t >= start AND t < start + 4 GROUP BY ALL)
 SELECT site, count(*) AS windows, CAST(sum(hit) AS BIGINT) AS hits, round(sum(hit) / count(*), 6) AS rate FROM h GROUP BY site""")
 
 
-def event_hit_rates_whole(spark, sf_dir):
-    """``event_hit_rates`` after the onsets of all sites."""
-    return event_hit_rates(spark, sf_dir, onsets_whole)
-
-
-register("event_hit_rates_whole", event_hit_rates_whole)
-
-
 def offset_curve(spark, sf_dir):
     """Score of each offset z0: sum over moving slices k of their correlation with reference slice z0 + 2 k; the first best wins.
 
-    Moving slices are the first three of a label, reference slices all of it, both in the order of their ids."""
-    p = I.pixels(spark, sf_dir)
-    order = p.select("label", "slice").distinct().withColumn("z", F.row_number().over(I.over("label").orderBy("slice")) - 1)
-    m = F.avg("v").over(I.over("slice"))
-    c = p.withColumn("c", F.col("v") - m)
-    c = c.withColumn("c", F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(I.over("slice")))).join(order, ["label", "slice"])
-    mov = c.where("z < 3").select("label", F.col("z").alias("k"), "p", F.col("c").alias("a"))
-    ref = c.select("label", "z", "p", F.col("c").alias("b"))
-    s = mov.join(ref, ["label", "p"]).groupBy("label", "k", "z").agg(F.sum(F.col("a") * F.col("b")).alias("r"))
-    curve = s.withColumn("z0", F.col("z") - 2 * F.col("k")).where("z0 >= 0").groupBy("label", "z0").agg(F.round(F.sum("r"), 6).alias("score"), F.count("*").alias("n")).where("n = 3")
-    return G.best(curve, ["label"], F.desc("score"), "z0").select("label", "z0", "score")
+    Every 32 vectors are a reference stack and every 8 of them a moving stack, in the order of their ids, so a slice
+    meets at most 8 others; a moving stack cut short by the table's end has no curve."""
+    p = I.pixels(spark, sf_dir).select("slice", "p", "v")
+    w = I.over("slice")
+    c = p.withColumn("c", F.col("v") - F.avg("v").over(w))
+    c = c.withColumn("c", F.try_divide("c", F.sqrt(F.sum(F.col("c") * F.col("c")).over(w)))).withColumn("stack", F.floor(F.col("slice") / 32))
+    mov = c.select("stack", F.floor(F.col("slice") / 8).alias("moving"), (F.col("slice") % 8).alias("k"), "p", F.col("c").alias("a"))
+    mov = mov.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(17).cast("long"))).alias("z0")).withColumn("z", F.col("z0") + 2 * F.col("k"))
+    ref = c.select("stack", (F.col("slice") % 32).alias("z"), "p", F.col("c").alias("b"))
+    s = mov.join(ref, ["stack", "z", "p"]).groupBy("moving", "z0").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("score"), F.countDistinct("k").alias("n")).where("n = 8")
+    return G.best(s, ["moving"], F.desc("score"), "z0").select("moving", "z0", "score")
 
 
 register("offset_curve", offset_curve, f"""
-WITH {I.PIXELS}, o AS (SELECT label, slice, row_number() OVER (PARTITION BY label ORDER BY slice) - 1 AS z FROM (SELECT DISTINCT label, slice FROM pixels)),
-c AS (SELECT label, slice, p, v - avg(v) OVER (PARTITION BY slice) AS c FROM pixels), n AS (SELECT label, slice, p, z, c / sqrt(sum(c*c) OVER (PARTITION BY slice)) AS c FROM c JOIN o USING (label, slice)),
-s AS (SELECT a.label, a.z AS k, b.z - 2 * a.z AS z0, sum(a.c * b.c) AS r FROM n a JOIN n b ON a.label = b.label AND a.p = b.p WHERE a.z < 3 AND b.z - 2 * a.z >= 0 GROUP BY ALL),
-q AS (SELECT label, z0, round(sum(r), 6) AS score FROM s GROUP BY ALL HAVING count(*) = 3)
-SELECT label, z0, score FROM q QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, z0) = 1""")
+WITH {I.PIXELS}, m AS (SELECT slice, p, v - avg(v) OVER (PARTITION BY slice) AS c FROM pixels), n AS (SELECT slice, p, c / sqrt(sum(c*c) OVER (PARTITION BY slice)) AS c FROM m),
+s AS (SELECT a.slice // 8 AS moving, b.slice % 32 - 2 * (a.slice % 8) AS z0, a.slice % 8 AS k, a.c * b.c AS r FROM n a JOIN n b ON a.slice // 32 = b.slice // 32 AND a.p = b.p WHERE b.slice % 32 - 2 * (a.slice % 8) BETWEEN 0 AND 17),
+q AS (SELECT moving, z0, round(sum(r), 6) AS score FROM s GROUP BY ALL HAVING count(DISTINCT k) = 8)
+SELECT moving, z0, score FROM q QUALIFY row_number() OVER (PARTITION BY moving ORDER BY score DESC, z0) = 1""")
 
 
 def mode_support(spark, sf_dir):
@@ -194,14 +184,14 @@ SELECT t, arg_max(z, (p99, -z)) AS by_top1, arg_max(z, (top, -z)) AS by_max FROM
 
 def top_components(spark, sf_dir):
     """The five components of the mask with the highest peaks: area, peak, mean and weighted place (a report of five)."""
-    cells = bad_cells(spark, sf_dir).join(I.cells(spark, sf_dir), ["x", "y"]).withColumn("node", F.col("x") * 1000 + F.col("y"))
+    cells = bad_cells(spark, sf_dir).join(I.cells(spark, sf_dir), ["x", "y"]).withColumn("node", G.cell_key("x", "y"))
     c = C.components(cells.select("node"), G.neighbours(cells.select("x", "y", "node"), "node", []))
     r = cells.join(c, "node").groupBy("component").agg(F.count("*").alias("area"), S.r6(F.max("dx")).alias("peak"), S.r6(F.avg("dx")).alias("mean"), F.round(F.sum(F.col("dx") * F.col("x")) / F.sum("dx"), 5).alias("cx")).where("area >= 3")
     return r.orderBy(F.desc("peak"), "component").limit(5)
 
 
 register("top_components", top_components, f"""
-WITH RECURSIVE {I.CELLS}, bad AS (SELECT x, y, dx FROM cells WHERE dx > 27), n AS (SELECT x, y, dx, x * 1000 + y AS node FROM bad), e AS (SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.node <> b.node),
+WITH RECURSIVE {I.CELLS}, bad AS (SELECT x, y, dx FROM cells WHERE dx > 27), n AS (SELECT x, y, dx, x * 4294967296 + y AS node FROM bad), e AS (SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.node <> b.node),
 r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)
 SELECT component, count(*) AS area, round(max(dx), 6) AS peak, round(avg(dx), 6) AS mean, round(sum(dx * x) / sum(dx), 5) AS cx FROM n JOIN c USING (node) GROUP BY component HAVING count(*) >= 3 ORDER BY peak DESC, component LIMIT 5""")
 
@@ -209,17 +199,17 @@ SELECT component, count(*) AS area, round(max(dx), 6) AS peak, round(avg(dx), 6)
 def bad_boxes(spark, sf_dir):
     """Control points whose error is an outlier, in components of two at least (four neighbours), as padded boxes."""
     c = I.cells(spark, sf_dir).where("x % 2 = 1 and y % 2 = 1").select(((F.col("x") - 1) / 2).cast("long").alias("x"), ((F.col("y") - 1) / 2).cast("long").alias("y"), "dx")
-    m = c.agg(F.percentile("dx", F.lit(0.5)).alias("med"))
-    d = c.join(F.broadcast(m)).withColumn("d", F.abs(F.col("dx") - F.col("med")))
-    mad = d.agg(F.percentile("d", F.lit(0.5)).alias("mad"))
-    bad = d.join(F.broadcast(mad)).where("d > 1.4826 * mad * 1.0").select("x", "y").withColumn("node", F.col("x") * 1000 + F.col("y"))
+    med = R.quantiles(c, "dx", [0.5])[0]
+    d = c.withColumn("d", F.abs(F.col("dx") - F.lit(med)))
+    mad = R.quantiles(d, "d", [0.5])[0]
+    bad = d.where(F.col("d") > 1.4826 * F.lit(mad)).select("x", "y").withColumn("node", G.cell_key("x", "y"))
     comp = C.components(bad.select("node"), G.neighbours(bad, "node", [], False))
     return bad.join(comp, "node").groupBy("component").agg(F.count("*").alias("points"), F.greatest(F.lit(0), F.min("x") * 2 - 1).alias("x0"), F.least(F.lit(39), F.max("x") * 2 + 3).alias("x1"), F.greatest(F.lit(0), F.min("y") * 2 - 1).alias("y0"), F.least(F.lit(24), F.max("y") * 2 + 3).alias("y1")).where("points >= 2")
 
 
 register("bad_boxes", bad_boxes, f"""
 WITH RECURSIVE {I.CELLS}, c AS (SELECT (x - 1) // 2 AS x, (y - 1) // 2 AS y, dx FROM cells WHERE x % 2 = 1 AND y % 2 = 1), d AS (SELECT x, y, abs(dx - (SELECT quantile_cont(dx, 0.5) FROM c)) AS d FROM c),
-n AS (SELECT x, y, x * 1000 + y AS node FROM d WHERE d > 1.4826 * (SELECT quantile_cont(d, 0.5) FROM d)), e AS (SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON abs(a.x - b.x) + abs(a.y - b.y) = 1),
+n AS (SELECT x, y, x * 4294967296 + y AS node FROM d WHERE d > 1.4826 * (SELECT quantile_cont(d, 0.5) FROM d)), e AS (SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON abs(a.x - b.x) + abs(a.y - b.y) = 1),
 r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), k AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)
 SELECT component, count(*) AS points, greatest(0, min(x)*2 - 1) AS x0, least(39, max(x)*2 + 3) AS x1, greatest(0, min(y)*2 - 1) AS y0, least(24, max(y)*2 + 3) AS y1 FROM n JOIN k USING (node) GROUP BY component HAVING count(*) >= 2""")
 

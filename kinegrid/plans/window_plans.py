@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import grids as G
 from ..operators import windows as W
 from . import inputs as I
 from .registry import register
@@ -175,56 +176,78 @@ SELECT site, round(avg(hit), 6) AS prob FROM a WHERE n = 5 GROUP BY site""")
 
 
 def onsets(spark, sf_dir):
-    """First days of the merged active intervals of one class of sites."""
-    u = units(spark, sf_dir).where("site % 10 = 0").select("t0", "t1").distinct().withColumn("k", F.lit(0))  # as many as pairs of frames at most
-    return W.union_intervals(u, ["k"], "t0", "t1", 0).select(F.col("t0").alias("start"))
+    """(roi, start): first days of the merged active intervals of each region of interest, a row of the site grid."""
+    u = units(spark, sf_dir).select(F.floor(F.col("site") / I.WIDTH).alias("roi"), "t0", "t1").distinct()
+    return W.union_intervals(u, ["roi"], "t0", "t1", 0).select("roi", F.col("t0").alias("start"))
 
 
-def onsets_whole(spark, sf_dir):
-    """First days of the merged active intervals of all sites."""
-    u = units(spark, sf_dir).select("t0", "t1").distinct().withColumn("k", F.lit(0))  # as many as pairs of frames at most
-    return W.union_intervals(u, ["k"], "t0", "t1", 0).select(F.col("t0").alias("start"))
+ONSETS = """
+o1 AS (SELECT site // 15 AS roi, t0, t1, CASE WHEN t0 <= max(t1) OVER (PARTITION BY site // 15 ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM units),
+o2 AS (SELECT *, sum(fresh) OVER (PARTITION BY roi ORDER BY t0, t1 ROWS UNBOUNDED PRECEDING) AS run FROM o1),
+onsets AS (SELECT roi, min(t0) AS start FROM o2 GROUP BY roi, run)"""
 
 
-ONSETS = """
-o1 AS (SELECT t0, t1, CASE WHEN t0 <= max(t1) OVER (ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM units WHERE site % 10 = 0),
-o2 AS (SELECT *, sum(fresh) OVER (ORDER BY t0, t1 ROWS UNBOUNDED PRECEDING) AS run FROM o1),
-onsets AS (SELECT min(t0) AS start FROM o2 GROUP BY run)"""
+def clicked(spark, sf_dir):
+    """(site, roi, t, frames, active) of the second channel."""
+    return I.patches(spark, sf_dir, "click").select("site", F.floor(F.col("site") / I.WIDTH).alias("roi"), "t", "frames", (F.col("v") > 0).alias("active"))
 
 
-def lag_coupling(spark, sf_dir, onsets=onsets):
-    """Best lag of each site: hit rate of windows after the onsets against the baseline; the earliest lag wins ties."""
-    p = I.patches(spark, sf_dir, "click").withColumn("active", F.col("v") > 0)
-    frames = p.agg(F.max("frames")).first()[0]  # one number
-    starts = onsets(spark, sf_dir).join(F.broadcast(spark.range(0, 6).select(F.col("id").alias("lag"))))
-    order = I.over("site").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    running = p.select("site", F.col("t").cast("long").alias("t"), F.sum(F.col("active").cast("int")).over(order).alias("c"))
-    spans = starts.select("lag", (F.col("start") + F.col("lag")).alias("s"), F.least(F.lit(frames), F.col("start") + F.col("lag") + 3).cast("long").alias("e")).where("s < e")
-    ends = running.join(F.broadcast(spans), F.col("t") == F.col("e") - 1).select("site", "lag", "s", F.col("c").alias("hi"))
-    before = running.select("site", (F.col("t") + 1).alias("s"), F.col("c").alias("lo"))
-    hit = ends.join(before, ["site", "s"], "left").groupBy("site", "lag").agg(F.count("*").alias("windows"), F.sum((F.col("hi") - F.coalesce("lo", F.lit(0)) > 0).cast("int")).alias("hits"))
+def coupled(spark, sf_dir, lags):
+    """Of each site the lag whose windows after the onsets of its region are hit most above the baseline; ``prob`` unrounded."""
+    p = clicked(spark, sf_dir)
+    frames = I.span(spark, sf_dir)
+    lag = F.explode(F.array(*(F.lit(k) for k in lags))).alias("lag")
+    starts = onsets(spark, sf_dir).select("roi", "start", lag).select("roi", F.col("lag").cast("long").alias("lag"), (F.col("start") + F.col("lag")).alias("start"))
+    hit = W.hit_rate(p, starts.where(f"start >= 0 and start < {frames}"), ["site"], "t", "active", 3, frames, ["roi"], ["lag"])
     base = W.window_probability(p, ["site"], "t", "active", 3)
     d = hit.join(base, "site").withColumn("dependency", F.round(F.col("hits") / F.col("windows") - F.col("prob"), 6))
-    best = d.withColumn("k", F.row_number().over(I.over("site").orderBy(F.desc("dependency"), "lag"))).where("k = 1")
-    return best.select("site", "lag", "windows", "hits", "dependency")
+    return G.best(d, ["site"], F.desc("dependency"), "lag").select("site", "lag", "windows", "hits", "dependency", "prob")
+
+
+def lag_coupling(spark, sf_dir):
+    """Best lag of each site: hit rate of windows after the onsets against the baseline; the earliest lag wins ties."""
+    return coupled(spark, sf_dir, range(6)).drop("prob")
 
 
-register("lag_coupling", lag_coupling, f"""
+def coupled_sql(lags):
+    return f"""
 WITH {I.PATCHES}, {CLICKS}, {UNITS}, {ONSETS},
-sp AS (SELECT l AS lag, start + l AS s, least((SELECT max(frames) FROM patches), start + l + 3) AS e FROM onsets, (SELECT unnest(range(0, 6)) AS l)),
-h AS (SELECT c.site, sp.lag, sp.s, sp.e, max(CAST(active AS INT)) AS hit FROM sp JOIN clicks c ON c.t >= sp.s AND c.t < sp.e WHERE sp.s < sp.e GROUP BY ALL),
+sp AS (SELECT roi, l AS lag, start + l AS s, least((SELECT max(frames) FROM patches), start + l + 3) AS e FROM onsets, (SELECT unnest({lags}) AS l) WHERE start + l >= 0),
+h AS (SELECT c.site, sp.lag, sp.s, sp.e, max(CAST(active AS INT)) AS hit FROM sp JOIN clicks c ON c.site // 15 = sp.roi AND c.t >= sp.s AND c.t < sp.e WHERE sp.s < sp.e GROUP BY ALL),
 r AS (SELECT site, lag, count(*) AS windows, sum(hit) AS hits FROM h GROUP BY ALL),
 b AS (SELECT site, avg(hit) AS prob FROM (SELECT site, max(CAST(active AS INT)) OVER w AS hit, count(*) OVER w AS n FROM clicks WINDOW w AS (PARTITION BY site ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) WHERE n = 3 GROUP BY site),
-d AS (SELECT r.*, round(hits / windows - prob, 6) AS dependency FROM r JOIN b USING (site))
-SELECT site, lag, windows, hits, dependency FROM d QUALIFY row_number() OVER (PARTITION BY site ORDER BY dependency DESC, lag) = 1""")
+d AS (SELECT r.*, prob, round(hits / windows - prob, 6) AS dependency FROM r JOIN b USING (site)),
+best AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY site ORDER BY dependency DESC, lag) = 1)"""
+
+
+register("lag_coupling", lag_coupling, f"{coupled_sql('range(0, 6)')} SELECT site, lag, windows, hits, dependency FROM best")
+
+
+def lags_around(spark, sf_dir):
+    """The same with lags on both sides of the onsets."""
+    return coupled(spark, sf_dir, range(-4, 5)).drop("prob")
+
+
+register("lags_around", lags_around, f"{coupled_sql('range(-4, 5)')} SELECT site, lag, windows, hits, dependency FROM best")
 
 
-def lag_coupling_whole(spark, sf_dir):
-    """``lag_coupling`` after the onsets of all sites."""
-    return lag_coupling(spark, sf_dir, onsets_whole)
+def coupling_pvalues(spark, sf_dir):
+    """Binomial tail of the best lag's hits at the baseline rate: terms of the sum by logs of factorials, which are sums
+    of logs over as many rows as there are windows (the largest count of windows is one number)."""
+    d = coupled(spark, sf_dir, range(6))
+    n, k, p = F.col("windows"), F.col("hits"), F.col("prob")
+    whole = F.expr("aggregate(sequence(1L, greatest(1L, windows)), cast(0.0 as double), (a, i) -> a + ln(i))")
+    terms = d.withColumn("whole", whole).select("*", F.explode(F.expr("sequence(hits, windows)")).alias("i"))
+    part = lambda c: F.expr(f"aggregate(sequence(1L, greatest(1L, {c})), cast(0.0 as double), (a, j) -> a + ln(j))")
+    log = F.col("whole") - part("i") - part("windows - i") + F.col("i") * F.log(p) + (n - F.col("i")) * F.log1p(-p)
+    tail = terms.where("prob > 0 and prob < 1").groupBy("site").agg(F.sum(F.exp(log)).alias("tail"))
+    value = F.when(k <= 0, 1.0).when(p <= 0, 0.0).when(p >= 1, 1.0).otherwise(F.least(F.lit(1.0), F.col("tail")))
+    return d.join(tail, "site", "left").select("site", "lag", "windows", "hits", "dependency", F.round(value, 6).alias("p_value"))
 
 
-register("lag_coupling_whole", lag_coupling_whole)
+register("coupling_pvalues", coupling_pvalues, f"""{coupled_sql('range(0, 6)')},
+tail AS (SELECT site, sum(exp(lgamma(windows + 1) - lgamma(i + 1) - lgamma(windows - i + 1) + i * ln(prob) + (windows - i) * ln(1 - prob))) AS tail FROM (SELECT *, unnest(range(CAST(hits AS BIGINT), windows + 1)) AS i FROM best WHERE prob > 0 AND prob < 1) GROUP BY site)
+SELECT site, lag, windows, hits, dependency, round(CASE WHEN hits <= 0 THEN 1.0 WHEN prob <= 0 THEN 0.0 WHEN prob >= 1 THEN 1.0 ELSE least(1.0, tail) END, 6) AS p_value FROM best LEFT JOIN tail USING (site)""")
 
 
 def lag_correlation(spark, sf_dir):
