@@ -32,6 +32,7 @@ no rows; further columns are ignored; a document without an id is kept whole and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -176,6 +177,7 @@ class Shard:
         if places:
             self.automaton.make_automaton()
         self.empty = not places
+        self.known = re.compile(f"[^\0]{{{window},}}")
 
     def code(self, words: list[bytes], learn: bool = False) -> str:
         if learn:
@@ -191,17 +193,18 @@ class Shard:
         if self.empty or len(words) < self.window:
             return []
         text, seen, spans = self.code(words), {}, []
-        for end, where in self.automaton.iter(text):
-            start = end - self.phrase + 1
-            for p, at in where:
-                if self.owners[p] >= doc_id or seen.get((p, start - at), -1) >= end:
-                    continue
-                passage = self.passages[p]
-                right = end + _common(text, end + 1, passage, at + self.phrase, 1)
-                left = start - _common(text, start - 1, passage, at - 1, -1) if start and at else start
-                seen[p, start - at] = right
-                if right - left + 1 >= self.window:
-                    spans.append((left, right + 1))
+        for known in self.known.finditer(text):  # between words that no passage has, an occurrence fits in
+            for end, where in self.automaton.iter(text, known.start(), known.end()):
+                start = end - self.phrase + 1
+                for p, at in where:
+                    if self.owners[p] >= doc_id or seen.get((p, start - at), -1) >= end:
+                        continue
+                    passage = self.passages[p]
+                    right = end + _common(text, end + 1, passage, at + self.phrase, 1)
+                    left = start - _common(text, start - 1, passage, at - 1, -1) if start and at else start
+                    seen[p, start - at] = right
+                    if right - left + 1 >= self.window:
+                        spans.append((left, right + 1))
         return spans
 
 
