@@ -6,23 +6,25 @@ import math
 
 import numpy as np
 
+from .registration import mean_box
+
 
 def dtw(x: np.ndarray, y: np.ndarray) -> float:
-    """Dynamic time warping distance with absolute cost, divided by the two lengths; infinite for an empty trace."""
+    """Dynamic time warping distance with absolute cost, divided by the two lengths; infinite for an empty trace.
+
+    Cells of one anti-diagonal depend on the two before it alone, so each is one array operation."""
     n, m = len(x), len(y)
     if not n or not m:
         return math.inf
-    cost = np.abs(np.asarray(x, float)[:, None] - np.asarray(y, float)[None, :])
-    row = np.cumsum(cost[0])
-    for i in range(1, n):
-        up = np.minimum(row, np.append(np.inf, row[:-1]))  # from above or diagonally
-        new = np.empty(m)
-        best = np.inf
-        for j in range(m):
-            best = min(best, up[j]) + cost[i, j]
-            new[j] = best
-        row = new
-    return float(row[-1] / (n + m))
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    older, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # by row, from 1; row 0 is the border
+    older[0] = 0.0
+    for k in range(n + m - 1):
+        i = np.arange(max(0, k - m + 1), min(n, k + 1))
+        now = np.full(n + 1, np.inf)
+        now[i + 1] = np.abs(x[i] - y[k - i]) + np.minimum(np.minimum(last[i], last[i + 1]), older[i])
+        older, last = last, now
+    return float(last[n] / (n + m))
 
 
 def signed_dtw(x: np.ndarray, y: np.ndarray) -> tuple[float, int]:
@@ -84,127 +86,18 @@ def rest_state(a: np.ndarray, time: int = 21, space: int = 5, scale: float = 5.0
     return med + scale * 1.4826 * local_median(np.abs(a - med), (min(most, max(1, len(a) // 4)), 1, 1))
 
 
-def shift_rows(a: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
-    """Bilinear samples of a at (x + dx, y + dy), clamped to the image."""
-    h, w = a.shape
-    y, x = np.mgrid[:h, :w]
-    x, y = np.clip(x + dx, 0, w - 1), np.clip(y + dy, 0, h - 1)
-    x0, y0 = np.minimum(x.astype(int), w - 2), np.minimum(y.astype(int), h - 2)
-    fx, fy = x - x0, y - y0
-    return (a[y0, x0] * (1 - fx) + a[y0, x0 + 1] * fx) * (1 - fy) + (a[y0 + 1, x0] * (1 - fx) + a[y0 + 1, x0 + 1] * fx) * fy
-
-
-def box(a: np.ndarray, r: int) -> np.ndarray:
-    """Box means of radius r, borders repeated."""
-    for axis in (0, 1):
-        p = np.pad(a, [(r + 1, r) if i == axis else (0, 0) for i in (0, 1)], mode="edge").cumsum(axis)
-        n = a.shape[axis]
-        a = (np.take(p, range(2 * r + 1, 2 * r + 1 + n), axis) - np.take(p, range(n), axis)) / (2 * r + 1)
-    return a
-
-
-def halve(a: np.ndarray) -> np.ndarray:
-    h, w = (n // 2 * 2 for n in a.shape)
-    return a[:h, :w].reshape(h // 2, 2, w // 2, 2).mean((1, 3))
-
-
-def enlarge(a: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """Bilinear enlargement on an endpoint-inclusive grid."""
-    h, w = a.shape
-    if h < 2 or w < 2:
-        return np.full(shape, a.mean())
-    y, x = np.linspace(0, h - 1, shape[0])[:, None], np.linspace(0, w - 1, shape[1])[None, :]
-    y0, x0 = np.minimum(y.astype(int), h - 2), np.minimum(x.astype(int), w - 2)
-    fy, fx = y - y0, x - x0
-    return (a[y0, x0] * (1 - fx) + a[y0, x0 + 1] * fx) * (1 - fy) + (a[y0 + 1, x0] * (1 - fx) + a[y0 + 1, x0 + 1] * fx) * fy
-
-
-def flow(moving: np.ndarray, reference: np.ndarray, layers: int = 3, radius: int = 5, rounds: int = 12, smooth: float = 0.05, step: float = 1.0, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Displacement (dx, dy) with moving(x + dx, y + dy) = reference(x, y), coarse to fine, and the errors by round.
-
-    Each round warps, solves the regularised 2 x 2 system of every neighbourhood in closed form, limits the step,
-    pulls the field towards its neighbourhood mean, and stops when it gains no more.
-    """
-    pyramid = [(np.asarray(moving, float), np.asarray(reference, float))]
-    while len(pyramid) < layers and min(pyramid[-1][0].shape) >= 16:
-        pyramid.append(tuple(halve(a) for a in pyramid[-1]))
-    dx = np.zeros(pyramid[-1][0].shape)
-    dy, errors = dx.copy(), []
-    for mov, ref in reversed(pyramid):
-        if dx.shape != mov.shape:
-            dx, dy = enlarge(dx, mov.shape) * mov.shape[1] / dx.shape[1], enlarge(dy, mov.shape) * mov.shape[0] / dy.shape[0]
-        last = math.inf
-        for _ in range(rounds):
-            warped = shift_rows(mov, dx, dy)
-            rest = ref - warped
-            error = float((rest * rest).mean())
-            errors.append(error)
-            if last - error < tolerance * max(last, 1e-12) and last < math.inf:
-                break
-            last = error
-            gy, gx = np.gradient(warped)
-            floor = smooth * (gx * gx + gy * gy).mean() + 1e-9
-            a, b, c = box(gx * gx, radius) + floor, box(gx * gy, radius), box(gy * gy, radius) + floor
-            p, q = box(gx * rest, radius), box(gy * rest, radius)
-            det = a * c - b * b
-            dx = dx + np.clip((c * p - b * q) / det, -step, step)
-            dy = dy + np.clip((a * q - b * p) / det, -step, step)
-            dx, dy = (1 - smooth) * dx + smooth * box(dx, 1), (1 - smooth) * dy + smooth * box(dy, 1)
-    return dx, dy, errors
-
-
 def ssim_difference(a: np.ndarray, b: np.ndarray, radius: int = 5) -> np.ndarray:
     """1 - local structural similarity over boxes."""
     a, b = np.asarray(a, float), np.asarray(b, float)
     span = max(float(max(a.max(), b.max()) - min(a.min(), b.min())), 1e-12)
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
-    ma, mb = box(a, radius), box(b, radius)
-    va, vb = box((a - ma) ** 2, radius), box((b - mb) ** 2, radius)
-    ab = box((a - ma) * (b - mb), radius)
+    box = lambda x: mean_box(x, (radius,) * a.ndim)
+    ma, mb = box(a), box(b)
+    va, vb = box((a - ma) ** 2), box((b - mb) ** 2)
+    ab = box((a - ma) * (b - mb))
     return 1 - (2 * ma * mb + c1) * (2 * ab + c2) / ((ma**2 + mb**2 + c1) * (va + vb + c2))
 
 
-def reliability(a: np.ndarray, radius: int = 3, q: float = 0.95) -> np.ndarray:
-    """Gradient energy times intensity by neighbourhood, scaled by its quantile and cut at 1."""
-    gy, gx = np.gradient(np.asarray(a, float))
-    r = box(np.hypot(gx, gy), radius) * box(np.abs(a), radius)
-    return np.minimum(1, r / max(float(np.quantile(r, q)), 1e-12))
-
-
-def fit_modes(y: np.ndarray, most: int = 4, sparse: float = 0.05, ridge: float = 1e-6, rounds: int = 200, tolerance: float = 1e-4, target: float = 0.85) -> tuple[np.ndarray, np.ndarray, float]:
-    """Shared activations h (k, t) and vector responses b (k, n, 2) of y (t, n, 2), and the explained part.
-
-    k is the least rank that explains the target. Activations are least squares, normalised; a patch's response
-    to a mode shrinks by a group threshold, so that a mode keeps few patches. Each half step can only lower the
-    objective; rounds stop when it gains no more.
-    """
-    t, n, _ = y.shape
-    flat = y.reshape(t, -1)
-    u, s, _ = np.linalg.svd(flat, full_matrices=False)
-    energy = np.cumsum(s**2) / max(float((s**2).sum()), 1e-300)
-    k = int(np.clip(np.searchsorted(energy, target) + 1, 1, min(most, len(s))))
-    h = u[:, :k].T.copy()
-    b = np.zeros((k, n, 2))
-    last = math.inf
-    for _ in range(rounds):
-        gram = h @ h.T + ridge * np.eye(k)
-        rate = 1 / np.linalg.norm(gram, 2)
-        for _ in range(5):
-            b = b - rate * ((gram @ b.reshape(k, -1)) - h @ flat).reshape(k, n, 2)
-            size = np.linalg.norm(b, axis=2, keepdims=True)
-            b *= np.maximum(0, 1 - rate * sparse / np.maximum(size, 1e-300))
-        g = b.reshape(k, -1)
-        h = np.linalg.solve(g @ g.T + ridge * np.eye(k), g @ flat.T)
-        scale = np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-12)
-        h, b = h / scale, b * scale[:, :, None]
-        value = 0.5 * float(((flat - h.T @ b.reshape(k, -1)) ** 2).sum()) + sparse * float(np.linalg.norm(b, axis=2).sum())
-        if last - value < tolerance * max(abs(value), 1e-12):
-            break
-        last = value
-    total = float((flat**2).sum())
-    return h, b, 1 - float(((flat - h.T @ b.reshape(k, -1)) ** 2).sum()) / total if total else 0.0
-
-
 def resize_weights(size: int, out: int, kernel: str = "cubic") -> tuple[np.ndarray, np.ndarray]:
     """Source indices and weights (out, taps) of antialiased resizing along one axis, borders mirrored."""
     def cubic(x: np.ndarray) -> np.ndarray:
@@ -249,7 +142,7 @@ def motion_field(shape: tuple[int, int], amplitude: float, radius: int, seed: in
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(2):
-        f = box(box(rng.normal(size=shape), radius), radius)
+        f = mean_box(mean_box(rng.normal(size=shape), (radius, radius)), (radius, radius))
         out.append(amplitude * (f - f.mean()) / max(float(f.std()), 1e-12))
     return out[0], out[1]
 

@@ -75,6 +75,16 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 CELLS = "cells AS (SELECT l_partkey % 40 AS x, l_suppkey % 25 AS y, avg(l_quantity) AS dx, avg(l_discount * 100) AS dy FROM lineitem GROUP BY ALL)"
 
 
+def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(t, x, y, z, v): mean quantity by year and cell of a 40 x 25 x 7 volume."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.year("l_shipdate").cast("long").alias("t"), (F.col("l_partkey") % 40).alias("x"), (F.col("l_suppkey") % 25).alias("y"), (F.col("l_linenumber") - 1).cast("long").alias("z")).agg(F.avg("l_quantity").alias("v"))
+
+
+VOLUME = """
+volume AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS t, l_partkey % 40 AS x, l_suppkey % 25 AS y, CAST(l_linenumber - 1 AS BIGINT) AS z, avg(l_quantity) AS v FROM lineitem GROUP BY ALL)"""
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(slice, label, p, v): embeddings as slices of 64 pixels."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slice"), "label", F.posexplode("embedding").alias("p", "v")).select("slice", "label", "p", F.col("v").cast("double").alias("v"))

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from ..operators import components as C
 from ..operators import grids as G
 from ..operators import kernels as K
+from ..operators import modes as M
+from ..operators import registration as R
 from . import inputs as I
 from .join_plans import active_cells, compatible_regions
+from .registration_plans import image
 from .registry import register
 
 
@@ -60,41 +63,42 @@ register("region_patterns", region_patterns)
 
 
 def field_modes(spark, sf_dir):
-    """Sparse shared modes of the block field, for each band of blocks."""
+    """Sparse, compact shared modes of the block field, for each band of blocks, with what each adds."""
     b = G.block_mean(I.field(spark, sf_dir), ["t"], "x", "y", 5, ["dx", "dy"], 40, 25)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, n = np.unique(pdf.t, return_inverse=True)
-        x, m = np.unique(pdf.bx, return_inverse=True)
-        y = np.zeros((len(t), len(x), 2))
-        y[n, m, 0], y[n, m, 1] = pdf.dx - pdf.dx.mean(), pdf.dy - pdf.dy.mean()
-        h, r, explained = K.fit_modes(y, sparse=0.5)
-        mass = np.linalg.norm(r, axis=2).sum(1)
-        return pd.DataFrame({"band": pdf["by"].iloc[0], "mode": range(len(h)), "activation": list(h), "mass": mass.round(6), "explained": round(explained, 6)})
+        y, coords = band_field(pdf)
+        m = M.fit_modes(y, coords)
+        mass, part = np.hypot(m.b[..., 0], m.b[..., 1]).sum(1), M.contributions(y, m)
+        return pd.DataFrame({"band": pdf["by"].iloc[0], "mode": range(len(m.h)), "activation": list(m.h), "support": m.support.sum(1), "mass": mass.round(6), "contribution": part.round(6), "explained": round(m.explained, 6)})
 
-    return b.groupBy("by").applyInPandas(fit, "band long, mode int, activation array<double>, mass double, explained double")
+    return b.groupBy("by").applyInPandas(fit, "band long, mode int, activation array<double>, support long, mass double, contribution double, explained double")
+
+
+def band_field(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The field (t, n, 2) of one band around its mean, missing blocks at rest, and the blocks' places."""
+    t, n = np.unique(pdf.t, return_inverse=True)
+    x, m = np.unique(pdf.bx, return_inverse=True)
+    y = np.zeros((len(t), len(x), 2))
+    y[n, m, 0], y[n, m, 1] = pdf.dx - pdf.dx.mean(), pdf.dy - pdf.dy.mean()
+    return y, np.stack([x.astype(float), np.full(len(x), float(pdf["by"].iloc[0]))], 1)
 
 
 register("field_modes", field_modes)
 
 
-def registered_frames(spark, sf_dir):
-    """Each month's field image registered to its year's mean image: mean displacement and error before and after."""
-    f = I.field(spark, sf_dir).select("t", F.floor(F.col("t") / 12).alias("year"), "x", "y", "dx")
-    ref = f.groupBy("year", "x", "y").agg(F.avg("dx").alias("r"))
-    j = f.join(ref, ["year", "x", "y"])
+def energy_ranks(spark, sf_dir):
+    """Of each band the least rank that explains 85 hundredths of its energy, and the shares of the first four."""
+    b = G.block_mean(I.field(spark, sf_dir), ["t"], "x", "y", 5, ["dx", "dy"], 40, 25)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.full((40, 25), 25.0), np.full((40, 25), 25.0)
-        a[pdf.x, pdf.y], b[pdf.x, pdf.y] = pdf.dx, pdf.r
-        dx, dy, errors = K.flow(K.box(a, 1), K.box(b, 1), layers=2, radius=3)
-        diff = K.ssim_difference(K.shift_rows(K.box(a, 1), dx, dy), K.box(b, 1), 3)
-        return pd.DataFrame({"t": [pdf.t.iloc[0]], "mean_dx": [round(float(dx.mean()), 6)], "mean_dy": [round(float(dy.mean()), 6)], "error_before": [round(errors[0], 6)], "error_after": [round(min(errors), 6)], "structure": [round(float(diff.mean()), 6)]})
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, share = M.energy_rank(band_field(pdf)[0])
+        return pd.DataFrame({"band": [pdf["by"].iloc[0]], "rank": [k], "shares": [np.round(share[:4], 6)]})
 
-    return j.groupBy("t").applyInPandas(solve, "t long, mean_dx double, mean_dy double, error_before double, error_after double, structure double")
+    return b.groupBy("by").applyInPandas(rank, "band long, rank int, shares array<double>")
 
 
-register("registered_frames", registered_frames)
+register("energy_ranks", energy_ranks)
 
 
 def resized_field(spark, sf_dir):
@@ -133,22 +137,19 @@ register("pattern_modes", pattern_modes)
 def simulated_recovery(spark, sf_dir):
     """A sweep of amplitudes, radii and noise: planted motion on the mean field, registered back; seeds are the rows' own."""
     grid = spark.range(0, 24).select("id", (F.col("id") % 4 * 0.4 + 0.4).alias("amplitude"), (F.floor(F.col("id") / 4) % 3 * 2 + 4).alias("radius"), (F.floor(F.col("id") / 12) * 0.05).alias("noise"))
-    image = F.struct("x", "y", "dx")
-    cells = I.cells(spark, sf_dir).agg(F.collect_list(image).alias("cells"))  # the grid's 1000 cells at most
+    cells = I.cells(spark, sf_dir).agg(F.collect_list(F.struct("x", "y", "dx")).alias("cells"))  # the grid's 1000 cells at most
     rows = grid.join(F.broadcast(cells))
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                a = np.full((40, 25), 25.0)
-                for c in r.cells:
-                    a[c["x"], c["y"]] = c["dx"]
-                a = K.enlarge(K.box(a, 2), (80, 50))
-                gx, gy = K.motion_field(a.shape, r.amplitude, int(r.radius), int(r.id))
-                moved = K.shift_rows(a, -gx, -gy) + np.random.default_rng(int(r.id) + 1000).normal(scale=r.noise, size=a.shape)
-                dx, dy, errors = K.flow(moved, a, layers=2, radius=4)
-                out.append((r.id, r.amplitude, r.radius, r.noise, round(float(np.hypot(dx - gx, dy - gy)[6:-6, 6:-6].mean()), 6), round(errors[0], 6), round(min(errors), 6)))
+                a = R.resize(R.mean_box(image([c["x"] for c in r.cells], [c["y"] for c in r.cells], [c["dx"] for c in r.cells]), (2, 2)), (80, 50))
+                u = np.stack(K.motion_field(a.shape, r.amplitude, int(r.radius), int(r.id)))
+                moved = R.warp(a, -u) + np.random.default_rng(int(r.id) + 1000).normal(scale=r.noise, size=a.shape)
+                m = R.flow(moved, a, layers=2, radius=4)
+                off = np.hypot(*(m.field - u))[6:-6, 6:-6]
+                out.append((r.id, r.amplitude, r.radius, r.noise, round(float(off.mean()), 6), round(m.before, 6), round(m.after, 6)))
             yield pd.DataFrame(out, columns=["id", "amplitude", "radius", "noise", "endpoint_error", "error_before", "error_after"])
 
     return rows.repartition(8, "id").mapInPandas(run, "id long, amplitude double, radius long, noise double, endpoint_error double, error_before double, error_after double")
