@@ -7,9 +7,12 @@ decoding runs in Arrow batches.
 from __future__ import annotations
 
 import ast
+import io
 import json
 import re
 import struct
+import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +64,108 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "file string, position long, value double")
 
 
+def parse_npz(data: bytes) -> dict[str, np.ndarray]:
+    """The arrays of an .npz file (a zip of .npy members), by name; damaged archives and members raise ValueError."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            return {n.removesuffix(".npy"): parse_npy(z.read(n)) for n in z.namelist() if n.endswith(".npy")}
+    except (zipfile.BadZipFile, zlib.error, EOFError) as e:
+        raise ValueError("not a whole npz file") from e
+
+
+def npz_bytes(arrays: dict[str, np.ndarray], compressed: bool = True) -> bytes:
+    """An .npz file of arrays of the element types that are read."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if compressed else zipfile.ZIP_STORED) as z:
+        for name, a in arrays.items():
+            a = np.ascontiguousarray(a)
+            if a.dtype.str not in TYPES:
+                raise ValueError(f"elements of type {a.dtype.str} are not written")
+            head = f"{{'descr': '{a.dtype.str}', 'fortran_order': False, 'shape': {a.shape!r}, }}".encode("latin1")
+            head += b" " * (-(len(head) + 11) % 64) + b"\n"
+            z.writestr(f"{name}.npy", MAGIC + b"\x01\x00" + struct.pack("<H", len(head)) + head + a.tobytes())
+    return out.getvalue()
+
+
+def read_npz(spark: SparkSession, path: str) -> DataFrame:
+    """(file, array, shape, position, value): elements of the arrays of all .npz files below a path; NaN becomes null."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                for name, a in parse_npz(data).items():
+                    flat = a.ravel().astype(np.float64)
+                    for lo in range(0, len(flat), 1 << 17):
+                        part = flat[lo : lo + (1 << 17)]
+                        n = len(part)
+                        yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array([name] * n), pa.array([list(a.shape)] * n, pa.list_(pa.int64())), pa.array(np.arange(lo, lo + n)), pa.array(part, from_pandas=True)], names=["file", "array", "shape", "position", "value"])
+
+    return files.select("path", "content").mapInArrow(run, "file string, array string, shape array<long>, position long, value double")
+
+
+SPARSE = 0.2  # largest part of true elements that is stored as places
+
+
+def encode_mask(mask: np.ndarray) -> bytes:
+    """A mask as an .npz: places of the true elements where they are few, packed bits otherwise."""
+    mask = np.asarray(mask, bool)
+    shape = np.array(mask.shape, "<i8")
+    if mask.mean() <= SPARSE if mask.size else True:
+        return npz_bytes({"shape": shape, "places": np.flatnonzero(mask).astype("<i8")})
+    return npz_bytes({"shape": shape, "bits": np.packbits(mask)})
+
+
+def decode_mask(data: bytes) -> np.ndarray:
+    a = parse_npz(data)
+    if "shape" not in a or not {"places", "bits"} & a.keys():
+        raise ValueError("not a mask")
+    shape = tuple(a["shape"].tolist())
+    n = int(np.prod(shape))
+    if "bits" in a:
+        return np.unpackbits(a["bits"])[:n].astype(bool).reshape(shape)
+    out = np.zeros(n, bool)
+    if len(a["places"]) and not 0 <= a["places"].min() <= a["places"].max() < n:
+        raise ValueError("a place lies outside the mask")
+    out[a["places"]] = True
+    return out.reshape(shape)
+
+
+def mask_plane(mask: DataFrame, frame: int, z: int) -> DataFrame:
+    """(x, y) of one plane of a sparse mask table (frame, x, y, z): two filters, which reach the scan."""
+    return mask.where((F.col("frame") == frame) & (F.col("z") == z)).select("x", "y")
+
+
+def parse_cell(text: str | None) -> int | float | str | None:
+    """A cell of a table of diagnostics: a whole number, a number, or the text."""
+    if text is None or text == "":
+        return None
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """(file, md5) of binaryFile rows."""
+    return df.select(F.col("path").alias("file"), F.md5("content").alias("md5"))
+
+
+def reset_dir(spark: SparkSession, path: str, force: bool = False) -> None:
+    """An empty folder; one that holds anything is emptied only with ``force``, and never a root or its direct child."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if hadoop.depth() < 2:
+        raise ValueError(f"{path} is too near the root to be emptied")
+    if store.exists(hadoop) and store.listStatus(hadoop):
+        if not force:
+            raise FileExistsError(path)
+        store.delete(hadoop, True)
+    store.mkdirs(hadoop)
+
+
 def unpack_bits(packed: bytes, shape: tuple[int, ...], axes: str) -> np.ndarray:
     """A bit-packed mask as a boolean array with axes in the order x, y, z."""
     bits = np.unpackbits(np.frombuffer(packed, np.uint8))[: int(np.prod(shape))].astype(bool).reshape(shape)
