@@ -86,6 +86,11 @@ class Scratch:
             _ROOTS.remove(self.root)
 
 
+def carried(docs: DataFrame, carry: str | None):
+    """A column (long) that an operator hands through as ``carry`` to tell rows of one id apart; null without one."""
+    return (F.col(carry).cast("long") if carry else F.lit(None).cast("long")).alias("carry")
+
+
 def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """At most n rows: those with the smallest hash of their key. A threshold goes first, so that the tasks
     together pass on about twice what is asked for and not n rows each."""

@@ -26,7 +26,7 @@ shingles, no link is lost, and the cost is linear where a group is one text's co
 the minor classes alone. Never are all pairs of a group emitted: a task returns at most one link for each class.
 
 Cases: null and empty texts have no shingles and link with nothing; a text with fewer words than a shingle
-is one shingle; repeated rows count once each and share a class; further columns are ignored; an empty table gives no rows; a
+is one shingle; repeated rows share a class; rows that share an id are documents of their own, named by it; further columns are ignored; an empty table gives no rows; a
 document without an id belongs to its class but leads none.
 """
 
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Scratch, mix, shingle_hashes, slices, utf8, word_hashes
+from .common import ASCII_LOWER, Scratch, carried, mix, shingle_hashes, slices, utf8, word_hashes
 from .graph import components as connected
 
 BLOCK, SHINGLES = 3000, 4_000_000  # classes, and their shingles, of a search group in one block
@@ -269,10 +269,12 @@ def _parts(block: int):
     return F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / block))
 
 
-def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents link when 100 * intersection >= percent * union of their sets."""
+def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent: int = 90, block: int = BLOCK, carry: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents link when 100 * intersection >= percent * union of their sets.
+    carry: a column to hand through."""
     scratch = Scratch(spark, "jaccard")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(docs, carry))
+    texts = texts.withColumn("print", F.xxhash64("text"))  # tells rows of one id apart
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,14 +286,17 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
                 keys = segment_keys(values, at, percent)
                 lengths = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(keys).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(size), *map(pa.array, prints), keys], names=["doc_id", "n", "p", "q", "keys"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(size), *map(pa.array, prints), keys, some.column("carry"), some.column("print")], names=["doc_id", "n", "p", "q", "keys", "carry", "print"])
 
-    sets = scratch.write(texts.mapInArrow(describe, "doc_id long, n long, p long, q long, keys array<long>"), "sets")
+    sets = scratch.write(texts.mapInArrow(describe, "doc_id long, n long, p long, q long, keys array<long>, carry long, print long"), "sets")
     same = ["n", "p", "q"]
-    classes = scratch.write(sets.where("n > 0").groupBy(same).agg(F.min("doc_id").alias("rep")), "classes")
-    members = sets.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    # a class is known by a number of its own (rep); its first row, by id, gives its text and, in the end, its name
+    row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "print")))
+    classes = sets.where("n > 0").groupBy(same).agg(row.alias("row"))
+    classes = scratch.write(classes.select(*same, F.monotonically_increasing_id().alias("rep"), F.col("row.doc_id").alias("first"), F.col("row.print").alias("of")), "classes")
+    members = sets.select("doc_id", "carry", *same).join(classes, same, "left").select("doc_id", "carry", "n", "rep", "first")
     members = scratch.write(members, "members")
-    first = sets.where("size(keys) > 0").join(classes, [*same], "left").where("doc_id = rep")
+    first = sets.where("size(keys) > 0").join(classes, same).where("doc_id = first and print = of")
     postings = scratch.write(first.select(F.explode("keys").alias("key"), "rep"), "postings")
     scratch.drop("sets")
     lists = postings.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo < hi")
@@ -315,6 +320,7 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
 
     # of each group's blocks, dealt by shingles; a group of one block is a single task
     weight = classes.select(F.col("rep").alias("node"), "n")
+    place = classes.select(F.col("rep").alias("node"), "first", "of")
     dealt = groups.join(weight, "node")
     sizes = dealt.groupBy("component").agg(_parts(block).alias("blocks"), F.count("*").alias("classes")).where("blocks > 1")
     sizes = scratch.write(sizes, "sizes")
@@ -351,7 +357,7 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def searched(tasks: DataFrame, name: str) -> DataFrame:
-        held = texts.join(tasks, texts["doc_id"] == tasks["node"]).select(*key, "node", "second", "text")
+        held = tasks.join(place, "node").join(texts, (F.col("doc_id") == F.col("first")) & (F.col("print") == F.col("of"))).select(*key, "node", "second", "text")
         held = held.repartition(n, *key).sortWithinPartitions(*key, "node")
         return scratch.write(held.mapInArrow(search, "a long, b long"), name)
 
@@ -371,6 +377,8 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
         other = other.select("node", "component", F.explode(F.expr("sequence(1L, parts)")).alias("k"), "i", F.lit(False).alias("second"), "own").where("own is null or own + 1 <> k").drop("own")
         own = minor.select("node", "component", (F.col("part") + 1).alias("k"), F.lit(-1).cast("long").alias("i"), F.lit(False).alias("second"))
         links = links.unionByName(searched(scratch.write(each.unionByName(other).unionByName(own), "minor-tasks"), "minor-links"))
-    found = scratch.write(connected(links, scratch, "found"), "components")
-    out = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    found = scratch.write(connected(links, scratch, "found").join(place, "node").select("node", "component", "first"), "components")
+    names = found.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = found.join(names, "component").select(F.col("node").alias("rep"), "component_id")
+    out = members.join(named, "rep", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "first", "doc_id").alias("component_id"), *(["carry"] if carry else []))

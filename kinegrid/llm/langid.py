@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix, slices, utf8
+from .common import carried, mix, slices, utf8
 
 UNKNOWN = "und"
 ORDER = 3
@@ -181,9 +181,10 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, most: int =
     return _model(counts | {"gram": counts["gram"].astype(np.uint64)}, names)
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+def predict(spark: SparkSession, docs: DataFrame, model: Model, carry: str | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte, n_bytes, letters, label): score is the posterior of the language at equal priors, a text's
-    code lengths taken per 32 bytes, so that it says how clear the case is and not how long the text; letters: whether it has any; label: docs' lang."""
+    code lengths taken per 32 bytes, so that it says how clear the case is and not how long the text; letters: whether it has any; label: docs' lang.
+    carry: a column to hand through."""
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +204,13 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                 else:
                     low, score, lang = np.zeros(len(size)), np.zeros(len(size)), np.array([UNKNOWN] * len(size), object)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(lang.tolist(), pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(low / size), pa.array(np.diff(offsets)), pa.array(letter), some.column("label")],
-                    names=["doc_id", "lang_pred", "score", "bits_per_byte", "n_bytes", "letters", "label"],
+                    [some.column("doc_id"), pa.array(lang.tolist(), pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(low / size), pa.array(np.diff(offsets)), pa.array(letter), some.column("label"), some.column("carry")],
+                    names=["doc_id", "lang_pred", "score", "bits_per_byte", "n_bytes", "letters", "label", "carry"],
                 )
 
     label = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), label.cast("string").alias("label"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double, n_bytes long, letters boolean, label string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), label.cast("string").alias("label"), carried(docs, carry))
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double, n_bytes long, letters boolean, label string, carry long")
 
 
 def misfits(found: DataFrame):

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shingle_hashes, slices, utf8, word_hashes
+from .common import Scratch, carried, shingle_hashes, slices, utf8, word_hashes
 
 WINDOW, RUN = 13, 5
 PART = 256  # windows of a passage at most
@@ -260,13 +260,13 @@ def _by_routes(texts: DataFrame, routes: DataFrame, quoted: DataFrame, scratch:
                 for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
                     words = split(text)
                     out.append(_kept(doc_id, words, _covered(automata, doc_id, words)))
-                yield _batch(out)
+                yield _batch(out, some.column("carry"))
 
-    rows = texts.join(to, texts["doc_id"] == to["to"], "left").select("doc_id", "text", "passages")
+    rows = texts.join(to, texts["doc_id"] == to["to"], "left").select("doc_id", "text", "passages", "carry")
     return rows.mapInArrow(stream, RESULT)
 
 
-RESULT = f"doc_id long, n_words long, n_removed long, kept string, spans {SPANS}"
+RESULT = f"doc_id long, n_words long, n_removed long, kept string, spans {SPANS}, carry long"
 
 
 def _kept(doc_id: int | None, words: list[bytes], spans: list[list[int]]) -> tuple:
@@ -278,11 +278,11 @@ def _kept(doc_id: int | None, words: list[bytes], spans: list[list[int]]) -> tup
     return doc_id, len(words), len(words) - len(kept), b" ".join(kept), [{"start": a, "stop": b} for a, b in spans]
 
 
-def _batch(out: list[tuple]) -> pa.RecordBatch:
+def _batch(out: list[tuple], carry: pa.Array) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), SPAN_LIST]
     columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
     columns[3] = columns[3].cast(pa.string())
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+    return pa.RecordBatch.from_arrays([*columns, carry], names=["doc_id", "n_words", "n_removed", "kept", "spans", "carry"])
 
 
 def _everywhere(spark: SparkSession, texts: DataFrame, quoted: DataFrame, scratch: Scratch, window: int) -> DataFrame:
@@ -317,15 +317,16 @@ def _everywhere(spark: SparkSession, texts: DataFrame, quoted: DataFrame, scratc
         for batch in batches:
             if batch.num_rows:
                 rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True)
-                yield _batch([_kept(doc_id, split(text), _united([(x["start"], x["stop"]) for x in s or ()])) for doc_id, text, s in rows])
+                yield _batch([_kept(doc_id, split(text), _united([(x["start"], x["stop"]) for x in s or ()])) for doc_id, text, s in rows], batch.column("carry"))
 
-    return numbered.join(spans, numbered["row"] == spans["of"], "left").select("doc_id", "text", "spans").mapInArrow(cut, RESULT)
+    return numbered.join(spans, numbered["row"] == spans["of"], "left").select("doc_id", "text", "spans", "carry").mapInArrow(cut, RESULT)
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, everywhere: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, spans): kept words joined by one space; spans of the words removed."""
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, everywhere: bool = False, carry: str | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, spans): kept words joined by one space; spans of the words removed.
+    carry: a column to hand through."""
     scratch = Scratch(spark, "substring")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(docs, carry))
     passages, routes = _confirmed(spark, texts, scratch, window, min(RUN, window))
     wanted = passages.groupBy(F.col("owner").alias("id")).agg(F.collect_list(F.struct("place", "n")).alias("parts"))  # as long as the owner's text
 
@@ -342,4 +343,5 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, e
 
     quoted = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "text", "parts").mapInArrow(quote, "owner long, place long, passage string")
     quoted = scratch.write(quoted, "quoted")
-    return _everywhere(spark, texts, quoted, scratch, window) if everywhere else _by_routes(texts, routes, quoted, scratch, window)
+    found = _everywhere(spark, texts, quoted, scratch, window) if everywhere else _by_routes(texts, routes, quoted, scratch, window)
+    return found if carry else found.drop("carry")

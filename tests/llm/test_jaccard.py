@@ -116,6 +116,18 @@ def test_groups_of_blocks(spark, monkeypatch):
 
 
 def test_rows_of_one_id(spark):
-    df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "x y z"), (0, "X y z")], "doc_id long, text string")
-    got = sorted(tuple(r) for r in jaccard.components(spark, df).collect())
-    assert got == [(0, 1, 0), (1, 1, 0), (1, 2, 1), (1, 2, 1)]
+    """Two texts of one id are two documents; what links one of them does not touch the other."""
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "x y z"), (0, "X y z"), (2, "a B c d"), (None, "a b c d")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")
+    got = {r["carry"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(spark, df, carry="k").collect()}
+    assert got == {0: (2, 1), 1: (2, 1), 2: (1, 0), 3: (1, 0), 4: (2, 1), 5: (2, 1)}
+
+
+def test_a_text_longer_than_a_segment(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(320_000)]
+    long = " ".join(words)
+    assert len(long) > 2 << 20
+    rows = [(1, long), (2, near(rng, words, 3000)), (3, near(rng, words, 30_000)), (4, long[: 2 << 20])]
+    got = sorted(tuple(r) for r in jaccard.components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows, 3, 90)

@@ -131,3 +131,12 @@ def test_whole_character_map():
 def test_kinds_that_are_refused(tmp_path):
     with pytest.raises(ValueError):
         small_model(tmp_path, 3, SPACED)
+
+
+def test_rows_of_one_id_clashing_columns_and_a_long_text(spark, both):
+    t, lib = both
+    long = "Some words, again and again. " * 80_000
+    rows = [(1, "first text", 7, "x"), (1, "second text", 7, "x"), (2, long, 7, None), (2, None, None, None)]
+    got = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string, ids int, decoded string"), PATH).collect()
+    assert sorted((r["doc_id"], r["n_ids"] or 0) for r in got) == sorted((i, len(lib.encode(x)) if x else 0) for i, x, _, _ in rows)
+    assert any(r["decoded"] == long for r in got)
