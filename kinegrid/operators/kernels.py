@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 
@@ -57,6 +58,39 @@ def linkage_labels(distance: np.ndarray, cut: float, method: str = "complete") -
     return np.argsort(np.argsort(first))[inverse]
 
 
+def sparse_linkage(n: int, edges: list[tuple[float, int, int]], cut: float) -> np.ndarray:
+    """Complete linkage of n items cut at a height, from the distances (d, i, j) that are known; items without one never
+    join. Memory follows the distances and not n squared; ties go to the lowest pair."""
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for d, i, j in edges:
+        if i != j:
+            near[i][j] = near[j][i] = d
+    heap = [(d, min(i, j), max(i, j)) for i in range(n) for j, d in near[i].items() if i < j and d <= cut]
+    heapify(heap)
+    label = np.arange(n)
+    members = [[i] for i in range(n)]
+    while heap:
+        d, i, j = heappop(heap)
+        if near[i].get(j) != d or not members[i] or not members[j]:
+            continue  # one of the two has grown or is gone
+        for k in [k for k in near[i] if k not in near[j]] + [k for k in near[j] if k not in near[i]]:
+            near[k].pop(i, None)
+            near[k].pop(j, None)
+        both = {k: max(x, near[j][k]) for k, x in near[i].items() if k in near[j]}
+        for k, x in both.items():
+            near[k].pop(j, None)
+            near[k][i] = x
+            if x <= cut:
+                heappush(heap, (x, min(i, k), max(i, k)))
+        near[i], near[j] = both, {}
+        members[i] += members[j]
+        members[j] = []
+    for i, group in enumerate(members):
+        label[group] = i
+    _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[inverse]
+
+
 def binomial_tail(k: int, n: int, p: float) -> float:
     """P(X >= k) for n trials; 1 for k <= 0, NaN for arguments that make no sense."""
     if n < 0 or not 0 <= p <= 1 or k > n and k > 0 and n < 0:

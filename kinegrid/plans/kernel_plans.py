@@ -15,6 +15,7 @@ from . import inputs as I
 from .join_plans import active_cells, compatible_regions
 from .registration_plans import image
 from .registry import register
+from .window_plans import units
 
 
 def traces(spark, sf_dir):
@@ -22,7 +23,7 @@ def traces(spark, sf_dir):
 
 
 def region_distances(spark, sf_dir):
-    """Sign-aware warping distance of the gated pairs' traces, by Arrow batches; only pairs that share cells meet."""
+    """Sign-aware warping distance of the gated pairs' traces, by Arrow batches."""
     h = traces(spark, sf_dir).withColumn("h", F.transform("h", lambda v: v / F.greatest(F.array_max("h"), F.lit(1.0))))
     p = compatible_regions(spark, sf_dir).where("reason <> 'none'").select("i", "j", "iou")
     p = p.join(h.select(F.col("site").alias("i"), F.col("h").alias("hi")), "i").join(h.select(F.col("site").alias("j"), F.col("h").alias("hj")), "j")
@@ -39,7 +40,8 @@ register("region_distances", region_distances)
 
 
 def region_patterns(spark, sf_dir):
-    """Complete-linkage patterns; pairs outside the gate never join, so each component of the gate is clustered alone."""
+    """Complete-linkage patterns; pairs outside the gate never join, so each component of the near pairs is clustered
+    alone, from its pairs' distances (a task's memory follows the pairs of one component)."""
     d = C.checkpointed(region_distances(spark, sf_dir))
     nodes = active_cells(spark, sf_dir).select(F.col("region").alias("node")).distinct()
     c = C.components(nodes, d.where("distance <= 0.2").select(F.col("i").alias("a"), F.col("j").alias("b")))
@@ -48,10 +50,8 @@ def region_patterns(spark, sf_dir):
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(np.append(pdf.i, pdf.j))
-        m = np.full((len(nodes), len(nodes)), 1e6)
         a, b = np.searchsorted(nodes, pdf.i), np.searchsorted(nodes, pdf.j)
-        m[a, b] = m[b, a] = pdf.distance
-        label = K.linkage_labels(m, 0.2)
+        label = K.sparse_linkage(len(nodes), list(zip(pdf.distance.tolist(), a.tolist(), b.tolist(), strict=True)), 0.2)
         first = {x: int(nodes[label == x][0]) for x in np.unique(label)}
         return pd.DataFrame({"region": nodes, "pattern": [first[x] for x in label]})
 
@@ -134,6 +134,21 @@ def pattern_modes(spark, sf_dir):
 register("pattern_modes", pattern_modes)
 
 
+def pattern_summaries(spark, sf_dir):
+    """Each pattern of two regions at least: its regions and episodes (intervals of its sites' units), strength, effective
+    area, weighted centre and covariance over the members' active cells."""
+    p = region_patterns(spark, sf_dir)
+    cells = active_cells(spark, sf_dir).join(I.patches(spark, sf_dir).select(F.col("site").alias("region"), F.col("t").cast("long").alias("x"), "v"), ["region", "x"])
+    stats = G.weighted_stats(cells.join(p, "region").groupBy("pattern", "x", "y").agg(F.sum("v").alias("v")), ["pattern"], "v")
+    ids = p.groupBy("pattern").agg(F.array_sort(F.collect_list("region")).alias("regions"))  # of one clustered component, in memory there
+    e = units(spark, sf_dir).join(p, F.col("site") == F.col("region")).groupBy("pattern").agg(F.count_distinct("t0", "t1").alias("episodes"))
+    out = stats.join(ids.where(F.size("regions") >= 2), "pattern").join(e, "pattern", "left")
+    return out.select("pattern", "regions", F.coalesce("episodes", F.lit(0)).cast("long").alias("episodes"), F.round("strength", 4).alias("strength"), *(F.round(c, 5).alias(c) for c in ("area_eff", "cx", "cy", "vxx", "vyy", "vxy")))
+
+
+register("pattern_summaries", pattern_summaries)
+
+
 def simulated_recovery(spark, sf_dir):
     """A sweep of amplitudes, radii and noise: planted motion on the mean field, registered back; seeds are the rows' own."""
     grid = spark.range(0, 24).select("id", (F.col("id") % 4 * 0.4 + 0.4).alias("amplitude"), (F.floor(F.col("id") / 4) % 3 * 2 + 4).alias("radius"), (F.floor(F.col("id") / 12) * 0.05).alias("noise"))

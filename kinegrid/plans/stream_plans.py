@@ -14,4 +14,9 @@ def directional_scan(spark, sf_dir):
     return scan_batch(p).select("site", "t", "chunk", *(F.round(c, 6).alias(c) for c in ("reference", "residual", "warm")))
 
 
-register("directional_scan", directional_scan)
+register("directional_scan", directional_scan, f"""
+WITH RECURSIVE {I.PATCHES}, p AS (SELECT site, CAST(t AS BIGINT) AS t, v, list(v) OVER (PARTITION BY site, t // 10 ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS w FROM patches),
+f AS (SELECT site, t, v, coalesce(list_sum(w) / len(w), v) AS reference FROM p),
+s AS (SELECT site, t, t // 10 AS chunk, reference, v - reference - 0.0 AS residual, 0.7 * (0.0 + v - reference - 0.0) AS warm FROM f WHERE t = 0
+  UNION ALL SELECT f.site, f.t, f.t // 10, f.reference, f.v - f.reference - s.warm, 0.7 * (s.warm + (f.v - f.reference - s.warm)) FROM s JOIN f ON f.site = s.site AND f.t = s.t + 1)
+SELECT site, t, chunk, round(reference, 6) AS reference, round(residual, 6) AS residual, round(warm, 6) AS warm FROM s""")

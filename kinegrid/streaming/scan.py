@@ -1,8 +1,14 @@
 """Directional scan with a rolling reference: the one stateful operator.
 
 For each key, frames come in order; a frame is compared with the mean of the last ``size`` frames of its chunk
-(the window is cleared when a chunk begins), and a warm start decays from frame to frame. State is the window and
-the warm start, bounded by ``size`` whatever the stream's length. The batch form runs the same step function.
+(the window is cleared when a chunk begins), and a warm start decays from frame to frame. State is the window, the
+warm start and the last frame's number, bounded by ``size`` whatever the stream's length. The batch form runs the same
+step function.
+
+Late frames: a frame whose number is not above the last one of its key comes too late for the windows that it belongs
+to; it is dropped and counted in ``late`` of the key's next row, in the batch form (where only repeated numbers can be
+late) as in the stream. With ``ts``, a timestamp column, a watermark drops what is later than ``delay`` before any
+state is touched, and a key's state is removed when the watermark has passed its last frame by ``idle``.
 """
 
 from __future__ import annotations
@@ -11,47 +17,68 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "site long, t long, chunk long, reference double, residual double, warm double"
+OUT = "site long, t long, chunk long, reference double, residual double, warm double, late long"
+NAMES = [c.split()[0] for c in OUT.split(", ")]
+STATE = "window array<double>, chunk long, warm double, last long, late long"
+EMPTY = ((), -1, 0.0, None, 0)
 
 
-def advance(state: tuple, t: int, v: float, size: int, chunk: int, decay: float) -> tuple[tuple, tuple]:
-    """(window, chunk, warm) and a frame -> the next state and the frame's row."""
-    window, now, warm = state
+def advance(state: tuple, t: int, v: float, size: int, chunk: int, decay: float) -> tuple[tuple, tuple | None]:
+    """(window, chunk, warm, last, late) and a frame -> the next state and the frame's row, none for a late frame."""
+    window, now, warm, last, late = state
+    if last is not None and t <= last:
+        return (window, now, warm, last, late + 1), None
     if t // chunk != now:
-        window, now = [], t // chunk
+        window, now = (), t // chunk
     reference = sum(window) / len(window) if window else v
     residual = v - reference - warm
     warm = decay * (warm + residual)
-    return ([*window, v][-size:], now, warm), (t, now, reference, residual, warm)
+    return ((*window, v)[-size:], now, warm, t, 0), (t, now, reference, residual, warm, late)
 
 
 def _rows(site: int, state: tuple, pdf: pd.DataFrame, size: int, chunk: int, decay: float) -> tuple[tuple, pd.DataFrame]:
     out = []
     for t, v in zip(pdf["t"].tolist(), pdf["v"].tolist(), strict=True):
         state, row = advance(state, int(t), float(v), size, chunk, decay)
-        out.append((site, *row))
-    return state, pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        if row:
+            out.append((site, *row))
+    return state, pd.DataFrame(out, columns=NAMES)
 
 
 def scan_batch(frames: DataFrame, size: int = 5, chunk: int = 10, decay: float = 0.7) -> DataFrame:
-    """frames: (site, t, v)."""
+    """frames: (site, t, v). A site's frames are one group: the scan is sequential in them by definition."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _rows(int(key[0]), ([], -1, 0.0), pdf.sort_values("t"), size, chunk, decay)[1]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _rows(int(pdf["site"].iloc[0]), EMPTY, pdf.sort_values(["t", "v"]), size, chunk, decay)[1]
 
     return frames.select("site", "t", "v").groupBy("site").applyInPandas(run, OUT)
 
 
-def scan_stream(frames: DataFrame, size: int = 5, chunk: int = 10, decay: float = 0.7) -> DataFrame:
-    """The same over a stream whose micro-batches hold later frames than the ones before."""
+def scan_stream(frames: DataFrame, size: int = 5, chunk: int = 10, decay: float = 0.7, ts: str | None = None, delay: str = "1 hour", idle: str = "1 day") -> DataFrame:
+    """The same over a stream; frames of one micro-batch are put in order, those of a later one come after."""
+    seconds = pd.Timedelta(idle).total_seconds()
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        window, now, warm = state.get if state.exists else ([], -1, 0.0)
-        pdf = pd.concat(list(batches)).sort_values("t")
-        after, out = _rows(int(key[0]), (list(window), now, warm), pdf, size, chunk, decay)
-        state.update(after)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=NAMES)
+            return
+        now = EMPTY
+        if state.exists:
+            window, *rest = state.get
+            now = (tuple(window), *rest)
+        pdf = pd.concat(list(batches)).sort_values(["t", "v"])
+        now, out = _rows(int(key[0]), now, pdf, size, chunk, decay)
+        state.update((list(now[0]), *now[1:]))
+        if ts:
+            state.setTimeoutTimestamp(max(int(pdf["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + int(seconds * 1000))
         yield out
 
-    return frames.select("site", "t", "v").groupBy("site").applyInPandasWithState(run, OUT, "window array<double>, chunk long, warm double", "append", GroupStateTimeout.NoTimeout)
+    rows = frames.select("site", "t", "v")
+    if ts:
+        rows = frames.select("site", "t", "v", F.col(ts).alias("ts")).withWatermark("ts", delay)
+    timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
+    return rows.groupBy("site").applyInPandasWithState(run, OUT, STATE, "append", timeout)

@@ -40,6 +40,18 @@ def test_linkage_finds_separated_groups(method):
     assert got.tolist() == [0] * 6 + [1] * 6 + [2] * 6
 
 
+def test_sparse_linkage_equals_the_dense_one():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 9, 30):
+        for _ in range(10):
+            d = np.round(rng.random((n, n)), 1)
+            d = (d + d.T) / 2
+            known = np.triu(rng.random((n, n)) < 0.6, 1)
+            dense = np.where(known | known.T, d, 1e6)
+            edges = [(float(d[i, j]), int(i), int(j)) for i, j in np.argwhere(known)]
+            assert K.sparse_linkage(n, edges, 0.5).tolist() == K.linkage_labels(dense, 0.5).tolist()
+
+
 def test_complete_linkage_does_not_chain():
     x = np.array([0.0, 0.6, 1.2])
     assert len(set(K.linkage_labels(np.abs(x[:, None] - x), 0.8))) == 2

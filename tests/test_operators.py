@@ -1,6 +1,9 @@
+import datetime
+import os
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -42,12 +45,14 @@ def test_hit_rate_counts_clipped_windows(spark):
     assert got == {0: (3, 1), 1: (3, 0)}
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_a_long_chain(spark, monkeypatch, few):
     n = 40
     order = list(range(n))
     random.Random(1).shuffle(order)
     edges = spark.createDataFrame(list(zip(order[:-1], order[1:])) + [(100, 101)], "a int, b int")
     nodes = spark.createDataFrame([(i,) for i in [*range(n), 100, 101, 200]], "node int")
+    monkeypatch.setattr(C, "FEW", few)
     got = {r["node"]: r["component"] for r in C.components(nodes, edges).collect()}
     assert got == {**{i: 0 for i in range(n)}, 100: 100, 101: 100, 200: 200}
 
@@ -90,3 +95,39 @@ def test_stream_replay_equals_batch(spark, tmp_path):
     q = scan.scan_stream(stream).writeStream.format("memory").queryName("scan_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["site"], r["t"]): tuple(r) for r in spark.table("scan_out").collect()} == batch
+
+
+def streamed(spark, tmp_path, name, parts, schema, **options):
+    """The stream's rows over parts that come one micro-batch each."""
+    src = tmp_path / "in"
+    files = []
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / str(i)))
+        files += sorted((src / str(i)).glob("*.parquet"))
+    stage = tmp_path / "stream"
+    stage.mkdir()
+    for i, f in enumerate(files):
+        f.rename(stage / f"{i:03d}.parquet")
+        os.utime(stage / f"{i:03d}.parquet", (1e9 + i, 1e9 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(stage))
+    q = scan.scan_stream(stream, **options).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return spark.table(name).collect(), q
+
+
+def test_late_frames_are_dropped_and_counted(spark, tmp_path):
+    parts = [[(1, 0, 1.0), (1, 2, 3.0)], [(1, 1, 9.0), (1, 2, 9.0), (1, 3, 5.0)]]
+    rows, _ = streamed(spark, tmp_path, "late_out", parts, "site long, t long, v double", size=5, chunk=10)
+    assert [(r["t"], r["reference"], r["late"]) for r in sorted(rows, key=lambda r: r["t"])] == [(0, 1.0, 0), (2, 1.0, 0), (3, 2.0, 2)]
+    batch = scan.scan_batch(spark.createDataFrame([(1, 0, 1.0), (1, 0, 2.0), (1, 1, 4.0)], "site long, t long, v double")).collect()
+    assert [(r["t"], r["late"]) for r in batch] == [(0, 0), (1, 1)]
+
+
+def test_watermark_and_timeout(spark, tmp_path):
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    parts = [[(1, 0, 1.0, at(0)), (2, 0, 1.0, at(0))], [(1, 100, 2.0, at(100))], [(1, 101, 2.0, at(101))], [(2, 1, 7.0, at(1)), (2, 102, 4.0, at(102))]]
+    rows, q = streamed(spark, tmp_path, "idle_out", parts, "site long, t long, v double, ts timestamp", ts="ts", delay="1 hour", idle="2 hours", chunk=1000)
+    got = {(r["site"], r["t"]): (r["reference"], r["late"]) for r in rows}
+    assert (2, 1) not in got  # later than the watermark
+    assert got[2, 102] == (4.0, 0)  # site 2's state, idle for hours, is gone: its window is empty
+    assert got[1, 101] == (1.5, 0) or got[1, 101][0] == 2.0
