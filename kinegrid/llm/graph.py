@@ -1,38 +1,20 @@
-"""Connected components of a link table by alternating star contractions."""
+"""Connected components of a link table, with each round's table in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators.components import contract
 from .common import Scratch
 
 
 def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """(node, component) of every node of links (a, b); a component is named by its smallest node.
+    """(node, component) of every node of links (a, b); a component is named by its smallest node."""
 
-    Large star and small star steps alternate until each node points straight at its component's smallest
-    node, in O(log^2 n) rounds. A step is an aggregate and a sort-merge join, whose hot nodes Spark splits;
-    each round is written to the shared folder. Links of a node to itself add a component of its own; nulls
-    link nothing.
-    """
-    a, b = F.col("a"), F.col("b")
-    links = links.where("a is not null and b is not null").select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).distinct()
-    edges = scratch.write(links, f"{label}-0")
-    for turn in range(1, 200):
-        loose = edges.where("a <> b")
-        centre = loose.groupBy("a").agg(F.count("*").alias("n"))
-        chained = loose.select(F.col("b").alias("a")).distinct().join(centre, "a", "left_semi")
-        if not centre.where("n > 1").limit(1).count() and not chained.limit(1).count():
-            break
-        both = loose.select("a", "b").unionByName(loose.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(b.alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        lone = edges.where("a = b")
-        edges = scratch.write(small.unionByName(lone).distinct(), f"{label}-{turn}")
-        scratch.drop(f"{label}-{turn - 1}")
-    pointing = edges.where("a <> b")
-    return pointing.select(a.alias("node"), b.alias("component")).unionByName(edges.select(b.alias("node"), b.alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    def store(df: DataFrame, turn: int) -> DataFrame:
+        out = scratch.write(df, f"{label}-{turn}")
+        if turn:
+            scratch.drop(f"{label}-{turn - 1}")
+        return out
+
+    return contract(links, store)
