@@ -114,7 +114,12 @@ def resized_field(spark, sf_dir):
     return half.join(wy, "y").groupBy("ox", "oy").agg(F.round(F.sum(F.col("wy") * F.col("v")), 6).alias("v"))
 
 
-register("resized_field", resized_field)
+register("resized_field", resized_field, f"""
+WITH {I.CELLS}, o AS (SELECT 'x' AS axis, 40 AS n, 0.5 AS s, unnest(range(0, 20)) AS o UNION ALL SELECT 'y', 25, 0.4, unnest(range(0, 10))), i AS (SELECT unnest(range(-14, 56)) AS i),
+a AS (SELECT axis, n, o, i, abs(CAST(s AS DOUBLE) * ((o + 0.5) / CAST(s AS DOUBLE) - 0.5 - i)) AS a FROM o, i),
+c AS (SELECT *, CASE WHEN a <= 1 THEN 1.5*a*a*a - 2.5*a*a + 1 WHEN a <= 2 THEN -0.5*a*a*a + 2.5*a*a - 4*a + 2 ELSE 0 END AS c FROM a),
+w AS (SELECT axis, o, CASE WHEN (i + 2*n) % (2*n) < n THEN (i + 2*n) % (2*n) ELSE 2*n - 1 - (i + 2*n) % (2*n) END AS k, c / sum(c) OVER (PARTITION BY axis, o) AS w FROM c WHERE c <> 0)
+SELECT p.o AS ox, q.o AS oy, round(sum(p.w * q.w * dx), 6) AS v FROM cells JOIN w p ON p.axis = 'x' AND p.k = x JOIN w q ON q.axis = 'y' AND q.k = y GROUP BY ALL""")
 
 
 def pattern_modes(spark, sf_dir):
