@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def block_mean(rows: DataFrame, keys: list[str], x: str, y: str, size: int, values: list[str], width: int, height: int) -> DataFrame:
-    """Mean over blocks of size x size cells; cells beyond the last whole block are left out."""
+def block_mean(rows: DataFrame, keys: list[str], x: str, y: str, size: int, values: list[str], width: int, height: int, whole_only: bool = False) -> DataFrame:
+    """Mean over blocks of size x size cells; cells beyond the last whole block are left out, or, with whole_only, a width
+    or height that the size does not divide raises."""
+    if whole_only and (width % size or height % size):
+        raise ValueError(f"{width} x {height} cells are no whole blocks of {size}")
     whole = rows.where((F.col(x) < width // size * size) & (F.col(y) < height // size * size))
     bx, by = F.floor(F.col(x) / size).cast("long"), F.floor(F.col(y) / size).cast("long")
     return whole.groupBy(*keys, bx.alias("bx"), by.alias("by")).agg(*(F.avg(F.when(~F.isnan(v), F.col(v))).alias(v) for v in values))

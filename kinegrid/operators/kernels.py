@@ -196,3 +196,35 @@ def best_correlations(a: np.ndarray, b: np.ndarray, ids: np.ndarray, others: np.
         for column, x in zip(out, (ids[lo + row], others[best[row, k]], got[row, k]), strict=True):
             column.append(x)
     return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)
+
+
+def moving_discs(shape: tuple[int, int], n: int, t: int, seed: int, radius: float = 4.0, speed: float = 1.5) -> np.ndarray:
+    """A frame of n discs of their own brightness; each keeps its course and turns at the borders. A function of the
+    seed and the time alone."""
+    rng = np.random.default_rng(seed)
+    x, y = np.mgrid[: shape[0], : shape[1]]
+    out = np.zeros(shape)
+    for _ in range(n):
+        at, angle, light = rng.random(2) * shape, rng.random() * 2 * math.pi, 0.5 + 0.5 * rng.random()
+        place = at + t * speed * np.array([math.cos(angle), math.sin(angle)])
+        folded = [abs((p + m) % (2 * m) - m) if m else 0.0 for p, m in zip(place, (shape[0] - 1, shape[1] - 1), strict=True)]
+        out = np.maximum(out, light * ((x - folded[0]) ** 2 + (y - folded[1]) ** 2 <= radius * radius))
+    return out
+
+
+def limit_gradient(u: np.ndarray, most: float, rounds: int = 500) -> np.ndarray:
+    """A field smoothed until no component changes by more than ``most`` from one element to the next."""
+    u = np.asarray(u, float).copy()
+    for _ in range(rounds):
+        if all(np.abs(np.diff(d, axis=i)).max(initial=0) <= most for d in u for i in range(d.ndim)):
+            return u
+        u = np.stack([mean_box(d, (1,) * d.ndim) for d in u])
+    worst = max(np.abs(np.diff(d, axis=i)).max(initial=0) for d in u for i in range(d.ndim))
+    return u * min(1.0, most / max(worst, 1e-300))
+
+
+def breathing(shape: tuple[int, int], t: float, slow: float, fast: float, rate: float = 0.3, beat: float = 2.0) -> np.ndarray:
+    """A body's motion at a time: a slow widening around the middle and a faster wave along the first axis."""
+    x, y = np.meshgrid(*(np.linspace(-1, 1, n) for n in shape), indexing="ij")
+    wide, wave = slow * math.sin(2 * math.pi * rate * t), fast * np.sin(2 * math.pi * (beat * t - x))
+    return np.stack([wide * x + wave, wide * y])

@@ -7,6 +7,7 @@ registering never makes an image worse by its own measure.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -31,6 +32,49 @@ def sample(a: np.ndarray, at: list[np.ndarray], nearest: bool = False) -> np.nda
     return out
 
 
+def spline_coefficients(a: np.ndarray) -> np.ndarray:
+    """Cubic B-spline coefficients with mirrored borders, by the recursive filter along each axis."""
+    pole = math.sqrt(3) - 2
+    c = np.asarray(a, float)
+    for axis in range(c.ndim):
+        n = c.shape[axis]
+        if n < 2:
+            continue
+        c = np.moveaxis(c, axis, 0).copy()
+        k = np.arange(min(n, 40))
+        first = np.tensordot(pole ** k, c[k], 1) if n > 40 else np.tensordot(pole ** np.arange(2 * n - 2), c[np.r_[0:n, n - 2 : 0 : -1]], 1) / (1 - pole ** (2 * n - 2))
+        c *= 6
+        c[0] = 6 * first
+        for i in range(1, n):
+            c[i] += pole * c[i - 1]
+        c[-1] = pole / (pole * pole - 1) * (c[-1] + pole * c[-2])
+        for i in range(n - 2, -1, -1):
+            c[i] = pole * (c[i + 1] - c[i])
+        c = np.moveaxis(c, 0, axis)
+    return c
+
+
+def sample_cubic(a: np.ndarray, at: list[np.ndarray], outside: float | None = None) -> np.ndarray:
+    """Values of the cubic spline through the elements, places clamped to the array or, beyond it, ``outside``."""
+    c = spline_coefficients(a)
+    inside = np.ones(np.broadcast(*at).shape, bool)
+    for p, n in zip(at, a.shape, strict=True):
+        inside &= (p >= 0) & (p <= n - 1)
+    at = [np.clip(p, 0, n - 1) for p, n in zip(at, a.shape, strict=True)]
+    base = [np.floor(p).astype(int) for p in at]
+    out = np.zeros(inside.shape)
+    shape = lambda x: np.where(x < 1, 2 / 3 - x * x + x**3 / 2, np.where(x < 2, (2 - x) ** 3 / 6, 0.0))
+    for tap in product(range(-1, 3), repeat=a.ndim):
+        w, index = np.ones(inside.shape), []
+        for p, b, k, n in zip(at, base, tap, a.shape, strict=True):
+            i = b + k
+            w = w * shape(np.abs(p - i))
+            i = np.abs(i) % max(2 * n - 2, 1)  # mirrored at the elements themselves
+            index.append(np.where(i < n, i, 2 * n - 2 - i))
+        out += w * c[tuple(index)]
+    return out if outside is None else np.where(inside, out, outside)
+
+
 def places(shape: tuple[int, ...]) -> list[np.ndarray]:
     return list(np.meshgrid(*map(np.arange, shape), indexing="ij"))
 

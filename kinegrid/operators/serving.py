@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm, stretch
@@ -68,3 +68,23 @@ def plane(field: DataFrame, frame: int, quantity: str = "mag", low: float = 1.0,
 def select(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of a selection set (one column of ids)."""
     return rows.join(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), key, "left_semi")
+
+
+def arrows(cells: DataFrame, stride: int, scale: float) -> DataFrame:
+    """(x, y, x1, y1, hue): arrows of every stride-th cell of (x, y, dx, dy); hue is the direction in degrees."""
+    rows = cells.where((F.col("x") % stride == 0) & (F.col("y") % stride == 0))
+    hue = (F.degrees(F.atan2("dy", "dx")) + 360.0) % 360.0
+    return rows.select("x", "y", (F.col("x") + scale * F.col("dx")).alias("x1"), (F.col("y") + scale * F.col("dy")).alias("y1"), hue.alias("hue"))
+
+
+def montage(cells: DataFrame, t: str, columns: int, width: int, height: int) -> DataFrame:
+    """Adds row, column and the place (mx, my) of each cell's tile, frames in order. The frames are numbered, not the cells."""
+    # a row for each frame
+    k = cells.select(t).distinct().withColumn("_kg_k", F.row_number().over(Window.orderBy(t)) - 1)
+    k = k.select(t, F.floor(F.col("_kg_k") / columns).alias("row"), (F.col("_kg_k") % columns).cast("long").alias("column"))
+    return cells.join(k, t).withColumn("mx", F.col("column") * width + F.col("x")).withColumn("my", F.col("row") * height + F.col("y"))
+
+
+def blend(cells: DataFrame, a: str, b: str, part: float) -> DataFrame:
+    """Adds the blended level and whether the two layers differ by more than half of 255."""
+    return cells.withColumn("level", (1 - part) * F.col(a) + part * F.col(b)).withColumn("apart", F.abs(F.col(a) - F.col(b)) > 127.5)

@@ -214,3 +214,20 @@ def sampled_frames(df: DataFrame, t: str, stride: int) -> DataFrame:
     """First, last and every stride-th frame."""
     last = df.agg(F.max(t).alias("_last"))
     return df.join(F.broadcast(last)).where((F.col(t) == 0) | (F.col(t) == F.col("_last")) | (F.col(t) % stride == 0)).drop("_last")
+
+
+def save_volumes(scattered: DataFrame, root: str, stride: int) -> DataFrame:
+    """One scatter (t, x, y, z, v), three outputs: whole volumes of sampled frames, 2 x 2 blocks of every frame, and a row
+    of occupancy for each frame, which is returned. The scatter is written once and the outputs read that."""
+    spark = scattered.sparkSession
+    scattered.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/all")
+    stored = spark.read.schema(scattered.schema).parquet(f"{root}/all")
+    sampled_frames(stored, "t", stride).write.mode("overwrite").option("compression", "zstd").partitionBy("t").parquet(f"{root}/volumes")
+    blocks = stored.groupBy("t", "z", F.floor(F.col("x") / 2).alias("bx"), F.floor(F.col("y") / 2).alias("by")).agg(F.avg("v").alias("v"))
+    blocks.write.mode("overwrite").option("compression", "zstd").partitionBy("t").parquet(f"{root}/movie")
+    return stored.groupBy("t").agg(F.count("*").alias("voxels"), F.min("z").alias("z0"), F.max("z").alias("z1"))
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """A table as CSV with a header, nulls as empty cells, timestamps in ISO form."""
+    df.write.mode("overwrite").option("header", "true").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)

@@ -191,3 +191,24 @@ def test_settings():
             settings.parse(bad)
     with pytest.raises(ValueError):
         settings.parse(TOML.replace("last_minute = 4", "last_minute = 1")).frames()
+
+
+def test_shared_outputs_and_export(spark, tmp_path):
+    rows = [(t, x, y, z, float(t + x * y + z)) for t in range(7) for x in range(4) for y in range(2) for z in range(3)]
+    got = A.save_volumes(spark.createDataFrame(rows, "t long, x long, y long, z long, v double"), str(tmp_path / "v"), 4).collect()
+    assert sorted(tuple(r) for r in got) == [(t, 24, 0, 2) for t in range(7)]
+    assert sorted({r["t"] for r in spark.read.parquet(str(tmp_path / "v" / "volumes")).collect()}) == [0, 4, 6]
+    movie = spark.read.parquet(str(tmp_path / "v" / "movie")).where("t = 3 and z = 1 and bx = 1 and by = 0").collect()
+    assert [r["v"] for r in movie] == [np.mean([3 + x * y + 1 for x in (2, 3) for y in (0, 1)])]
+    A.export_csv(spark.createDataFrame([(1, "a,b", None)], "i int, s string, d double"), str(tmp_path / "csv"))
+    back = spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()
+    assert [tuple(r) for r in back] == [("1", "a,b", None)]
+
+
+def test_blocks_that_must_be_whole(spark):
+    from kinegrid.operators import grids as G
+
+    df = spark.createDataFrame([(0, 0, 1.0)], "x long, y long, v double")
+    assert G.block_mean(df, [], "x", "y", 2, ["v"], 4, 6, True).count() == 1
+    with pytest.raises(ValueError):
+        G.block_mean(df, [], "x", "y", 2, ["v"], 4, 5, True)

@@ -274,3 +274,27 @@ def test_simulated_recovery(spark, sf_dir):
     assert len(rows) == 24 and all(r["error_after"] <= r["error_before"] for r in rows)
     calm = [r for r in rows if not r["noise"]]
     assert np.mean([r["error_after"] / r["error_before"] for r in calm]) < 0.5
+
+
+def test_largest_regions_and_discs(spark, sf_dir):
+    best = {}
+    for r in QUERIES["mode_regions"](spark, sf_dir).collect():
+        if r["t"] not in best or (r["area"], r["strength"]) > best[r["t"]]:
+            best[r["t"]] = (r["area"], r["strength"])
+    assert {r["t"]: (r["area"], r["strength"]) for r in QUERIES["largest_regions"](spark, sf_dir).collect()} == best
+    frames = defaultdict(dict)
+    for r in QUERIES["simulated_cells"](spark, sf_dir).collect():
+        frames[r["t"]][r["x"], r["y"]] = r["v"]
+    assert frames.keys() == {1, 2, 3, 4, 5}
+    for t, own in frames.items():
+        a = K.moving_discs((48, 32), 6, t, 1)
+        assert own == {(int(x), int(y)): pytest.approx(a[x, y], abs=1e-6) for x, y in np.argwhere(a)}
+
+
+def test_reconstructed_field(spark, sf_dir, bands):
+    rest = defaultdict(float)
+    for r in QUERIES["reconstructed_field"](spark, sf_dir).collect():
+        rest[r["band"]] += r["rest"] ** 2
+    explained = {r["band"]: r["explained"] for r in QUERIES["field_modes"](spark, sf_dir).collect()}
+    for band, (y, _) in bands.items():
+        assert 1 - rest[band] / (y**2).sum() == pytest.approx(explained[band], abs=1e-4)

@@ -146,3 +146,21 @@ def test_unified_trace_aligns_signs():
 def test_motion_field_has_the_amplitude():
     x, y = K.motion_field((30, 20), 1.5, 3, 1)
     assert x.std() == pytest.approx(1.5) and y.std() == pytest.approx(1.5) and abs(x.mean()) < 1e-9
+
+
+def test_moving_discs_keep_their_light():
+    a, b = K.moving_discs((40, 30), 4, 0, 3), K.moving_discs((40, 30), 4, 7, 3)
+    assert (a == K.moving_discs((40, 30), 4, 0, 3)).all() and (a != b).any()
+    assert set(np.unique(b)) <= {0.0} | set(np.unique(K.moving_discs((40, 30), 4, 0, 3))) | set(np.unique(b)) and 0.5 <= b[b > 0].min()
+    late = [K.moving_discs((40, 30), 1, t, 5) for t in range(0, 400, 9)]
+    assert all(x.any() for x in late)
+
+
+def test_fields_of_limited_gradient_and_breathing():
+    u = np.random.default_rng(0).normal(size=(2, 20, 16)) * 3
+    got = K.limit_gradient(u, 0.2)
+    assert max(np.abs(np.diff(got[k], axis=i)).max() for k in range(2) for i in range(2)) <= 0.2 + 1e-12
+    assert (K.limit_gradient(got, 0.2) == got).all()
+    wide = K.breathing((9, 7), 1 / 1.2, 2.0, 0.0)
+    assert wide[0, -1, 0] == pytest.approx(2.0) and wide[1, 0, 0] == pytest.approx(-2.0)
+    assert np.abs(K.breathing((9, 7), 0.4, 0.0, 0.5)).max() <= 0.5

@@ -206,3 +206,16 @@ def test_significance_finds_the_planted_spot():
     a[20:27, 30:37] += 3
     z = S.significance(a, np.arange(0.4, 3, 0.2))
     assert z[22:25, 32:35].min() > 5 and z[:10].max() < 5
+
+
+def test_cubic_spline():
+    a = np.random.default_rng(12).normal(size=(9, 7))
+    x, y = R.places(a.shape)
+    assert R.sample_cubic(a, [x, y]) == pytest.approx(a, abs=1e-9)
+    t = np.linspace(0, 59, 301)
+    wave = np.cos(np.arange(60) * math.pi / 59 * 3)
+    assert R.sample_cubic(wave, [t]) == pytest.approx(np.cos(t * math.pi / 59 * 3), abs=1e-5)
+    assert R.sample_cubic(wave, [np.array([-1.0, 3.0, 99.0])], outside=-7.0)[[0, 2]].tolist() == [-7.0, -7.0]
+    # the spline's own condition: coefficients weigh 1/6, 4/6, 1/6 at an element
+    c = R.spline_coefficients(wave)
+    assert (c[:-2] + 4 * c[1:-1] + c[2:]) / 6 == pytest.approx(wave[1:-1])
