@@ -124,3 +124,22 @@ def test_every_round_sees_all_training_texts(spark):
         if turn >= 9 and log - before < 1e-3 * abs(log):
             break
     assert got.first == pytest.approx(want.first) and got.step == pytest.approx(want.step) and got.emit == pytest.approx(want.emit)
+
+
+def test_a_text_longer_than_a_segment(spark):
+    """Over 2 MiB in one text: base score, counts and the chained likelihood are those of the whole text."""
+    rng = np.random.default_rng(9)
+    long = " ".join(f"word{k}" for k in rng.integers(0, 4000, 280_000))
+    rows = [(1, long), (2, "word1 word2"), (2, "word1 word2"), (10, long + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_tokens"]): r for r in hmm.score(spark, df, states=2, own=50, rounds=2).collect()}
+    want = brute_base(rows)
+    assert got.keys() == {(r[0], r[2]) for r in want}
+    for i, held, n, known, total, base in want:
+        r = got[i, n]
+        assert (r["held_out"], r["n_known"], r["train_tokens"]) == (held, known, total) and r["base_score"] == pytest.approx(base, rel=1e-9)
+    m = model(3, 7, 4)
+    codes = rng.integers(0, 7, 5000)
+    at = np.array([0, 5000])
+    whole = m.likelihoods(hmm.Segments.of(codes, at, 10_000), 1)
+    assert m.likelihoods(hmm.Segments.of(codes, at, 64), 1) == pytest.approx(whole, rel=1e-9)
