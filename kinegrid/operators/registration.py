@@ -322,3 +322,33 @@ def register_recording(frames: list[np.ndarray], block: int = 10, **options) ->
     forwards = scan(frames[middle:], reference, **options)
     backwards = scan(frames[:middle][::-1], reference, **options)
     return [*backwards[::-1], *forwards]
+
+
+def frame_metrics(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> tuple[float, float, float]:
+    """Mean absolute error where the mask holds (everywhere if nowhere), that over b's spread between its 1st and 99th
+    percentile, and the correlation; NaN where a spread is 0."""
+    x, y = (a[mask], b[mask]) if mask.any() else (a.ravel(), b.ravel())
+    mae = float(np.abs(x - y).mean())
+    spread = float(np.subtract(*np.quantile(b, [0.99, 0.01])))
+    x, y = x - x.mean(), y - y.mean()
+    size = math.sqrt(float((x * x).sum() * (y * y).sum()))
+    return mae, mae / spread if spread > 0 else math.nan, float((x * y).sum()) / size if size > 1e-12 else math.nan
+
+
+def quality_loop(frames: list[np.ndarray], reference: np.ndarray, every: int = 8, decay: float = 0.7, **options) -> list[dict]:
+    """Frames in order: which elements are reliable and agree, the motion from a decayed start, and the metrics of the
+    straightened frame; every so many frames the reference becomes the mean of itself and the frames since."""
+    from .structure import difference_mask
+
+    out, start, since = [], None, []
+    for i, frame in enumerate(frames):
+        mask, _, trust = difference_mask(reference, frame)
+        motion = flow(frame, reference, start=start, **options)
+        straight = warp(np.asarray(frame, float), motion.field)
+        start = decay * motion.field
+        mae, relative, ncc = frame_metrics(straight, reference, mask)
+        out.append({"error_before": motion.before, "error_after": motion.after, "masked": float(mask.mean()), "reliability": float(trust.mean()), "mae": mae, "relative": relative, "ncc": ncc})
+        since.append(straight)
+        if (i + 1) % every == 0:
+            reference, since = np.mean([reference, *since], axis=0), []
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import ranks as R
 from . import inputs as I
 from .join_plans import initial_reference, reference_intervals
 from .registry import oracle_sql, register
@@ -115,3 +116,42 @@ register("interval_forms", interval_forms, """
 WITH l AS (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS last FROM lineitem GROUP BY 1),
 r AS (SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS t0, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + last + o_orderkey % 3 - 1 AS e, n FROM orders JOIN l ON o_orderkey = l_orderkey)
 SELECT o_orderkey, t0, CASE WHEN e - t0 + 1 = n THEN 'inclusive' WHEN e - t0 = n THEN 'exclusive' ELSE 'by length' END AS form, t0 + n - 1 AS t1 FROM r""")
+
+
+def plane_mapped(spark, sf_dir):
+    """The mean volume's intensities mapped onto the last year's by five quantiles learnt on planes 1 to 5, applied to all
+    planes; of each plane the mean after the map and the part above the target's median, the rebuilt mask."""
+    v = I.volume(spark, sf_dir)
+    last = v.agg(F.max("t")).first()[0]  # one number
+    mean = v.groupBy("x", "y", "z").agg(F.avg("v").alias("v"))
+    q = [0.0, 0.25, 0.5, 0.75, 1.0]
+    source = R.quantiles(mean.where("z between 1 and 5"), "v", q)
+    target = R.quantiles(v.where((F.col("t") == last) & F.col("z").between(1, 5)), "v", q)
+    c = S.clamp(F.col("v"), source[0], source[-1])
+    mapped = F.lit(target[-1])
+    for k in reversed(range(4)):
+        part = (c - source[k]) / max(source[k + 1] - source[k], 1e-12)
+        mapped = F.when(c < source[k + 1], target[k] + part * (target[k + 1] - target[k])).otherwise(mapped)
+    m = mean.select("z", mapped.alias("m"))
+    return m.groupBy("z").agg(F.round(F.avg("m"), 5).alias("mean"), S.r6(F.avg((F.col("m") > target[2]).cast("int"))).alias("masked"))
+
+
+register("plane_mapped", plane_mapped, f"""
+WITH {I.VOLUME}, mean AS (SELECT x, y, z, avg(v) AS v FROM volume GROUP BY ALL), k AS (SELECT unnest(range(0, 5)) AS k),
+s AS (SELECT k, quantile_cont(v, [0.0, 0.25, 0.5, 0.75, 1.0])[k + 1] AS s FROM mean, k WHERE z BETWEEN 1 AND 5 GROUP BY k), g AS (SELECT k, quantile_cont(v, [0.0, 0.25, 0.5, 0.75, 1.0])[k + 1] AS g FROM volume, k WHERE z BETWEEN 1 AND 5 AND t = (SELECT max(t) FROM volume) GROUP BY k),
+a AS (SELECT k, s AS lo, lead(s) OVER (ORDER BY k) AS hi, g AS glo, lead(g) OVER (ORDER BY k) AS ghi FROM s JOIN g USING (k)),
+c AS (SELECT z, greatest((SELECT min(lo) FROM a), least((SELECT max(lo) FROM a), v)) AS c FROM mean),
+m AS (SELECT z, CASE WHEN hi IS NULL THEN glo ELSE glo + (c - lo) / greatest(hi - lo, 1e-12) * (ghi - glo) END AS m FROM c JOIN a ON c >= lo AND (hi IS NULL OR c < hi))
+SELECT z, round(avg(m), 5) AS mean, round(avg(CAST(m > (SELECT glo FROM a WHERE k = 2) AS INT)), 6) AS masked FROM m GROUP BY z""")
+
+
+def run_geometry(spark, sf_dir):
+    """Of each artifact family its first and last frame, the frames that are there and those that lack in between."""
+    p = I.table(spark, sf_dir, "pages").select((F.col("page_id") % 100).alias("frame"), F.when(F.col("page_id") % 3 == 0, "field").when(F.col("page_id") % 3 == 1, "raw").otherwise("mask").alias("kind"))
+    r = p.groupBy("kind").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count_distinct("frame").alias("frames"))
+    return r.select("kind", "first", "last", "frames", (F.col("last") - F.col("first") + 1 - F.col("frames")).alias("missing"))
+
+
+register("run_geometry", run_geometry, """
+WITH p AS (SELECT page_id % 100 AS frame, CASE page_id % 3 WHEN 0 THEN 'field' WHEN 1 THEN 'raw' ELSE 'mask' END AS kind FROM pages)
+SELECT kind, min(frame) AS first, max(frame) AS last, count(DISTINCT frame) AS frames, max(frame) - min(frame) + 1 - count(DISTINCT frame) AS missing FROM p GROUP BY kind""")

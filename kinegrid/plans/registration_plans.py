@@ -171,3 +171,23 @@ def grown_regions(spark, sf_dir):
 
 
 register("grown_regions", grown_regions)
+
+
+def quality_frames(spark, sf_dir):
+    """The months of both channels through the quality loop, each channel against its first months' mean image."""
+    f = I.field(spark, sf_dir)
+    rows = f.select("t", "x", "y", F.explode(F.array(F.struct(F.lit("first").alias("channel"), F.col("dx").alias("v")), F.struct(F.lit("second").alias("channel"), (F.col("dy") * 5).alias("v")))).alias("c"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        months = sorted(pdf.t.unique())
+        frames = [smoothed(p.x, p.y, p.v) for _, p in pdf.groupby("t", sort=True)]
+        found = R.quality_loop(frames, np.mean(frames[:6], axis=0), layers=2, radius=3, rounds=5)
+        out = pd.DataFrame(found).round(6)
+        out.insert(0, "t", months)
+        out.insert(0, "channel", pdf.channel.iloc[0])
+        return out
+
+    return rows.select("t", "x", "y", "c.channel", "c.v").groupBy("channel").applyInPandas(solve, "channel string, t long, error_before double, error_after double, masked double, reliability double, mae double, relative double, ncc double")
+
+
+register("quality_frames", quality_frames)

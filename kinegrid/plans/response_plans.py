@@ -49,6 +49,29 @@ q AS (SELECT moving, z0, round(sum(r), 6) AS score FROM s GROUP BY ALL HAVING co
 SELECT moving, z0, score FROM q QUALIFY row_number() OVER (PARTITION BY moving ORDER BY score DESC, z0) = 1""")
 
 
+def gradient_offset_curve(spark, sf_dir):
+    """``offset_curve`` with two channels: the mean of the slices' correlation and of their gradients' correlation."""
+    w = I.over("slice")
+    p = I.pixels(spark, sf_dir).select("slice", "p", "v").withColumn("g", F.coalesce(F.col("v") - F.lag("v").over(w.orderBy("p")), F.lit(0.0)))
+    for k in ("v", "g"):
+        p = p.withColumn(k, F.col(k) - F.avg(k).over(w))
+        p = p.withColumn(k, F.try_divide(k, F.sqrt(F.sum(F.col(k) * F.col(k)).over(w))))
+    p = p.withColumn("stack", F.floor(F.col("slice") / 32))
+    mov = p.select("stack", F.floor(F.col("slice") / 8).alias("moving"), (F.col("slice") % 8).alias("k"), "p", "v", "g")
+    mov = mov.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(17).cast("long"))).alias("z0")).withColumn("z", F.col("z0") + 2 * F.col("k"))
+    ref = p.select("stack", (F.col("slice") % 32).alias("z"), "p", F.col("v").alias("rv"), F.col("g").alias("rg"))
+    s = mov.join(ref, ["stack", "z", "p"]).groupBy("moving", "z0").agg(F.round(F.sum(F.col("v") * F.col("rv") + F.col("g") * F.col("rg")) / 2, 6).alias("score"), F.countDistinct("k").alias("n")).where("n = 8")
+    return G.best(s, ["moving"], F.desc("score"), "z0").select("moving", "z0", "score")
+
+
+register("gradient_offset_curve", gradient_offset_curve, f"""
+WITH {I.PIXELS}, g AS (SELECT slice, p, v, coalesce(v - lag(v) OVER (PARTITION BY slice ORDER BY p), 0.0) AS g FROM pixels),
+m AS (SELECT slice, p, v - avg(v) OVER (PARTITION BY slice) AS v, g - avg(g) OVER (PARTITION BY slice) AS g FROM g), n AS (SELECT slice, p, v / sqrt(sum(v*v) OVER (PARTITION BY slice)) AS v, g / sqrt(sum(g*g) OVER (PARTITION BY slice)) AS g FROM m),
+s AS (SELECT a.slice // 8 AS moving, b.slice % 32 - 2 * (a.slice % 8) AS z0, a.slice % 8 AS k, a.v * b.v + a.g * b.g AS r FROM n a JOIN n b ON a.slice // 32 = b.slice // 32 AND a.p = b.p WHERE b.slice % 32 - 2 * (a.slice % 8) BETWEEN 0 AND 17),
+q AS (SELECT moving, z0, round(sum(r) / 2, 6) AS score FROM s GROUP BY ALL HAVING count(DISTINCT k) = 8)
+SELECT moving, z0, score FROM q QUALIFY row_number() OVER (PARTITION BY moving ORDER BY score DESC, z0) = 1""")
+
+
 def mode_support(spark, sf_dir):
     """Cells above a tenth of their month's largest response, with the month's support."""
     f = I.field(spark, sf_dir)

@@ -298,3 +298,15 @@ def test_reconstructed_field(spark, sf_dir, bands):
     explained = {r["band"]: r["explained"] for r in QUERIES["field_modes"](spark, sf_dir).collect()}
     for band, (y, _) in bands.items():
         assert 1 - rest[band] / (y**2).sum() == pytest.approx(explained[band], abs=1e-4)
+
+
+def test_quality_frames(spark, sf_dir, field):
+    rows = QUERIES["quality_frames"](spark, sf_dir).collect()
+    months = sorted({t for t, _, _ in field})
+    assert sorted((r["channel"], r["t"]) for r in rows) == [(c, t) for c in ("first", "second") for t in months]
+    assert all(r["error_after"] <= r["error_before"] and 0 <= r["masked"] <= 1 for r in rows)
+    frames = []
+    for t in months[:6]:
+        frames.append(boxed({(x, y): v[0] for (u, x, y), v in field.items() if u == t}))
+    first = next(r for r in rows if r["channel"] == "first" and r["t"] == months[0])
+    assert first["error_before"] == pytest.approx(((np.mean(frames, axis=0) - frames[0]) ** 2).mean(), abs=1e-5)

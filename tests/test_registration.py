@@ -219,3 +219,14 @@ def test_cubic_spline():
     # the spline's own condition: coefficients weigh 1/6, 4/6, 1/6 at an element
     c = R.spline_coefficients(wave)
     assert (c[:-2] + 4 * c[1:-1] + c[2:]) / 6 == pytest.approx(wave[1:-1])
+
+
+def test_quality_loop():
+    a = image((40, 36), 13)
+    frames = [R.warp(a, np.stack([np.full(a.shape, 0.1 * t), np.zeros(a.shape)])) for t in range(10)]
+    got = R.quality_loop(frames, a, every=4, layers=2, rounds=8)
+    assert len(got) == 10 and all(r["error_after"] <= r["error_before"] and r["ncc"] > 0.95 and r["relative"] < 0.1 for r in got)
+    x = np.array([[1.0, 2, 4], [3, 5, 9]])
+    mae, relative, ncc = R.frame_metrics(x, x + 1, x > 2)
+    assert mae == 1 and ncc == pytest.approx(1) and relative == pytest.approx(1 / np.subtract(*np.quantile(x, [0.99, 0.01])))
+    assert R.frame_metrics(x, x, np.zeros(x.shape, bool))[0] == 0 and math.isnan(R.frame_metrics(x * 0, x, x > 0)[2])
