@@ -38,8 +38,8 @@ from .langid import held_out
 
 STATES, OWN, SUFFIXES, LOCAL = 6, 4096, 512, 1_000_000
 ROUNDS, SETTLED = 9, 1e-3
-CLASS_BYTES = 1 << 20  # of class numbers in one run
-SEGMENT_WORDS = 1024
+CLASS_BYTES = 1 << 21  # of class numbers in one run
+SEGMENT_WORDS = 1536
 END = np.uint64(0xE5D000000000E5D1)
 ALPHA = 0.1
 
@@ -208,11 +208,10 @@ class Model:
         at, back, ends = s.steps.tolist(), np.ascontiguousarray(self.step.T), states[s.last]
         q = after @ back
         q /= (ends * q).sum(1)[:, None]  # scaled as the forward pass is: states times q are posteriors
-        posterior = np.empty_like(states)
         for t in range(len(at) - 2, -1, -1):
             lo, hi = at[t], at[t + 1]
             b = q[: hi - lo]
-            np.multiply(states[lo:hi], b, out=posterior[lo:hi])
+            states[lo:hi] *= b  # posteriors from here on
             w = onward[lo:hi]
             w *= b
             np.matmul(w, back, out=b)
@@ -221,9 +220,9 @@ class Model:
         linked = np.flatnonzero(s.follows >= 0)  # the first token of a segment lies at the segment's own number
         step += ends[linked].T @ onward[s.follows[linked]]
         step *= self.step
-        for i in range(k):
-            emit[:, i] = np.bincount(s.classes, posterior[:, i], len(emit))
-        first = posterior[:n][s.number == 0].sum(0)
+        for i, own in enumerate(np.ascontiguousarray(states.T)):
+            emit[:, i] = np.bincount(s.classes, own, len(emit))
+        first = states[:n][s.number == 0].sum(0)
         return first, step, emit, float(np.log(scale).sum())
 
     @staticmethod
