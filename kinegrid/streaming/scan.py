@@ -2,8 +2,8 @@
 
 For each key, frames come in order; a frame is compared with the mean of the last ``size`` frames of its chunk
 (the window is cleared when a chunk begins), and a warm start decays from frame to frame. State is the window, the
-warm start and the last frame's number, bounded by ``size`` whatever the stream's length. The batch form runs the same
-step function.
+warm start and the last frame's number, bounded by ``size`` whatever the stream's length. The batch form is one plan of
+window expressions with the same rows.
 
 Late frames: a frame whose number is not above the last one of its key comes too late for the windows that it belongs
 to; it is dropped and counted in ``late`` of the key's next row, in the batch form (where only repeated numbers can be
@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -33,9 +33,12 @@ def advance(state: tuple, t: int, v: float, size: int, chunk: int, decay: float)
         return (window, now, warm, last, late + 1), None
     if t // chunk != now:
         window, now = (), t // chunk
-    reference = sum(window) / len(window) if window else v
+    total = 0.0  # plain additions, as the engine's average makes them: Python's sum() compensates
+    for x in window:
+        total += x
+    reference = total / len(window) if window else v
     residual = v - reference - warm
-    warm = decay * (warm + residual)
+    warm = decay * (v - reference)  # decay times (warm + residual)
     return ((*window, v)[-size:], now, warm, t, 0), (t, now, reference, residual, warm, late)
 
 
@@ -49,12 +52,20 @@ def _rows(site: int, state: tuple, pdf: pd.DataFrame, size: int, chunk: int, dec
 
 
 def scan_batch(frames: DataFrame, size: int = 5, chunk: int = 10, decay: float = 0.7) -> DataFrame:
-    """frames: (site, t, v). A site's frames are one group: the scan is sequential in them by definition."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _rows(int(pdf["site"].iloc[0]), EMPTY, pdf.sort_values(["t", "v"]), size, chunk, decay)[1]
-
-    return frames.select("site", "t", "v").groupBy("site").applyInPandas(run, OUT)
+    """frames: (site, t, v), as window expressions over one sort by site and frame.
+
+    A step's warm start is decay times the frame's own distance from its reference, whatever the warm start before it,
+    so nothing has to be carried from frame to frame but the window and one value of the frame before."""
+    rows = frames.select(F.col("site").cast("long").alias("site"), F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v"))
+    same = Window.partitionBy("site", "t")
+    rows = rows.withColumn("k", F.row_number().over(same.orderBy("v"))).withColumn("n", F.count("*").over(same)).where("k = 1")
+    order = Window.partitionBy("site").orderBy("t")
+    rows = rows.withColumn("chunk", F.floor(F.col("t") / chunk)).withColumn("late", F.coalesce(F.lag("n").over(order) - 1, F.lit(0)))
+    before = Window.partitionBy("site", "chunk").orderBy("t").rowsBetween(-size, -1)
+    rows = rows.withColumn("reference", F.coalesce(F.avg("v").over(before), F.col("v")))
+    start = F.coalesce(F.lag("warm").over(order), F.lit(0.0))
+    rows = rows.withColumn("warm", decay * (F.col("v") - F.col("reference"))).withColumn("residual", F.col("v") - F.col("reference") - start)
+    return rows.select(*(F.col(c).cast(k).alias(c) for c, k in (x.split() for x in OUT.split(", "))))
 
 
 def scan_stream(frames: DataFrame, size: int = 5, chunk: int = 10, decay: float = 0.7, ts: str | None = None, delay: str = "1 hour", idle: str = "1 day") -> DataFrame:
@@ -64,7 +75,6 @@ def scan_stream(frames: DataFrame, size: int = 5, chunk: int = 10, decay: float
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([], columns=NAMES)
             return
         now = EMPTY
         if state.exists:
@@ -75,7 +85,8 @@ def scan_stream(frames: DataFrame, size: int = 5, chunk: int = 10, decay: float
         state.update((list(now[0]), *now[1:]))
         if ts:
             state.setTimeoutTimestamp(max(int(pdf["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + int(seconds * 1000))
-        yield out
+        if len(out):
+            yield out
 
     rows = frames.select("site", "t", "v")
     if ts:
