@@ -101,7 +101,15 @@ def mode_regions(spark, sf_dir):
     return r.where("area >= 4").drop("component")
 
 
-register("mode_regions", mode_regions)
+register("mode_regions", mode_regions, f"""
+WITH RECURSIVE {I.FIELD}, s AS (SELECT t, x, y, dx, dy, dy * n AS a FROM field QUALIFY dy * n > 0.5 * max(dy * n) OVER (PARTITION BY t)),
+o AS (SELECT a.i, b.j FROM (SELECT unnest([-1, 0, 1]) AS i) a, (SELECT unnest([-1, 0, 1]) AS j) b),
+d AS (SELECT DISTINCT t, x + i AS x, y + j AS y FROM s, o), c AS (SELECT t, x + i AS x, y + j AS y FROM d, o GROUP BY ALL HAVING count(*) = 9 UNION SELECT t, x, y FROM s),
+w AS (SELECT DISTINCT t, x + i AS x, y + j AS y, (t << 40) + ((x + i + 1) << 20) + y + j + 1 AS node FROM c, o),
+e AS (SELECT a.node AS a, b.node AS b FROM w a, o, w b WHERE b.t = a.t AND b.x = a.x + i AND b.y = a.y + j AND a.node <> b.node),
+r(node, label) USING KEY (node) AS (SELECT node, node FROM w UNION SELECT e.b, min(r.label) FROM r JOIN e ON r.node = e.a JOIN recurring.r k ON k.node = e.b WHERE r.label < k.label GROUP BY e.b),
+m AS (SELECT s.*, label FROM s JOIN w USING (t, x, y) JOIN r USING (node))
+SELECT t, count(*) AS area, round(sum(a), 4) AS strength, round(sum(a * x) / sum(a), 5) AS cx, round(sum(a * y) / sum(a), 5) AS cy, round(sum(a * dx) / sum(a), 5) AS mean_dx, round(sum(a * dy) / sum(a), 5) AS mean_dy FROM m GROUP BY t, label HAVING count(*) >= 4""")
 
 
 def volume_components(spark, sf_dir):

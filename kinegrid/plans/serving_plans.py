@@ -78,7 +78,8 @@ def largest_regions(spark, sf_dir):
     return G.best(mode_regions(spark, sf_dir), ["t"], F.desc("area"), F.desc("strength"), "cx", "cy").select("t", "area", "strength", "cx", "cy")
 
 
-register("largest_regions", largest_regions)
+register("largest_regions", largest_regions, f"""
+SELECT t, area, strength, cx, cy FROM ({oracle_sql()['mode_regions']}) QUALIFY row_number() OVER (PARTITION BY t ORDER BY area DESC, strength DESC, cx, cy) = 1""")
 
 
 def resampled_mask(spark, sf_dir):
