@@ -38,13 +38,13 @@ def mirrored(c, n):
 
 
 def supported_units(spark, sf_dir):
-    """Units whose frames have, on average, a third of the 27 cells around them active (borders repeated)."""
+    """Units whose frames have, on average, 15 hundredths of the 27 cells around them active (borders repeated)."""
     p = I.patches(spark, sf_dir)
     active = W.rolling_rest(p, ["site"], "t", "v", 5, 2.0).where("v > rest").select(F.col("t").cast("long").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"), F.lit(1).alias("on"))
     support = around(p, (1, 1, 1), clamped).join(active, ["a", "b", "c"], "left").groupBy("site", "t").agg((F.count("on") / 27).alias("s"))
     u = units(spark, sf_dir)
     each = u.select("site", "t0", "t1", F.explode(F.sequence("t0", "t1")).alias("t")).join(support, ["site", "t"])
-    return each.groupBy("site", "t0", "t1").agg(S.r6(F.avg("s")).alias("support")).where("support >= 0.333333")
+    return each.groupBy("site", "t0", "t1").agg(S.r6(F.avg("s")).alias("support")).where("support >= 0.15")
 
 
 BOUNDS = "bounds AS (SELECT max(frames) AS nt, max(y) + 1 AS ny FROM patches)"
@@ -53,25 +53,40 @@ WITH {I.PATCHES}, {UNITS}, {BOUNDS},
 act AS (SELECT p.t, p.x, p.y FROM rest r JOIN patches p ON p.site = r.site AND p.t = r.t WHERE r.v > r.rest),
 o AS (SELECT a.i, b.j, c.k FROM (SELECT unnest([-1, 0, 1]) AS i) a, (SELECT unnest([-1, 0, 1]) AS j) b, (SELECT unnest([-1, 0, 1]) AS k) c),
 s AS (SELECT p.site, p.t, count(act.t) / 27 AS s FROM patches p CROSS JOIN o CROSS JOIN bounds LEFT JOIN act ON act.t = greatest(0, least(nt - 1, p.t + i)) AND act.x = greatest(0, least(14, p.x + j)) AND act.y = greatest(0, least(ny - 1, p.y + k)) GROUP BY ALL)
-SELECT u.site, t0, t1, round(avg(s), 6) AS support FROM units u JOIN s ON s.site = u.site AND s.t BETWEEN t0 AND t1 GROUP BY ALL HAVING round(avg(s), 6) >= 0.333333""")
+SELECT u.site, t0, t1, round(avg(s), 6) AS support FROM units u JOIN s ON s.site = u.site AND s.t BETWEEN t0 AND t1 GROUP BY ALL HAVING round(avg(s), 6) >= 0.15""")
 
 
 def rest_volume(spark, sf_dir):
     """The rest threshold of every cell from its surroundings in time and space: the median over 5 frames x 3 x 3 cells,
-    plus twice the median deviation over time, borders mirrored, of an even count the upper of the middle two. Each cell
-    looks at 45 places, so the stencil is an equi-join and a bounded group."""
-    p = I.patches(spark, sf_dir)
-    value = p.select(F.col("t").cast("long").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"), "v")
-    upper = lambda c: F.get(F.array_sort(F.collect_list(c)), F.floor(F.count("*") / 2).cast("int"))
-    seen = around(p, (2, 1, 1), mirrored).join(value, ["a", "b", "c"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-    med = seen.groupBy("site", "t").agg(upper("v").alias("med"))
-    d = p.select("site", F.col("t").cast("long").alias("t"), "v").join(med, ["site", "t"]).withColumn("d", F.abs(F.col("v") - F.col("med")))
-    width = F.least(F.lit(21), F.greatest(F.lit(1), F.floor(F.col("nt") / 4))).cast("long")
-    near = d.join(F.broadcast(grid_bounds(p))).withColumn("o", F.explode(F.sequence(-F.floor(width / 2).cast("long"), width - F.floor(width / 2).cast("long") - 1)))
-    near = near.select("site", "t", "v", "med", mirrored(F.col("t") + F.col("o"), F.col("nt")).alias("a"))
-    mad = near.join(d.select("site", F.col("t").alias("a"), "d"), ["site", "a"]).groupBy("site", "t", "v", "med").agg(upper("d").alias("mad"))
+    plus twice the median deviation over time, borders mirrored, of an even count the upper of the middle two.
+
+    Time is a window over a site's sorted frames: its values at the five places, mirrored ones from the far side of the
+    window; space is an equi-join of nine places, so a row is sent nine times with a short array."""
+    p = I.patches(spark, sf_dir).withColumn("t", F.col("t").cast("long"))
+    nt = F.col("frames").cast("long")
+    middle = lambda c: F.get(F.array_sort(c), F.floor(F.size(c) / 2).cast("int"))
+
+    def windowed(value, half, ahead):
+        """Values at t - half .. t + ahead, mirrored at the borders: all that a window of the larger reach holds, picked by place."""
+        reach = max(half, ahead)
+        seen = F.collect_list(F.struct(F.col("t").alias("t"), F.col(value).alias("v"))).over(I.over("site").orderBy("t").rowsBetween(-reach, reach))
+        at = F.map_from_entries(seen)
+        return F.transform(F.sequence(F.lit(-half).cast("long"), F.lit(ahead).cast("long")), lambda o: F.element_at(at, mirrored(F.col("t") + o, nt)))
+
+    line = p.select("site", "t", "frames", "x", "y", windowed("v", 2, 2).alias("line"))
+    bounds = grid_bounds(p)
+    steps = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
+    near = p.select("site", "t", "x", "y").join(F.broadcast(bounds)).withColumn("j", F.explode(steps)).withColumn("k", F.explode(steps))
+    near = near.select("site", "t", mirrored(F.col("x") + F.col("j"), F.lit(I.WIDTH)).alias("b"), mirrored(F.col("y") + F.col("k"), F.col("ny")).alias("c"))
+    seen = near.join(line.select("t", F.col("x").alias("b"), F.col("y").alias("c"), "line"), ["t", "b", "c"], "left")
+    nothing = F.array_repeat(F.lit(0.0), 5)
+    med = seen.groupBy("site", "t").agg(middle(F.flatten(F.collect_list(F.coalesce("line", nothing)))).alias("med"))
+    d = p.select("site", "t", "frames", "v").join(med, ["site", "t"]).withColumn("d", F.abs(F.col("v") - F.col("med")))
+    frames = I.span(spark, sf_dir)
+    width = min(21, max(1, frames // 4))
+    d = d.withColumn("mad", middle(windowed("d", width // 2, width - width // 2 - 1)))
     rest = F.col("med") + 2.0 * W.MAD * F.col("mad")
-    return mad.select("site", "t", S.r6(rest).alias("rest"), (F.col("v") > rest).alias("active"))
+    return d.select("site", "t", S.r6(rest).alias("rest"), (F.col("v") > rest).alias("active"))
 
 
 register("rest_volume", rest_volume, f"""
