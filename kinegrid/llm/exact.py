@@ -8,7 +8,8 @@ hash and then by content: ranges are cut at hashes, which are short. Two blocks
 would stop the run; they can't share a name.)
 
 Sorting is by range over (hash, row), so copies of one hot block spread over many tasks; what joins two
-ranges is one summary row a task. Each level is written to the shared folder and holds half the rows of
+ranges is one summary row a task. Groups that hold more than a thousandth of all rows, a thousand at most, meet their
+rows by a broadcast, so no key of the last join has more rows than that. Each level is written to the shared folder and holds half the rows of
 the one before.
 
 Texts are cut up in slices of 8 MiB or one text, so the longest text bounds a task's memory.
@@ -34,6 +35,7 @@ from pyspark.sql.window import Window
 from .common import ASCII_LOWER, Scratch, slices, utf8
 
 BLOCK = 4096
+MANY = 1000
 
 
 def _blocks(docs: DataFrame, block: int) -> DataFrame:
@@ -164,8 +166,13 @@ def groups(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> DataFram
     """(doc_id, keep_id, group_size, kept, text_sha256): of equal texts the row with the largest doc_id stays."""
     scratch = Scratch(spark, "exact-groups")
     rows = scratch.write(identities(spark, docs, block), "identities")
-    same = rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    # a sort-merge join whose hot keys Spark can split; single documents meet nothing
-    rows = rows.join(same, ["level", "name"], "left")
+    key = ["level", "name"]
+    same = rows.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    same = scratch.write(same, "same")
+    # a group of more than a part of MANY of all rows is hot; there are MANY at most, so they are broadcast
+    large = F.col("group_size") * MANY > rows.count()
+    hot = F.broadcast(same.where(large))
+    rest = rows.join(hot.select(*key), key, "left_anti").join(same.where(~large), key, "left")  # documents alone meet nothing
+    rows = rows.join(hot, key).unionByName(rest)
     keep = F.coalesce("keep_id", "doc_id")
     return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha256").alias("text_sha256"))

@@ -42,3 +42,15 @@ def test_texts_longer_than_a_slice(spark):
     rows = [(1, long), (2, long.upper()), (3, long + "."), (3, long), (4, long[:-1]), (4, "short")]
     got = sorted(tuple(r) for r in exact.groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("many", [1, 10, 10_000])
+def test_hot_groups_and_others(spark, monkeypatch, many):
+    """All groups shuffled, some broadcast, all broadcast: the same rows."""
+    monkeypatch.setattr(exact, "MANY", many)
+    rows = [(i, "hot" if i % 3 else f"text {i % 21}") for i in range(200)] + [(None, "hot"), (None, "alone")]
+    got = exact.groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute([(i, t) for i, t in rows if i is not None])
+    size = {"hot": sum(t == "hot" for _, t in rows)}
+    assert len(got) == 202 and sorted(tuple(r) for r in got if r["doc_id"] is not None) == sorted((i, k, size.get(t, n), kept, sha) for (i, k, n, kept, sha), (_, t) in zip(want, [r for r in rows if r[0] is not None], strict=True))
+    assert sorted((r["group_size"], r["kept"]) for r in got if r["doc_id"] is None) == [(1, True), (size["hot"], False)]
