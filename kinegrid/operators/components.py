@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FEW = 200_000  # links that one task contracts at once
+MANY, SMALL = 1000, 10_000  # a node with a MANYth of the links is hot, if there are more than SMALL
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -35,21 +36,28 @@ def contract(links: DataFrame, store: Callable[[DataFrame, int], DataFrame]) ->
     """(node, component) of every node of links (a, b); a component is named by its smallest node.
 
     Large star and small star steps alternate until each node points straight at its component's smallest
-    node, in O(log^2 n) rounds. A step is an aggregate and a sort-merge join, whose hot nodes Spark splits; ``store``
-    keeps a round's table. Links of a node to itself add a component of its own; nulls link nothing.
+    node, in O(log^2 n) rounds. A step is an aggregate and a join; ``store`` keeps a round's table. Links of a node to itself add a component of its own; nulls link nothing.
     """
     a, b = F.col("a"), F.col("b")
     links = links.where("a is not null and b is not null").select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).distinct()
     edges = store(links, 0)
     for turn in range(1, 200):
         loose = edges.where("a <> b")
-        centre = loose.groupBy("a").agg(F.count("*").alias("n"))
-        chained = loose.select(F.col("b").alias("a")).distinct().join(centre, "a", "left_semi")
-        if not centre.where("n > 1").limit(1).count() and not chained.limit(1).count():
+        ends = loose.select(a.alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(loose.select(b.alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        degree = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        forks, chains, most, total = degree.agg(F.max("up"), F.max(F.least("up", "down")), F.max(F.col("up") + F.col("down")), F.sum("up")).first()
+        if not total or forks == 1 and not chains:
             break
         both = loose.select("a", "b").unionByName(loose.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(b.alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        above = both.where("b > a")
+        if most * MANY > total > SMALL:
+            # nodes with more than a thousandth of all links, two thousand at most, meet theirs by a broadcast
+            hot = F.broadcast(least.where(F.col("n") * MANY > total).drop("n"))
+            above = above.join(hot, "a").unionByName(above.join(hot.select("a"), "a", "left_anti").join(least.drop("n"), "a"))
+        else:
+            above = above.join(least.drop("n"), "a")
+        large = above.select(b.alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))

@@ -131,3 +131,27 @@ def test_watermark_and_timeout(spark, tmp_path):
     assert (2, 1) not in got  # later than the watermark
     assert got[2, 102] == (4.0, 0)  # site 2's state, idle for hours, is gone: its window is empty
     assert got[1, 101] == (1.5, 0) or got[1, 101][0] == 2.0
+
+
+@pytest.mark.parametrize("small", [0, 10**9])
+def test_components_with_hot_nodes(spark, monkeypatch, small):
+    """Stars of many leaves, chains between them and loners, with hot nodes broadcast or not."""
+    monkeypatch.setattr(C, "FEW", 0)
+    monkeypatch.setattr(C, "SMALL", small)
+    rng = random.Random(8)
+    edges = [(0, i) for i in range(1, 400)] + [(1000, i) for i in range(1001, 1300)] + [(1299, 2000), (2000, 2001)] + [(5000 + i, 5001 + i) for i in range(0, 60, 2)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame([e if rng.random() < 0.5 else e[::-1] for e in edges], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in sorted({x for e in edges for x in e} | {9999})], "node long")
+    got = {r["node"]: r["component"] for r in C.components(nodes, df).collect()}
+    root = {i: i for i in got}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in edges:
+        p, q = find(x), find(y)
+        root[max(p, q)] = min(p, q)
+    assert got == {i: find(i) for i in got}
