@@ -40,6 +40,7 @@ STATES, OWN, SUFFIXES, LOCAL = 6, 4096, 512, 1_000_000
 ROUNDS, SETTLED = 9, 1e-3
 CLASS_BYTES = 1 << 21  # of class numbers in one run
 SEGMENT_WORDS = 1536
+RESCALE = 8  # steps between two rescalings
 END = np.uint64(0xE5D000000000E5D1)
 ALPHA = 0.1
 
@@ -130,11 +131,6 @@ class Segments:
         """Where each segment's last token lies."""
         return self.steps[self.size - 1] + np.arange(len(self.size))
 
-    def sums(self, x: np.ndarray) -> np.ndarray:
-        """Sums of a value of each token by segment."""
-        alive = np.diff(self.steps)
-        return np.bincount(np.arange(len(x)) - np.repeat(self.steps[:-1], alive), x, len(self.size))
-
 
 @dataclass
 class Model:
@@ -149,10 +145,11 @@ class Model:
         alive = np.diff(s.steps)
         for t in range(int(s.size[which].max(initial=0))):
             n = np.searchsorted(which, alive[t])
-            x = m[:n] * self.emit.take(s.classes[s.steps[t] + which[:n]], 0)[:, None, :]
-            x = x.reshape(n, k * k)
-            x /= (x @ np.ones(k * k, x.dtype))[:, None]
-            m[:n] = (x.reshape(-1, k) @ self.step).reshape(n, k, k)
+            x = m[:n]
+            x *= self.emit.take(s.classes[s.steps[t] + which[:n]], 0)[:, None, :]
+            if t % RESCALE == RESCALE - 1:
+                x /= x.reshape(n, k * k).sum(1)[:, None, None]
+            x[:] = (x.reshape(-1, k) @ self.step).reshape(n, k, k)
         return m
 
     def chain(self, s: Segments) -> tuple[np.ndarray, np.ndarray]:
@@ -177,24 +174,30 @@ class Model:
                 after[some] = x / x.max(1)[:, None]
         return before, after
 
-    def forward(self, s: Segments, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: the filtered states, the scale (its probability after all before it), its class's emissions."""
+    def forward(self, s: Segments, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """Of each token the forward weights of the states and its class's emissions; natural log likelihoods of the
+        segments; and, of the steps that are rescaled, the scales. Weights shrink by no more than RESCALE emissions
+        before they are brought back to a sum of 1, which a double holds easily."""
         k = len(self.first)
-        p, emitted = before.copy(), self.emit.take(s.classes, 0)
-        states, scale, one = np.empty_like(emitted), np.empty(len(emitted), emitted.dtype), np.ones(k, emitted.dtype)
+        p, emitted, log, scales = before.copy(), self.emit.take(s.classes, 0), np.zeros(len(s.row)), {}
+        states, one = np.empty_like(emitted), np.ones(k, emitted.dtype)
         at, step = s.steps.tolist(), self.step
-        for lo, hi in zip(at[:-1], at[1:], strict=True):
+        for t in range(len(at) - 1):
+            lo, hi = at[t], at[t + 1]
             x = states[lo:hi]
             np.multiply(p[: hi - lo], emitted[lo:hi], out=x)
-            c = np.matmul(x, one, out=scale[lo:hi])
-            x /= c[:, None]
+            if t % RESCALE == RESCALE - 1:
+                c = scales[t] = x @ one
+                x /= c[:, None]
+                log[: hi - lo] += np.log(c)
             np.matmul(x, step, out=p[: hi - lo])
-        return states, scale, emitted
+        if len(log):
+            log += np.log(states[s.last] @ one)
+        return states, emitted, log, scales
 
     def likelihoods(self, s: Segments, rows: int) -> np.ndarray:
         """Natural log likelihood of each row."""
-        scale = self.forward(s, self.chain(s)[0])[1]
-        return np.bincount(s.row, s.sums(np.log(scale)), rows)
+        return np.bincount(s.row, self.forward(s, self.chain(s)[0])[2], rows)
 
     def expect(self, s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of first states, steps and classes by state, and the log likelihood."""
@@ -203,27 +206,28 @@ class Model:
         if not n:
             return first, step, emit, 0.0
         before, after = self.chain(s)
-        states, scale, onward = self.forward(s, before)
-        onward /= scale[:, None]  # becomes the scaled weight that a token hands to the one before it
+        states, onward, log, scales = self.forward(s, before)
         at, back, ends = s.steps.tolist(), np.ascontiguousarray(self.step.T), states[s.last]
         q = after @ back
-        q /= (ends * q).sum(1)[:, None]  # scaled as the forward pass is: states times q are posteriors
+        q /= (ends * q).sum(1)[:, None]  # scaled as the forward pass is: weights times q are posteriors
         for t in range(len(at) - 2, -1, -1):
             lo, hi = at[t], at[t + 1]
             b = q[: hi - lo]
             states[lo:hi] *= b  # posteriors from here on
             w = onward[lo:hi]
-            w *= b
+            w *= b  # the weight that a token hands to the one before it
+            if t in scales:
+                w /= scales[t][:, None]
             np.matmul(w, back, out=b)
             if t:
                 step += states[at[t - 1] : at[t - 1] + hi - lo].T @ w
         linked = np.flatnonzero(s.follows >= 0)  # the first token of a segment lies at the segment's own number
-        step += ends[linked].T @ onward[s.follows[linked]]
+        step += (ends[linked] / ends[linked].sum(1)[:, None]).T @ onward[s.follows[linked]]
         step *= self.step
         for i, own in enumerate(np.ascontiguousarray(states.T)):
             emit[:, i] = np.bincount(s.classes, own, len(emit))
         first = states[:n][s.number == 0].sum(0)
-        return first, step, emit, float(np.log(scale).sum())
+        return first, step, emit, float(log.sum())
 
     @staticmethod
     def of(first: np.ndarray, step: np.ndarray, emit: np.ndarray, share: np.ndarray) -> Model:
