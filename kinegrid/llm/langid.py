@@ -162,18 +162,14 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, most: int =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text"):
-                lang = np.array([number[x] for x in some.column("lang").to_pylist()], np.int64)
+                lang = np.array([number[x] for x in some.column("lang").to_pylist()], np.uint64)
                 data, offsets = utf8(some.column("text"))
                 full = grams(data, offsets, ORDER + 1)
                 of = np.repeat(lang, np.diff(offsets))
-                for n in range(ORDER + 1):
-                    order = np.lexsort((own := full & np.uint64((1 << 8 * (n + 1)) - 1), of))
-                    own, at = own[order], of[order]
-                    fresh = np.ones(len(own), bool)
-                    fresh[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1])
-                    c = np.diff(np.append(np.flatnonzero(fresh), len(own)).astype(np.int64))
-                    k = int(fresh.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(at[fresh]), pa.array(np.full(k, n)), pa.array(own[fresh].astype(np.int64)), pa.array(c)], names=["lang", "n", "gram", "c"])
+                for n in range(ORDER + 1):  # a gram has at most 32 bits, its language stands above them
+                    key, c = np.unique(of << np.uint64(32) | full & np.uint64((1 << 8 * (n + 1)) - 1), return_counts=True)
+                    own = key & np.uint64(0xFFFFFFFF)
+                    yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(32)).astype(np.int64)), pa.array(np.full(len(key), n)), pa.array(own.astype(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "n", "gram", "c"])
 
     # as many rows as the bounded sample has distinct grams
     got = chosen.select("lang", "text").mapInArrow(count, "lang long, n long, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).toArrow()
