@@ -3,6 +3,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from kinegrid.operators import kernels as K
@@ -92,3 +93,15 @@ def test_pairs_near_by_centroid_alone(spark, sf_dir):
     got = {(r["i"], r["j"]): (r["iou"], r["distance"], r["reason"]) for r in QUERIES["compatible_regions"](spark, sf_dir).collect()}
     assert got.keys() == want.keys() and any(not v[0] for v in want.values())
     assert all(got[k][2] == want[k][2] and got[k][:2] == pytest.approx(want[k][:2], abs=2e-6) for k in want)
+
+
+def test_rest_volume_against_the_kernel(spark, sf_dir):
+    rows = I.patches(spark, sf_dir).collect()
+    a = np.zeros((rows[0]["frames"], 15, max(r["y"] for r in rows) + 1))
+    for r in rows:
+        a[r["t"], r["x"], r["y"]] = r["v"]
+    want = K.rest_state(a, 5, 3, 2.0, 21)
+    got = QUERIES["rest_volume"](spark, sf_dir).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["rest"] == pytest.approx(want[r["t"], r["site"] % 15, r["site"] // 15], abs=2e-6)
