@@ -213,7 +213,7 @@ def coupled_sql(lags):
 WITH {I.PATCHES}, {CLICKS}, {UNITS}, {ONSETS},
 sp AS (SELECT roi, l AS lag, start + l AS s, least((SELECT max(frames) FROM patches), start + l + 3) AS e FROM onsets, (SELECT unnest({lags}) AS l) WHERE start + l >= 0),
 h AS (SELECT c.site, sp.lag, sp.s, sp.e, max(CAST(active AS INT)) AS hit FROM sp JOIN clicks c ON c.site // 15 = sp.roi AND c.t >= sp.s AND c.t < sp.e WHERE sp.s < sp.e GROUP BY ALL),
-r AS (SELECT site, lag, count(*) AS windows, sum(hit) AS hits FROM h GROUP BY ALL),
+r AS (SELECT site, lag, count(*) AS windows, CAST(sum(hit) AS BIGINT) AS hits FROM h GROUP BY ALL),
 b AS (SELECT site, avg(hit) AS prob FROM (SELECT site, max(CAST(active AS INT)) OVER w AS hit, count(*) OVER w AS n FROM clicks WINDOW w AS (PARTITION BY site ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) WHERE n = 3 GROUP BY site),
 d AS (SELECT r.*, prob, round(hits / windows - prob, 6) AS dependency FROM r JOIN b USING (site)),
 best AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY site ORDER BY dependency DESC, lag) = 1)"""
