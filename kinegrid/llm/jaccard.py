@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, Scratch, carried, mix, shingle_hashes, slices, utf8, word_hashes
 from .graph import components as connected
 
-BLOCK, SHINGLES = 3000, 4_000_000  # classes, and their shingles, of a search group in one block
+BLOCK, SHINGLES = 1000, 4_000_000  # classes, and their shingles, of a search group in one block
 HUBS = 32  # classes of a group, about, that all its blocks see
 NEAR = 4  # components near a class that it is compared with before lists are merged
 EMPTY = 2  # empty segments that a set may have before they are keys too
@@ -373,8 +373,8 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
         minor = scratch.write(minor.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))), "minor")
         each = minor.select("node", "component", (F.col("part") + 1).alias("k"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("i"), F.lit(True).alias("second"))
         other = large.join(minor.select("component", "parts").distinct(), "component").join(minor.select("node", F.col("part").alias("own")), "node", "left")
-        # a class that is minor itself meets its own part as one of it, and the other parts as all others do
-        other = other.select("node", "component", F.explode(F.expr("sequence(1L, parts)")).alias("k"), "i", F.lit(False).alias("second"), "own").where("own is null or own + 1 <> k").drop("own")
+        # a class that is minor itself meets its own part as one of it, and the parts before as all others do
+        other = other.select("node", "component", F.explode(F.expr("sequence(1L, parts)")).alias("k"), "i", F.lit(False).alias("second"), "own").where("own is null or own + 1 > k").drop("own")
         own = minor.select("node", "component", (F.col("part") + 1).alias("k"), F.lit(-1).cast("long").alias("i"), F.lit(False).alias("second"))
         links = links.unionByName(searched(scratch.write(each.unionByName(other).unionByName(own), "minor-tasks"), "minor-links"))
     found = scratch.write(connected(links, scratch, "found").join(place, "node").select("node", "component", "first"), "components")
