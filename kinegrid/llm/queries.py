@@ -102,6 +102,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_ids", "n_byte_ids", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
+
+
 OP2_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
 good AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND NOT list_bool_or([x IS NULL OR isnan(x) OR isinf(x) FOR x IN e]) AND NOT list_bool_and([x = 0 FOR x IN e])),
@@ -141,7 +147,7 @@ SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n U
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_embedding_dedup, op3_token_store, op4_language_id, op5_warc, op6_substring_dedup, op7_hmm_scoring, op8_jaccard_join, op9_exact_dedup, op10_sentencepiece)
+    found = (op1_packing, op2_embedding_dedup, op3_token_store, op4_language_id, op5_warc, op6_substring_dedup, op7_hmm_scoring, op8_jaccard_join, op9_exact_dedup, op10_sentencepiece, op11_embedding_whitening)
     return {f.__name__: f for f in found}
 
 
