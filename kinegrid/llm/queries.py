@@ -108,6 +108,13 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    found = remove_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP2_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
 good AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND NOT list_bool_or([x IS NULL OR isnan(x) OR isinf(x) FOR x IN e]) AND NOT list_bool_and([x = 0 FOR x IN e])),
@@ -146,10 +153,26 @@ SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n U
 """
 
 
+OP12_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS k FROM p),
+r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+f AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, run),
+t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front, max(b) AS last, sum(b - a) AS n_removed, count(*) AS n_spans FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(front || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_embedding_dedup, op3_token_store, op4_language_id, op5_warc, op6_substring_dedup, op7_hmm_scoring, op8_jaccard_join, op9_exact_dedup, op10_sentencepiece, op11_embedding_whitening)
+    found = (op1_packing, op2_embedding_dedup, op3_token_store, op4_language_id, op5_warc, op6_substring_dedup, op7_hmm_scoring, op8_jaccard_join, op9_exact_dedup, op10_sentencepiece, op11_embedding_whitening, op12_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op12_suffix_dedup": OP12_SQL}

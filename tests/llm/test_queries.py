@@ -20,4 +20,4 @@ def test_against_sql(spark, sf_dir, name):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in Q.queries()] == [f"op{i}" for i in range(1, 12)]
+    assert [n.split("_")[0] for n in Q.queries()] == [f"op{i}" for i in range(1, 13)]
