@@ -1,4 +1,4 @@
-"""Shared plumbing: the shared scratch folder, byte-level word hashing and hash mixing.
+"""Shared plumbing: the shared scratch folder, words told apart by their bytes, digests and hash mixing.
 
 Every intermediate table goes to the folder that the cluster names in ``spark.checkpoint.dir``;
 a lost executor then costs a re-read, never a recomputation of the whole lineage.
@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -110,25 +111,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
-
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, SEGMENT + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (len + 1) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -173,43 +161,46 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarr
         lo = hi
 
 
-def _hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of data[s:e], mixed with the lengths."""
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[e] - total[s]) * down[s] ^ (e - s).astype(np.uint64))
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each span (ascending, none overlapping) among the different ones, and these, told apart byte by byte."""
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    mark = np.zeros(len(data) + 1, np.int8)
+    mark[starts] += 1
+    mark[ends] -= 1
+    held = data[np.cumsum(mark[:-1], dtype=np.int8).view(bool)]
+    offsets = np.append(0, np.cumsum(ends - starts))
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(held)]).dictionary_encode()
+    return spans.indices.to_numpy(), spans.dictionary.to_pylist()
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of spans in ascending order, by segments."""
-    out, i = np.empty(len(starts), np.uint64), 0
-    while i < len(starts):
-        lo = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, lo + SEGMENT, "right")))
-        out[i:j] = _hashes(data[lo : ends[j - 1]], starts[i:j] - lo, ends[i:j] - lo)
-        i = j
-    return out
+def digests(words: list[bytes]) -> np.ndarray:
+    """128 bits of BLAKE2b of each word, as two columns of uint64."""
+    return np.frombuffer(b"".join([blake2b(w, digest_size=16).digest() for w in words]), "<u8").reshape(-1, 2)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, spans: bool = False) -> tuple[np.ndarray, ...]:
-    """64-bit hash of each word of all rows, and the words' offsets by row (len + 1); on request their starts and ends."""
-    hashes, starts, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def word_hashes(data: np.ndarray, offsets: np.ndarray, spans: bool = False, wide: bool = False) -> tuple[np.ndarray, ...]:
+    """64 bits of the digest of each word of all rows, and the words' offsets by row (len + 1); on request their starts
+    and ends, and last the digest's other 64 bits."""
+    hashes, starts, ends = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s, e, lo, hi in word_spans(data, offsets):
-        hashes.append(_hashes(data[lo:hi], s - lo, e - lo))
+        number, words = numbered(data[lo:hi], s - lo, e - lo)
+        hashes.append(digests(words)[number])
         starts.append(s)
         ends.append(e)
-    at = np.concatenate(starts)
-    out = np.concatenate(hashes), np.searchsorted(at, offsets)
-    return (*out, at, np.concatenate(ends)) if spans else out
+    at, both = np.concatenate(starts), np.concatenate(hashes)
+    out = np.ascontiguousarray(both[:, 0]), np.searchsorted(at, offsets)
+    out = (*out, at, np.concatenate(ends)) if spans else out
+    return (*out, np.ascontiguousarray(both[:, 1])) if wide else out
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n consecutive words (rows are not told apart here)."""
     out = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for i in range(n):
+        out ^= words[i : len(words) - n + 1 + i]
         out *= np.uint64(0xD6E8FEB86659FD93)
-        out += words[i : len(words) - n + 1 + i]
+        out ^= out >> np.uint64(32)
     return mix(out)
 
 

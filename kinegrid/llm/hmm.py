@@ -19,7 +19,7 @@ first ones leave the noise's plateau) and goes on until the likelihood settles.
 Texts are read in slices of 2 MiB or one text; the longest text bounds a task's memory.
 
 Cases: null text is empty and consists of the end alone; rows that repeat an id are scored each for itself;
-words are told apart by 64-bit hashes; an empty table gives no rows; without training documents every word is
+words are told apart by 128 bits of BLAKE2b; an empty table gives no rows; without training documents every word is
 unseen; further columns are ignored.
 """
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Scratch, slices, utf8, word_hashes
+from .common import ASCII_LOWER, Scratch, digests, numbered, slices, utf8, word_spans
 from .langid import held_out
 
 STATES, OWN, SUFFIXES, LOCAL = 6, 4096, 512, 1_000_000
@@ -47,9 +47,10 @@ ALPHA = 0.1
 
 @dataclass
 class Batch:
-    """Tokens of some rows: distinct words with their suffix classes, and each token's number among them."""
+    """Tokens of some rows: distinct words (both halves of their digests) with suffix classes, and each token's number among them."""
 
     words: np.ndarray
+    more: np.ndarray
     suffix: np.ndarray
     token: np.ndarray
     at: np.ndarray
@@ -58,27 +59,34 @@ class Batch:
 def tokens(column: pa.Array) -> Batch:
     data, offsets = utf8(column)
     data = ASCII_LOWER[data]
-    h, at, starts, ends = word_hashes(data, offsets, spans=True)
-    if len(h):
-        last = data[ends - 1].astype(np.int64)
-        before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.int64)
-    else:
-        last = before = np.zeros(0, np.int64)
-    suffix = (last * 131 + before) % SUFFIXES
+    found = [(s, e) for s, e, _, _ in word_spans(data, offsets)] or [(np.zeros(0, np.int64),) * 2]
+    starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    number, words = numbered(data, starts, ends)
+    suffix = [(w[-1] * 131 + (w[-2] if len(w) > 1 else 0)) % SUFFIXES for w in words]
+    at = np.searchsorted(starts, offsets)
     rows = len(at) - 1
-    place = np.arange(len(h)) + np.repeat(np.arange(rows), np.diff(at))
-    total = len(h) + rows
-    all_h, all_s = np.full(total, END), np.zeros(total, np.int64)
-    all_h[place], all_s[place] = h, suffix
-    words, first, token = np.unique(all_h, return_index=True, return_inverse=True)
-    return Batch(words, all_s[first], token, at + np.arange(rows + 1))
+    token = np.full(len(number) + rows, len(words))
+    token[np.arange(len(number)) + np.repeat(np.arange(rows), np.diff(at))] = number
+    both = digests(words)
+    return Batch(np.append(both[:, 0], END), np.append(both[:, 1], np.uint64(0)), np.array([*suffix, 0], np.int64), token, at + np.arange(rows + 1))
+
+
+def distinct(words: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different word is first met, and the number of each word among these."""
+    order = np.lexsort((more, words))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (words[order[1:]] != words[order[:-1]]) | (more[order[1:]] != more[order[:-1]])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(fresh) - 1
+    return order[fresh], of
 
 
 @dataclass
 class Vocabulary:
-    """Counts of the local words (sorted by hash), numbers of those with a class of their own, masses of classes."""
+    """Counts of the local words (sorted by digest), numbers of those with a class of their own, masses of classes."""
 
     words: np.ndarray
+    more: np.ndarray
     count: np.ndarray
     own: np.ndarray  # class of each local word, -1: by suffix
     mass: np.ndarray  # own classes first, then suffix classes
@@ -90,7 +98,7 @@ class Vocabulary:
         if not len(self.words):
             return len(self.mass) - SUFFIXES + b.suffix, np.zeros(len(b.words), np.int64), np.ones(len(b.words), bool)
         i = np.minimum(np.searchsorted(self.words, b.words), len(self.words) - 1)
-        here = self.words[i] == b.words
+        here = (self.words[i] == b.words) & (self.more[i] == b.more)
         own = np.where(here, self.own[i], -1)
         suffix = len(self.mass) - SUFFIXES + b.suffix
         return np.where(own >= 0, own, suffix), np.where(here, self.count[i], 0), here
@@ -245,24 +253,24 @@ class Model:
 
 
 def count_words(train: DataFrame, scratch: Scratch) -> DataFrame:
-    """(word, suffix, c) over all training documents, the end included."""
+    """(word, more, suffix, c) over all training documents, the end included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def merged() -> tuple[np.ndarray, ...]:
-            w, s, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            word, first, of = np.unique(w, return_index=True, return_inverse=True)
-            return word, s[first], np.bincount(of, c).astype(np.int64)
+            w, m, s, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            first, of = distinct(w, m)
+            return w[first], m[first], s[first], np.bincount(of, c).astype(np.int64)
 
-        def out(w: np.ndarray, s: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(s), pa.array(c)], names=["word", "suffix", "c"])
+        def out(w: np.ndarray, m: np.ndarray, s: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(m.view(np.int64)), pa.array(s), pa.array(c)], names=["word", "more", "suffix", "c"])
 
         for batch in batches:
             for some in slices(batch, "text"):
                 b = tokens(some.column("text"))
-                held.append((b.words, b.suffix, np.bincount(b.token, minlength=len(b.words))))
+                held.append((b.words, b.more, b.suffix, np.bincount(b.token, minlength=len(b.words))))
                 size += len(b.words)
                 if size > 1_500_000:  # a task's own memory, not a limit on words
                     held, size = [merged()], 0
@@ -271,8 +279,8 @@ def count_words(train: DataFrame, scratch: Scratch) -> DataFrame:
         if held:
             yield out(*merged())
 
-    rows = train.select("text").mapInArrow(run, "word long, suffix long, c long")
-    return scratch.write(rows.groupBy("word").agg(F.min("suffix").alias("suffix"), F.sum("c").alias("c")), "counts")
+    rows = train.select("text").mapInArrow(run, "word long, more long, suffix long, c long")
+    return scratch.write(rows.groupBy("word", "more").agg(F.min("suffix").alias("suffix"), F.sum("c").alias("c")), "counts")
 
 
 def vocabulary(counts: DataFrame, own: int, local: int) -> Vocabulary:
@@ -286,11 +294,12 @@ def vocabulary(counts: DataFrame, own: int, local: int) -> Vocabulary:
             break
         least = r["s"]
     end_word = int(np.array([END]).view(np.int64)[0])
-    best = counts.where((step >= least) | (F.col("word") == end_word)).toArrow()
-    word, c = best.column("word").to_numpy().view(np.uint64), best.column("c").to_numpy().astype(np.int64)
-    order = np.lexsort((word, -c))
-    word, c, suffix = word[order], c[order], best.column("suffix").to_numpy()[order]
-    end = np.flatnonzero(word == END)
+    best = counts.where((step >= least) | ((F.col("word") == end_word) & (F.col("more") == 0))).toArrow()
+    word, more = (best.column(x).to_numpy().view(np.uint64) for x in ("word", "more"))
+    c = best.column("c").to_numpy().astype(np.int64)
+    order = np.lexsort((more, word, -c))
+    word, more, c, suffix = word[order], more[order], c[order], best.column("suffix").to_numpy()[order]
+    end = np.flatnonzero((word == END) & (more == 0))
     top = np.zeros(len(word), bool)
     top[:own] = True
     top[end] = True  # frequent enough wherever there are documents
@@ -305,7 +314,7 @@ def vocabulary(counts: DataFrame, own: int, local: int) -> Vocabulary:
     np.subtract.at(rest, suffix[top], c[top] + ALPHA)
     mass[len(mass) - SUFFIXES :] = np.maximum(rest, ALPHA)
     back = np.argsort(word)
-    return Vocabulary(word[back], c[back], number[back], mass, int(sums[0] or 0), int(sums[1] or 0))
+    return Vocabulary(word[back], more[back], c[back], number[back], mass, int(sums[0] or 0), int(sums[1] or 0))
 
 
 def train(spark: SparkSession, rows: DataFrame, vocab: Vocabulary, scratch: Scratch, states: int = STATES, rounds: int = ROUNDS) -> Model:
@@ -382,22 +391,22 @@ def score(spark: SparkSession, docs: DataFrame, states: int = STATES, own: int =
                 hmm = m.likelihoods(Segments.of(cls[b.token], b.at), k) / np.log(10) + base + np.bincount(row, shares, k)
                 seen = np.bincount(row, (here & (c > 0))[b.token], k).astype(np.int64)
                 ids, keys = some.column("doc_id"), some.column("row")
-                yield pa.RecordBatch.from_arrays([keys, ids, pa.array(n), pa.array(seen), pa.array(base), pa.array(hmm), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=NAMES)
+                yield pa.RecordBatch.from_arrays([keys, ids, pa.array(n), pa.array(seen), pa.array(base), pa.array(hmm), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=NAMES)
                 rare = ~here[b.token]
                 pair, times = np.unique(row[rare] * len(b.words) + b.token[rare], return_counts=True)
                 of, word = np.divmod(pair, max(1, len(b.words)))
                 j = len(pair)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(of)), pa.nulls(j, pa.int64()), pa.nulls(j, pa.int64()), pa.nulls(j, pa.int64()), pa.nulls(j, pa.float64()), pa.nulls(j, pa.float64()), pa.array(b.words[word].view(np.int64)), pa.array(times.astype(np.int64))], names=NAMES
+                    [keys.take(pa.array(of)), pa.nulls(j, pa.int64()), pa.nulls(j, pa.int64()), pa.nulls(j, pa.int64()), pa.nulls(j, pa.float64()), pa.nulls(j, pa.float64()), pa.array(b.words[word].view(np.int64)), pa.array(b.more[word].view(np.int64)), pa.array(times.astype(np.int64))], names=NAMES
                 )
 
-    NAMES = ["row", "doc_id", "n_tokens", "n_known", "base", "hmm", "word", "times"]
-    kinds = "row long, doc_id long, n_tokens long, n_known long, base double, hmm double, word long, times long"
+    NAMES = ["row", "doc_id", "n_tokens", "n_known", "base", "hmm", "word", "more", "times"]
+    kinds = "row long, doc_id long, n_tokens long, n_known long, base double, hmm double, word long, more long, times long"
     found = scratch.write(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, kinds), "found")
-    rare = found.where("word is not null").select("row", "word", "times").join(counts.select("word", "c"), "word", "left")
+    rare = found.where("word is not null").select("row", "word", "more", "times").join(counts.select("word", "more", "c"), ["word", "more"], "left")
     c = F.coalesce("c", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(c + ALPHA)).alias("rare"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"))
-    out = found.where("word is null").drop("word", "times").join(rare, "row", "left")
+    out = found.where("word is null").drop("word", "more", "times").join(rare, "row", "left")
     more = F.coalesce("rare", F.lit(0.0))
     base = F.col("base") + more - F.col("n_tokens") * F.lit(float(np.log10(vocab.total + ALPHA * (vocab.kinds + 1))))
     return out.select(

@@ -5,14 +5,14 @@ in a document with a smaller id; the smallest such document owns the window.
 
 1. Anchors: of each window the word run with the smallest hash. Equal windows have equal anchors, so a window
    none of whose anchor's other documents exist can't recur; anchors found in one document only fall away.
-2. Confirmation: windows with a recurring anchor are counted by hash; one that lies in two documents is
-   confirmed, with its owner and its place there. Consecutive windows of an owner form its passages, in parts of
+2. Confirmation: windows with a recurring anchor are counted by 128 bits made of their words' digests (equal words are
+   told by their bytes, different ones by 128 bits of BLAKE2b); one that lies in two documents is confirmed, with its owner and its place there. Consecutive windows of an owner form its passages, in parts of
    ``PART`` windows at most.
 3. Automata: passages, as the owner's own words, are compiled into Aho-Corasick automata, one for each shard, from
    every (window + 1) // 2 words of them (each window holds one such phrase whole), words being single symbols. Every
    document streams through its shard's automaton, which locates the occurrences; every phrase found is extended,
    word by word as written, as far as the passage and the document agree, and what reaches a window's length is
-   removed. Hashes only propose: the words themselves decide, what and where.
+   removed. Digests name the owners; what goes, and where, the words themselves decide.
 
 Which automaton a document meets: all of them would cost documents times passages, so shards go with the documents.
 A shard is a batch of documents with the passages, cut to the windows in question, that some document of it may
@@ -50,12 +50,12 @@ SYMBOLS = 1_000_000  # words that an automaton tells apart
 
 
 def _windows(column: pa.Array, window: int, run: int) -> tuple[np.ndarray, ...]:
-    """Of all windows of all rows: row, place, anchor hash; and the words' hashes and offsets by row."""
-    words, at = word_hashes(*utf8(column))
+    """Of all windows of all rows: row, place, anchor hash; and both halves of the words' digests and the words' offsets by row."""
+    words, at, second = word_hashes(*utf8(column), wide=True)
     n = np.diff(at)
     if len(words) < window:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64), words, at
+        return none, none, np.zeros(0, np.uint64), words, second, at
     runs = shingle_hashes(words, run)
     span = window - run + 1
     least, reach = runs, 1
@@ -67,7 +67,7 @@ def _windows(column: pa.Array, window: int, run: int) -> tuple[np.ndarray, ...]:
     count = np.maximum(0, n - window + 1)
     row = np.repeat(np.arange(len(n)), count)
     place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return row, place, least[at[row] + place] if len(row) else np.zeros(0, np.uint64), words, at
+    return row, place, least[at[row] + place] if len(row) else np.zeros(0, np.uint64), words, second, at
 
 
 def _confirmed(spark: SparkSession, texts: DataFrame, scratch: Scratch, window: int, run: int) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +78,7 @@ def _confirmed(spark: SparkSession, texts: DataFrame, scratch: Scratch, window:
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text"):
-                row, _, anchor, _, _ = _windows(some.column("text"), window, run)
+                row, _, anchor, *_ = _windows(some.column("text"), window, run)
                 fresh = np.ones(len(row), bool)  # neighbours mostly share theirs
                 fresh[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
                 row, anchor = row[fresh], anchor[fresh]
@@ -94,26 +94,26 @@ def _confirmed(spark: SparkSession, texts: DataFrame, scratch: Scratch, window:
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text"):
-                row, place, anchor, words, at_row = _windows(some.column("text"), window, run)
+                row, place, anchor, words, second, at_row = _windows(some.column("text"), window, run)
                 known = np.unique(some.column("anchors").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-                hash_of = shingle_hashes(words, window)
+                of_windows = shingle_hashes(words, window), shingle_hashes(second, window)
                 found = np.searchsorted(known, anchor)
                 keep = known[np.minimum(found, len(known) - 1)] == anchor
                 row, place = row[keep], place[keep]
-                hashes = hash_of[at_row[row] + place]
-                order = np.lexsort((place, hashes, row))  # of a window that a document repeats, the first
-                row, place, hashes = row[order], place[order], hashes[order]
+                low, high = (h[at_row[row] + place] for h in of_windows)
+                order = np.lexsort((place, high, low, row))  # of a window that a document repeats, the first
+                row, place, low, high = row[order], place[order], low[order], high[order]
                 fresh = np.ones(len(row), bool)
-                fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+                fresh[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (row[1:] != row[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[fresh].view(np.int64)), some.column("doc_id").take(pa.array(row[fresh])), pa.array(place[fresh])], names=["w", "doc_id", "place"]
+                    [pa.array(low[fresh].view(np.int64)), pa.array(high[fresh].view(np.int64)), some.column("doc_id").take(pa.array(row[fresh])), pa.array(place[fresh])], names=["w", "w2", "doc_id", "place"]
                 )
 
     rows = texts.join(held, texts["doc_id"] == held["id"]).select("doc_id", "text", "anchors")
-    rows = scratch.write(rows.mapInArrow(candidates, "w long, doc_id long, place long"), "candidates")
+    rows = scratch.write(rows.mapInArrow(candidates, "w long, w2 long, doc_id long, place long"), "candidates")
     scratch.drop("held")
-    owned = rows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi"), F.min_by("place", "doc_id").alias("at")).where("owner < hi")
-    owned = scratch.write(owned.select("w", "owner", "at"), "owned")
+    owned = rows.groupBy("w", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi"), F.min_by("place", "doc_id").alias("at")).where("owner < hi")
+    owned = scratch.write(owned.select("w", "w2", "owner", "at"), "owned")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The passage of each confirmed window: the run of its owner's windows that it is in, by its first word."""
@@ -123,14 +123,14 @@ def _confirmed(spark: SparkSession, texts: DataFrame, scratch: Scratch, window:
             fresh[1:] = (owner[1:] != owner[:-1]) | (np.diff(at) != 1)
             first = at[fresh][np.cumsum(fresh) - 1]
             first += (at - first) // PART * PART
-            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("owner"), pa.array(first), batch.column("at")], names=["w", "owner", "first", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("w2"), batch.column("owner"), pa.array(first), batch.column("at")], names=["w", "w2", "owner", "first", "at"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    owned = owned.repartition(n, "owner").sortWithinPartitions("owner", "at").mapInArrow(runs, "w long, owner long, first long, at long")
+    owned = owned.repartition(n, "owner").sortWithinPartitions("owner", "at").mapInArrow(runs, "w long, w2 long, owner long, first long, at long")
     owned = scratch.write(owned, "runs")
     scratch.drop("owned")
     passages = scratch.write(owned.groupBy("owner", F.col("first").alias("place")).agg(F.count("*").alias("n")), "passages")
-    routes = rows.select("w", "doc_id").join(owned, "w").where("doc_id > owner").groupBy("doc_id", "owner", F.col("first").alias("place"))
+    routes = rows.select("w", "w2", "doc_id").join(owned, ["w", "w2"]).where("doc_id > owner").groupBy("doc_id", "owner", F.col("first").alias("place"))
     routes = routes.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     routes = scratch.write(routes, "routes")
     scratch.drop("candidates", "runs")

@@ -1,7 +1,7 @@
 """Token ids of whole texts by public tokenizer files, as little-endian uint16 or uint32 bytes.
 
 ``ByteLevel`` runs a byte-level BPE file; ``WordLevel`` runs a file that drops white space, with a
-memo of white-space units. Both give what the tokenizers library gives for the whole text
+memo of white-space units, told apart byte by byte. Both give what the tokenizers library gives for the whole text
 (add_special_tokens=False); texts for which that could be in doubt are passed to it whole.
 """
 
@@ -13,10 +13,13 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from .common import ASCII_LOWER, span_hashes, utf8, word_spans
+from .common import ASCII_LOWER, numbered, utf8, word_spans
 
 #: white space to Python only, or the start of a special token's string
 ODD = re.compile("[\x1c-\x1f\x85᠎]|<\\|")
+#: white space that the fast encoder's pattern would need too deep a stack for
+LONG_RUN = 100_000
+RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 MEMO = 300_000  # units of a generation; two are held
 
 
@@ -59,7 +62,8 @@ class ByteLevel:
         out = []
         for x in texts:
             x = x or ""
-            ids = self.whole.encode(x, add_special_tokens=False).ids if ODD.search(x) else self.fast.encode_ordinary(x)
+            doubtful = ODD.search(x) or len(x) > LONG_RUN and RUN.search(x)
+            ids = self.whole.encode(x, add_special_tokens=False).ids if doubtful else self.fast.encode_ordinary(x)
             out.append(np.array(ids, self.dtype).tobytes())
         return out
 
@@ -141,10 +145,7 @@ class WordLevel:
             s[place[stop] + 1], e[place[stop] + 1] = (ends - run)[stop], ends[stop]
             at = np.append(place, n)[at]
             starts, ends = s, e
-        words = span_hashes(data, starts, ends)
-        _, first, inverse = np.unique(words, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        units = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        inverse, units = numbered(data, starts, ends)
         if len(self.memo) > MEMO:  # units in use move on to the new generation
             self.older, self.memo = self.memo, {}
         memo, older = self.memo, self.older

@@ -58,9 +58,9 @@ def test_closed_runs_leave_nothing(spark):
     assert not common._ROOTS
 
 
-def test_span_hashes_by_segments(monkeypatch):
-    data = np.frombuffer(b"abcabc" * 40, np.uint8)
-    starts = np.arange(0, 240, 3)
-    whole = common.span_hashes(data, starts, starts + 3)
-    monkeypatch.setattr(common, "SEGMENT", 16)
-    assert (common.span_hashes(data, starts, starts + 3) == whole).all() and len(set(whole.tolist())) == 1
+def test_spans_are_told_apart_by_their_bytes():
+    data = np.frombuffer(b"abcabd-ab-abc", np.uint8)
+    number, words = common.numbered(data, np.array([0, 3, 7, 10]), np.array([3, 6, 9, 13]))
+    assert [words[i] for i in number] == [b"abc", b"abd", b"ab", b"abc"] and len(words) == 3
+    assert common.numbered(data, np.zeros(0, np.int64), np.zeros(0, np.int64))[1] == []
+    assert common.digests(words).shape == (3, 2) and common.digests([]).shape == (0, 2)

@@ -126,3 +126,13 @@ def test_rows_of_one_id_and_a_text_longer_than_a_segment(spark):
     assert sum(r["length"] for r in got) == sum(sizes) and {r["doc_tokens"] for r in got} == set(sizes)
     two = sorted((r["start"], r["length"], bytes(r["ids"])) for r in got if r["doc_id"] == 2)
     assert b"".join(x[2] for x in two) == np.array(encoded([long])[0], "<u4").tobytes()
+
+
+@pytest.mark.parametrize("unit", [" ", "\t", "\n", " \n\t ", "a"])
+def test_runs_of_two_million(spark, unit):
+    """White space that long is too deep for the fast encoder's pattern: the library takes such texts."""
+    long = unit * (2_000_000 // len(unit))
+    got = packing.pack(spark, spark.createDataFrame([(1, long, "s"), (2, f"x{long}y", "s")], "doc_id long, text string, source string"), PATH).collect()
+    for i, ids in zip((1, 2), encoded([long, f"x{long}y"]), strict=True):
+        parts = sorted((r["start"], bytes(r["ids"])) for r in got if r["doc_id"] == i)
+        assert b"".join(x for _, x in parts) == np.array(ids, "<u4").tobytes()
