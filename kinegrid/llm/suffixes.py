@@ -6,17 +6,18 @@ cover go, at every occurrence. Texts are UTF-8 bytes; repeats end at a text's en
 1. Anchors: of each window of ``least`` bytes the leftmost gram of GRAM bytes with the smallest hash. Equal windows have
    equal anchors at equal offsets, so only suffixes that start at equal anchors need comparing. The windows of one
    anchor lie side by side; they and what they cover are its region, kept as (place, length, digest of the bytes).
-2. Classes: regions are counted by anchor and digest. An anchor with one region in all says nothing; an anchor whose
-   regions are all equal has its repeat, the region, without further ado.
-3. Interval trees: the different regions of any other anchor are an array of suffixes, sorted, with the common prefix of each
+2. Classes: regions are counted by anchor, and where an anchor recurs by digest, each class with one of its places. Regions
+   of a class with two places are repeats as they stand; their one place stands for them from here on.
+3. Interval trees: the classes of an anchor are an array of suffixes, sorted, with the common prefix of each
    neighbour. A scan with a stack gives all common-prefix intervals, which are the right-maximal strings with all
    their occurrences. The members of an interval are sorted by what precedes the anchor, and a second scan over
    these common left extensions splits them where they turn diverse: each part that is long enough and still stops
    agreeing on the right where the interval does is a maximal repeat. All members of a part are occurrences.
-4. Busy anchors: those with more than BUCKET different regions (a passage with other surroundings each time) are dealt
-   anew, windows that start at 16 neighbouring offsets together, by a digest of the bytes that these have in common;
-   where even that leaves too many, each window goes by its own digest, so that only equal ones meet. So a task holds
-   at most BUCKET regions of under 2 * least bytes at once, whatever the number of copies, and nothing is dropped.
+4. Busy anchors: those with more than BUCKET classes (a passage with other surroundings each time, or copies each with a
+   change of its own) are dealt anew, windows that start at 64 neighbouring offsets together, by a digest of the
+   bytes that these have in common; where that leaves too many 8 together, then each window by itself, so that only equal
+   ones meet. So a task holds at most BUCKET regions of under 2 * least bytes at once, whatever the number of
+   copies, and nothing is dropped.
 
 Gram hashes only propose. Two regions (windows, at the last step) are taken as equal where 128 bits of BLAKE2b are; others
 are compared byte by byte. Counts are aggregates that Spark combines before it shuffles; a text and its own places
@@ -29,7 +30,9 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -41,7 +44,7 @@ from .common import Scratch, mix, slices, utf8
 
 LEAST, GRAM = 400, 64
 BUCKET = 256  # different regions of an anchor that are compared in one array
-STEPS = (16, 1)  # offsets that stay together when a busy anchor is dealt anew
+STEPS = (64, 8, 1)  # offsets that stay together when a busy anchor is dealt anew
 PLACES = "anchor long, d1 long, d2 long, row long, at long, n long, left long"
 
 
@@ -111,48 +114,36 @@ def _anchored(texts: DataFrame, least: int, gram: int) -> DataFrame:
 
 def _asked(texts: DataFrame, places: DataFrame) -> DataFrame:
     """Texts with the places asked for, as many as a text's own regions at most."""
-    asked = places.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("anchor", "d1", "d2", "at", "n", "left")).alias("asked"))
+    asked = places.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("anchor", "d1", "d2", "at", "n", "left", "busy")).alias("asked"))
     return texts.join(asked, texts["row"] == asked["of"]).select("row", "text", "asked")
 
 
-def _dealt(asked: DataFrame, least: int, step: int) -> DataFrame:
-    """PLACES of windows whose start lies ``step`` neighbouring offsets before the anchor, by the bytes they share."""
+def _read(asked: DataFrame, least: int, step: int) -> DataFrame:
+    """PLACES and bytes: of places that aren't busy, what their region holds; of busy ones, without bytes, the windows that
+    start at ``step`` neighbouring offsets before the anchor, by the bytes that they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text"):
-                out = []
+                out, quotes = [], []
                 for row, text, places in zip(*(some.column(c).to_pylist() for c in ("row", "text", "asked")), strict=True):
                     raw = text.encode()
                     for p in places:
-                        c, first, last = p["at"] + p["left"], p["at"], p["at"] + p["n"] - 1
+                        first, last, c = p["at"], p["at"] + p["n"] - 1, p["at"] + p["left"]
+                        if not p["busy"]:
+                            out.append((p["anchor"], p["d1"], p["d2"], row, first, p["n"], p["left"]))
+                            quotes.append(raw[first : last + least])
+                            continue
                         for j in range((c - last) // step, (c - first) // step + 1):
                             lo, hi = max(first, c - (j + 1) * step + 1), min(last, c - j * step)
                             shared = raw[c - j * step : max(0, c - (j + 1) * step + 1 + least)]
                             key = _digest(b"%d %d " % (p["anchor"], j) + shared)[0]
                             out.append((key, *_digest(raw[lo : hi + least]), row, lo, hi - lo + 1, c - lo))
-                yield _places(out)
-
-    return asked.mapInArrow(run, PLACES)
-
-
-def _quoted(asked: DataFrame, least: int) -> DataFrame:
-    """(anchor, d1, d2, left, bytes) of the regions asked for, once for each batch that has them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in slices(batch, "text"):
-                out: dict[tuple, bytes] = {}
-                for text, places in zip(some.column("text").to_pylist(), some.column("asked").to_pylist(), strict=True):
-                    raw = text.encode()
-                    for p in places:
-                        key = p["anchor"], p["d1"], p["d2"], p["left"]
-                        if key not in out:
-                            out[key] = raw[p["at"] : p["at"] + p["n"] - 1 + least]
-                keys = zip(*out, strict=True) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(list(out.values()), pa.binary())], names=["anchor", "d1", "d2", "left", "bytes"])
+                            quotes.append(None)
+                places = _places(out)
+                yield pa.RecordBatch.from_arrays([*places.columns, pa.array(quotes, pa.binary())], names=[*places.schema.names, "bytes"])
 
-    return asked.mapInArrow(run, "anchor long, d1 long, d2 long, left long, bytes binary")
+    return asked.mapInArrow(run, PLACES + ", bytes binary")
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -206,7 +197,8 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> Iter
 
 
 def _compared(quoted: DataFrame, least: int, all_groups: bool) -> DataFrame:
-    """Spans (lo, hi) of the regions that are repeats, numbered by group within an anchor where all_groups; else united."""
+    """(anchor, d1, d2, row, lo, hi, g): spans of the regions that are repeats, lo and hi counted in their text. By group
+    within an anchor where all_groups, and of every region; else united, and of regions that are the only one of their kind."""
 
     def bucket(rows: list[dict]) -> Iterator[tuple]:
         lefts = [r["bytes"][: r["left"]][::-1] for r in rows]
@@ -217,8 +209,8 @@ def _compared(quoted: DataFrame, least: int, all_groups: bool) -> DataFrame:
                 spans[p].append((rows[p]["left"] - l, rows[p]["left"] + r, g))
         for r, found in zip(rows, spans, strict=True):
             if not all_groups:
-                found = [(a, b, 0) for a, b in united([(a, b) for a, b, _ in found])]
-            yield from ((r["anchor"], r["d1"], r["d2"], a, b, g) for a, b, g in found)
+                found = [(a, b, 0) for a, b in united([(a, b) for a, b, _ in found])] if r["count"] == 1 else []
+            yield from ((r["anchor"], r["d1"], r["d2"], r["row"], r["at"] + a, r["at"] + b, g) for a, b, g in found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out = [], []
@@ -228,16 +220,16 @@ def _compared(quoted: DataFrame, least: int, all_groups: bool) -> DataFrame:
                     out += bucket(held)
                     held = []
                 held.append(r)
-            yield _spans(out)
+            yield spans_of(out)
             out = []
-        yield _spans(list(bucket(held)) if held else [])
+        yield spans_of(list(bucket(held)) if held else [])
 
-    def _spans(out: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*out, strict=True) if out else [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "d1", "d2", "lo", "hi", "g"])
+    def spans_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "d1", "d2", "row", "lo", "hi", "g"])
 
     n = int(quoted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return quoted.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, d1 long, d2 long, lo long, hi long, g long")
+    return quoted.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, d1 long, d2 long, row long, lo long, hi long, g long")
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -251,49 +243,60 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _occurrences(spark: SparkSession, scratch: Scratch, texts: DataFrame, least: int, all_groups: bool) -> list[DataFrame]:
-    """(row, start, stop, repeat): occurrences of repeats, in parts."""
+def _occurrences(spark: SparkSession, scratch: Scratch, texts: DataFrame, least: int, all_groups: bool) -> DataFrame:
+    """(row, start, stop, repeat): occurrences of repeats; without all_groups united by region and without a name."""
     gram = min(GRAM, 1 << (least.bit_length() - 1))
     digest = ["anchor", "d1", "d2"]
-    found, places = [], scratch.write(_anchored(texts, least, gram), "places")
+    parts, places = [], scratch.write(_anchored(texts, least, gram), "places")
     for level, step in enumerate([*STEPS, None]):
-        classes = scratch.write(places.groupBy(*digest).agg(F.count("*").alias("count")), f"classes{level}")
-        anchors = classes.groupBy("anchor").agg(F.sum("count").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-        anchors = scratch.write(anchors, f"anchors{level}")
-        name: Column = F.concat_ws("-", F.lit(level), F.hex("anchor"), "g")
-        whole = places.join(anchors.where("kinds = 1").select("anchor"), "anchor").withColumn("g", F.lit(0))
-        found.append(whole.select("row", F.col("at").alias("start"), (F.col("at") + F.col("n") + (least - 1)).alias("stop"), name.alias("repeat")))
-
-        few = anchors.where(f"kinds > 1 AND kinds <= {BUCKET}" if step else "kinds > 1").select("anchor")
-        mixed = scratch.write(places.join(few, "anchor"), f"mixed{level}")
-        quoted = _quoted(_asked(texts, mixed), least).groupBy(*digest, "left").agg(F.first("bytes").alias("bytes"))
-        quoted = scratch.write(quoted.join(classes, digest), f"quoted{level}")
-        spans = scratch.write(_compared(quoted, least, all_groups), f"spans{level}")
-        some = mixed.join(spans, digest)
-        found.append(some.select("row", (F.col("at") + F.col("lo")).alias("start"), (F.col("at") + F.col("hi")).alias("stop"), name.alias("repeat")))
-
-        busy = anchors.where(f"kinds > {BUCKET}").select("anchor")
-        if not step or busy.isEmpty():
+        twice = places.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor")
+        again = scratch.write(places.join(twice, "anchor"), f"again{level}")
+        if not level:
+            scratch.drop("places")
+        classes = again.groupBy(*digest).agg(F.count("*").alias("count"), F.min(F.struct("row", "at", "n", "left")).alias("one"))
+        classes = scratch.write(classes.select(*digest, "count", "one.*"), f"classes{level}")
+        several = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        busy = F.col("kinds") > BUCKET if step else F.lit(False)
+        wanted = classes.join(several, "anchor").withColumn("busy", busy)
+        if all_groups:  # groups name all their places, so busy anchors are dealt with all of them
+            every = again.join(several.where(busy), "anchor").withColumns({"count": F.lit(1).cast("long"), "busy": F.lit(True)})
+            wanted = wanted.where("not busy").unionByName(every)
+        wanted = scratch.write(wanted, f"wanted{level}")
+        read = scratch.write(_read(_asked(texts, wanted), least, step or 1), f"read{level}")
+        spans = _compared(read.where("bytes is not null").join(wanted.select(*digest, "count"), digest), least, all_groups)
+        spans = scratch.write(spans, f"spans{level}")
+
+        if all_groups:  # by group, at every place: spans lie in a class's one place, and are moved to the others
+            ones = classes.join(several, "anchor", "left_anti").select(*digest, "row", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (least - 1)).alias("hi"), F.lit(0).cast("long").alias("g"))
+            moved = spans.unionByName(ones).drop("row").join(classes.select(*digest, F.col("at").alias("first")), digest)
+            by = F.col("at") - F.col("first")
+            name: Column = F.concat_ws("-", F.lit(level), F.hex("anchor"), "g")
+            parts.append(again.join(moved, digest).select("row", (F.col("lo") + by).alias("start"), (F.col("hi") + by).alias("stop"), name.alias("repeat")))
+        else:
+            known = again.join(classes.where("count > 1").select(*digest), digest)
+            parts.append(known.select("row", F.col("at").alias("start"), (F.col("at") + F.col("n") + (least - 1)).alias("stop")))
+            parts.append(spans.select("row", F.col("lo").alias("start"), F.col("hi").alias("stop")))
+        if not step or wanted.where("busy").isEmpty():
             break
-        busy = scratch.write(places.join(busy, "anchor"), f"busy{level}")
-        places = scratch.write(_dealt(_asked(texts, busy), least, step), f"places{level}")
-    return found
+        places = read.where("bytes is null").drop("bytes")
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _texts(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """Rows numbered once and for all: later reads must agree on the numbers."""
+def _texts(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """Rows numbered once and for all: later reads must agree on the numbers. In buckets by number: texts are shuffled once."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return scratch.write(texts, "texts")
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
+    texts.repartition(n, "row").write.bucketBy(n, "row").option("compression", "zstd").option("path", scratch.path("texts")).format("parquet").saveAsTable(table)
+    texts = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalog's entry only: the files and the plan with their buckets stay
+    return texts
 
 
 def repeat_groups(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(repeat, length, doc_id, start): every group of equal strings, maximal within its region, with all occurrences."""
     scratch = Scratch(spark, "suffixes")
-    texts = _texts(scratch, docs)
-    parts = _occurrences(spark, scratch, texts, least, True)
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    texts = _texts(spark, scratch, docs)
+    rows = _occurrences(spark, scratch, texts, least, True)
     return rows.join(texts.select("row", "doc_id"), "row").select("repeat", (F.col("stop") - F.col("start")).alias("length"), "doc_id", "start")
 
 
@@ -303,11 +306,8 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary,
 def remove_repeats(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, spans): the bytes that stay, end to end, and the runs removed."""
     scratch = Scratch(spark, "suffixes")
-    texts = _texts(scratch, docs)
-    parts = _occurrences(spark, scratch, texts, least, False)
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    texts = _texts(spark, scratch, docs)
+    rows = _occurrences(spark, scratch, texts, least, False)
     gone = rows.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,17 +107,20 @@ def test_interval_tree_gives_all_maximal_repeats_with_all_occurrences(seed):
     assert len(got) == len(set(got)) and set(got) == all_repeats(lefts, rights, 4)
 
 
-def test_groups(spark):
+@pytest.mark.parametrize("bucket", [1, 256])
+def test_groups(spark, monkeypatch, bucket):
+    monkeypatch.setattr(S, "BUCKET", bucket)
     rng = random.Random(2)
     fresh = lambda m: "".join(rng.choice("abcdefghijklmnop") for _ in range(m))
     p = fresh(60)
     rows = [(i, fresh(90) + p + fresh(90)) for i in range(5)] + [(9, None)]
+    rows += [(20 + i, t) for i, t in rows[:3]]
     found = S.repeat_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()
     text = dict(rows)
     by = defaultdict(list)
     for r in found:
         by[r["repeat"]].append(r)
-    assert any({r["doc_id"] for r in some} == set(range(5)) for some in by.values())
+    assert any({r["doc_id"] for r in some} == {*range(5), 20, 21, 22} for some in by.values())
     for some in by.values():
         (string,) = {text[r["doc_id"]][r["start"] : r["start"] + r["length"]] for r in some}
         everywhere = {(i, s) for i, t in rows if t for s in range(len(t)) if t.startswith(string, s)}
