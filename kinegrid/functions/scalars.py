@@ -78,3 +78,16 @@ def ratio(a: Column, b: Column) -> Column:
 def r6(x: Column) -> Column:
     """Six decimals, with no negative zero: sums of doubles depend on their order beyond that."""
     return F.round(x, 6) + F.lit(0.0)
+
+
+def binomial_tail(k: Column, n: Column, p: Column) -> Column:
+    """Probability of k or more hits in n tries at the rate p: one pass over the terms, each from the one before by its
+    ratio, in logs, so n steps and no underflow however far the tail begins from the mode."""
+    k, n, p = k.cast("long"), n.cast("long"), p.cast("double")
+    zero = F.lit(0.0)
+    choose = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long"))), zero, lambda a, j: a + F.log((n - k + j) / j))
+    start = F.struct((choose + k * F.log(p) + (n - k) * F.log1p(-p)).alias("log"), zero.alias("total"))
+    odds = F.log(p) - F.log1p(-p)
+    step = lambda a, i: F.struct((a["log"] + F.log(F.greatest(n - i, F.lit(1)) / (i + 1)) + odds).alias("log"), (a["total"] + F.exp(a["log"])).alias("total"))
+    tail = F.aggregate(F.sequence(k, F.greatest(n, k)), start, step, lambda a: F.least(F.lit(1.0), a["total"]))
+    return F.when(k <= 0, 1.0).when(k > n, 0.0).when(p <= 0, 0.0).when(p >= 1, 1.0).otherwise(tail)

@@ -231,17 +231,9 @@ register("lags_around", lags_around, f"{coupled_sql('range(-4, 5)')} SELECT site
 
 
 def coupling_pvalues(spark, sf_dir):
-    """Binomial tail of the best lag's hits at the baseline rate: terms of the sum by logs of factorials, which are sums
-    of logs over as many rows as there are windows (the largest count of windows is one number)."""
+    """Binomial tail of the best lag's hits at the baseline rate, a pass over a site's own windows."""
     d = coupled(spark, sf_dir, range(6))
-    n, k, p = F.col("windows"), F.col("hits"), F.col("prob")
-    whole = F.expr("aggregate(sequence(1L, greatest(1L, windows)), cast(0.0 as double), (a, i) -> a + ln(i))")
-    terms = d.withColumn("whole", whole).select("*", F.explode(F.expr("sequence(hits, windows)")).alias("i"))
-    part = lambda c: F.expr(f"aggregate(sequence(1L, greatest(1L, {c})), cast(0.0 as double), (a, j) -> a + ln(j))")
-    log = F.col("whole") - part("i") - part("windows - i") + F.col("i") * F.log(p) + (n - F.col("i")) * F.log1p(-p)
-    tail = terms.where("prob > 0 and prob < 1").groupBy("site").agg(F.sum(F.exp(log)).alias("tail"))
-    value = F.when(k <= 0, 1.0).when(p <= 0, 0.0).when(p >= 1, 1.0).otherwise(F.least(F.lit(1.0), F.col("tail")))
-    return d.join(tail, "site", "left").select("site", "lag", "windows", "hits", "dependency", F.round(value, 6).alias("p_value"))
+    return d.select("site", "lag", "windows", "hits", "dependency", S.r6(S.binomial_tail(F.col("hits"), F.col("windows"), F.col("prob"))).alias("p_value"))
 
 
 register("coupling_pvalues", coupling_pvalues, f"""{coupled_sql('range(0, 6)')},

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinegrid.functions import scalars as S
 from kinegrid.operators import components as C
 from kinegrid.operators import grids as G
 from kinegrid.operators import kernels as K
@@ -60,3 +61,34 @@ def test_best_correlations():
     for k, row in enumerate(np.delete(np.arange(30), 4)):
         mine = np.sort(np.delete(whole[k], k))[::-1][:3]
         assert r[i == row] == pytest.approx(mine, abs=1e-8)
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 1024])
+def test_quantiles_of_groups(spark, buckets):
+    """Every group against NumPy: ties, null keys and values, huge and denormal numbers, groups of one and of none."""
+    rng = random.Random(1)
+    some = lambda: rng.choice([rng.gauss(0, 1), float(rng.randrange(3)), 1e300 * rng.random(), None, float("nan"), -5e-324, 5e-324])
+    rows = [(rng.choice(["a", "b", None, "hot", "hot", "hot"]), i % 2, some()) for i in range(3000)] + [("one", 0, 7.5), ("none", 0, None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "g string, h int, v double, n int")
+    at = {"least": 0, "low": 0.1, "median": 0.5, "high": 0.95, "most": 1}
+    found = R.group_quantiles(df, ["g", "h"], "v", at, buckets)
+    assert found.columns == ["g", "h", *at, "n"]
+    got, want = {(r["g"], r["h"]): tuple(r)[2:] for r in found.collect()}, {}
+    for g, h, v in rows:
+        if v is not None and v == v:
+            want.setdefault((g, h), []).append(v)
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert np.allclose(got[k], [*np.quantile(v, list(at.values())), len(v)], rtol=1e-12)
+
+
+def test_binomial_tail(spark):
+    from fractions import Fraction
+    from math import comb
+
+    rows = [(k, n, p) for n in (0, 1, 5, 40) for k in range(n + 2) for p in (0.0, 0.01, 0.5, 0.97, 1.0)] + [(600, 1000, 0.5), (5, 1400, 0.5), (1399, 1400, 0.9)]
+    df = spark.createDataFrame(rows, "k long, n long, p double")
+    for r in df.select("*", S.binomial_tail(F.col("k"), F.col("n"), F.col("p")).alias("t")).collect():
+        p = Fraction(r["p"])
+        want = sum(comb(r["n"], i) * p**i * (1 - p) ** (r["n"] - i) for i in range(r["k"], r["n"] + 1))
+        assert r["t"] == pytest.approx(float(want), abs=1e-9)
