@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import components as C
+from ..operators import episodes as E
 from ..operators import grids as G
 from ..operators import kernels as K
 from ..operators import ranks as R
@@ -49,20 +50,30 @@ WITH {I.PATCHES}, {UNITS}, g AS (SELECT t0, t1, count(*) AS n FROM units GROUP B
 SELECT a.t0 AS a0, a.t1 AS a1, b.t0 AS b0, b.t1 AS b1, a.n AS na, b.n AS nb FROM g a JOIN g b ON abs(a.t0 - b.t0) <= 1 AND abs(a.t1 - b.t1) <= 1 AND (a.t0 < b.t0 OR a.t0 = b.t0 AND a.t1 < b.t1)""")
 
 
-def motion_episodes(spark, sf_dir):
-    """Episodes: unit groups chained by the tolerance pairs, named by their first group, with bounds and area."""
-    g = units(spark, sf_dir).groupBy("t0", "t1").agg(F.count("*").alias("n")).withColumn("node", F.shiftleft("t0", 32) + F.col("t1"))
-    p = tolerance_pairs(spark, sf_dir).where("na >= 3 and nb >= 3").select((F.shiftleft("a0", 32) + F.col("a1")).alias("a"), (F.shiftleft("b0", 32) + F.col("b1")).alias("b"))
-    c = C.components(g.select("node"), p)
-    return g.join(c, "node").groupBy(F.col("component").alias("episode")).agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("n").alias("area"), F.count("*").alias("groups")).where("area >= 3")
+def placed(spark, sf_dir):
+    """(site, x, y, t0, t1): units with their cells."""
+    return units(spark, sf_dir).select("site", (F.col("site") % I.WIDTH).cast("long").alias("x"), F.floor(F.col("site") / I.WIDTH).alias("y"), "t0", "t1")
 
 
-register("motion_episodes", motion_episodes, f"""
-WITH RECURSIVE {I.PATCHES}, {UNITS}, g AS (SELECT t0, t1, count(*) AS n, t0 * 4294967296 + t1 AS node FROM units GROUP BY t0, t1),
-e AS (SELECT a.node AS a, b.node AS b FROM g a JOIN g b ON abs(a.t0 - b.t0) <= 1 AND abs(a.t1 - b.t1) <= 1 AND a.node <> b.node WHERE a.n >= 3 AND b.n >= 3),
+def motion_episodes(spark, sf_dir):
+    """Episodes: unit groups chained where their spans are close and their masks overlap, with bounds, units and cells."""
+    u = placed(spark, sf_dir)
+    return E.summary(u, E.members(u, reach=REACH, least=LEAST), LEAST)
+
+
+LEAST, REACH = 3, 1  # units of a group that can be chained and cells of an episode; dilation, on a grid 15 cells wide
+EPISODES = f"""
+{I.PATCHES}, {UNITS}, placed AS (SELECT site, site % 15 AS x, site // 15 AS y, t0, t1, t0 * 4294967296 + t1 AS node FROM units),
+g AS (SELECT node, t0, t1, count(*) AS n FROM placed GROUP BY ALL),
+diamond AS (SELECT a.i, b.i AS j FROM (SELECT unnest(range(-{REACH}, {REACH + 1})) AS i) a, (SELECT unnest(range(-{REACH}, {REACH + 1})) AS i) b WHERE abs(a.i) + abs(b.i) <= {REACH}),
+wide AS (SELECT DISTINCT node, x + i AS x, y + j AS y FROM placed, diamond),
+near AS (SELECT a.node AS a, b.node AS b, least(a.n, b.n) AS smaller FROM g a JOIN g b ON abs(a.t0 - b.t0) <= 1 AND abs(a.t1 - b.t1) <= 1 AND a.node < b.node WHERE a.n >= {LEAST} AND b.n >= {LEAST}),
+linked AS (SELECT a, b FROM near JOIN wide w ON w.node = a JOIN placed p ON p.node = b AND p.x = w.x AND p.y = w.y GROUP BY a, b HAVING count(*) / min(smaller) > 0.3),
+e AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
 r AS (SELECT node AS a, node AS b FROM g UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)
-SELECT component AS episode, min(t0) AS t0, max(t1) AS t1, CAST(sum(n) AS BIGINT) AS area, count(*) AS groups FROM g JOIN c USING (node) GROUP BY component HAVING sum(n) >= 3""")
+members AS (SELECT a AS node, min(b) AS episode FROM r GROUP BY a),
+episodes AS (SELECT episode, min(t0) AS t0, max(t1) AS t1, count(*) AS area, count(DISTINCT (x, y)) AS cells, count(DISTINCT node) AS groups FROM placed JOIN members USING (node) GROUP BY episode HAVING count(DISTINCT (x, y)) >= {LEAST})"""
+register("motion_episodes", motion_episodes, f"WITH RECURSIVE {EPISODES} SELECT * FROM episodes")
 
 
 def active_cells(spark, sf_dir):
@@ -273,18 +284,26 @@ SELECT t, site, round(v, 6) AS v FROM k WHERE CASE WHEN mad > 0 THEN d / (1.4826
 
 
 def artifact_reasons(spark, sf_dir):
-    """Episodes by the first rule that drops them."""
-    u = units(spark, sf_dir).groupBy("t0", "t1").agg(F.count("*").alias("area"), F.avg((F.col("site") % 15 == 0).cast("double")).alias("edge"))
-    d = F.col("t1") - F.col("t0") + 1
-    sites = I.table(spark, sf_dir, "events").agg(F.countDistinct("user_id").alias("sites"))  # one row
-    u = u.join(F.broadcast(sites))
-    reason = F.when(F.col("area") / F.col("sites") > 0.1, "fov").when(d < 4, "short").when(d > 12, "long").when(F.col("edge") > 0.5, "edge").otherwise("kept")
-    return u.groupBy(reason.alias("reason")).agg(F.count("*").alias("episodes"), F.sum("area").alias("units"))
+    """Every episode with the first rule that drops it: coverage, duration, the whole's motion, the border."""
+    u = placed(spark, sf_dir)
+    motion = I.patches(spark, sf_dir).select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("t").cast("long").alias("t"), "v")
+    found = E.artifacts(u, E.members(u, reach=REACH, least=LEAST), motion, LEAST, longest=12, most_corr=0.6, edge=1)
+    return found.select("episode", "area", "cells", (F.col("t1") - F.col("t0") + 1).alias("frames"), F.round("corr", 5).alias("corr"), S.r6(F.col("edge")).alias("edge"), "reason")
 
 
 register("artifact_reasons", artifact_reasons, f"""
-WITH {I.PATCHES}, {UNITS}, e AS (SELECT t0, t1, count(*) AS area, avg(CAST(site % 15 = 0 AS INT)) AS edge FROM units GROUP BY t0, t1)
-SELECT CASE WHEN area / (SELECT count(DISTINCT user_id) FROM events) > 0.1 THEN 'fov' WHEN t1 - t0 + 1 < 4 THEN 'short' WHEN t1 - t0 + 1 > 12 THEN 'long' WHEN edge > 0.5 THEN 'edge' ELSE 'kept' END AS reason, count(*) AS episodes, CAST(sum(area) AS BIGINT) AS units FROM e GROUP BY 1""")
+WITH RECURSIVE {EPISODES}, valid AS (SELECT DISTINCT x, y FROM patches),
+cross5 AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(i, j)),
+border AS (SELECT x, y FROM valid SEMI JOIN (SELECT x + i AS x, y + j AS y FROM valid, cross5 GROUP BY ALL HAVING count(*) < 5) USING (x, y)),
+own AS (SELECT DISTINCT episode, p.x, p.y, e.t0, e.t1 FROM placed p JOIN members USING (node) JOIN episodes e USING (episode)),
+whole AS (SELECT t, quantile_cont(v, 0.5) AS whole FROM patches GROUP BY t),
+mean AS (SELECT episode, p.t, avg(v) AS own FROM own JOIN patches p ON p.x = own.x AND p.y = own.y AND p.t BETWEEN t0 AND t1 GROUP BY ALL),
+c AS (SELECT episode, CASE WHEN var_pop(own) > 1e-12 AND var_pop(whole) > 1e-12 THEN covar_pop(own, whole) / sqrt(var_pop(own) * var_pop(whole)) ELSE 0.0 END AS corr FROM mean JOIN whole USING (t) GROUP BY episode),
+b AS (SELECT episode, count(*) AS n FROM own SEMI JOIN border USING (x, y) GROUP BY episode),
+d AS (SELECT *, t1 - t0 + 1 AS frames, coalesce(n, 0) / cells AS edge FROM episodes JOIN c USING (episode) LEFT JOIN b USING (episode))
+SELECT episode, area, cells, frames, round(corr, 5) AS corr, round(edge, 6) AS edge,
+  CASE WHEN cells > 0.5 * (SELECT count(*) FROM valid) THEN 'fov' WHEN frames < 3 THEN 'short' WHEN frames > 12 THEN 'long' WHEN corr > 0.6 THEN 'global' WHEN edge > 0.8 THEN 'edge' ELSE 'kept' END AS reason
+FROM d""")
 
 
 BAD = "bad AS (SELECT x, y FROM cells WHERE dx > 27)"

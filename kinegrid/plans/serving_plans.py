@@ -8,17 +8,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import components as C
+from ..operators import episodes as E
 from ..operators import grids as G
 from ..operators import kernels as K
 from ..operators import modes as M
 from ..operators import serving
 from ..sources.arrays import sampled_frames as sampled
 from . import inputs as I
-from .join_plans import motion_episodes, roi_classes
+from .join_plans import EPISODES, LEAST, REACH, placed, roi_classes
 from .kernel_plans import band_field, resized_field
 from .mask_plans import mode_regions
 from .registry import oracle_sql, register
-from .window_plans import UNITS, units
 
 
 def sampled_frames(spark, sf_dir):
@@ -60,17 +61,15 @@ SELECT band, t, round(last_value(c IGNORE NULLS) OVER (PARTITION BY band ORDER B
 
 
 def episode_units(spark, sf_dir):
-    """Units of episodes of three groups at least, unnested: one row for each unit with its episode's bounds."""
-    e = motion_episodes(spark, sf_dir).where("groups >= 3").select("episode", F.col("t0").alias("e0"), F.col("t1").alias("e1"))
-    key = F.shiftleft("t0", 32) + F.col("t1")
-    u = units(spark, sf_dir).withColumn("node", key)
-    # an episode is named by its first group; units of that group open the list
-    return u.join(e, F.col("node") == F.col("episode")).select("episode", "site", "t0", "t1", "e0", "e1")
+    """Units of all episodes, unnested: one row for each unit, with its group's number and its episode's bounds."""
+    u = placed(spark, sf_dir).withColumn("node", E.span_key("t0", "t1"))
+    of = C.checkpointed(E.members(u, reach=REACH, least=LEAST))
+    e = E.summary(u, of, LEAST).select("episode", F.col("t0").alias("e0"), F.col("t1").alias("e1"), "area")
+    return u.join(of, "node").join(e, "episode").select("episode", "node", "site", "t0", "t1", "e0", "e1", "area")
 
 
 register("episode_units", episode_units, f"""
-WITH e AS ({oracle_sql()['motion_episodes']}), u AS (WITH {I.PATCHES}, {UNITS} SELECT * FROM units)
-SELECT episode, site, u.t0, u.t1, e.t0 AS e0, e.t1 AS e1 FROM e JOIN u ON u.t0 * 4294967296 + u.t1 = episode WHERE groups >= 3""")
+WITH RECURSIVE {EPISODES} SELECT episode, node, site, p.t0, p.t1, e.t0 AS e0, e.t1 AS e1, area FROM placed p JOIN members USING (node) JOIN episodes e USING (episode)""")
 
 
 def largest_regions(spark, sf_dir):
