@@ -19,7 +19,7 @@ first ones leave the noise's plateau) and goes on until the likelihood settles.
 Texts are read in slices of 2 MiB or one text; the longest text bounds a task's memory.
 
 Cases: null text is empty and consists of the end alone; rows that repeat an id are scored each for itself;
-words are told apart by 128 bits of BLAKE2b; an empty table gives no rows; without training documents every word is
+words are told apart by digests of 128 bits; an empty table gives no rows; without training documents every word is
 unseen; further columns are ignored.
 """
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Scratch, digests, numbered, slices, utf8, word_spans
+from .common import ASCII_LOWER, Scratch, slices, utf8, word_hashes
 from .langid import held_out
 
 STATES, OWN, SUFFIXES, LOCAL = 6, 4096, 512, 1_000_000
@@ -59,21 +59,23 @@ class Batch:
 def tokens(column: pa.Array) -> Batch:
     data, offsets = utf8(column)
     data = ASCII_LOWER[data]
-    found = [(s, e) for s, e, _, _ in word_spans(data, offsets)] or [(np.zeros(0, np.int64),) * 2]
-    starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
-    number, words = numbered(data, starts, ends)
-    suffix = [(w[-1] * 131 + (w[-2] if len(w) > 1 else 0)) % SUFFIXES for w in words]
-    at = np.searchsorted(starts, offsets)
+    h, at, starts, ends, more = word_hashes(data, offsets, spans=True, wide=True)
+    first, number = distinct(h, more)
+    last = data[ends[first] - 1].astype(np.int64)
+    before = np.where(ends[first] - starts[first] > 1, data[np.maximum(ends[first] - 2, 0)], 0).astype(np.int64)
     rows = len(at) - 1
-    token = np.full(len(number) + rows, len(words))
-    token[np.arange(len(number)) + np.repeat(np.arange(rows), np.diff(at))] = number
-    both = digests(words)
-    return Batch(np.append(both[:, 0], END), np.append(both[:, 1], np.uint64(0)), np.array([*suffix, 0], np.int64), token, at + np.arange(rows + 1))
+    token = np.full(len(h) + rows, len(first))
+    token[np.arange(len(h)) + np.repeat(np.arange(rows), np.diff(at))] = number
+    suffix = np.append((last * 131 + before) % SUFFIXES, 0)
+    return Batch(np.append(h[first], END), np.append(more[first], np.uint64(0)), suffix, token, at + np.arange(rows + 1))
 
 
 def distinct(words: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each different word is first met, and the number of each word among these."""
-    order = np.lexsort((more, words))
+    """Where each different word is met, and the number of each word among these."""
+    _, first, of = np.unique(words, return_index=True, return_inverse=True)
+    if (more[first][of] == more).all():
+        return first, of
+    order = np.lexsort((more, words))  # two words of one first half
     fresh = np.ones(len(order), bool)
     fresh[1:] = (words[order[1:]] != words[order[:-1]]) | (more[order[1:]] != more[order[:-1]])
     of = np.empty(len(order), np.int64)

@@ -53,8 +53,8 @@ MU = 0.0085  # weight of a probe in DivideSkip's choice of L
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each row, sorted, and their offsets by row. A shingle is 64 bits made of its words' digests
-    (BLAKE2b), so two shingles of two compared documents are mixed up with probability 2^-64."""
+    """Distinct shingles of each row, sorted, and their offsets by row. A shingle is 64 bits made of its words'
+    digests, so two shingles of two compared documents are mixed up with probability 2^-64."""
     data, offsets = utf8(column)
     words, at = word_hashes(ASCII_LOWER[data], offsets)
     rows = len(at) - 1

@@ -5,8 +5,8 @@ in a document with a smaller id; the smallest such document owns the window.
 
 1. Anchors: of each window the word run with the smallest hash. Equal windows have equal anchors, so a window
    none of whose anchor's other documents exist can't recur; anchors found in one document only fall away.
-2. Confirmation: windows with a recurring anchor are counted by 128 bits made of their words' digests (equal words are
-   told by their bytes, different ones by 128 bits of BLAKE2b); one that lies in two documents is confirmed, with its owner and its place there. Consecutive windows of an owner form its passages, in parts of
+2. Confirmation: windows with a recurring anchor are counted by 128 bits made of their words' digests; one that lies in two
+   documents is confirmed, with its owner and its place there. Consecutive windows of an owner form its passages, in parts of
    ``PART`` windows at most.
 3. Automata: passages, as the owner's own words, are compiled into Aho-Corasick automata, one for each shard, from
    every (window + 1) // 2 words of them (each window holds one such phrase whole), words being single symbols. Every

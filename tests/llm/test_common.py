@@ -63,4 +63,26 @@ def test_spans_are_told_apart_by_their_bytes():
     number, words = common.numbered(data, np.array([0, 3, 7, 10]), np.array([3, 6, 9, 13]))
     assert [words[i] for i in number] == [b"abc", b"abd", b"ab", b"abc"] and len(words) == 3
     assert common.numbered(data, np.zeros(0, np.int64), np.zeros(0, np.int64))[1] == []
-    assert common.digests(words).shape == (3, 2) and common.digests([]).shape == (0, 2)
+
+
+def test_digests_tell_words_apart():
+    """Anagrams, prefixes, zero bytes, and lengths around what the tables know; equal words agree wherever they stand."""
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"ab\0") for _ in range(n)) for n in (1, 2, 3, 5, 8, 31, 32, 33, 34, 90) for _ in range(60)]
+    words += [b"ab", b"ba", b"a", b"a\0", b"a\0\0", b"x" * 32, b"x" * 33, b"x" * 31]
+    starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    got = common.word_digests(data, starts, starts + [len(w) for w in words])
+    known = {}
+    for w, d in zip(words, map(tuple, got.tolist()), strict=True):
+        assert known.setdefault(w, d) == d
+    assert len(set(known.values())) == len(known) and len({d[0] for d in known.values()}) == len(known)
+    assert common.word_digests(data, starts[:0], starts[:0]).shape == (0, 2)
+
+
+def test_distinct_words_of_one_half():
+    from kinegrid.llm.hmm import distinct
+
+    words, more = np.array([5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    first, of = distinct(words, more)
+    assert len(first) == 3 and of[0] == of[3] != of[1] and (words[first][of] == words).all() and (more[first][of] == more).all()

@@ -63,7 +63,7 @@ def test_rows_of_one_id_do_not_repeat_each_other(spark):
 def test_slices_of_few_words(window):
     """A slice of one text of any word count: its windows, or none."""
     for n in range(2 * window + 3):
-        row, place, anchor, _, _ = substring._windows(pa.array([" ".join(f"w{i}" for i in range(n))]), window, min(5, window))
+        row, place, anchor, *_ = substring._windows(pa.array([" ".join(f"w{i}" for i in range(n))]), window, min(5, window))
         count = max(0, n - window + 1)
         assert row.tolist() == [0] * count and place.tolist() == list(range(count)) and len(anchor) == count
 
