@@ -249,7 +249,8 @@ def _occurrences(spark: SparkSession, scratch: Scratch, texts: DataFrame, least:
     digest = ["anchor", "d1", "d2"]
     parts, places = [], scratch.write(_anchored(texts, least, gram), "places")
     for level, step in enumerate([*STEPS, None]):
-        twice = places.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor")
+        # written, so that the join below has nothing but its two sides in a stage and Spark can split a busy anchor
+        twice = scratch.write(places.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor"), f"twice{level}")
         again = scratch.write(places.join(twice, "anchor"), f"again{level}")
         if not level:
             scratch.drop("places")
