@@ -3,14 +3,9 @@
 from __future__ import annotations
 
 import argparse
-import atexit
 import dataclasses
 import logging
-import re
-import shutil
-import tempfile
 import tomllib
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,19 +26,6 @@ def settings(spark: SparkSession, kind: type, path: str | None):
     return kind(**given)
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path under the one that driver and executors share; a private one only in local mode without it (tests)."""
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not shared:
-        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="kinegrid-")
-        sc.setCheckpointDir(shared)
-        atexit.register(shutil.rmtree, shared, True)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at path, or one without rows where nothing has been written."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,19 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobs import common, frame_quality, response_report
+from jobs import frame_quality, response_report
 from kinegrid.plans.window_plans import ONSETS, UNITS
+from kinegrid.session import fresh_folder
 
 
 def job1_frame_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = common.fresh_folder(spark, "frame-quality")
+    folder = fresh_folder(spark, "frame-quality")
     for _ in range(2):  # the second run finds nothing new
         found = frame_quality.run(spark, f"{sf_dir}/documents.parquet", folder)
     return found.drop("part")
 
 
 def job2_response_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = common.fresh_folder(spark, "response-report")
+    folder = fresh_folder(spark, "response-report")
     for _ in range(2):
         found = response_report.run(spark, f"{sf_dir}/events.parquet", folder)
     return found

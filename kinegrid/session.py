@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -14,9 +20,23 @@ def session(cores: int | str = "*", partitions: int = 8, memory: str = "4g") ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the one that driver and executors share; a private one only in local mode without it (tests)."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="kinegrid-")
+        sc.setCheckpointDir(shared)
+        atexit.register(shutil.rmtree, shared, True)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -74,17 +74,31 @@ def pages(data: bytes) -> Iterator[Page]:
             if struct.calcsize(code) > struct.calcsize(word):
                 here = _unpack(order + word, data, here)[0]
             fields[tag] = _unpack(code, data, here)
-        one = lambda tag, default=None: fields.get(tag, (default,))[0]  # noqa: E731, B023
-        if one(SAMPLES, 1) != 1 or one(COMPRESSION, 1) not in (1, 8, 32946) or one(PREDICTOR, 1) != 1 or OFFSETS not in fields or COUNTS not in fields:
-            raise ValueError("a page is no grey image in plain or deflated strips")
-        kind = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}.get((one(FORMAT, 1), one(BITS, 1)))
-        if kind is None or WIDTH not in fields or HEIGHT not in fields:
-            raise ValueError("a page's elements are not read")
-        text = one(DESCRIPTION, b"").rstrip(b"\0").decode("utf-8", "replace")
-        yield Page((one(HEIGHT), one(WIDTH)), np.dtype(order + kind), list(fields[OFFSETS]), list(fields[COUNTS]), one(ROWS, one(HEIGHT)), one(COMPRESSION, 1) != 1, text)
+        yield page_of(fields, order)
         at = _unpack(order + word, data, at + n * entry)[0]
 
 
+def page_of(fields: dict[int, tuple], order: str) -> Page:
+    """What a directory's fields say."""
+    one = lambda tag, default=None: fields.get(tag, (default,))[0]
+    if one(SAMPLES, 1) != 1 or one(COMPRESSION, 1) not in (1, 8, 32946) or one(PREDICTOR, 1) != 1 or OFFSETS not in fields or COUNTS not in fields:
+        raise ValueError("a page is no grey image in plain or deflated strips")
+    kind = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}.get((one(FORMAT, 1), one(BITS, 1)))
+    if kind is None or WIDTH not in fields or HEIGHT not in fields:
+        raise ValueError("a page's elements are not read")
+    text = one(DESCRIPTION, b"").rstrip(b"\0").decode("utf-8", "replace")
+    return Page((one(HEIGHT), one(WIDTH)), np.dtype(order + kind), list(fields[OFFSETS]), list(fields[COUNTS]), one(ROWS, one(HEIGHT)), one(COMPRESSION, 1) != 1, text)
+
+
+def entries(shape: tuple[int, int], dtype: np.dtype, deflate: bool, size: int) -> list[tuple[int, int, int | None]]:
+    """Directory entries (field, kind, value) of a page of one strip; None stands for the strip's place."""
+    kinds = {"u1": (1, 8), "u2": (1, 16), "u4": (1, 32), "i1": (2, 8), "i2": (2, 16), "i4": (2, 32), "f4": (3, 32), "f8": (3, 64)}
+    if np.dtype(dtype).str[1:] not in kinds:
+        raise ValueError("images are arrays of whole numbers or floats of 8 to 64 bits")
+    form, bits = kinds[np.dtype(dtype).str[1:]]
+    return [(WIDTH, 4, shape[1]), (HEIGHT, 4, shape[0]), (BITS, 3, bits), (COMPRESSION, 3, 8 if deflate else 1), (PHOTOMETRIC, 3, 1), (OFFSETS, 16, None), (SAMPLES, 3, 1), (ROWS, 4, shape[0]), (COUNTS, 16, size), (FORMAT, 3, form)]
+
+
 def read_page(data: bytes, page: Page) -> np.ndarray:
     out, (height, width) = [], page.shape
     for i, (at, n) in enumerate(zip(page.offsets, page.counts, strict=True)):
