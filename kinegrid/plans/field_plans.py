@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import gram as M
+from ..operators import grids as G
 from ..operators import growth as W
+from ..operators import maxtree as T
 from ..operators import regularise as Z
 from ..operators import sketches as K
+from ..operators import tiles as H
 from . import inputs as I
 from .registry import register
 
@@ -87,3 +90,38 @@ def limit_sketches(spark, sf_dir):
 register("limit_sketches", limit_sketches, f"""
 WITH {I.PATCHES}, r AS (SELECT * FROM (VALUES (0, 10), (7, 25), (0, 30)) r(first, after)), q AS (SELECT unnest([0.01, 0.5, 0.99]) AS q)
 SELECT CAST(first AS BIGINT) AS first, CAST(after AS BIGINT) AS after, count(*) AS n, CAST(q AS DOUBLE) AS q, true AS within FROM r JOIN patches ON t >= first AND t < after, q GROUP BY ALL""")
+
+
+LEVELS = [26.0, 27.0, 28.0, 29.0, 30.0]
+
+
+def level_tree(spark, sf_dir):
+    """Components of the mean field at five thresholds with area, peak and parent, from one spanning forest."""
+    cells = I.cells(spark, sf_dir).select(G.cell_key("x", "y").alias("node"), "x", "y", F.col("dx").alias("v"))
+    forest = T.spanning_forest(T.cell_edges(cells, G.neighbours(cells, "node", [])))
+    return T.level_tree(cells, forest, LEVELS).select("threshold", "component", "area", S.r6(F.col("peak")).alias("peak"), "parent")
+
+
+register("level_tree", level_tree, f"""
+WITH RECURSIVE {I.CELLS}, l AS (SELECT unnest({LEVELS}) AS threshold),
+n AS (SELECT CAST(threshold AS DOUBLE) AS threshold, x, y, x * 4294967296 + y AS node, dx AS v FROM cells, l WHERE dx >= threshold),
+e AS (SELECT a.threshold, a.node AS a, b.node AS b FROM n a JOIN n b ON a.threshold = b.threshold AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.node <> b.node),
+r AS (SELECT threshold, node AS a, node AS b FROM n UNION SELECT r.threshold, r.a, e.b FROM r JOIN e ON r.threshold = e.threshold AND r.b = e.a),
+c AS (SELECT threshold, a AS node, min(b) AS component FROM r GROUP BY threshold, a),
+s AS (SELECT threshold, component, count(*) AS area, max(v) AS peak FROM n JOIN c USING (threshold, node) GROUP BY ALL)
+SELECT s.threshold, s.component, area, round(peak, 6) AS peak, c.component AS parent FROM s LEFT JOIN c ON c.threshold = s.threshold - 1 AND c.node = s.component""")
+
+
+KERNEL = [[0.0, -1.0, 0.5], [-2.0, 4.0, 1.0], [0.0, 3.0, -0.25]]
+
+
+def tiled_filter(spark, sf_dir):
+    """The field of every month correlated with a kernel of no symmetry, by tiles of 16 cells; borders are repeated."""
+    out = H.correlate(I.field(spark, sf_dir), ["t"], "dx", np.array(KERNEL), 40, 25, "replicate", 16)
+    return out.select("t", "x", "y", F.round("dx", 5).alias("v"))
+
+
+register("tiled_filter", tiled_filter, f"""
+WITH {I.FIELD}, k AS (SELECT * FROM (VALUES {', '.join(f'({i - 1}, {j - 1}, CAST({w} AS DOUBLE))' for i, row in enumerate(KERNEL) for j, w in enumerate(row))}) k(i, j, w)),
+n AS (SELECT t, x, y, greatest(0, least(39, x + i)) AS nx, greatest(0, least(24, y + j)) AS ny, w FROM field, k)
+SELECT n.t, n.x, n.y, round(sum(w * coalesce(f.dx, 0.0)), 5) AS v FROM n LEFT JOIN field f ON f.t = n.t AND f.x = n.nx AND f.y = n.ny GROUP BY ALL""")

@@ -8,8 +8,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from kinegrid.operators import components as C
 from kinegrid.operators import gram as M
+from kinegrid.operators import grids as G
 from kinegrid.operators import growth as W
+from kinegrid.operators import maxtree as T
 from kinegrid.operators import regularise as Z
 from kinegrid.operators import sketches as K
 
@@ -148,3 +151,43 @@ def test_limits_of_ranges(spark):
         for q, limit in zip(at, r["limits"], strict=True):
             assert (v < limit).mean() - K.rank_error(200) <= q <= (v <= limit).mean() + K.rank_error(200)
     assert K.rank_error(800) < K.rank_error(200) < 0.02
+
+
+def test_forest_has_the_components_of_all_edges(spark):
+    """Equal to a components run at each of 20 thresholds, ties and holes included; the tree's areas, peaks and parents add up."""
+    rng = random.Random(9)
+    grid = {(x, y): float(rng.randrange(25)) for x in range(20) for y in range(15) if rng.random() < 0.9}
+    rows = [(x * 1000 + y, x, y, v) for (x, y), v in grid.items()] + [(99_001, 99, 1, None), (99_002, 99, 2, float("nan"))]
+    cells = spark.createDataFrame(rows, "node long, x long, y long, v double")
+    edges = T.cell_edges(cells, G.neighbours(cells, "node", []))
+    forest = C.checkpointed(T.spanning_forest(edges))
+    assert forest.count() <= len(grid) - 1
+    steps = [float(t) for t in range(2, 22)]
+    got = {}
+    for r in T.components_at(cells, forest, steps).collect():
+        got.setdefault(r["level"], {})[r["node"]] = r["component"]
+    for i, t in enumerate(steps):
+        root = {x * 1000 + y: x * 1000 + y for (x, y), v in grid.items() if v >= t}
+
+        def find(k, root=root):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for (x, y), v in grid.items():
+            for dx, dy in product((-1, 0, 1), repeat=2):
+                if v >= t and grid.get((x + dx, y + dy), -1) >= t:
+                    p, q = sorted((find(x * 1000 + y), find((x + dx) * 1000 + y + dy)))
+                    root[q] = p
+        assert got[i] == {k: find(k) for k in root}
+    tree = {(r["level"], r["component"]): r for r in T.level_tree(cells, forest, steps).collect()}
+    for (level, c), r in tree.items():
+        mine = [k for k, v in got[level].items() if v == c]
+        assert r["area"] == len(mine) and r["peak"] == max(grid[k // 1000, k % 1000] for k in mine) and r["threshold"] == steps[level]
+        assert r["parent"] == (got[level - 1][c] if level else None)
+
+
+def test_forest_of_nothing(spark):
+    none = spark.createDataFrame([], "a long, b long, w double")
+    assert T.spanning_forest(none).collect() == []
+    assert T.components_at(spark.createDataFrame([(1, 5.0)], "node long, v double"), none, [1.0, 9.0]).collect() == [(0, 1, 1)]
