@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import components as C
 from ..operators import grids as G
 from ..operators import kernels as K
+from ..operators import linkage as L
 from ..operators import modes as M
 from ..operators import registration as R
 from . import inputs as I
@@ -40,23 +41,10 @@ register("region_distances", region_distances)
 
 
 def region_patterns(spark, sf_dir):
-    """Complete-linkage patterns; pairs outside the gate never join, so each component of the near pairs is clustered
-    alone, from its pairs' distances (a task's memory follows the pairs of one component)."""
-    d = C.checkpointed(region_distances(spark, sf_dir))
+    """Complete-linkage patterns of the regions, from the warping distances of the gated pairs; other pairs never join."""
+    d = C.checkpointed(region_distances(spark, sf_dir).select("i", "j", F.col("distance").alias("d")))
     nodes = active_cells(spark, sf_dir).select(F.col("region").alias("node")).distinct()
-    c = C.components(nodes, d.where("distance <= 0.2").select(F.col("i").alias("a"), F.col("j").alias("b")))
-    e = d.join(c, F.col("i") == F.col("node")).select("component", "i", "j", "distance")
-    own = c.select("component", F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0.0).alias("distance"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(np.append(pdf.i, pdf.j))
-        a, b = np.searchsorted(nodes, pdf.i), np.searchsorted(nodes, pdf.j)
-        label = K.sparse_linkage(len(nodes), list(zip(pdf.distance.tolist(), a.tolist(), b.tolist(), strict=True)), 0.2)
-        first = {x: int(nodes[label == x][0]) for x in np.unique(label)}
-        return pd.DataFrame({"region": nodes, "pattern": [first[x] for x in label]})
-
-    inside = e.join(c.withColumnRenamed("component", "other"), F.col("j") == F.col("node")).where("component = other").select("component", "i", "j", "distance")
-    return inside.unionByName(own).groupBy("component").applyInPandas(cluster, "region long, pattern long")
+    return L.complete_linkage(nodes, d, 0.2).select(F.col("node").alias("region"), F.col("cluster").alias("pattern"))
 
 
 register("region_patterns", region_patterns)
