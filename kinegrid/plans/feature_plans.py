@@ -88,18 +88,18 @@ SELECT site, round(CASE WHEN NOT flat THEN (n*sab - sa*sb) / sqrt(va*vb) WHEN sa
 
 
 def hyperstack_index(spark, sf_dir):
-    """Frames of five channel families side by side with the reference that covers the frame, of several the one that begins last."""
+    """Images of each channel family of every frame, with the reference that covers the frame, of several the one that begins last."""
     r = reference_intervals(spark, sf_dir)
     begin = F.regexp_extract("file", r"vol_ref_(\d{6,})_", 1).cast("long")
     one = r.groupBy("o_orderkey").agg(F.max_by("file", begin).alias("reference"), F.first("frame").alias("frame"))
     o = I.table(spark, sf_dir, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("channel"))
-    return o.join(one, "o_orderkey").groupBy("frame", "reference").agg(*(F.count_if(F.col("channel") == str(k)).alias(f"channel{k}") for k in range(1, 6)))
+    return o.join(one, "o_orderkey").groupBy("frame", "reference", "channel").agg(F.count("*").alias("images"))
 
 
 register("hyperstack_index", hyperstack_index, f"""
 WITH r AS ({oracle_sql()['reference_intervals']}), b AS (SELECT o_orderkey, min(frame) AS frame, arg_max(file, CAST(regexp_extract(file, 'vol_ref_(\\d+)_', 1) AS BIGINT)) AS reference FROM r GROUP BY o_orderkey),
-o AS (SELECT frame, reference, substr(o_orderpriority, 1, 1) AS c FROM orders JOIN b USING (o_orderkey))
-SELECT frame, reference, {', '.join(f"count(*) FILTER (c = '{k}') AS channel{k}" for k in range(1, 6))} FROM o GROUP BY frame, reference""")
+o AS (SELECT frame, reference, substr(o_orderpriority, 1, 1) AS channel FROM orders JOIN b USING (o_orderkey))
+SELECT frame, reference, channel, count(*) AS images FROM o GROUP BY ALL""")
 
 
 def interval_forms(spark, sf_dir):

@@ -189,19 +189,19 @@ SELECT a.t, count(*) AS blobs, count(d2) AS matched, round(avg(sqrt(d2)), 6) AS
 
 
 def holes_filled(spark, sf_dir):
-    """A month's holes from their nearest filled cell within two cells; what stays open is classified."""
+    """Every month's holes from their nearest filled cell within two cells; what stays open is classified."""
     f = I.field(spark, sf_dir)
-    first = f.agg(F.min("t").alias("t"))
-    grid = first.select("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("x")).select("t", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("y"))
+    grid = f.select("t").distinct().select("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("x")).select("t", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("y"))
     cells = grid.join(f.select("t", "x", "y", "dx"), ["t", "x", "y"], "left")
     out = G.fill_holes(cells, ["t"], "dx", 2)
-    return out.select("x", "y", S.r6(F.col("dx")).alias("dx"), F.when(~F.col("was_hole"), "sample").when(F.col("dx").isNotNull(), "gap").otherwise("no_coverage").alias("kind"))
+    return out.select("t", "x", "y", S.r6(F.col("dx")).alias("dx"), F.when(~F.col("was_hole"), "sample").when(F.col("dx").isNotNull(), "gap").otherwise("no_coverage").alias("kind"))
 
 
 register("holes_filled", holes_filled, f"""
-WITH {I.FIELD}, g AS (SELECT x, y FROM (SELECT unnest(range(0, 40)) AS x), (SELECT unnest(range(0, 25)) AS y)), m AS (SELECT x, y, dx FROM field WHERE t = (SELECT min(t) FROM field)),
-n AS (SELECT g.x, g.y, arg_min(m.dx, ((m.x-g.x)*(m.x-g.x) + (m.y-g.y)*(m.y-g.y), m.x-g.x, m.y-g.y)) AS near FROM g JOIN m ON (m.x-g.x)*(m.x-g.x) + (m.y-g.y)*(m.y-g.y) <= 4 GROUP BY ALL)
-SELECT g.x, g.y, round(coalesce(m.dx, near), 6) AS dx, CASE WHEN m.dx IS NOT NULL THEN 'sample' WHEN near IS NOT NULL THEN 'gap' ELSE 'no_coverage' END AS kind FROM g LEFT JOIN m USING (x, y) LEFT JOIN n USING (x, y)""")
+WITH {I.FIELD}, g AS (SELECT t, x, y FROM (SELECT DISTINCT t FROM field), (SELECT unnest(range(0, 40)) AS x), (SELECT unnest(range(0, 25)) AS y)), m AS (SELECT t, x, y, dx FROM field),
+o AS (SELECT a.i, b.i AS j FROM (SELECT unnest(range(-2, 3)) AS i) a, (SELECT unnest(range(-2, 3)) AS i) b WHERE a.i * a.i + b.i * b.i <= 4),
+n AS (SELECT g.t, g.x, g.y, arg_min(m.dx, (i * i + j * j, i, j)) AS near FROM g JOIN o ON true JOIN m ON m.t = g.t AND m.x = g.x + i AND m.y = g.y + j GROUP BY ALL)
+SELECT g.t, g.x, g.y, round(coalesce(m.dx, near), 6) AS dx, CASE WHEN m.dx IS NOT NULL THEN 'sample' WHEN near IS NOT NULL THEN 'gap' ELSE 'no_coverage' END AS kind FROM g LEFT JOIN m USING (t, x, y) LEFT JOIN n USING (t, x, y)""")
 
 
 def quantile_mapped(spark, sf_dir):

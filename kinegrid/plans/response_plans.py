@@ -73,9 +73,9 @@ SELECT moving, z0, score FROM q QUALIFY row_number() OVER (PARTITION BY moving O
 
 
 def mode_support(spark, sf_dir):
-    """Cells above a tenth of their month's largest response, with the month's support."""
+    """Cells above half of their month's largest response, with the month's support."""
     f = I.field(spark, sf_dir)
-    s = f.withColumn("a", F.col("dy") * F.col("n")).where(F.lit(True)).withColumn("top", F.max("a").over(I.over("t"))).where(F.col("a") > 0.5 * F.col("top"))
+    s = f.withColumn("a", F.col("dy") * F.col("n")).withColumn("top", F.max("a").over(I.over("t"))).where(F.col("a") > 0.5 * F.col("top"))
     return s.groupBy("t").agg(F.count("*").alias("support"), F.min("x").alias("x0"), F.max("x").alias("x1"))
 
 
@@ -129,19 +129,18 @@ SELECT site, round(s, 4) AS strength, round(e, 5) AS area_eff, t0, t1 FROM r WHE
 
 
 def overlap_matrix(spark, sf_dir):
-    """Overlap of event types' user sets, a column for each type."""
+    """Overlap of event types' user sets: the matrix's entries, a row for each pair of types that share a user."""
     e = I.table(spark, sf_dir, "events").where("value > 60").select("event_type", "user_id").distinct()
-    types = ["click", "error", "purchase", "scroll", "view"]
     n = e.groupBy("event_type").agg(F.count("*").alias("n"))
     j = e.join(e.withColumnRenamed("event_type", "other"), "user_id").groupBy("event_type", "other").agg(F.count("*").alias("k"))
     j = j.join(n, "event_type").join(n.select(F.col("event_type").alias("other"), F.col("n").alias("m")), "other")
-    return j.withColumn("iou", F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 6)).groupBy("event_type").pivot("other", types).agg(F.first("iou"))
+    return j.select("event_type", "other", F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 6).alias("iou"))
 
 
 register("overlap_matrix", overlap_matrix, """
 WITH e AS (SELECT DISTINCT event_type, user_id FROM events WHERE value > 60), n AS (SELECT event_type, count(*) AS n FROM e GROUP BY 1),
-j AS (SELECT a.event_type, b.event_type AS other, count(*) AS k FROM e a JOIN e b USING (user_id) GROUP BY ALL), i AS (SELECT j.event_type, other, round(k / (n.n + m.n - k), 6) AS iou FROM j JOIN n ON n.event_type = j.event_type JOIN n m ON m.event_type = other)
-SELECT event_type, max(iou) FILTER (other = 'click') AS click, max(iou) FILTER (other = 'error') AS error, max(iou) FILTER (other = 'purchase') AS purchase, max(iou) FILTER (other = 'scroll') AS scroll, max(iou) FILTER (other = 'view') AS view FROM i GROUP BY event_type""")
+j AS (SELECT a.event_type, b.event_type AS other, count(*) AS k FROM e a JOIN e b USING (user_id) GROUP BY ALL)
+SELECT j.event_type, other, round(k / (n.n + m.n - k), 6) AS iou FROM j JOIN n ON n.event_type = j.event_type JOIN n m ON m.event_type = other""")
 
 
 def weighted_planes(spark, sf_dir):

@@ -222,8 +222,8 @@ def save_volumes(scattered: DataFrame, root: str, stride: int) -> DataFrame:
     spark = scattered.sparkSession
     scattered.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/all")
     stored = spark.read.schema(scattered.schema).parquet(f"{root}/all")
-    sampled_frames(stored, "t", stride).write.mode("overwrite").option("compression", "zstd").partitionBy("t").parquet(f"{root}/volumes")
-    blocks = stored.groupBy("t", "z", F.floor(F.col("x") / 2).alias("bx"), F.floor(F.col("y") / 2).alias("by")).agg(F.avg("v").alias("v"))
+    sampled_frames(stored, "t", stride).repartition("t").write.mode("overwrite").option("compression", "zstd").partitionBy("t").parquet(f"{root}/volumes")
+    blocks = stored.groupBy("t", "z", F.floor(F.col("x") / 2).alias("bx"), F.floor(F.col("y") / 2).alias("by")).agg(F.avg("v").alias("v")).repartition("t")  # a file a frame, not one for each task and frame
     blocks.write.mode("overwrite").option("compression", "zstd").partitionBy("t").parquet(f"{root}/movie")
     return stored.groupBy("t").agg(F.count("*").alias("voxels"), F.min("z").alias("z0"), F.max("z").alias("z1"))
 
