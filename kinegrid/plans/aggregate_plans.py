@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import grids as G
+from ..operators import ranks as R
 from . import inputs as I
 from .registry import register
 
@@ -37,8 +38,13 @@ SELECT t, bx, "by", round(dx, 6) AS dx, round(dy, 6) AS dy, round(ax, 6) AS ax,
 
 
 def global_motion(spark, sf_dir):
-    g = I.field(spark, sf_dir).groupBy("t")
-    return g.agg(*(S.r6(f).alias(n) for f, n in ((F.percentile("dx", F.lit(0.5)), "median_x"), (F.percentile("dy", F.lit(0.5)), "median_y"), (F.avg("dx"), "mean_x"), (F.avg("dy"), "mean_y"))))
+    """Median and mean displacement of every frame; medians come from counts, so a frame's values never meet in one task."""
+    f = I.field(spark, sf_dir)
+    out = f.groupBy("t").agg(S.r6(F.avg("dx")).alias("mean_x"), S.r6(F.avg("dy")).alias("mean_y"))
+    for axis in ("x", "y"):
+        median = R.group_quantiles(f, ["t"], f"d{axis}", {f"median_{axis}": 0.5}).select("t", S.r6(F.col(f"median_{axis}")).alias(f"median_{axis}"))
+        out = out.join(median, "t")
+    return out.select("t", "median_x", "median_y", "mean_x", "mean_y")
 
 
 register("global_motion", global_motion, f"""

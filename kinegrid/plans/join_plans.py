@@ -270,10 +270,11 @@ SELECT label, i AS slice, score, nearest FROM s QUALIFY row_number() OVER (PARTI
 
 
 def mad_outliers(spark, sf_dir):
+    """Cells far from their frame's median, by its MAD; medians come from counts, so a frame's values never meet in one task."""
     p = I.patches(spark, sf_dir)
-    m = p.groupBy("t").agg(F.percentile("v", F.lit(0.5)).alias("med"))
+    m = R.group_quantiles(p, ["t"], "v", {"med": 0.5}).drop("n")
     j = p.join(m, "t").withColumn("d", F.abs(F.col("v") - F.col("med")))
-    d = j.groupBy("t").agg(F.percentile("d", F.lit(0.5)).alias("mad"))
+    d = R.group_quantiles(j, ["t"], "d", {"mad": 0.5}).drop("n")
     far = F.when(F.col("mad") > 0, F.col("d") / (1.4826 * F.greatest("mad", F.lit(1e-300))) > 3).otherwise(F.col("d") > 0)
     return j.join(d, "t").where(far).select("t", "site", S.r6(F.col("v")).alias("v"))
 

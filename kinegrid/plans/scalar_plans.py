@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import ranks as R
 from . import inputs as I
 from .registry import register
 
@@ -195,8 +196,9 @@ SELECT t, x, y, coalesce(CAST(round_even(u * 15, 0) AS INT), 0) AS level, 17 * c
 def contrast_limits(spark, sf_dir):
     """Percentile limits over finite values that are no fill; a flat slice widens to one; and the symmetric variant."""
     f = I.field(spark, sf_dir).where("dx <> -200")
-    p = f.groupBy("t").agg(F.percentile("dx", F.array(F.lit(0.01), F.lit(0.99))).alias("p"), F.percentile(F.abs("dx"), F.lit(0.99)).alias("a"))
-    lo, hi = F.col("p")[0], F.col("p")[1]
+    p = R.group_quantiles(f, ["t"], "dx", {"p01": 0.01, "p99": 0.99}).drop("n")
+    p = p.join(R.group_quantiles(f.select("t", F.abs("dx").alias("size")), ["t"], "size", {"a": 0.99}).drop("n"), "t")
+    lo, hi = F.col("p01"), F.col("p99")
     return p.select("t", S.r6(lo).alias("lo"), S.r6(F.when(hi > lo, hi).otherwise(lo + 1)).alias("hi"), S.r6(-F.col("a")).alias("sym_lo"), S.r6(F.col("a")).alias("sym_hi"))
 
 
