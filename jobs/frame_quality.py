@@ -108,7 +108,8 @@ def run(spark: SparkSession, source: str, output: str, config: Settings = Settin
             LOG.info("%s: %d rows, part %d", quality, r["count"], r["part"])
 
     # a stream can't be given a single file, but a pattern that only this file matches
-    pattern = source if set("*?[{") & set(source) else f"{source[:-1]}[{source[-1]}]"
+    plain = source.rstrip("/")
+    pattern = source if set("*?[{") & set(source) else f"{plain[:-1]}[{plain[-1]}]"
     new = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", config.files).parquet(pattern)
     stream = new.writeStream.foreachBatch(take).option("checkpointLocation", f"{output}/checkpoint").trigger(availableNow=True).start()
     stream.awaitTermination()

@@ -104,3 +104,10 @@ def test_settings(spark, tmp_path):
         (tmp_path / "c.toml").write_text(text)
         with pytest.raises(ValueError):
             common.settings(spark, Settings, str(tmp_path / "c.toml"))
+
+
+def test_paths_as_uris(spark, table, tmp_path):
+    """Inputs and outputs by URI, with and without a slash at the end, and by a pattern."""
+    path = table(DOCS)
+    for i, source in enumerate((f"file://{path}", f"file://{path}/", f"file://{path}/*.parquet")):
+        assert rows_of(frame_quality.run(spark, source, f"file://{tmp_path}/uri{i}", Settings(parts=2))) == brute(DOCS, 3.5)
