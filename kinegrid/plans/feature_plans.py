@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import ranks as R
 from . import inputs as I
-from .join_plans import initial_reference, reference_intervals
+from .join_plans import initial_reference, order_frames, reference_frames
 from .registry import oracle_sql, register
 from .window_plans import resampled
 
@@ -88,12 +88,13 @@ SELECT site, round(CASE WHEN NOT flat THEN (n*sab - sa*sb) / sqrt(va*vb) WHEN sa
 
 
 def hyperstack_index(spark, sf_dir):
-    """Images of each channel family of every frame, with the reference that covers the frame, of several the one that begins last."""
-    r = reference_intervals(spark, sf_dir)
+    """Images of each channel family of every frame, with the reference that covers the frame, of several the one that begins last.
+
+    The reference is chosen once for each frame, before the orders that fold onto it meet it; the join is told not to broadcast a side."""
     begin = F.regexp_extract("file", r"vol_ref_(\d{6,})_", 1).cast("long")
-    one = r.groupBy("o_orderkey").agg(F.max_by("file", begin).alias("reference"), F.first("frame").alias("frame"))
-    o = I.table(spark, sf_dir, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("channel"))
-    return o.join(one, "o_orderkey").groupBy("frame", "reference", "channel").agg(F.count("*").alias("images"))
+    one = reference_frames(spark, sf_dir).groupBy("frame").agg(F.max_by("file", begin).alias("reference"))
+    o = order_frames(spark, sf_dir).select("frame", F.substring("o_orderpriority", 1, 1).alias("channel"))
+    return o.join(one.hint("merge"), "frame").groupBy("frame", "reference", "channel").agg(F.count("*").alias("images"))
 
 
 register("hyperstack_index", hyperstack_index, f"""

@@ -10,3 +10,8 @@ def plan_of(df) -> str:
 def test_exploded_intervals_are_not_broadcast(spark, sf_dir):
     plan = plan_of(registry.queries()["reference_intervals"](spark, sf_dir))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_the_index_broadcasts_no_side(spark, sf_dir):
+    plan = plan_of(registry.queries()["hyperstack_index"](spark, sf_dir))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
