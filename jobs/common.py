@@ -6,7 +6,8 @@ import argparse
 import dataclasses
 import logging
 import tomllib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,21 @@ def put(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+@contextmanager
+def joined_by_size(spark: SparkSession) -> Iterator[None]:
+    """Plans made and run inside broadcast a side by its measured size only. The planner's own estimate takes exploded
+    rows to be as few as they were before, and Parquet's columns to be as small as their files."""
+    planned, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {k: spark.conf.get(k, None) for k in (planned, measured)}
+    spark.conf.set(measured, before[measured] or spark.conf.get(planned))
+    spark.conf.set(planned, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def counted(df: DataFrame, what: str, log: logging.Logger, **where) -> int:
     """Rows of what was written, from its files, into the log."""
     for k, v in where.items():

@@ -111,3 +111,20 @@ def test_paths_as_uris(spark, table, tmp_path):
     path = table(DOCS)
     for i, source in enumerate((f"file://{path}", f"file://{path}/", f"file://{path}/*.parquet")):
         assert rows_of(frame_quality.run(spark, source, f"file://{tmp_path}/uri{i}", Settings(parts=2))) == brute(DOCS, 3.5)
+
+
+def test_norms_are_not_planned_with_broadcasts(spark, tmp_path, monkeypatch):
+    """The planner's estimate of exploded measures is too small to broadcast by, so sizes are left to the run."""
+    plans, norms = [], frame_quality.norms
+
+    def seen(frames, spread):
+        df = norms(frames, spread)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(frame_quality, "norms", seen)
+    spark.createDataFrame([(i, "a b", f"s{i % 3}") for i in range(30)], frame_quality.INPUT).write.parquet(f"{tmp_path}/in")
+    before = [spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")]
+    assert frame_quality.run(spark, f"{tmp_path}/in", f"{tmp_path}/out").count() == 30
+    assert before == [spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")]
+    assert plans and all("Join" in p and "BroadcastHashJoin" not in p for p in plans)
