@@ -1,9 +1,11 @@
 """Days and limits that differ in the last digit only: the rows must be those of the SQL, however the table is split."""
 
 import datetime
+import math
 import random
 
 import duckdb
+import pytest
 
 from kinegrid.plans import registry
 
@@ -23,6 +25,18 @@ def day(i, t, user, value):
     return (i, datetime.datetime(2024, 1, 1, 12) + datetime.timedelta(days=t), user, "view", float(value), "")
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_limit_between_neighbouring_doubles(spark, tmp_path, seed):
+    rng, rows = random.Random(seed), []
+    for user in range(150):
+        lo = hi = round(rng.random() * 500, 2)
+        for _ in range(rng.randint(0, 3)):
+            hi = math.nextafter(hi, 1e9)
+        rows += [day(len(rows) + t, t, user, v) for t, v in enumerate([1.0] * 27 + [lo + 2, math.nextafter(hi + 2, 1e9), hi + 100])]
+    spark.createDataFrame(rows, EVENTS).write.parquet(f"{tmp_path}/events.parquet")
+    against_sql(spark, "robust_mean_std", tmp_path)
+
+
 def test_equal_days_of_split_tables(spark, tmp_path):
     rng, rows = random.Random(3), []
     for user in range(200):
