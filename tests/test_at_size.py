@@ -23,7 +23,7 @@ def test_the_index_broadcasts_no_side(spark, sf_dir):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["gradient_offset_curve"])
+@pytest.mark.parametrize("name", ["offset_curve", "gradient_offset_curve"])
 def test_pixels_are_dealt_once_by_stack(spark, sf_dir, name):
     dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan_of(registry.queries()[name](spark, sf_dir)))
     assert dealt and all(re.fullmatch(r"stack#\d+L?", x) for x in dealt)
