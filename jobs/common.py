@@ -34,9 +34,10 @@ def existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def put(rows: DataFrame, path: str, by: list[str]) -> None:
-    """Replace the partitions that rows have and leave the others; large partitions become several files, small ones one."""
-    rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+def put(rows: DataFrame, path: str, by: list[str], whole: bool = False) -> None:
+    """Replace the partitions that rows have and leave the others, or the ``whole`` table; large partitions become several files, small ones one."""
+    mode = "static" if whole else "dynamic"
+    rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*by).parquet(path)
 
 
 @contextmanager

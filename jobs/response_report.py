@@ -5,10 +5,11 @@ episodes, those of a region's sites are merged, and their first days are the reg
 every site is then asked, lag by lag, how many windows after the onsets hold an active day, what part of all windows
 of that length does, and how likely so many hits are at that rate.
 
-    FOLDER/episodes         roi=: first and last day of the merged episodes of each region
+    FOLDER/episodes         part=: first and last day of the merged episodes of each region, regions dealt into 16 parts
     FOLDER/responses        channel=: site, lag, windows, hits, rate, baseline, lift, p value
 
-Each table is written from what the one before holds on disk. Reruns replace the partitions and leave the same tables.
+Each table is written from what the one before holds on disk. Reruns replace the episodes whole and the partitions of
+the responses, and leave the same tables. Folders follow the parts and channels, never the number of regions.
 
 Cases: rows without a site, a channel or a time are passed over, as are those outside the span; null values count as 0;
 sites without events of a channel have silent days in it; where no window fits, a lag gives no row; no events: no rows.
@@ -44,7 +45,8 @@ class Settings:
     until: str = ""
 
 
-EPISODES = "t0 long, t1 long, units long, roi long"
+PARTS = 16
+EPISODES = "t0 long, t1 long, units long, roi long, part long"
 RESPONSES = "site long, roi long, lag long, windows long, hits long, rate double, baseline double, lift double, p_value double, channel string"
 
 
@@ -101,7 +103,7 @@ def run(spark: SparkSession, source: str, output: str, config: Settings = Settin
     frames = (end - datetime.date.fromisoformat(config.since)).days if end else 0
     at, to = f"{output}/episodes", f"{output}/responses"
     if frames > 0 and read:
-        common.put(episodes(sums, frames, config), at, ["roi"])
+        common.put(episodes(sums, frames, config).withColumn("part", F.pmod("roi", F.lit(PARTS))), at, ["part"], whole=True)
         found = common.existing(spark, at, EPISODES)
         common.counted(found, at, LOG)
         common.put(responses(sums, found, frames, config), to, ["channel"])

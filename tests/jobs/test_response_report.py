@@ -1,5 +1,6 @@
 """The report: reruns, the span, rows that don't count; its numbers are held against SQL in test_job_queries.py."""
 
+import dataclasses
 import datetime
 import os
 import subprocess
@@ -42,6 +43,23 @@ def test_answers(spark, tmp_path):
     assert [(r["roi"], r["t0"], r["t1"], r["units"]) for r in sorted(found, key=lambda r: r["t0"])] == [(0, 10, 10, 1), (0, 20, 20, 1)]
 
 
+def test_folders_do_not_follow_the_regions(spark, tmp_path):
+    """Sixty regions in a bounded number of folders; a rerun that finds fewer episodes keeps none of those before."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(ts, site + k, kind, v) for ts, site, kind, v in events() if site is not None for k in range(60)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(path)
+    config = dataclasses.replace(CONFIG, width=1)
+    first = rows_of(response_report.run(spark, path, out, config))
+    found = spark.read.parquet(f"{out}/episodes")
+    assert len([p for p in (tmp_path / "out" / "episodes").iterdir() if p.is_dir()]) <= response_report.PARTS < 60
+    assert rows_of(found.select("roi", "t0", "t1")) == sorted(((k, t, t) for k in range(1, 61) for t in (10, 20)), key=repr)
+    assert rows_of(response_report.run(spark, path, out, config)) == first
+    few = str(tmp_path / "few")
+    spark.read.parquet(path).where("user_id < 4").write.parquet(few)
+    response_report.run(spark, few, out, config)
+    assert rows_of(spark.read.parquet(f"{out}/episodes").select("roi").distinct()) == [(1,), (2,), (3,)]
+
+
 def test_reruns_and_spans(spark, sf_dir, tmp_path):
     path, out = f"{sf_dir}/events.parquet", str(tmp_path / "out")
     first = rows_of(response_report.run(spark, path, out))
