@@ -152,3 +152,54 @@ def test_late_frames_of_a_query_that_ends(spark, tmp_path):
     seed = spark.createDataFrame([(1, 1, 0, 5.0)], SEED)
     got = run(spark, tmp_path, [[(1, 1, 0, 1.0), (1, 1, 1, 2.0)], [(1, 1, 0, 7.0), (1, 1, 1, 7.0), (1, 1, 2, 3.0), (1, 1, 4, 9.0)]], seed)
     assert got == rows_of(D.scan_batch(spark.createDataFrame([(1, 1, k, k + 1.0) for k in range(3)], FRAMES), seed))
+
+
+def test_states_are_those_of_many_sites(spark, tmp_path):
+    """The store is called for a bundle, not for each site; rows are those of the batch, whatever the ids."""
+    rng, sites = random.Random(9), [*range(130), -3, 2**40]
+    rows = [(s, t, round(rng.gauss(10, 3), 3)) for s in sites for t in range(12)]
+    df = spark.createDataFrame(rows, "site long, t long, v double")
+    frames, seed = D.steps(df, (4, 7)), D.seeds(df, (4, 7))
+    shuffled = [tuple(r) for r in frames.collect()]
+    rng.shuffle(shuffled)
+    got = run(spark, tmp_path, [shuffled[:500], shuffled[500:]], seed)
+    assert got == rows_of(D.scan_batch(frames, seed)) and len(got) == 9 * len(sites)
+    keys = spark.read.format("statestore").option("stateVarName", "carries").load(str(tmp_path / "cp")).select("key").distinct().count()
+    assert keys == 2 * 5  # both directions of 0-63, 64-127, 128 and 129, and the two by themselves
+
+
+def test_a_site_waits_without_its_neighbours(spark, tmp_path):
+    """Input of a site neither ends nor prolongs the wait of another."""
+    q = Clocked(spark, tmp_path, spark.createDataFrame([(1, 1, 0, 5.0), (2, 1, 0, 5.0)], SEED), patience=4000)
+    try:
+        q.feed([(1, 1, 0, 1.0), (1, 1, 2, 1.0)])
+        q.rows(lambda x: len(x) >= 1)
+        for k in range(10):
+            q.feed([(2, 1, k, 1.0)])
+            got = q.rows(lambda x, k=k: (2, k) in {(r[0], r[2]) for r in x})
+            if k == 0:
+                assert [(r[0], r[2]) for r in got] == [(1, 0), (2, 0)]
+            time.sleep(0.5)
+        got = {(r[0], r[2]) for r in q.rows(lambda x: False, 0)}
+    finally:
+        q.query.stop()
+    assert got == {(1, 0), (1, 2)} | {(2, k) for k in range(10)}
+
+
+def test_a_site_expires_without_its_neighbours(spark, tmp_path):
+    q = Clocked(spark, tmp_path, spark.createDataFrame([(k, 1, 0, 5.0) for k in (1, 2, 70)], SEED), idle=8000)
+    try:
+        q.feed([(70, 1, 0, 8.0), (1, 1, 0, 8.0), (2, 1, 0, 8.0)])  # the first batch is slow: the clock is taken from the next
+        assert len(q.rows(lambda x: len(x) >= 3)) == 3
+        q.feed([(1, 1, 1, 8.0), (2, 1, 1, 8.0)])
+        assert len(q.rows(lambda x: len(x) >= 5)) == 5
+        time.sleep(3)
+        q.feed([(2, 1, 2, 8.0)])
+        assert len(q.rows(lambda x: len(x) >= 6)) == 6
+        time.sleep(3.5)
+        q.feed([(1, 1, 0, 9.0), (2, 1, 3, 9.0)])
+        got = [r for r in q.rows(lambda x: len(x) >= 8) if r[0] < 70]
+    finally:
+        q.query.stop()
+    assert [(r[0], r[2]) for r in got] == [(1, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (2, 3)]
+    assert [r[4] for r in got if r[0] == 1] == [5.0, 9.0, 5.0] and [r[4] for r in got if r[0] == 2] == [5.0] * 4
