@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -49,6 +50,7 @@ HUBS = 32  # classes of a group, about, that all its blocks see
 NEAR = 4  # components near a class that it is compared with before lists are merged
 EMPTY = 2  # empty segments that a set may have before they are keys too
 HOT = 8  # classes of a key beyond which it is hot
+PARTS = 4  # of the keys, which meet one part after the other: they outweigh the texts, and a shuffle holds one part's
 MU = 0.0085  # weight of a probe in DivideSkip's choice of L
 
 
@@ -128,6 +130,18 @@ def segment_keys(values: np.ndarray, at: np.ndarray, percent: int) -> list[np.nd
     return np.split(key[order], np.searchsorted(row[order], np.arange(1, len(size))))
 
 
+def dealt_keys(keys: list[np.ndarray]) -> list[pa.ListArray]:
+    """The keys of each row in PARTS columns of lists, by their upper bits (the last byte is the band)."""
+    row, key = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
+    part = (key >> np.uint64(32)) % np.uint64(PARTS)
+    out = []
+    for i in range(PARTS):
+        mine = part == i
+        lengths = np.append(0, np.cumsum(np.bincount(row[mine], minlength=len(keys)))).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(lengths), pa.array(key[mine].view(np.int64))))
+    return out
+
+
 def need(n: np.ndarray, m: np.ndarray | int, percent: int) -> np.ndarray:
     """Least overlap of sets of n and m that makes a link."""
     return -(-percent * (n + m) // (100 + percent))
@@ -284,12 +298,11 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
                 size = np.diff(at)
                 total = lambda x: np.diff(np.append(np.uint64(0), np.cumsum(x, dtype=np.uint64))[at]).astype(np.uint64)
                 prints = [total(mix(values * np.uint64(c))).astype(np.int64) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-                keys = segment_keys(values, at, percent)
-                lengths = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(keys).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(size), *map(pa.array, prints), keys, some.column("carry"), some.column("print")], names=["doc_id", "n", "p", "q", "keys", "carry", "print"])
+                keys = dealt_keys(segment_keys(values, at, percent))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(size), *map(pa.array, prints), *keys, some.column("carry"), some.column("print")], names=["doc_id", "n", "p", "q", *parts, "carry", "print"])
 
-    sets = scratch.write(texts.mapInArrow(describe, "doc_id long, n long, p long, q long, keys array<long>, carry long, print long"), "sets")
+    parts = [f"keys{i}" for i in range(PARTS)]
+    sets = scratch.write(texts.mapInArrow(describe, f"doc_id long, n long, p long, q long, {', '.join(f'{c} array<long>' for c in parts)}, carry long, print long"), "sets")
     same = ["n", "p", "q"]
     # a class is known by a number of its own (rep); its first row, by id, gives its text and, in the end, its name
     row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "print")))
@@ -297,13 +310,16 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
     classes = scratch.write(classes.select(*same, F.monotonically_increasing_id().alias("rep"), F.col("row.doc_id").alias("first"), F.col("row.print").alias("of")), "classes")
     members = sets.select("doc_id", "carry", *same).join(classes, same, "left").select("doc_id", "carry", "n", "rep", "first")
     members = scratch.write(members, "members")
-    first = sets.where("size(keys) > 0").join(classes, same).where("doc_id = first and print = of")
-    postings = scratch.write(first.select(F.explode("keys").alias("key"), "rep"), "postings")
+    helds = []
+    for part in parts:  # a key is in one part
+        first = sets.where(F.size(part) > 0).select("doc_id", "print", *same, part).join(classes, same).where("doc_id = first and print = of")
+        postings = scratch.write(first.select(F.explode(part).alias("key"), "rep"), "postings")
+        lists = postings.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        lists = scratch.write(lists.select("key", "lo", (F.col("n") > HOT).alias("hot")), "lists")
+        helds.append(scratch.write(postings.join(lists, "key").select("key", "rep", "lo", F.col("key").bitwiseAND(255).alias("band"), "hot"), f"held-{part}"))
+        scratch.drop("postings", "lists")
     scratch.drop("sets")
-    lists = postings.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    lists = scratch.write(lists.select("key", "lo", (F.col("n") > HOT).alias("hot")), "lists")
-    held = scratch.write(postings.join(lists, "key").select("key", "rep", "lo", F.col("key").bitwiseAND(255).alias("band"), "hot"), "held")
-    scratch.drop("postings", "lists")
+    held = reduce(DataFrame.unionByName, helds)
     common = _segments(_bands(percent), percent)[1].tolist()
     least = F.element_at(F.array(*map(F.lit, common)), (F.col("band") + 1).cast("int"))
     hot = scratch.write(held.where("hot").groupBy("rep", "band").agg(F.count("*").alias("h")), "hot")
@@ -317,7 +333,7 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
     shared = shared.where(F.col("n") >= F.greatest(F.lit(1), least - F.col("h")))
     meet = shared.select("a", "b").unionByName(tied.select(F.col("rep").alias("a"), F.col("lo").alias("b")))
     groups = scratch.write(connected(meet, scratch, "meet"), "groups")
-    scratch.drop("held")
+    scratch.drop(*(f"held-{part}" for part in parts))
 
     # of each group's blocks, dealt by shingles; a group of one block is a single task
     weight = classes.select(F.col("rep").alias("node"), "n")

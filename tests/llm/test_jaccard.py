@@ -131,3 +131,20 @@ def test_a_text_longer_than_a_segment(spark):
     rows = [(1, long), (2, near(rng, words, 3000)), (3, near(rng, words, 30_000)), (4, long[: 2 << 20])]
     got = sorted(tuple(r) for r in jaccard.components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute(rows, 3, 90)
+
+
+def test_keys_meet_in_parts(spark, monkeypatch):
+    """No table or shuffle of keys holds all of them: they outweigh the texts several times."""
+    rng, held = random.Random(8), []
+    write = jaccard.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name == "postings":
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "write", counted)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(80))) for i in range(60)]
+    jaccard.components(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sum(held) > 1000 and max(held) < 0.4 * sum(held)
