@@ -1,8 +1,10 @@
-"""Days and limits that differ in the last digit only: the rows must be those of the SQL, however the table is split."""
+"""Days and limits that differ in the last digit only: the rows must be those of the SQL, or of sums by day, however the table is split."""
 
 import datetime
 import math
 import random
+from functools import reduce
+from operator import add
 
 import duckdb
 import pytest
@@ -49,3 +51,35 @@ def test_equal_days_of_split_tables(spark, tmp_path):
     rows = [day(i, *r) for i, r in enumerate(sorted(rows, key=lambda r: r[0]))]
     spark.createDataFrame(rows, EVENTS).repartition(16, "event_id").write.parquet(f"{tmp_path}/events.parquet")
     against_sql(spark, "temporal_basis", tmp_path)
+
+
+def split_sum(rng, total, n, least):
+    """n numbers of cents, each over ``least``, that add up to total."""
+    cuts = sorted(rng.sample(range(total - n * least - n), n - 1))
+    return [b - a + least + 1 for a, b in zip([0, *cuts], [*cuts, total - n * least - n], strict=True)]
+
+
+def written(spark, folder, days):
+    """days: {user: cents of days 0, 1, ...}; the parts of the table hold days in no order."""
+    rows = [day(i, t, user, cents / 100) for i, (t, user, cents) in enumerate(sorted((t, u, c) for u, values in days.items() for t, c in enumerate(values)))]
+    spark.createDataFrame(rows, EVENTS).repartition(16, "event_id").write.parquet(f"{folder}/events.parquet")
+
+
+@pytest.fixture
+def dealt(spark):
+    """Small tables are joined and added as large ones are, in several tasks."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_sums_at_the_limit(dealt, tmp_path):
+    rng = random.Random(5)
+    days = {user: split_sum(rng, 200000, 12, 10000) for user in range(600)}
+    written(dealt, tmp_path, days)
+    want = {user for user, v in days.items() if reduce(add, [c / 100 for c in v]) >= 2000}
+    assert len(want) < 600 and {r["site"] for r in registry.queries()["filtered_regions"](dealt, str(tmp_path)).collect()} == want
