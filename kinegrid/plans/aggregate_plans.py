@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -243,9 +244,9 @@ SELECT t, round(greatest(quantile_cont(diff, 0.99), 1e-6), 6) AS scale, count(*)
 
 
 def temporal_basis(spark, sf_dir):
-    """Peak frame, participation ratio and normalised entropy of each site's activation."""
+    """Peak frame, participation ratio and normalised entropy of each site's activation; days are added in their order."""
     p = I.patches(spark, sf_dir)
-    w = I.over("site")
+    w = I.over("site").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = p.withColumn("q", F.try_divide(F.abs("v"), F.sum(F.abs("v")).over(w))).where("q is not null")
     g = s.groupBy("site").agg(F.max_by("t", F.struct("v", -F.col("t"))).alias("peak_t"), S.r6(F.max("q")).alias("peak_frac"), F.round(1 / F.sum(F.col("q") * F.col("q")), 5).alias("participation"), F.round(-F.sum(F.when(F.col("q") > 0, F.col("q") * F.log("q")).otherwise(0.0)) / F.log(F.max("frames")), 6).alias("entropy"))
     return g

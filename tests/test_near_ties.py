@@ -3,6 +3,7 @@
 import datetime
 import math
 import random
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 from operator import add
 
@@ -77,6 +78,18 @@ def dealt(spark):
         spark.conf.set(k, v)
 
 
+def test_parts_halfway_between_two_digits(dealt, tmp_path):
+    rng, days = random.Random(4), {}
+    for user in range(600):  # an odd number of cents of 160.00 is a part halfway between two sixth decimals
+        peak = rng.randrange(3001, 6000, 2)
+        days[user] = [peak, *split_sum(rng, 16000 - peak, 29, 0)]
+        rng.shuffle(days[user])
+    written(dealt, tmp_path, days)
+    part = lambda v: Decimal(repr(max(v) / 100 / reduce(add, [c / 100 for c in v])))
+    want = {user: float(part(v).quantize(Decimal("1e-6"), ROUND_HALF_UP)) for user, v in days.items()}
+    assert {r["site"]: r["peak_frac"] for r in registry.queries()["temporal_basis"](dealt, str(tmp_path)).collect()} == want
+
+
 def test_sums_at_the_limit(dealt, tmp_path):
     rng = random.Random(5)
     days = {user: split_sum(rng, 200000, 12, 10000) for user in range(600)}
