@@ -51,6 +51,7 @@ NEAR = 4  # components near a class that it is compared with before lists are me
 EMPTY = 2  # empty segments that a set may have before they are keys too
 HOT = 8  # classes of a key beyond which it is hot
 PARTS = 4  # of the keys, which meet one part after the other: they outweigh the texts, and a shuffle holds one part's
+FEW = 16_000_000  # shingles of all texts up to which all parts meet at once
 MU = 0.0085  # weight of a probe in DivideSkip's choice of L
 
 
@@ -311,12 +312,13 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
     members = sets.select("doc_id", "carry", *same).join(classes, same, "left").select("doc_id", "carry", "n", "rep", "first")
     members = scratch.write(members, "members")
     helds = []
-    for part in parts:  # a key is in one part
-        first = sets.where(F.size(part) > 0).select("doc_id", "print", *same, part).join(classes, same).where("doc_id = first and print = of")
-        postings = scratch.write(first.select(F.explode(part).alias("key"), "rep"), "postings")
+    at_once = (sets.agg(F.sum("n")).first()[0] or 0) <= FEW
+    for i, keys in enumerate([F.concat(*parts)] if at_once else map(F.col, parts)):  # a key is in one part
+        first = sets.select("doc_id", "print", *same, keys.alias("keys")).where("size(keys) > 0").join(classes, same).where("doc_id = first and print = of")
+        postings = scratch.write(first.select(F.explode("keys").alias("key"), "rep"), "postings")
         lists = postings.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo < hi")
         lists = scratch.write(lists.select("key", "lo", (F.col("n") > HOT).alias("hot")), "lists")
-        helds.append(scratch.write(postings.join(lists, "key").select("key", "rep", "lo", F.col("key").bitwiseAND(255).alias("band"), "hot"), f"held-{part}"))
+        helds.append(scratch.write(postings.join(lists, "key").select("key", "rep", "lo", F.col("key").bitwiseAND(255).alias("band"), "hot"), f"held-{i}"))
         scratch.drop("postings", "lists")
     scratch.drop("sets")
     held = reduce(DataFrame.unionByName, helds)
@@ -333,7 +335,7 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
     shared = shared.where(F.col("n") >= F.greatest(F.lit(1), least - F.col("h")))
     meet = shared.select("a", "b").unionByName(tied.select(F.col("rep").alias("a"), F.col("lo").alias("b")))
     groups = scratch.write(connected(meet, scratch, "meet"), "groups")
-    scratch.drop(*(f"held-{part}" for part in parts))
+    scratch.drop(*(f"held-{i}" for i in range(len(helds))))
 
     # of each group's blocks, dealt by shingles; a group of one block is a single task
     weight = classes.select(F.col("rep").alias("node"), "n")

@@ -144,7 +144,10 @@ def test_keys_meet_in_parts(spark, monkeypatch):
             held.append(out.count())
         return out
 
+    monkeypatch.setattr(jaccard, "FEW", 0, raising=False)
     monkeypatch.setattr(jaccard.Scratch, "write", counted)
-    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(80))) for i in range(60)]
-    jaccard.components(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    base = [[f"w{rng.randrange(5000)}" for _ in range(80)] for _ in range(40)]
+    rows = list(enumerate(near(rng, base[i % 40], i // 40) for i in range(80)))
+    got = jaccard.components(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 5, 80)
     assert sum(held) > 1000 and max(held) < 0.4 * sum(held)
